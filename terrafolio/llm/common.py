@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
     for batch in batches:
         start, size = 0, 0
         data = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.binary_length(data).to_numpy(zero_copy_only=False) if batch.num_rows else []
+        lengths = pc.binary_length(data).to_numpy(zero_copy_only=False) if batch.num_rows else []
         for i, n in enumerate(lengths):
             n = 0 if n is None or n != n else int(n)
             if size and size + n > most:
@@ -91,8 +92,6 @@ def map_texts(
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         state = setup() if setup else None
         for part in slices(batches, text):
             made = one_batch(part, state) if setup else one_batch(part)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafolio.llm import langid, quality, toxicity
-from terrafolio.llm.common import bucket, table
+from terrafolio.llm import ann, chat, decontam, langid, pii, quality, toxicity
+from terrafolio.llm.common import bucket, column_of, map_texts, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,51 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that quotes control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    quoted = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(turns.unionByName(extra))
+
+    def read_back(batch):
+        rows = [(chat.parse(f), chat.learned_text(f, s)) for f, s in zip(column_of(batch, "formatted").to_pylist(), column_of(batch, "loss_spans").to_pylist())]
+        return {
+            "conv_id": column_of(batch, "conv_id"),
+            "n_turns": [len(turns) for turns, _ in rows],
+            "turns_sha256": [hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest() for turns, _ in rows],
+            "loss_chars": [len(learned) for _, learned in rows],
+            "loss_sha256": [hashlib.sha256(learned.encode()).hexdigest() for _, learned in rows],
+            "formatted_chars": [len(f) for f in column_of(batch, "formatted").to_pylist()],
+        }
+
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return map_texts(formatted, schema, read_back, text="formatted")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of each vector whose vec_id is divisible by 50, against all others."""
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), ann.fit(vectors))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the chain low quality -> toxic."""
     docs = table(spark, sf_dir, "documents")
@@ -36,6 +83,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_decontamination": op3_decontamination,
+    "op7_pii": op7_pii,
+    "op8_chat_format": op8_chat_format,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 
