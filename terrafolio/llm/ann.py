@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import Scratch
+from terrafolio.llm.common import Scratch, bounded_sample
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 def fit(vectors: DataFrame, params: AnnParams = AnnParams()) -> AnnIndex:
     """Centres, rotation and the number of probes from a bounded sample of ``usable`` rows, chosen by a hash of vec_id."""
-    rows = vectors.orderBy(F.xxhash64(F.col("vec_id").cast("string")), "vec_id").limit(params.sample_rows).select("v").collect()
+    rows = bounded_sample(vectors, "vec_id", params.sample_rows).select("v").collect()
     rng = np.random.default_rng(params.seed)
     if not rows:
         return AnnIndex(np.zeros((0, 0)), np.zeros((0, 0)), 1, params)

@@ -118,6 +118,21 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _chance(key: str) -> Column:
+    """A number from 0 to 1 that a key's hash fixes."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)) / float(1 << 40)
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``most`` of the rows at most: those of the smallest hashes of ``key``.
+
+    Rows are first thinned by their hashes to little more than ``most``, so that few meet in the last step.
+    """
+    n = rows.count()
+    share = (most + 6 * most**0.5 + 20) / max(1, n)
+    return rows.where(_chance(key) < share).orderBy(_chance(key), key).limit(most)
+
+
 def labelled_sample(labelled: DataFrame, key: str, label: str, per_label: int, max_labels: int = 64) -> DataFrame:
     """(key, label) of ``per_label`` rows of each label at most, chosen by a hash of the key.
 
@@ -125,9 +140,12 @@ def labelled_sample(labelled: DataFrame, key: str, label: str, per_label: int, m
     sample has ``per_label * max_labels`` rows at most and may be broadcast.
     """
     rows = labelled.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, label)
-    labels = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).select(label)
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string")), key)
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).drop("_n").join(F.broadcast(labels), label)
+    labels = rows.groupBy(label).agg(F.count("*").alias("_of")).orderBy(F.desc("_of"), label).limit(max_labels)
+    share = (per_label + 6 * per_label**0.5 + 20) / F.col("_of")
+    order = Window.partitionBy(label).orderBy(_chance(key), key)
+    thinned = rows.join(F.broadcast(labels), label).where(_chance(key) < share)
+    return thinned.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select(key, label)
+
 
 
 class WordVectors:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import column_of, map_texts, slices, texts_of
+from terrafolio.llm.common import bounded_sample, column_of, map_texts, slices, texts_of
 
 #: Fixed: the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -284,7 +284,7 @@ def added_spans(model: PiiModel, texts: list[str], base: list[list[tuple[int, in
 def fit(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
     """A model from a bounded sample of the texts that hold a mark; the patterns' spans are its labels."""
     marked = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    ids = marked.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(params.sample_docs)
+    ids = bounded_sample(marked.select("doc_id").where("doc_id is not null"), "doc_id", params.sample_docs)
     rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).join(F.broadcast(ids.distinct()), "doc_id")
 
     def cut(batch):

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafolio.llm import ann, chat, decontam, langid, pii, quality, toxicity
+from terrafolio.llm import ann, chat, decontam, langid, ngram_join, pii, quality, toxicity
 from terrafolio.llm.common import bucket, column_of, map_texts, table
 
 
@@ -34,6 +34,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), ngram_join.JoinParams(size=4, percent=85))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = table(spark, sf_dir, "documents")
@@ -84,6 +89,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
     "op9_nearest_neighbours": op9_nearest_neighbours,

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import WordVectors, column_of, map_texts, texts_of
+from terrafolio.llm.common import WordVectors, bounded_sample, column_of, map_texts, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,8 +87,8 @@ def fit(docs: DataFrame, labelled: DataFrame, categories: tuple[str, ...], param
     without both classes in the sample gets a constant model.
     """
     labels = labelled.select("doc_id", *categories).na.drop().groupBy("doc_id").agg(*(F.max(c).cast("int").alias(c) for c in categories))
-    last, order = categories[-1], (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"))
-    sample = labels.where(F.col(last) == 1).orderBy(*order).limit(params.docs_per_label).union(labels.where(F.col(last) == 0).orderBy(*order).limit(params.docs_per_label))
+    last = categories[-1]
+    sample = bounded_sample(labels.where(F.col(last) == 1), "doc_id", params.docs_per_label).union(bounded_sample(labels.where(F.col(last) == 0), "doc_id", params.docs_per_label))
     chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
 
     def words(batch):
