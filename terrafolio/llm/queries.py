@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafolio.llm import ann, chat, decontam, langid, ngram_join, pii, quality, toxicity
+from terrafolio.llm import ann, chat, decontam, langid, ngram_join, pii, quality, substring, toxicity
 from terrafolio.llm.common import bucket, column_of, map_texts, table
 
 
@@ -39,6 +39,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), ngram_join.JoinParams(size=4, percent=85))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 35 words that occur more than once."""
+    found = substring.repeated_words(table(spark, sf_dir, "documents"), substring.SubstringParams(window=35))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = table(spark, sf_dir, "documents")
@@ -90,6 +96,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
     "op9_nearest_neighbours": op9_nearest_neighbours,

@@ -78,3 +78,22 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
         else:
             parts.append(np.zeros(0, dtype=np.uint64))
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def rolling(hashes: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
+    """A hash of each run of ``size`` consecutive numbers, in time that doesn't depend on ``size``."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * powers(base, len(hashes)))])
+    return mix((sums[size:] - sums[:-size]) * powers(pow(base, -1, 1 << 64), n))
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    span, least = 1, values
+    while 2 * span <= width:
+        least = np.minimum(least[: len(least) - span], least[span:])
+        span *= 2
+    n = len(values) - width + 1
+    return np.minimum(least[:n], least[width - span : width - span + n]) if n > 0 else values[:0]
