@@ -11,10 +11,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import WordVectors, column_of, labelled_sample, map_texts, texts_of
+from terrafolio.llm.common import WordVectors, column_of, labelled_sample, map_texts, slices, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: What a text without letters is predicted as.
@@ -147,3 +148,16 @@ def identify(docs: DataFrame, model: LangIdModel) -> DataFrame:
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return map_texts(docs.select("doc_id", "text"), f"doc_id {kind}, lang_pred string, score double", score, setup=lambda: scorer(shared.value))
+
+
+def keep(docs: DataFrame, model: LangIdModel, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is determined with a score of ``least_score`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        vectors = scorer(shared.value)
+        for part in slices(batches, "text"):
+            languages, scores = predict(shared.value, vectors, texts_of(part))
+            yield part.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(languages, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

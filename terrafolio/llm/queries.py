@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafolio.llm import ann, chat, decontam, langid, ngram_join, pii, quality, substring, toxicity
+from terrafolio.llm import ann, chat, decontam, langid, mixing, ngram_join, pii, quality, substring, toxicity
 from terrafolio.llm.common import bucket, column_of, map_texts, table
 
 
@@ -39,6 +40,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), ngram_join.JoinParams(size=4, percent=85))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that give each language the same share of tokens, little of it of low quality."""
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.fit(docs, mixing.language_quality(docs, table(spark, sf_dir, "labels")))
+    mixed = mixing.mix(docs.select("doc_id", "text"), replace(model, params=replace(model.params, weights=mixing.balanced(model.domains))))
+    return mixed.select("doc_id", "n_tokens", "domain", "rate", "copies")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows of 35 words that occur more than once."""
     found = substring.repeated_words(table(spark, sf_dir, "documents"), substring.SubstringParams(window=35))
@@ -96,6 +105,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
