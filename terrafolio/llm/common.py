@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,7 +58,12 @@ class Scratch:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the steps that are over
+        self.release()
+
+    def release(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of steps that are over, which it does as the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -147,12 +147,16 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
         .distinct()
     )
 
-    # a shingle's groups can only link if some other of its groups is small enough for them
-    smallest = shared.groupBy("token").agg(F.min("n").alias("least"))
-    room = F.floor((F.col("n") - F.col("pos")) * (100 + p.percent) / p.percent) - F.col("n")
-    viable = scratch.keep(shared.join(smallest, "token").where(room >= F.col("least")).select("token", "gid", "n", "pos"))
+    classes_only = scratch.keep(described.drop("prefix"))
+    scratch.drop(described)
+    # a group stays if some other group of the shingle has a size that its own size and the shingle's position allow
+    by_size = Window.partitionBy("token").orderBy("n", "gid")
+    most = F.floor((F.col("n") - F.col("pos")) * (100 + p.percent) / p.percent) - F.col("n")
+    less, more = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    near = F.when(most < F.col("n"), F.first("n").over(by_size) <= most).otherwise((100 * less >= p.percent * F.col("n")) | (more <= most))
+    viable = scratch.keep(shared.select("token", "gid", "n", "pos", near.alias("near")).where("near").drop("near"))
     members = scratch.keep(classes.select("node", F.col("n_shingles").alias("n"), "group").join(classes.groupBy(F.col("n_shingles").alias("n"), "group").agg(F.min("node").alias("gid"), F.count("*").alias("members")), ["n", "group"]).select("gid", "node", "members"))
-    wanted = viable.select("gid").union(shared.select(F.col("head.gid").alias("gid"))).distinct().join(members, "gid").select("node").union(members.where("members > 1").select("node")).distinct()
+    wanted = viable.select("gid").union(first_pairs.select("ga")).union(first_pairs.select("gb")).distinct().join(members, "gid").select("node").union(members.where("members > 1").select("node")).distinct()
 
     def as_sets(batch: pa.RecordBatch) -> dict:
         rows = []
@@ -163,7 +167,8 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.join(wanted.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = scratch.keep(map_texts(chosen, f"node {kind}, set binary", as_sets).where("length(set) > 0").dropDuplicates(["node", "set"]))
+    sets = scratch.keep(map_texts(chosen, f"node {kind}, set binary", as_sets).where("length(set) > 0"))
+    scratch.release()
 
     def expand(group_pairs: DataFrame) -> DataFrame:
         a = members.select(F.col("gid").alias("ga"), F.col("node").alias("a"))
@@ -172,6 +177,7 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
 
     within = members.where("gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
     links = scratch.keep(_verified(expand(first_pairs).union(within), sets, p))
+    scratch.release()
     found = scratch.keep(components(links, scratch))
 
     # what the first round left: pairs of groups that aren't all in one component
@@ -188,10 +194,11 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     inner = placed.join(spans.where("c0 < c1").select("gid"), "gid")
     inside = inner.select("gid", F.col("node").alias("a"), F.col("c").alias("ca")).join(inner.select("gid", F.col("node").alias("b"), F.col("c").alias("cb")), "gid").where("a < b and ca <> cb").select("a", "b")
     more = scratch.keep(_verified(expand(second_pairs).union(inside), sets, p))
+    scratch.drop(sets)
     every = components(links.union(more), scratch)
 
     # members of a class follow its node
-    result = described.select("doc_id", "n_shingles", "s1", "s2", "group").join(classes, ["n_shingles", "s1", "s2", "group"], "left")
+    result = classes_only.join(classes, ["n_shingles", "s1", "s2", "group"], "left")
     result = result.join(every, "node", "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return result.select("doc_id", "n_shingles", own.alias("component_id"))
