@@ -2,10 +2,9 @@
 
 A window of words is stood for by its anchor, the phrase in it whose hash is least; equal windows have equal anchors, so a
 window whose anchor occurs once is unique. Runs of windows with a recurring anchor are compared as wholes, and window by
-window where wholes differ, which confirms the recurring passages; each recurring window is kept once, in the passage of its
-first occurrence. Passages are dealt to the shards of documents that hold their anchors; each shard compiles its own
-Aho-Corasick automaton of them, of bounded size, and streams all its documents through it to locate every occurrence,
-verbatim.
+window where wholes differ, which confirms the recurring passages. Passages are dealt to the shards of documents that hold
+some of their windows; each shard compiles its own Aho-Corasick automaton of them, of bounded size, and streams all its
+documents through it to locate every occurrence, verbatim.
 """
 
 from __future__ import annotations
@@ -95,77 +94,94 @@ def anchor_runs(docs: DataFrame, p: SubstringParams) -> DataFrame:
 
 
 def recurring_runs(runs: DataFrame) -> DataFrame:
-    """``runs`` whose anchor recurs, with ``open``: whether the run's windows must be told apart one by one.
+    """uid, start, size, again, open, key of the ``runs`` whose anchor recurs.
 
-    They must where no other run is the same as a whole, and for one of those that are the same.
+    ``again``: another run is the same as a whole, so every window of it recurs; such runs share a key. ``open``: the run's
+    windows must be told apart one by one, which one of those that are the same stands for.
     """
     order = Window.partitionBy("anchor").orderBy("whole", "uid", "start")
     before, after = F.lag("whole").over(order), F.lead("whole").over(order)
     marked = runs.select("*", before.alias("before"), after.alias("after")).where("before is not null or after is not null")
-    return marked.select("anchor", "uid", "start", "size", (~F.coalesce(F.col("before") == F.col("whole"), F.lit(False))).alias("open"), F.coalesce((F.col("before") == F.col("whole")) | (F.col("after") == F.col("whole")), F.lit(False)).alias("again"))
+    as_before = F.coalesce(F.col("before") == F.col("whole"), F.lit(False))
+    again = as_before | F.coalesce(F.col("after") == F.col("whole"), F.lit(False))
+    key = F.when(again, F.xxhash64("anchor", "whole")).otherwise(F.xxhash64("uid", "start", "anchor", "whole"))
+    return marked.select("uid", "start", "size", again.alias("again"), (~as_before).alias("open"), key.alias("key"))
 
 
-def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """uid, text, runs (start, size, again) of the documents that have some."""
-    gathered = runs.groupBy("uid").agg(F.collect_list(F.struct("start", "size", "again")).alias("runs"))
+def _with_runs(docs: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:
+    """uid, text, runs of the documents that have some."""
+    gathered = runs.groupBy("uid").agg(F.collect_list(F.struct(*columns)).alias("runs"))
     return docs.join(gathered.hint("shuffle_hash"), "uid")
 
 
-def passages(docs: DataFrame, shared: DataFrame, p: SubstringParams, scratch: Scratch) -> DataFrame:
-    """anchors, words (as text) of passages in which every window recurs; each recurring window is in exactly one."""
-    
+def told_apart(docs: DataFrame, shared: DataFrame, p: SubstringParams) -> DataFrame:
+    """uid, start, key, first, of: each recurring window of the open runs that aren't recurring as a whole.
+
+    ``of`` is the key of the run that holds the window's first occurrence, and ``first`` whether that is this one.
+    """
+
     def windows_of(batch):
         rows = []
         for part in slices(iter([batch]), "text", p.batch_bytes):
             hashes, bounds = word_hashes(bytes_of(part), lower=False)
-            ids = column_of(part, "uid")
+            uids = column_of(part, "uid").to_pylist()
             for d, runs in enumerate(column_of(part, "runs").to_pylist()):
                 own = hashes[bounds[d] : bounds[d + 1]]
-                sure = np.zeros(max(0, len(own) - p.window + 1), dtype=np.int8)
-                for r in runs:
-                    # texts that repeat a uid may be shorter than the run that was found under it
-                    stop = min(len(sure), r["start"] + r["size"])
-                    sure[r["start"] : stop] = np.maximum(sure[r["start"] : stop], 2 if r["again"] else 1)
-                at = np.flatnonzero(sure)
-                if len(at):
-                    rows.append((ids.slice(d, 1).take(pa.array(np.zeros(len(at), np.int64))), at, rolling(own, p.window)[at], rolling(own, p.window, OTHER_BASE)[at], sure[at] == 2))
+                at = np.concatenate([np.arange(r["start"], r["start"] + r["size"]) for r in runs])
+                sizes = [r["size"] for r in runs]
+                once = np.unique(at, return_index=True)[1]  # a run in which a window recurs is listed twice
+                key, again = (np.repeat([r[c] for r in runs], sizes)[once] for c in ("key", "again"))
+                at = at[once]
+                rows.append((np.full(len(at), uids[d]), at, rolling(own, p.window)[at], rolling(own, p.window, OTHER_BASE)[at], again, key))
         if not rows:
             return None
-        return {"uid": pa.concat_arrays([r[0] for r in rows]), "start": pa.array(np.concatenate([r[1] for r in rows]), pa.int32()), "h1": _signed(np.concatenate([r[2] for r in rows])), "h2": _signed(np.concatenate([r[3] for r in rows])), "sure": pa.array(np.concatenate([r[4] for r in rows]))}
+        uid, start, h1, h2, again, key = (np.concatenate(x) for x in zip(*rows))
+        return {"uid": uid, "start": pa.array(start, pa.int32()), "h1": _signed(h1), "h2": _signed(h2), "again": again, "key": key}
 
-    opened = map_texts(_with_runs(docs, shared.where("open")), "uid long, start int, h1 long, h2 long, sure boolean", windows_of)
-    order = Window.partitionBy("h1", "h2").orderBy("uid", "start")
-    seen = opened.select("uid", "start", "sure", F.lag("start").over(order).isNull().alias("first"), F.lead("start").over(order).isNotNull().alias("more"), F.max("sure").over(Window.partitionBy("h1", "h2")).alias("any"))
-    firsts = scratch.keep(seen.where("first and (any or more)").select("uid", "start"))
-    starts = firsts.groupBy("uid").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    opened = map_texts(_with_runs(docs, shared.where("open"), "start", "size", "again", "key"), "uid long, start int, h1 long, h2 long, again boolean, key long", windows_of)
+    order = Window.partitionBy("h1", "h2").orderBy(F.desc("again"), "uid", "start")
+    seen = opened.select("uid", "start", "again", "key", F.lag("start").over(order).isNull().alias("first"), F.lead("start").over(order).isNotNull().alias("more"), F.first("key").over(order).alias("of"))
+    return seen.where("not again and (not first or more)").select("uid", "start", "key", "first", "of")
 
-    def cut(batch):
-        anchors, texts = [], []
-        for part in slices(iter([batch]), "text", p.batch_bytes):
-            contents = bytes_of(part)
-            hashes, bounds = word_hashes(contents, lower=False)
-            for d, (content, found) in enumerate(zip(contents, column_of(part, "starts").to_pylist())):
-                words = content.split()
-                found = np.array([s for s in found if s + p.window <= len(words)], dtype=np.int64)
-                if not len(found):
-                    continue
-                own = sliding_min(rolling(hashes[bounds[d] : bounds[d + 1]], p.phrase), p.window - p.phrase + 1)
-                for piece in np.split(found, np.flatnonzero(np.diff(found) != 1) + 1):
-                    anchors.append(np.unique(own[piece]).view(np.int64).tolist())
-                    texts.append(b" ".join(words[piece[0] : piece[-1] + p.window]))
-        return {"anchors": anchors, "words": texts} if texts else None
 
-    return map_texts(docs.join(starts.hint("shuffle_hash"), "uid"), "anchors array<long>, words binary", cut)
+def passages(docs: DataFrame, shared: DataFrame, apart: DataFrame, p: SubstringParams) -> DataFrame:
+    """key, shift, words (as text): for each key, the passages in which every window recurs.
 
+    ``shift`` is where the first block begins: blocks lie at multiples of their length in the document that a passage is
+    taken from, so that its neighbouring passages have the same blocks.
+    """
+    whole = shared.where("open and again").select("uid", "key", "start", "size")
+    single = apart.where("first").select("uid", "key", "start", F.lit(1).alias("size"))
 
-def located(texts: list[list[bytes]], known: list[list[bytes]], p: SubstringParams) -> list[np.ndarray]:
-    """For each text, a mask of its words that lie in a window's length or more of a passage of ``known``."""
+    def cut(batch):
+        keys, shifts, texts = [], [], []
+        for part in slices(iter([batch]), "text", p.batch_bytes):
+            for content, runs in zip(bytes_of(part), column_of(part, "runs").to_pylist()):
+                words = content.split()
+                ends: dict[tuple[int, int], int] = {}
+                for r in sorted(runs, key=lambda r: (r["key"], r["start"])):
+                    last = next(reversed(ends), None)
+                    if last is not None and last[0] == r["key"] and ends[last] == r["start"]:
+                        ends[last] = r["start"] + r["size"]
+                    else:
+                        ends[r["key"], r["start"]] = r["start"] + r["size"]
+                for (key, start), end in ends.items():
+                    keys.append(key)
+                    shifts.append(-start % p.block)
+                    texts.append(b" ".join(words[start : end + p.window - 1]))
+        return {"key": keys, "shift": shifts, "words": texts} if texts else None
+
+    return map_texts(_with_runs(docs, whole.union(single), "key", "start", "size"), "key long, shift int, words binary", cut)
+
+
+def located(texts: list[list[bytes]], known: list[tuple[int, list[bytes]]], p: SubstringParams) -> list[np.ndarray]:
+    """For each text, a mask of its words that lie in a window's length or more of a passage of ``known`` (shift, words)."""
     import ahocorasick
 
     masks = [np.zeros(len(t), dtype=bool) for t in texts]
     places: dict[str, list[tuple[int, int]]] = {}
-    for n, words in enumerate(known):
-        for at in range(0, len(words) - p.block + 1, p.block):
+    for n, (shift, words) in enumerate(known):
+        for at in range(shift, len(words) - p.block + 1, p.block):
             places.setdefault(b" ".join(words[at : at + p.block]).decode("latin-1"), []).append((n, at))
     if not places:
         return masks
@@ -187,7 +203,7 @@ def located(texts: list[list[bytes]], known: list[list[bytes]], p: SubstringPara
                 diagonal = (n, at - offset)
                 if done.get(diagonal, -1) > at:
                     continue
-                passage = known[n]
+                passage = known[n][1]
                 a, b = at, offset
                 while a > 0 and b > 0 and words[a - 1] == passage[b - 1]:
                     a, b = a - 1, b - 1
@@ -213,17 +229,20 @@ def repeated_words(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
     docs = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("uid"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = scratch.keep(recurring_runs(anchor_runs(docs, p)))
-    found = scratch.keep(passages(docs, shared, p, scratch).withColumn("passage", F.xxhash64("words")))
+    scratch.release()
+    apart = scratch.keep(told_apart(docs, shared, p))
+    scratch.release()
+    found = passages(docs, shared, apart, p)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // p.shard_bytes))
     shard = lambda: F.pmod("uid", F.lit(shards)).cast("int")
-    holds = shared.select("anchor", shard().alias("shard")).distinct()
-    wanted = holds.join(found.select("passage", F.explode("anchors").alias("anchor")), "anchor").select("shard", "passage").distinct()
-    dealt = wanted.join(found.select("passage", "words").dropDuplicates(["passage", "words"]), "passage").select("shard", "words")
+    wanted = shared.where("again").select(shard().alias("shard"), "key").union(apart.select(shard().alias("shard"), F.col("of").alias("key"))).distinct()
+    dealt = wanted.join(found, "key").select("shard", "shift", "words")
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [(t or b"").split() for t in left.column("text").cast(pa.binary()).to_pylist()]
-        masks = located(texts, [w.split() for w in sorted(set(right.column("words").to_pylist()))], p)
+        known = sorted(set(zip(right.column("words").to_pylist(), right.column("shift").to_pylist())))
+        masks = located(texts, [(shift, words.split()) for words, shift in known], p)
         kept = [b" ".join(w for w, gone in zip(words, mask) if not gone) for words, mask in zip(texts, masks)]
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept": pa.array(kept, pa.binary())})
 
