@@ -68,11 +68,11 @@ def _frequency(docs: DataFrame, p: JoinParams) -> np.ndarray:
 
 
 def _described(docs: DataFrame, levels, p: JoinParams) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, prefix (sorted keys) of each document."""
+    """doc_id, n_shingles, two hashes and a sketch of the set, prefix (sorted keys) of each document."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def one(batch: pa.RecordBatch) -> dict:
-        n, s1, s2, prefix = [], [], [], []
+        n, s1, s2, prefix, sketches = [], [], [], [], []
         for part in slices(iter([batch]), "text", p.batch_bytes):
             sets, bounds = shingle_sets(bytes_of(part), p.size)
             keys = (levels.value[(sets >> np.uint64(64 - p.counter_bits)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(sets) >> np.uint64(6))
@@ -83,6 +83,7 @@ def _described(docs: DataFrame, levels, p: JoinParams) -> DataFrame:
                 n.append(size)
                 s1.append(first[a:b].sum(dtype=np.uint64))
                 s2.append(second[a:b].sum(dtype=np.uint64))
+                sketches.append(_sketch(sets[a:b]))
                 prefix.append(k[: size - -(-p.percent * size // 100) + 1].view(np.int64) if size else np.zeros(0, np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
         return {
@@ -90,10 +91,11 @@ def _described(docs: DataFrame, levels, p: JoinParams) -> DataFrame:
             "n_shingles": n,
             "s1": pa.array(np.array(s1, dtype=np.uint64).view(np.int64)),
             "s2": pa.array(np.array(s2, dtype=np.uint64).view(np.int64)),
+            "sketch": pa.array(sketches, pa.binary()),
             "prefix": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
         }
 
-    return map_texts(docs.select("doc_id", "text"), f"doc_id {kind}, n_shingles long, s1 long, s2 long, prefix array<long>", one)
+    return map_texts(docs.select("doc_id", "text"), f"doc_id {kind}, n_shingles long, s1 long, s2 long, sketch binary, prefix array<long>", one)
 
 
 def _may_link(p: JoinParams, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -102,21 +104,64 @@ def _may_link(p: JoinParams, na: Column, pa_: Column, nb: Column, pb: Column) ->
     return (100 * F.least(na, nb) >= p.percent * F.greatest(na, nb)) & ((100 + p.percent) * most >= p.percent * (na + nb))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: JoinParams) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets link."""
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "y")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
+def _sketch(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes begin with each pattern of bits; about half a byte a hash, nothing if a count is too large."""
+    bits = max(5, int(len(hashes)).bit_length() - 1)
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _most_common(x: bytes, y: bytes) -> float:
+    """An upper bound of how many hashes two sets have in common, from their sketches."""
+    if not x or not y:
+        return float("inf")
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    n = min(len(a), len(b))
+    return float(np.minimum(a.reshape(n, -1).sum(axis=1), b.reshape(n, -1).sum(axis=1)).sum())
+
+
+def _paired(pairs: DataFrame, values: DataFrame, name: str, links) -> DataFrame:
+    """Those of ``pairs`` (a, b) for which ``links`` holds of their two rows' ``name``; ``values`` has node, n and ``name``."""
+    side = lambda node, n, x: values.select(F.col("node").alias(node), F.col("n").alias(n), F.col(name).alias(x))
+    both = pairs.join(side("b", "nb", "y"), "b").join(side("a", "na", "x"), "a").select("a", "b", "na", "nb", "x", "y")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= p.percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            na, nb = (batch.column(k).to_pylist() for k in (2, 3))
+            found = [links(i, j, x.as_py(), y.as_py()) for i, j, x, y in zip(na, nb, batch.column(4), batch.column(5))]
+            yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
+
+    return both.mapInArrow(keep, both.select("a", "b").schema)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets link.
+
+    Sketches rule out most of the others first, so that few whole sets are made and moved.
+    """
+    enough = lambda common, na, nb: 100 * common >= p.percent * (na + nb - common)
+
+    def linked(na: int, nb: int, x: bytes, y: bytes) -> bool:
+        common = na + nb - len(np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])))
+        return enough(common, na, nb)
+
+    may = scratch.keep(_paired(pairs, sketches, "sketch", lambda na, nb, x, y: enough(min(_most_common(x, y), na, nb), na, nb)))
+    ids = may.select(F.col("a").alias("doc_id")).union(may.select("b")).distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def as_sets(batch: pa.RecordBatch) -> dict:
+        rows = []
+        for part in slices(iter([batch]), "text", p.batch_bytes):
+            sets, bounds = shingle_sets(bytes_of(part), p.size)
+            rows += [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        return {"node": column_of(batch, "doc_id"), "n": [len(r) // 8 for r in rows], "set": rows}
 
-    return both.mapInArrow(link, both.select("a", "b").schema)
+    chosen = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = scratch.keep(map_texts(chosen, f"node {kind}, n long, set binary", as_sets).where("n > 0"))
+    scratch.release()
+    links = scratch.keep(_paired(may, sets, "set", linked))
+    scratch.drop(sets, may)
+    return links
 
 
 def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
@@ -156,19 +201,8 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     near = F.when(most < F.col("n"), F.first("n").over(by_size) <= most).otherwise((100 * less >= p.percent * F.col("n")) | (more <= most))
     viable = scratch.keep(shared.select("token", "gid", "n", "pos", near.alias("near")).where("near").drop("near"))
     members = scratch.keep(classes.select("node", F.col("n_shingles").alias("n"), "group").join(classes.groupBy(F.col("n_shingles").alias("n"), "group").agg(F.min("node").alias("gid"), F.count("*").alias("members")), ["n", "group"]).select("gid", "node", "members"))
-    wanted = viable.select("gid").union(first_pairs.select("ga")).union(first_pairs.select("gb")).distinct().join(members, "gid").select("node").union(members.where("members > 1").select("node")).distinct()
-
-    def as_sets(batch: pa.RecordBatch) -> dict:
-        rows = []
-        for part in slices(iter([batch]), "text", p.batch_bytes):
-            sets, bounds = shingle_sets(bytes_of(part), p.size)
-            rows += [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        return {"node": column_of(batch, "doc_id"), "set": rows}
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.join(wanted.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = scratch.keep(map_texts(chosen, f"node {kind}, set binary", as_sets).where("length(set) > 0"))
-    scratch.release()
+    sketches = classes_only.where("n_shingles > 0").join(classes, (classes_only["doc_id"] == classes["node"]) & (classes_only["s1"] == classes["s1"]) & (classes_only["s2"] == classes["s2"]), "left_semi")
+    sketches = scratch.keep(sketches.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"))
 
     def expand(group_pairs: DataFrame) -> DataFrame:
         a = members.select(F.col("gid").alias("ga"), F.col("node").alias("a"))
@@ -176,7 +210,7 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
         return group_pairs.join(a, "ga").join(b, "gb").select("a", "b")
 
     within = members.where("gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
-    links = scratch.keep(_verified(expand(first_pairs).union(within), sets, p))
+    links = _verified(expand(first_pairs).union(within), docs, sketches, p, scratch)
     scratch.release()
     found = scratch.keep(components(links, scratch))
 
@@ -193,12 +227,12 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     second_pairs = second_pairs.join(first_pairs.union(first_pairs.select("gb", "ga")), ["ga", "gb"], "left_anti")
     inner = placed.join(spans.where("c0 < c1").select("gid"), "gid")
     inside = inner.select("gid", F.col("node").alias("a"), F.col("c").alias("ca")).join(inner.select("gid", F.col("node").alias("b"), F.col("c").alias("cb")), "gid").where("a < b and ca <> cb").select("a", "b")
-    more = scratch.keep(_verified(expand(second_pairs).union(inside), sets, p))
-    scratch.drop(sets)
+    more = _verified(expand(second_pairs).union(inside), docs, sketches, p, scratch)
+    scratch.drop(sketches)
     every = components(links.union(more), scratch)
 
     # members of a class follow its node
-    result = classes_only.join(classes, ["n_shingles", "s1", "s2", "group"], "left")
+    result = classes_only.drop("sketch").join(classes, ["n_shingles", "s1", "s2", "group"], "left")
     result = result.join(every, "node", "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return result.select("doc_id", "n_shingles", own.alias("component_id"))
