@@ -28,9 +28,11 @@ class SubstringParams:
     #: Words of a window that must not recur, and of the phrase in it that serves as its anchor.
     window: int = 50
     phrase: int = 8
+    #: Windows that a passage is cut at.
+    passage_windows: int = 128
     #: Bytes of document texts in a shard, about: what one automaton is streamed over, and what bounds its size.
     shard_bytes: int = 4 << 20
-    batch_bytes: int = 2 << 20
+    batch_bytes: int = 1 << 20
 
     @property
     def block(self) -> int:
@@ -145,33 +147,31 @@ def told_apart(docs: DataFrame, shared: DataFrame, p: SubstringParams) -> DataFr
 
 
 def passages(docs: DataFrame, shared: DataFrame, apart: DataFrame, p: SubstringParams) -> DataFrame:
-    """key, shift, words (as text): for each key, the passages in which every window recurs.
+    """keys, shift, words (as text) of passages in which every window recurs, and that hold all windows of their keys.
 
-    ``shift`` is where the first block begins: blocks lie at multiples of their length in the document that a passage is
-    taken from, so that its neighbouring passages have the same blocks.
+    Runs that follow each other in a document are one passage, of ``passage_windows`` windows or little more. ``shift`` is where
+    the first block begins: blocks lie at multiples of their length in the document that a passage is taken from, so that
+    neighbouring passages have the same blocks where they overlap.
     """
     whole = shared.where("open and again").select("uid", "key", "start", "size")
     single = apart.where("first").select("uid", "key", "start", F.lit(1).alias("size"))
 
     def cut(batch):
-        keys, shifts, texts = [], [], []
+        found: list[tuple[list[int], int, bytes]] = []
         for part in slices(iter([batch]), "text", p.batch_bytes):
             for content, runs in zip(bytes_of(part), column_of(part, "runs").to_pylist()):
                 words = content.split()
-                ends: dict[tuple[int, int], int] = {}
-                for r in sorted(runs, key=lambda r: (r["key"], r["start"])):
-                    last = next(reversed(ends), None)
-                    if last is not None and last[0] == r["key"] and ends[last] == r["start"]:
-                        ends[last] = r["start"] + r["size"]
-                    else:
-                        ends[r["key"], r["start"]] = r["start"] + r["size"]
-                for (key, start), end in ends.items():
-                    keys.append(key)
-                    shifts.append(-start % p.block)
-                    texts.append(b" ".join(words[start : end + p.window - 1]))
-        return {"key": keys, "shift": shifts, "words": texts} if texts else None
-
-    return map_texts(_with_runs(docs, whole.union(single), "key", "start", "size"), "key long, shift int, words binary", cut)
+                begin, end, keys = 0, -1, set()
+                for start, stop, key in [*sorted((r["start"], r["start"] + r["size"], r["key"]) for r in runs), (1 << 40, 0, 0)]:
+                    if start > end or end - begin >= p.passage_windows:
+                        if keys:
+                            found.append((sorted(keys), -begin % p.block, b" ".join(words[begin : end + p.window - 1])))
+                        begin, end, keys = start, stop, set()
+                    end = max(end, stop)
+                    keys.add(key)
+        return {"keys": [f[0] for f in found], "shift": [f[1] for f in found], "words": [f[2] for f in found]} if found else None
+
+    return map_texts(_with_runs(docs, whole.union(single), "key", "start", "size"), "keys array<long>, shift int, words binary", cut)
 
 
 def located(texts: list[list[bytes]], known: list[tuple[int, list[bytes]]], p: SubstringParams) -> list[np.ndarray]:
@@ -232,12 +232,14 @@ def repeated_words(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
     scratch.release()
     apart = scratch.keep(told_apart(docs, shared, p))
     scratch.release()
-    found = passages(docs, shared, apart, p)
+    found = scratch.keep(passages(docs, shared, apart, p).withColumn("passage", F.xxhash64("words", "shift")))
+    scratch.release()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // p.shard_bytes))
     shard = lambda: F.pmod("uid", F.lit(shards)).cast("int")
     wanted = shared.where("again").select(shard().alias("shard"), "key").union(apart.select(shard().alias("shard"), F.col("of").alias("key"))).distinct()
-    dealt = wanted.join(found, "key").select("shard", "shift", "words")
+    wanted = wanted.join(found.select("passage", F.explode("keys").alias("key")), "key").select("shard", "passage").distinct()
+    dealt = wanted.join(found.select("passage", "shift", "words"), "passage").select("shard", "shift", "words")
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [(t or b"").split() for t in left.column("text").cast(pa.binary()).to_pylist()]
