@@ -35,6 +35,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches of ``most`` bytes at most from here on in this session, since texts, unlike numbers, can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != f"{most}b":
+        spark.conf.set(name, f"{most}b")
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage: a lost executor re-reads them instead of recomputing.
 
@@ -44,6 +51,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        small_batches(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -107,6 +115,7 @@ def map_texts(
             columns = [c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, parsed)
 
 
