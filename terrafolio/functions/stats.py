@@ -53,19 +53,20 @@ def zscores(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     The totals of all columns are one scalar subquery, so nothing is gathered in one window.
     """
     each = [F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("spread"), F.count(x).alias("n")).alias(out) for x, out in columns.items()]
-    totals = rows.agg(F.struct(*each)).scalar()
+    rows = rows.withColumn("_totals", rows.agg(F.struct(*each)).scalar())  # a column, so that the subquery is planned once
     for x, out in columns.items():
-        mean, spread, n = (totals[out][k] for k in ("mean", "spread", "n"))
+        mean, spread, n = (F.col(f"_totals.{out}.{k}") for k in ("mean", "spread", "n"))
         z = F.when(n < 2, 0.0).otherwise((F.col(x) - mean) / F.when(spread > 0, spread).otherwise(1.0))
         rows = rows.withColumn(out, F.when(F.col(x).isNull(), -2.0).otherwise(z))
-    return rows
+    return rows.drop("_totals")
 
 
 def rescale(rows: DataFrame, x: str, out: str) -> DataFrame:
     """From 0 to 100 between the least and the largest; a range of 0 counts as 1."""
     ends = rows.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high"))).scalar()
-    low, high = ends["low"], ends["high"]
-    return rows.withColumn(out, 100 * (F.col(x) - low) / F.when(high > low, high - low).otherwise(1.0))
+    low, high = F.col("_ends.low"), F.col("_ends.high")
+    scaled = 100 * (F.col(x) - low) / F.when(high > low, high - low).otherwise(1.0)
+    return rows.withColumn("_ends", ends).withColumn(out, scaled).drop("_ends")
 
 
 def tercile_cuts(rows: DataFrame, x: str) -> DataFrame:

@@ -25,7 +25,8 @@ def base_month(rows: DataFrame, month: str = "mes", p: Params = DEFAULT) -> Data
 def volume_12m(rows: DataFrame, keys: list[str], flags: dict[str, Column], month: str = "mes", p: Params = DEFAULT) -> DataFrame:
     """keys, and for each flag its count in the window, in the one before and in the months after, in one pass."""
     period = base_month(rows, month, p)
-    end = period.select("window_end").scalar()
+    rows = rows.withColumn("_end", period.select("window_end").scalar())
+    end = F.col("_end")
     now = (F.col(month) <= end) & (F.col(month) > end - p.window_months)
     past = (F.col(month) <= end - p.window_months) & (F.col(month) > end - 2 * p.window_months)
     late = F.col(month) > end

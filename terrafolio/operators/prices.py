@@ -12,6 +12,7 @@ from terrafolio.params import DEFAULT, Params
 
 def adaptive_band(sales: DataFrame, listings: DataFrame, keys: list[str], end: Column, p: Params = DEFAULT) -> DataFrame:
     """keys, months, few, n, low, high, stock: the middle half of prices in the adaptive window, and the listings inside it."""
+    sales, end = sales.withColumn("_end", end), F.col("_end")
     windows = adaptive_window(sales, keys, "mes", end, p)
     inside = sales.join(windows, keys).where((F.col("mes") <= end) & (F.col("mes") > end - F.col("months")))
     bands = inside.groupBy(*keys).agg(F.first("months").alias("months"), F.first("few").alias("few"), F.count("*").alias("n"), quantile("valor", 0.25).alias("low"), quantile("valor", 0.75).alias("high"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrafolio.functions import expr, stats
 from terrafolio.functions.expr import half_up
-from terrafolio.operators import addresses, clean, geo, history, period, prices, resolve, scoring, valuation
+from terrafolio.operators import addresses, checks, clean, geo, history, market, period, prices, resolve, scoring, valuation
 from terrafolio.params import DEFAULT
 from terrafolio.plans.views import LISTINGS, SALES, listings, sales, table
 
@@ -416,3 +416,91 @@ def _(spark, d):
     by = sales(spark, d).groupBy("bairro", "tipo", F.year("dia").alias("ano")).agg(F.count("*").alias("n"), F.median("valor").alias("mediana"), F.min(F.month("dia")).alias("de"), F.max(F.month("dia")).alias("ate"))
     last = F.lag("mediana").over(Window.partitionBy("bairro", "tipo").orderBy("ano"))
     return _rounded(by.withColumn("anterior", last), "mediana", "anterior")
+
+
+@query("search_interest", "WITH t AS (SELECT DISTINCT event_type AS bairro, user_id AS termo, day(ts) AS mes, user_id % 9 + 1 AS n FROM events), m AS (SELECT bairro, mes, sum(n) AS n FROM t GROUP BY 1, 2) SELECT bairro, floor(avg(n) * 1000000 + 0.5) / 1000000 AS media FROM m GROUP BY 1")
+def _(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("bairro"), F.col("user_id").alias("termo"), F.dayofmonth("ts").alias("mes"), (F.col("user_id") % 9 + 1).alias("n"))
+    return market.search_interest(rows)
+
+
+@query(
+    "floor_effect",
+    f"""WITH {SALES}, s AS (SELECT endereco, floor(area / 10) AS a, linha * 3 AS andar, m2 FROM sales), g AS (SELECT endereco, a, median(m2) AS m FROM s GROUP BY 1, 2 HAVING count(*) >= 4 AND max(andar) - min(andar) >= 5),
+  r AS (SELECT CASE WHEN andar <= 3 THEN 0 WHEN andar <= 7 THEN 1 WHEN andar <= 12 THEN 2 WHEN andar <= 20 THEN 3 ELSE 4 END AS faixa, m2 / m AS r FROM s JOIN g USING (endereco, a))
+  SELECT faixa, count(*) AS n, floor(CASE WHEN count(*) >= 200 THEN greatest(0.9, least(1.1, median(r))) ELSE 1 END * 1000000 + 0.5) / 1000000 AS fator FROM r GROUP BY 1""",
+)
+def _(spark, d):
+    rows = sales(spark, d).select("endereco", F.floor(F.col("area") / 10).cast("double").alias("area"), (F.col("linha") * 3).alias("andar"), "m2")
+    return market.floor_effect(rows)
+
+
+@query(
+    "similar_listings",
+    f"""WITH {LISTINGS}, r AS (SELECT codigo AS pedido_id, endereco AS e, bairro AS b, area AS a, pedido_valor AS v FROM listings WHERE codigo % 10 = 0),
+  u AS (SELECT pedido_id, codigo, true AS mesmo_predio, abs(pedido_valor - v) AS gap FROM r JOIN listings ON e = endereco UNION ALL
+    SELECT pedido_id, codigo, false, abs(pedido_valor - v) FROM r JOIN listings ON b = bairro AND e <> endereco AND abs(area - a) <= 0.1 * a AND abs(pedido_valor - v) <= 0.1 * v)
+  SELECT pedido_id, codigo, mesmo_predio, CAST(row_number() OVER (PARTITION BY pedido_id ORDER BY mesmo_predio DESC, gap, codigo) AS INTEGER) AS posto FROM u QUALIFY posto <= 8""",
+)
+def _(spark, d):
+    offers = listings(spark, d)
+    asked = offers.where("codigo % 10 = 0").select(F.col("codigo").alias("pedido_id"), "endereco", "bairro", "area", F.col("pedido_valor").alias("valor"))
+    return market.similar_listings(asked, offers)
+
+
+@query("ranking_moves", f"WITH {SALES}, n AS (SELECT bairro, row_number() OVER (ORDER BY count(*) FILTER (year(dia) = 2000) DESC, bairro) AS posto, row_number() OVER (ORDER BY count(*) FILTER (year(dia) = 1999) DESC, bairro) AS anterior FROM sales GROUP BY 1) SELECT bairro, posto, anterior, anterior - posto AS subiu FROM n")
+def _(spark, d):
+    count = lambda year: sales(spark, d).groupBy("bairro").agg(F.sum(F.when(F.year("dia") == year, 1).otherwise(0)).alias("n"))
+    return market.ranking_moves(count(2000), count(1999), "bairro", "n")
+
+
+@query("stock_demand_ratio", f"WITH {SALES}, {LISTINGS}, s AS (SELECT bairro, count(*) AS v FROM sales WHERE year(dia) = 2001 GROUP BY 1), e AS (SELECT bairro, count(*) AS n FROM listings GROUP BY 1) SELECT bairro, n AS estoque, coalesce(v, 0) AS vendas, CASE WHEN v > 0 THEN floor(n / v * 1000 + 0.5) / 1000 WHEN n > 0 THEN 999 ELSE 0 END AS razao FROM e LEFT JOIN s USING (bairro)")
+def _(spark, d):
+    sold = sales(spark, d).where("year(dia) = 2001").groupBy("bairro").agg(F.count("*").alias("vendas"))
+    stock = listings(spark, d).groupBy("bairro").agg(F.count("*").alias("estoque")).join(sold, "bairro", "left").withColumn("vendas", F.coalesce("vendas", F.lit(0)))
+    return stock.select("bairro", "estoque", "vendas", market.stock_demand(F.col("estoque"), F.col("vendas")).alias("razao"))
+
+
+@query(
+    "regions_told_apart",
+    """WITH r AS (SELECT c_custkey % 40 AS cep, c_custkey % 4 AS cep3, c_mktsegment AS nome, c_custkey AS o FROM customer), c AS (SELECT cep, nome, count(*) AS n, min(o) AS f FROM r GROUP BY 1, 2),
+  m AS (SELECT cep, nome AS w, (SELECT min(cep3) FROM r WHERE r.cep = c.cep) AS g FROM c QUALIFY row_number() OVER (PARTITION BY cep ORDER BY n DESC, f) = 1), k AS (SELECT w, count(DISTINCT g) AS k FROM m GROUP BY 1)
+  SELECT cep, CASE WHEN k > 1 THEN w || ' ' || CAST(g AS VARCHAR) ELSE w END AS regiao FROM m JOIN k USING (w)""",
+)
+def _(spark, d):
+    rows = table(spark, d, "customer").select((F.col("c_custkey") % 40).alias("cep"), (F.col("c_custkey") % 4).alias("cep3"), F.col("c_mktsegment").alias("nome"), F.col("c_custkey").alias("o"))
+    return market.regions(rows, "cep", "cep3", "nome", ["o"])
+
+
+@query("address_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'w') ORDER BY length(p_name), p_name, p_partkey LIMIT 8")
+def _(spark, d):
+    return market.find_addresses(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", ["red", "W"])
+
+
+@query("old_stock_share", "WITH o AS (SELECT o_orderpriority AS bairro, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS criado FROM orders) SELECT bairro, count(criado) AS com_data, count(*) FILTER (date_diff('day', criado, DATE '1999-01-01') > 365) AS antigos, floor(100.0 * count(*) FILTER (date_diff('day', criado, DATE '1999-01-01') > 365) / count(criado) * 10 + 0.5) / 10 AS pct FROM o GROUP BY 1")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("bairro"), F.when(F.col("o_orderkey") % 7 > 0, F.to_date("o_orderdate")).alias("criado"))
+    return market.old_stock(rows, "bairro", F.lit("1999-01-01").cast("date"))
+
+
+@query("rule_change_decomposition", "WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 200000 THEN 'alto' ELSE 'baixo' END AS c FROM orders WHERE o_orderkey % 5 > 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 250000 THEN 'alto' ELSE 'baixo' END AS c FROM orders WHERE o_orderkey % 3 > 0) SELECT a.c AS antes, b.c AS depois, count(*) AS n FROM a FULL JOIN b USING (k) GROUP BY 1, 2")
+def _(spark, d):
+    rows = table(spark, d, "orders").withColumnRenamed("o_orderkey", "k")
+    label = lambda cut: F.when(F.col("o_totalprice") > cut, "alto").otherwise("baixo")
+    return market.changed_rules(rows.where("k % 5 > 0").withColumn("c", label(200000)), rows.where("k % 3 > 0").withColumn("c", label(250000)), "k", "c")
+
+
+@query("publish_gate", "SELECT * FROM (VALUES ('linhas', 0), ('pagamentos', 0), ('faixas', 0), ('historico', 0)) t(\"check\", n)")
+def _(spark, d):
+    clean_rows = cleaned(spark, d)
+    audit = clean.audit(clean_rows).where("motivo <> 'limpa'")
+    days = table(spark, d, "events").select(F.col("user_id").alias("codigo"), F.to_date("ts").alias("dia"), F.col("value").alias("preco"))
+    found = checks.violations(
+        {
+            "linhas": checks.reconciliation(sales(spark, d), clean_rows.where("limpa"), audit),
+            "pagamentos": checks.shares_off_100(prices.payment_mix(sales(spark, d)), ["bairro", "tipo"]),
+            "faixas": checks.band_order(addresses.liquidity(sales(spark, d))),
+            "historico": checks.history_order(history.history_at_once(days)),
+        }
+    )
+    return found.select("check", F.col("n").cast("int").alias("n"))
