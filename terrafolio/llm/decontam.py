@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import bytes_of, column_of, map_texts, slices
+from terrafolio.llm.common import bytes_of, column_of, map_texts, slices, small_batches
 
 #: A-Z becomes a-z; what isn't 0-9, a-z or beyond ASCII becomes a space.
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -27,7 +27,7 @@ FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65
 class DecontamParams:
     #: Consecutive words of an item that make a window; an item of fewer words is one window.
     window: int = 10
-    #: Bytes of item texts in a block. One block is broadcast; more blocks take one pass over the documents each.
+    #: Bytes of item texts in a block. Blocks are broadcast and searched one after the other.
     block_bytes: int = 32 << 20
     #: Bytes of document texts in a shard, that is in one suffix array.
     shard_bytes: int = 2 << 20
@@ -146,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, params: DecontamParams
 
     A word is hit if it lies in an occurrence of any item's window. Null and empty texts have no words and aren't
     contaminated; items with a null id, or without words, have no windows; repeated rows give repeated results; other
-    columns are ignored. One pass without a shuffle for each block of items (one block up to ``block_bytes``).
+    columns are ignored. One pass over the documents without a shuffle.
     """
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     blocks = [docs.sparkSession.sparkContext.broadcast(t) for t in _blocks(benchmark.select("item_id", "text"), params)]
@@ -218,5 +218,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontamParams
                 clean[np.unique(np.searchsorted(starts, place, "right") - 1)] = False
             yield part.filter(pa.array(clean))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import WordVectors, column_of, labelled_sample, map_texts, slices, texts_of
+from terrafolio.llm.common import WordVectors, column_of, labelled_sample, map_texts, slices, small_batches, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: What a text without letters is predicted as.
@@ -160,4 +160,5 @@ def keep(docs: DataFrame, model: LangIdModel, least_score: float = 0.5) -> DataF
             languages, scores = predict(shared.value, vectors, texts_of(part))
             yield part.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(languages, scores)], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import bounded_sample, column_of, map_texts, slices, texts_of
+from terrafolio.llm.common import bounded_sample, column_of, map_texts, slices, small_batches, texts_of
 
 #: Fixed: the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -366,4 +366,5 @@ def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
                 columns[counted] = pa.array([len(n) if n is not None and n is not r and n != r else o for n, r, o in zip(new, raw, old)], part.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
