@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrafolio.llm import ann, chat, decontam, langid, mixing, ngram_join, pii, quality, substring, toxicity
 from terrafolio.llm.common import bucket, column_of, map_texts, table
+from terrafolio.llm.oracles import ORACLES
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +114,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
