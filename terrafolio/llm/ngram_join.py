@@ -31,6 +31,8 @@ class JoinParams:
     percent: int = 80
     #: log2 of the counters that tell frequent shingles from rare ones. They only order shingles: no result depends on them.
     counter_bits: int = 19
+    #: Shingles looked back at to see whether a pair has been met already; it only saves repeats.
+    lookback: int = 16
     #: Bytes of text hashed at once.
     batch_bytes: int = 1 << 20
 
@@ -220,10 +222,12 @@ def near_duplicates(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     spans = placed.groupBy("gid").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
     open_tokens = viable.join(spans, "gid")
     torn = open_tokens.groupBy("token").agg(F.min("c0").alias("t0"), F.max("c1").alias("t1"), F.count("*").alias("k")).where("t0 < t1 and k > 1").select("token")
-    left = scratch.keep(open_tokens.join(torn, "token"))
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "c0", "c1"))) for s in ("x", "y"))
+    # near copies share most of their shingles: with the few before each, a pair is met once and not at every one of them
+    lately = F.collect_list("token").over(Window.partitionBy("gid").orderBy("pos").rowsBetween(-p.lookback, -1))
+    left = scratch.keep(open_tokens.join(torn, "token").withColumn("before", lately))
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "c0", "c1", "before"))) for s in ("x", "y"))
     apart = (F.least("c0_x", "c0_y") < F.greatest("c1_x", "c1_y")) & (F.col("gid_x") < F.col("gid_y"))
-    second_pairs = x.join(y, (x["token"] == y["token"]) & apart & _may_link(p, F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"))).select(F.col("gid_x").alias("ga"), F.col("gid_y").alias("gb")).distinct()
+    second_pairs = x.join(y, (x["token"] == y["token"]) & apart & ~F.arrays_overlap("before_x", "before_y") & _may_link(p, F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"))).select(F.col("gid_x").alias("ga"), F.col("gid_y").alias("gb")).distinct()
     second_pairs = second_pairs.join(first_pairs.union(first_pairs.select("gb", "ga")), ["ga", "gb"], "left_anti")
     inner = placed.join(spans.where("c0 < c1").select("gid"), "gid")
     inside = inner.select("gid", F.col("node").alias("a"), F.col("c").alias("ca")).join(inner.select("gid", F.col("node").alias("b"), F.col("c").alias("cb")), "gid").where("a < b and ca <> cb").select("a", "b")
