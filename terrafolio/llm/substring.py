@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +41,6 @@ class SubstringParams:
         return (self.window + 1) // 2
 
 
-def _runs(hashes: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one document: the anchor, first window and number of windows of each run of windows with one anchor, and its hash."""
-    anchors = sliding_min(rolling(hashes, p.phrase), p.window - p.phrase + 1)
-    if not len(anchors):
-        none = np.zeros(0, np.int64)
-        return anchors, none, none, anchors
-    start = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-    size = np.diff(np.concatenate([start, [len(anchors)]]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * powers(OTHER_BASE, len(hashes)))])
-    whole = mix((sums[start + size + p.window - 1] - sums[start]) * powers(pow(OTHER_BASE, -1, 1 << 64), len(hashes))[start] + size.astype(np.uint64))
-    return anchors[start], start, size, whole
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, dtype=np.uint64).view(np.int64))
 
@@ -64,33 +52,42 @@ def anchor_runs(docs: DataFrame, p: SubstringParams) -> DataFrame:
     """
     
     def one(batch):
-        parts = []
+        done = []
         for part in slices(iter([batch]), "text", p.batch_bytes):
-            ids = column_of(part, "uid")
+            parts = []
+            uids = column_of(part, "uid").to_pylist()
             hashes, bounds = word_hashes(bytes_of(part), lower=False)
-            for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                if b - a < p.window:
+            if len(hashes) < p.window:
+                continue
+            # over all texts of the slice at once; windows that would reach into the next text are left out below
+            windows = rolling(hashes, p.window)
+            anchors = sliding_min(rolling(hashes, p.phrase), p.window - p.phrase + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * powers(OTHER_BASE, len(hashes)))])
+            for uid, a, b in zip(uids, bounds[:-1], bounds[1:]):
+                n = b - a - p.window + 1
+                if n < 1:
                     continue
-                anchor, start, size, whole = _runs(hashes[a:b], p)
-                windows = rolling(hashes[a:b], p.window)
-                order = np.argsort(windows, kind="stable")
-                equal = np.flatnonzero(windows[order[1:]] == windows[order[:-1]])
-                if len(equal):
+                own = anchors[a : a + n]
+                start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                parts.append((np.full(len(start), uid), own[start], start, np.diff(np.concatenate([start, [n]])), np.full(len(start), a)))
+                ordered = np.sort(windows[a : a + n])
+                if (ordered[1:] == ordered[:-1]).any():
+                    order = np.argsort(windows[a : a + n], kind="stable")
+                    equal = np.flatnonzero(windows[a + order[1:]] == windows[a + order[:-1]])
                     again = np.unique(np.searchsorted(start, np.concatenate([order[equal], order[equal + 1]]), "right") - 1)
-                    anchor, start, size, whole = (np.concatenate([x, x[again]]) for x in (anchor, start, size, whole))
-                    whole[-len(again) :] ^= np.uint64(1)
-                parts.append((ids, d, anchor, start, size, whole))
-        if not parts:
+                    parts.append((np.full(len(again), uid), own[start[again]], start[again], parts[-1][3][again], np.full(len(again), -1 - a)))
+            if not parts:
+                continue
+            uid, anchor, start, size, base = (np.concatenate(x) for x in zip(*parts))
+            twice = base < 0
+            first = np.where(twice, -1 - base, base) + start
+            whole = mix((sums[first + size + p.window - 1] - sums[first]) * powers(pow(OTHER_BASE, -1, 1 << 64), len(hashes))[first] + size.astype(np.uint64))
+            whole[twice] ^= np.uint64(1)
+            done.append((uid, anchor, start, size, whole))
+        if not done:
             return None
-        counts = [len(x[2]) for x in parts]
-        chunks = [x[0].take(pa.array(np.full(n, x[1]))) for x, n in zip(parts, counts)]
-        return {
-            "anchor": _signed(np.concatenate([x[2] for x in parts])),
-            "whole": _signed(np.concatenate([x[5] for x in parts])),
-            "uid": pa.concat_arrays(chunks),
-            "start": pa.array(np.concatenate([x[3] for x in parts]), pa.int32()),
-            "size": pa.array(np.concatenate([x[4] for x in parts]), pa.int32()),
-        }
+        uid, anchor, start, size, whole = (np.concatenate(x) for x in zip(*done))
+        return {"anchor": _signed(anchor), "whole": _signed(whole), "uid": uid, "start": pa.array(start, pa.int32()), "size": pa.array(size, pa.int32())}
 
     return map_texts(docs, "anchor long, whole long, uid long, start int, size int", one)
 
@@ -182,37 +179,37 @@ def located(texts: list[list[bytes]], known: list[tuple[int, list[bytes]]], p: S
     places: dict[str, list[tuple[int, int]]] = {}
     for n, (shift, words) in enumerate(known):
         for at in range(shift, len(words) - p.block + 1, p.block):
-            places.setdefault(b" ".join(words[at : at + p.block]).decode("latin-1"), []).append((n, at))
+            places.setdefault(b" ".join(words[at : at + min(p.phrase, p.block)]).decode("latin-1"), []).append((n, at))
     if not places:
         return masks
     automaton = ahocorasick.Automaton()
     for phrase, where in places.items():
         automaton.add_word(f" {phrase} ", (len(phrase), where))
     automaton.make_automaton()
+    reach = p.window - p.block
     for words, mask in zip(texts, masks):
         if len(words) < p.window:
             continue
         text = f" {b' '.join(words).decode('latin-1')} "
         ends: list[int] | None = None
-        done: dict[tuple[int, int], int] = {}
         for end, (length, where) in automaton.iter(text):
             if ends is None:
                 ends = np.cumsum([len(w) + 1 for w in words]).tolist()
             at = bisect_right(ends, end - length - 1)
+            # the windows that hold this block lie in this stretch; those beyond hold other blocks, which find them
+            low, high = max(0, at - reach), min(len(words), at + p.window)
             for n, offset in where:
-                diagonal = (n, at - offset)
-                if done.get(diagonal, -1) > at:
-                    continue
                 passage = known[n][1]
                 a, b = at, offset
-                while a > 0 and b > 0 and words[a - 1] == passage[b - 1]:
+                while a > low and b > 0 and words[a - 1] == passage[b - 1]:
                     a, b = a - 1, b - 1
-                stop, to = at + p.block, offset + p.block
-                while stop < len(words) and to < len(passage) and words[stop] == passage[to]:
+                stop, to, last = at, offset, min(high, at + len(passage) - offset)
+                while stop < last and words[stop] == passage[to]:
                     stop, to = stop + 1, to + 1
-                done[diagonal] = stop
-                if stop - a >= p.window:
+                if stop - a >= p.window and stop >= at + p.block:
                     mask[a:stop] = True
+                    if mask[low:high].all():
+                        break
     return masks
 
 
@@ -245,7 +242,7 @@ def repeated_words(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
         texts = [(t or b"").split() for t in left.column("text").cast(pa.binary()).to_pylist()]
         known = sorted(set(zip(right.column("words").to_pylist(), right.column("shift").to_pylist())))
         masks = located(texts, [(shift, words.split()) for words, shift in known], p)
-        kept = [b" ".join(w for w, gone in zip(words, mask) if not gone) for words, mask in zip(texts, masks)]
+        kept = [b" ".join(compress(words, (~mask).tolist()) if mask.any() else words) for words, mask in zip(texts, masks)]
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept binary"
