@@ -2,8 +2,9 @@
 
 The patterns give base spans, which always stay. The field's nodes are a document's tokens that hold a digit, ``@`` or ``+``
 and the tokens beside them; all other tokens are fixed as "none". Neighbours share chain potentials; repeated or similar
-tokens, however far apart, share skip potentials. Loopy sum-product message passing gives each token's label
-probabilities, and confident tokens outside the base spans are added.
+tokens share skip potentials: each with the one before it and with one that a pattern labels, however far off. Loopy sum-product message passing, exact along each run of neighbours and
+each series of similar tokens in turn until a document's messages settle, gives each token's label probabilities, and
+confident tokens outside the base spans are added.
 """
 
 from __future__ import annotations
@@ -36,7 +37,12 @@ class PiiParams:
     sample_docs: int = 2000
     #: Probability from which a token outside the base spans is added.
     confidence: float = 0.95
-    rounds: int = 8
+    #: A document's messages have settled when a round would change none of them by more than this.
+    tolerance: float = 1e-4
+    #: Messages may circle for ever; a document that hasn't settled by then keeps its last ones. Each round carries labels
+    #: along whole series, so this doesn't bound how far apart similar tokens can be.
+    most_rounds: int = 500
+    #: The share of its last value that a message keeps at first; it grows with the rounds, so that circling dies down.
     damping: float = 0.3
     steps: int = 150
     ridge: float = 1e-4
@@ -142,6 +148,8 @@ class Field:
         chain: list[tuple[int, int]] = []
         skip: list[tuple[int, int]] = []
         border: list[int] = []
+        group: list[int] = []
+        n_groups = 0
         for d, (text, found) in enumerate(zip(texts, spans)):
             if not MARK.search(text):
                 continue
@@ -169,9 +177,13 @@ class Field:
                         border.append(node - 1)
                 last = i
                 key = _key(text[a:b])
+                group.append(-1)
                 if key is not None:
                     if key in seen:
                         skip.append((seen[key], node))
+                        group[node] = group[seen[key]]
+                    else:
+                        group[node], n_groups = n_groups, n_groups + 1
                     seen[key] = node
             if use and use[-1] < len(tokens) - 1:
                 border.append(len(self.doc) - 1)
@@ -181,6 +193,16 @@ class Field:
         self.chain = np.array(chain, dtype=np.int64).reshape(-1, 2)
         self.skip = np.array(skip, dtype=np.int64).reshape(-1, 2)
         self.border = np.bincount(np.array(border, dtype=np.int64), minlength=self.n) if self.n else np.zeros(0, np.int64)
+        # by node and label, whether its key has an occurrence of that label that no skip link joins to it: along the links
+        # alone, evidence would fade with the number of occurrences between
+        self.far = np.zeros((self.n, N_LABELS))
+        if n_groups:
+            keyed = np.flatnonzero(np.array(group) >= 0)
+            of, own = np.array(group)[keyed], np.eye(N_LABELS)[self.label[keyed]]
+            counts = np.zeros((n_groups, N_LABELS))
+            np.add.at(counts, of, own)
+            self.far[keyed] = counts[of] - own - _neighbours(self, self.skip, self.label)[keyed] > 0
+            self.far[:, NONE] = 0
 
 
 @dataclass(frozen=True)
@@ -208,7 +230,7 @@ def fit_field(field: Field, params: PiiParams) -> PiiModel:
         return PiiModel(unary, chain, skip, params)
     beside = _neighbours(field, field.chain, field.label)
     beside[:, NONE] += field.border
-    linked = _neighbours(field, field.skip, field.label)
+    linked = _neighbours(field, field.skip, field.label) + field.far
     truth = np.eye(N_LABELS)[field.label]
     weight = 1 / np.maximum(1, truth.sum(axis=0))
     weight = (weight / weight.max())[field.label] ** 0.5
@@ -232,31 +254,71 @@ def fit_field(field: Field, params: PiiParams) -> PiiModel:
     return PiiModel(*theta, params)
 
 
+def _jumps(source: np.ndarray, target: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For directed links that form paths, by doubling: the links that have others before them, and those to multiply by."""
+    into = np.full(n, -1)
+    into[target] = np.arange(len(target))
+    before, out = into[source], []
+    while len(live := np.flatnonzero(before >= 0)):
+        out.append((live, before[live]))
+        before[live] = before[before[live]]
+    return out
+
+
+def _along(links: list[tuple[np.ndarray, np.ndarray]], inside: np.ndarray, potential: np.ndarray) -> np.ndarray:
+    """Messages of all links in both directions, exact along each path, given what each node has from elsewhere."""
+    new = []
+    for source, jumps in links:
+        z = inside[source][:, :, None] + potential
+        product = np.exp(z - z.max(axis=(1, 2), keepdims=True))
+        for live, before in jumps:
+            joined = product[before] @ product[live]
+            product[live] = joined / joined.max(axis=(1, 2), keepdims=True)
+        message = np.log(np.maximum(product.sum(axis=1), 1e-300))
+        new.append(message - message.max(axis=1, keepdims=True))
+    return np.concatenate(new)
+
+
 def marginals(model: PiiModel, field: Field) -> np.ndarray:
-    """Label probabilities of each node by loopy message passing; base labels are observed."""
+    """Label probabilities of each node by loopy message passing until each document settles; base labels are observed.
+
+    Neighbours form paths, and so do the occurrences of a key. A round solves all paths of neighbours exactly, given the
+    messages along keys, and then those of keys, given the messages of neighbours. A fixed point is one of plain loopy
+    message passing, but a label reaches every occurrence of its key in one round.
+    """
     p = model.params
-    unary = field.shape @ model.unary + field.border[:, None] * model.chain[NONE][None, :]
+    unary = field.shape @ model.unary + field.border[:, None] * model.chain[NONE][None, :] + field.far @ model.skip
     observed = field.label != NONE
     unary[observed] += 20 * np.eye(N_LABELS)[field.label[observed]]
-    pairs = np.concatenate([field.chain, field.skip])
-    potential = np.concatenate([np.repeat(model.chain[None], len(field.chain), 0), np.repeat(model.skip[None], len(field.skip), 0)])
-    if not len(pairs):
-        z = np.exp(unary - unary.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
-    source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-    potential = np.concatenate([potential, potential])
-    back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-    message = np.zeros((len(source), N_LABELS))
-    for _ in range(p.rounds):
-        belief = unary.copy()
-        np.add.at(belief, target, message)
-        z = (belief[source] - message[back])[:, :, None] + potential
-        top = z.max(axis=1)
-        new = top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        message = p.damping * message + (1 - p.damping) * new
-    belief = unary
-    np.add.at(belief, target, message)
+    doc = np.array(field.doc, dtype=np.int64)
+    kinds = [(field.chain, model.chain), (field.skip, model.skip)]
+    belief = unary.copy()
+    pairs = [k for k, _ in kinds]
+    messages = [np.zeros((2 * len(k), N_LABELS)) for k in pairs]
+    stale = True
+    for turn in range(p.most_rounds):
+        if not sum(map(len, pairs)):
+            break
+        if stale:
+            links = [[(k[:, 0], _jumps(k[:, 0], k[:, 1], field.n)), (k[:, 1], _jumps(k[:, 1], k[:, 0], field.n))] for k in pairs]
+            targets = [np.concatenate([k[:, 1], k[:, 0]]) for k in pairs]
+        step, change = (1 - p.damping) / (1 + turn / 50), np.zeros(int(doc[-1]) + 1)
+        for at in (0, 1):
+            if not len(pairs[at]):
+                continue
+            inside = unary.copy()
+            np.add.at(inside, targets[1 - at], messages[1 - at])
+            moved = _along(links[at], inside, kinds[at][1]) - messages[at]
+            np.maximum.at(change, doc[targets[at]], np.abs(moved).max(axis=1))
+            messages[at] += step * moved
+        settled = change <= p.tolerance
+        stale = turn == p.most_rounds - 1 or any(settled[doc[k[:, 0]]].any() for k in pairs)
+        if stale:
+            for at, k in enumerate(pairs):
+                over = settled[doc[k[:, 0]]] | (turn == p.most_rounds - 1)
+                both = np.tile(over, 2)
+                np.add.at(belief, targets[at][both], messages[at][both])
+                pairs[at], messages[at] = k[~over], messages[at][~both]
     z = np.exp(belief - belief.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
