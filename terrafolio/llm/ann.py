@@ -74,7 +74,8 @@ def fit(vectors: DataFrame, params: AnnParams = AnnParams()) -> AnnIndex:
         sums = np.stack([np.bincount(nearest, x[:, j], n) for j in range(dims)], axis=1)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
-    # the fewest probes that find enough of the sample's own nearest neighbours
+    # the fewest probes that find enough of the sample's own nearest neighbours; copies, all in the first list, count once
+    x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
     q = x[: params.calibration_queries]
     cosines = q @ x.T
     cosines[np.arange(len(q)), np.arange(len(q))] = -2
@@ -149,8 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame, index: AnnIndex) -> DataFrame
     """query_id, rank (from 1), vec_id, score (cosine in double precision on the original vectors), ``k`` rows a query at most.
 
     Both are ``usable`` rows. A row with the query's vec_id takes no part; ties go to the smaller vec_id; rows that repeat a
-    vec_id count once. Lists of more than ``list_rows`` rows are split among tasks by a hash, as are the queries of a list;
-    each task returns its best ``k`` a query, and only those meet.
+    vec_id count once. A query that finds fewer than ``k`` in its lists is searched again over four times as many, up to all.
     """
     p, spark = index.params, vectors.sparkSession
     scratch = Scratch(spark)
@@ -158,8 +158,32 @@ def search(vectors: DataFrame, queries: DataFrame, index: AnnIndex) -> DataFrame
     if not len(index.centres):
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     lists = scratch.keep(_assigned(vectors, index, 1, "vec_id"))
-    probes = _assigned(queries, index, index.probes, "query_id")
     sizes = {r["list"]: -(-r["count"] // p.list_rows) for r in lists.groupBy("list").count().collect()}  # a row for each list
+    probes, best = index.probes, None
+    while True:
+        found = _nearest(lists, sizes, queries, index, probes)
+        if probes >= len(index.centres):
+            best = found if best is None else best.union(found)
+            break
+        found = scratch.keep(found)
+        whole = found.where(F.size("best") >= p.k)
+        short = queries.join(whole.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        best = whole if best is None else best.union(whole)
+        if short.isEmpty():
+            break
+        queries, probes = scratch.keep(short.select("vec_id", "v")), min(len(index.centres), 4 * probes)
+    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+
+
+def _nearest(lists: DataFrame, sizes: dict[int, int], queries: DataFrame, index: AnnIndex, n_probes: int) -> DataFrame:
+    """query_id, best: the ``k`` nearest (s, vec_id), ``s`` being the cosine's opposite, in the ``n_probes`` lists nearest to each.
+
+    Lists of more than ``list_rows`` rows are split among tasks by a hash, as are the queries of a list; each task returns
+    its best ``k`` a query, and only those meet.
+    """
+    p = index.params
+    kind = lists.select("vec_id").schema[0].dataType.simpleString()
+    probes = _assigned(queries, index, n_probes, "query_id")
     asked = {r["list"]: -(-r["count"] // p.query_rows) for r in probes.groupBy("list").count().collect()}
     spark_map = lambda d: F.create_map(*[F.lit(int(x)) for kv in sorted(d.items()) for x in kv]) if d else F.create_map(F.lit(-1), F.lit(1))
     parts, groups = spark_map(sizes), spark_map(asked)
@@ -185,8 +209,8 @@ def search(vectors: DataFrame, queries: DataFrame, index: AnnIndex) -> DataFrame
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query_id {kind}, vec_id {kind}, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, p.k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, p.k).alias("best"))
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
