@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,16 +39,29 @@ def floor_effect(sales: DataFrame, least: int = 4, spread: int = 5, rows: int =
     return out.select("faixa", "n", half_up(F.when(F.col("n") >= rows, F.greatest(F.lit(low), F.least(F.lit(high), F.col("r")))).otherwise(1.0), 6).alias("fator"))
 
 
+def _band(x: Column, share: float) -> Column:
+    """Bands of equal ratio for positive numbers, one band for the rest."""
+    return F.when(x > 0, F.floor(F.log(x) / math.log1p(share))).otherwise(-(1 << 40)) if 0 < share < 1 else F.lit(0)
+
+
+def _bands(x: Column, share: float) -> Column:
+    """The bands of all numbers within ``share`` of ``x``, for positive ones with a hair to spare."""
+    return F.sequence(_band(x * (1 - share) * (1 - 1e-9), share), _band(x * (1 + share) * (1 + 1e-9), share)) if 0 < share < 1 else F.array(F.lit(0))
+
+
 def similar_listings(requests: DataFrame, listings: DataFrame, area: float = 0.1, price: float = 0.1, top: int = 8) -> DataFrame:
     """pedido_id, codigo, mesmo_predio, posto: listings of the same building, or of the neighbourhood and close in area and price.
 
-    Two joins by key, so that neither side is compared with all of the other; of both, the nearest in price.
+    Two joins by key, so that neither side is compared with all of the other; of both, the nearest in price. Bands of area and
+    price are further keys of the second, so that a neighbourhood isn't compared with all of itself.
     """
     r = requests.select("pedido_id", F.col("endereco").alias("e"), F.col("bairro").alias("b"), F.col("area").alias("a"), F.col("valor").alias("v"))
     gap = F.abs(F.col("pedido_valor") - F.col("v"))
     same = r.join(listings, F.col("e") == F.col("endereco")).select("pedido_id", "codigo", F.lit(True).alias("mesmo_predio"), gap.alias("gap"))
     close = (F.abs(F.col("area") - F.col("a")) <= area * F.col("a")) & (gap <= price * F.col("v")) & (F.col("e") != F.col("endereco"))
-    near = r.join(listings, F.col("b") == F.col("bairro")).where(close).select("pedido_id", "codigo", F.lit(False).alias("mesmo_predio"), gap.alias("gap"))
+    keyed = r.withColumn("_a", F.explode(_bands(F.col("a"), area))).withColumn("_v", F.explode(_bands(F.col("v"), price)))
+    banded = listings.withColumn("_la", _band(F.col("area"), area)).withColumn("_lv", _band(F.col("pedido_valor"), price))
+    near = keyed.join(banded, (F.col("b") == F.col("bairro")) & (F.col("_a") == F.col("_la")) & (F.col("_v") == F.col("_lv"))).where(close).select("pedido_id", "codigo", F.lit(False).alias("mesmo_predio"), gap.alias("gap"))
     rank = F.row_number().over(Window.partitionBy("pedido_id").orderBy(F.desc("mesmo_predio"), "gap", "codigo"))
     return same.union(near).withColumn("posto", rank).where(F.col("posto") <= top).select("pedido_id", "codigo", "mesmo_predio", "posto")
 

@@ -271,14 +271,16 @@ def _(spark, d):
     return period.price_index(sales(spark, d), ["tipo"], "m2").withColumn("fator", half_up(F.col("fator"), 6))
 
 
-def _resolution(spark, d):
+def _resolution(spark, d, whole: bool = False):
+    """Rows, resolved rows and block votes; by ``whole`` every named row votes at every level, else those that the SQL has."""
     people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = people.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("nome"), F.floor(F.col("c_custkey") / 3).alias("endereco"), (F.col("c_nationkey") * 10 + F.col("c_custkey") % 7).alias("quadra"), (F.col("c_custkey") % 40).alias("cep"), F.col("n_name").alias("praca"))
     named = rows.where("nome in ('BUILDING', 'MACHINERY')")
     names = named.select("nome", F.concat(F.lit("B_"), "nome").alias("destino")).distinct()
     voters = named.withColumn("destino", F.concat(F.lit("B_"), "nome"))
-    blocks = resolve.block_votes(voters.where("id % 2 = 0"), "quadra", "destino")
-    return rows, resolve.cascade(rows, names, stats.majority(voters.where("id % 4 = 1"), ["endereco"], "destino"), blocks, stats.majority(voters.where("cep < 20"), ["cep"], "destino")), blocks
+    of = lambda some: voters if whole else voters.where(some)
+    blocks = resolve.block_votes(of("id % 2 = 0"), "quadra", "destino")
+    return rows, resolve.cascade(rows, names, stats.majority(of("id % 4 = 1"), ["endereco"], "destino"), blocks, stats.majority(of("cep < 20"), ["cep"], "destino")), blocks
 
 
 VOTES = """WITH rows AS (SELECT c_custkey AS id, c_mktsegment AS nome, c_custkey // 3 AS endereco, c_nationkey * 10 + c_custkey % 7 AS quadra, c_custkey % 40 AS cep FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -305,6 +307,22 @@ def _(spark, d):
     return resolve.closing_balance(_resolution(spark, d)[1])
 
 
+# without SQL, the same over all voters
+@query("block_vote_confidence_all")
+def _(spark, d):
+    return _rounded(_resolution(spark, d, whole=True)[2], "confianca")
+
+
+@query("resolution_cascade_all")
+def _(spark, d):
+    return _resolution(spark, d, whole=True)[1].select("id", "destino", "metodo")
+
+
+@query("closing_balance_all")
+def _(spark, d):
+    return resolve.closing_balance(_resolution(spark, d, whole=True)[1])
+
+
 @query(
     "knn_neighbours",
     """WITH p AS (SELECT n_nationkey AS id, -23.5 + (n_nationkey % 5) * 0.012 AS lat, -46.6 + (n_nationkey // 5) * 0.015 AS lon FROM nation),
@@ -448,6 +466,14 @@ def _(spark, d):
     return market.similar_listings(asked, offers)
 
 
+# every listing as a request; the SQL of similar_listings asks for one in ten
+@query("similar_listings_all")
+def _(spark, d):
+    offers = listings(spark, d)
+    asked = offers.select(F.col("codigo").alias("pedido_id"), "endereco", "bairro", "area", F.col("pedido_valor").alias("valor"))
+    return market.similar_listings(asked, offers)
+
+
 @query("ranking_moves", f"WITH {SALES}, n AS (SELECT bairro, row_number() OVER (ORDER BY count(*) FILTER (year(dia) = 2000) DESC, bairro) AS posto, row_number() OVER (ORDER BY count(*) FILTER (year(dia) = 1999) DESC, bairro) AS anterior FROM sales GROUP BY 1) SELECT bairro, posto, anterior, anterior - posto AS subiu FROM n")
 def _(spark, d):
     count = lambda year: sales(spark, d).groupBy("bairro").agg(F.sum(F.when(F.year("dia") == year, 1).otherwise(0)).alias("n"))
