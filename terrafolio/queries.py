@@ -361,7 +361,7 @@ def _(spark, d):
 
 def _requests(spark, d):
     s = sales(spark, d).withColumn("venda", F.xxhash64(*ARRIVAL))
-    return s, s.where("linha = 1").select(F.col("venda").alias("pedido_id"), "endereco", "bairro", "tipo", "area", "venda", "valor", "pedido")
+    return s, s.select(F.col("venda").alias("pedido_id"), "endereco", "bairro", "tipo", "area", "venda", "valor", "pedido")
 
 
 @query("loo_calibration")

@@ -3,7 +3,7 @@
 import pytest
 
 from terrafolio.operators import market
-from terrafolio.plans.views import listings
+from terrafolio.plans.views import listings, sales
 from terrafolio.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,13 @@ def test_block_votes_count_all_voters(spark):
         assert (found[q]["winner"], found[q]["n"]) == (best, len(v)) and found[q]["confianca"] == pytest.approx(100 * v.count(best) / len(v), abs=1e-6)
     assert QUERIES["resolution_cascade_all"](spark, SF).count() == len(rows)
     assert sum(r["n"] for r in QUERIES["closing_balance_all"](spark, SF).collect()) == len(rows)
+
+
+def test_calibration_tests_every_sale(spark):
+    rows = [tuple(r) for r in sales(spark, SF).select("endereco", "bairro", "tipo", "area", "m2").collect()]
+    building = {}
+    for e, _, _, a, _ in rows:
+        building.setdefault(e, []).append(a)
+    first = sum(sum(abs(x - a) <= 0.2 * a for x in building[e]) > 3 for e, _, _, a, _ in rows)
+    found = {(r["nivel"], r["confianca"]): r["n"] for r in QUERIES["loo_calibration"](spark, SF).collect()}
+    assert found["predio", "*"] == first
