@@ -354,6 +354,14 @@ def _(spark, d):
     return scoring.listing_score(offers, scores, _segments(spark, d), _bands(spark, d), nobody)
 
 
+# with prospects and the neighbourhoods' own scores, both of which the SQL of listing_scores leaves out
+@query("listing_scores_all")
+def _(spark, d):
+    s, offers = sales(spark, d), listings(spark, d).withColumn("faixa", expr.area_band(F.col("area")))
+    scores = scoring.neighbourhood_score(cleaned(spark, d), F.col("limpa"))
+    return scoring.listing_score(offers, scores, _segments(spark, d), _bands(spark, d), addresses.liquidity(s))
+
+
 @query("top10_mean_coverage", f"WITH {LISTINGS}, t AS (SELECT nome, pedido_valor FROM listings QUALIFY row_number() OVER (PARTITION BY nome ORDER BY pedido_valor DESC, codigo) <= 10) SELECT nome, count(*) AS n, floor(avg(pedido_valor) * least(1.0, count(*) / 10) * 1000000 + 0.5) / 1000000 AS media FROM t GROUP BY 1")
 def _(spark, d):
     return _rounded(scoring.top_mean(listings(spark, d), "nome", "pedido_valor", [F.desc("pedido_valor"), "codigo"]), "media")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from terrafolio.operators import market
+from terrafolio.operators import addresses, market
 from terrafolio.plans.views import listings, sales
 from terrafolio.queries import QUERIES
 
@@ -54,6 +54,29 @@ def test_block_votes_count_all_voters(spark):
     assert sum(r["n"] for r in QUERIES["closing_balance_all"](spark, SF).collect()) == len(rows)
 
 
+def test_listing_scores_count_prospects_and_neighbourhoods(spark):
+    s = sales(spark, SF)
+    scores = {r["bairro"]: r["score"] for r in QUERIES["neighbourhood_score"](spark, SF).collect()}
+    paid = {(r["bairro"], r["tipo"], r["faixa"]): r["pago"] for r in QUERIES["paid_asked_full_outer"](spark, SF).collect() if not r["pequena"]}
+    bands = {(r["bairro"], r["tipo"]): (r["low"], r["high"]) for r in QUERIES["adaptive_window_band"](spark, SF).collect()}
+    sold = {r["endereco"]: r["n"] for r in addresses.liquidity(s).where("situacao = 'prospecto'").collect()}
+    found = {r["codigo"]: r["score"] for r in QUERIES["listing_scores_all"](spark, SF).collect()}
+    offers = [r for r in listings(spark, SF).collect() if r["bairro"] in scores]
+    assert found.keys() == {r["codigo"] for r in offers} and any(r["endereco"] in sold for r in offers)
+    for r in offers:
+        pago = paid.get((r["bairro"], r["tipo"], "ate_50" if r["area"] <= 50 else "50_80"))
+        ratio = r["pedido_valor"] / r["area"] / pago if pago else None
+        price = 50 if ratio is None else max(0, 100 - (ratio - 1) * 100) if ratio > 1 else 100 if ratio >= 0.7 else max(30, 100 - (0.7 - ratio) * 200)
+        parts = [(0.35, scores[r["bairro"]]), (0.3, price)]
+        if (r["bairro"], r["tipo"]) in bands:
+            low, high = bands[r["bairro"], r["tipo"]]
+            away = max(low - r["pedido_valor"], r["pedido_valor"] - high)
+            parts.append((0.25, 100 if away <= 0 else 50 if high <= low else max(0, 100 - 100 * away / (high - low))))
+        if sold.get(r["endereco"], 0) >= 2:
+            parts.append((0.1, {2: 40, 3: 60, 4: 80}.get(sold[r["endereco"]], 100)))
+        assert found[r["codigo"]] == pytest.approx(sum(w * x for w, x in parts) / sum(w for w, _ in parts), abs=0.051)
+
+
 def test_calibration_tests_every_sale(spark):
     rows = [tuple(r) for r in sales(spark, SF).select("endereco", "bairro", "tipo", "area", "m2").collect()]
     building = {}
