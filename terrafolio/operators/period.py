@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def rolling_medians(rows: DataFrame, keys: list[str], x: str, month: str = "mes"
 def price_index(rows: DataFrame, keys: list[str], x: str, month: str = "mes", p: Params = DEFAULT) -> DataFrame:
     """keys, i, factor: what brings a price of month i to the last month, from each group's shortest window with enough rows.
 
-    Groups without such a window are left out; their callers fall back to a wider group's index.
+    Groups without such a window get the series over all rows, in windows of ``index_fallback_window`` months.
     """
     rolled = rolling_medians(rows, keys, x, month, p)
     last = rows.where(F.col(x).isNotNull()).agg(F.max(month)).scalar()
@@ -83,4 +85,9 @@ def price_index(rows: DataFrame, keys: list[str], x: str, month: str = "mes", p:
     chosen = good.groupBy(*keys).agg(F.min("w").alias("w"))
     own = rolled.join(chosen, [*keys, "w"])
     end = own.where(F.col("i") == last).select(*keys, F.col("median").alias("final"))
-    return own.join(end, keys).select(*keys, "i", "w", (F.col("final") / F.col("median")).alias("fator"))
+    factor = (F.col("final") / F.col("median")).alias("fator")
+    wide = rolling_medians(rows, [], x, month, replace(p, index_windows=(p.index_fallback_window,)))
+    wide = wide.crossJoin(F.broadcast(wide.where(F.col("i") == last).select(F.col("median").alias("final")))).select("i", "w", factor)  # a row each month
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    rest = rows.where(F.col(x).isNotNull() & F.col(month).isNotNull()).select(*keys).distinct().alias("g").join(chosen.alias("c"), same, "left_anti")
+    return own.join(end, keys).select(*keys, "i", "w", factor).union(rest.crossJoin(F.broadcast(wide)).select(*keys, "i", "w", "fator"))

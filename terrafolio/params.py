@@ -28,6 +28,7 @@ class Params:
     small_sample: int = 10
     index_windows: tuple[int, ...] = (3, 6, 12)
     index_least_rows: int = 200
+    index_fallback_window: int = 6
     homogeneous_ratio: float = 1.25
     building_least_sales: int = 4
     discount_cut: float = 20.0
