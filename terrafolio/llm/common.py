@@ -148,14 +148,14 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(_chance(key) < share).orderBy(_chance(key), key).limit(most)
 
 
-def labelled_sample(labelled: DataFrame, key: str, label: str, per_label: int, max_labels: int = 64) -> DataFrame:
+def labelled_sample(labelled: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     """(key, label) of ``per_label`` rows of each label at most, chosen by a hash of the key.
 
-    The bound on what a classifier is fitted on. Labels beyond the ``max_labels`` most frequent are left out, so the
-    sample has ``per_label * max_labels`` rows at most and may be broadcast.
+    The bound on what a classifier is fitted on. Every label counts, so the sample has ``per_label`` rows a label at most and
+    may be broadcast.
     """
     rows = labelled.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, label)
-    labels = rows.groupBy(label).agg(F.count("*").alias("_of")).orderBy(F.desc("_of"), label).limit(max_labels)
+    labels = rows.groupBy(label).agg(F.count("*").alias("_of"))
     share = (per_label + 6 * per_label**0.5 + 20) / F.col("_of")
     order = Window.partitionBy(label).orderBy(_chance(key), key)
     thinned = rows.join(F.broadcast(labels), label).where(_chance(key) < share)

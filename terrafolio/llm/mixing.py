@@ -26,7 +26,6 @@ IS_WORD = np.array([c not in SPACES for c in range(256)])
 class MixingParams:
     #: Labelled documents of each domain that the classifier is fitted on, at most: the bound of the labelled sample.
     docs_per_domain: int = 600
-    max_domains: int = 64
     #: Buckets of the hashed byte pairs that the classifier reads.
     features: int = 1024
     steps: int = 200
@@ -71,7 +70,7 @@ def fit(docs: DataFrame, labelled: DataFrame, p: MixingParams = MixingParams())
     Fitted on a bounded sample of each domain. Without labelled texts there is one domain, ``all``.
     """
     labels = labelled.select("doc_id", "domain").na.drop().groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    sample = labelled_sample(labels, "doc_id", "domain", p.docs_per_domain, p.max_domains)
+    sample = labelled_sample(labels, "doc_id", "domain", p.docs_per_domain)
     chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
 
     def one(batch):

@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labelled: DataFrame, params: QualityParams = QualityPar
     Without labelled texts, the model has no vectors and scores every text 0.5.
     """
     labelled = labelled.select("doc_id", "label").where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    sample = labelled_sample(labelled, "doc_id", "label", params.docs_per_label, 2)
+    sample = labelled_sample(labelled, "doc_id", "label", params.docs_per_label)
     chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
 
     def count(batch):
