@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafolio.params import DEFAULT, Params
@@ -40,8 +40,6 @@ def history_at_once(events: DataFrame) -> DataFrame:
 
     Each day with rows is a complete batch.
     """
-    from pyspark.sql import Window
-
     day = events.where("codigo is not null and preco is not null").groupBy("codigo", "dia").agg(F.min("preco").alias("preco"))
     days = day.select("dia").distinct().withColumn("k", F.row_number().over(Window.orderBy("dia")))  # one row a day
     w = Window.partitionBy("codigo").orderBy("k")
@@ -63,14 +61,14 @@ def merge_readvertised(listings: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """codigo, mais_antigo of what stays: in each building and exact area, units within a few percent of a cluster's opener
     are one, the newest stays with the oldest date of all; repeated until nothing merges. Rows without a building stay.
 
-    ``listings`` has endereco, area, ordem (of arrival), codigo, preco, criado. Order decides here, so each group of one
-    building and area, which no market makes large, is looped over in pandas.
+    ``listings`` has endereco, area, ordem (of arrival), codigo, preco, criado. Order decides here, so groups are looped over in
+    pandas: of one building and area, and of prices without a gap that no cluster can cross, so that only they meet in a task.
     """
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ordem")
         units = [(code, price, made, made) for code, price, made in zip(rows["codigo"], rows["preco"], rows["criado"])]
-        for _ in range(20):
+        while True:
             left, kept = units, []
             while left:
                 opener = left[0][1]
@@ -84,5 +82,10 @@ def merge_readvertised(listings: DataFrame, p: Params = DEFAULT) -> DataFrame:
         return pd.DataFrame({"codigo": [u[0] for u in units], "mais_antigo": [u[3] for u in units]})
 
     out = listings.select(F.col("codigo"), F.col("criado").alias("mais_antigo")).schema
-    keyed = listings.where("endereco is not null").groupBy("endereco", "area").applyInPandas(settle, out)
+    by = Window.partitionBy("endereco", "area").orderBy("preco")
+    # a hair more than the widest step from an opener to a unit below it; those above are nearer
+    apart = F.col("preco") * (1 - p.merge_price_share) * (1 - 1e-9) > F.lag("preco").over(by)
+    gaps = listings.where("endereco is not null").withColumn("_gap", F.when(apart, 1).otherwise(0))
+    islands = gaps.withColumn("_island", F.sum("_gap").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    keyed = islands.groupBy("endereco", "area", "_island").applyInPandas(settle, out)
     return keyed.union(listings.where("endereco is null").select("codigo", F.col("criado").alias("mais_antigo")))
