@@ -26,12 +26,14 @@ def bucket(column: str, modulus: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the driver and the executors share; one of its own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and the executors share; one of its own only where the session names none and runs on one
+    machine. On a cluster without such a folder it raises, since executors couldn't read each other's tables."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -162,6 +164,14 @@ def labelled_sample(labelled: DataFrame, key: str, label: str, per_label: int) -
     return thinned.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select(key, label)
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``sample``, whose keys are distinct and bounded, with their ``text``: of a key that repeats, the least one.
+
+    So what is collected is bounded by the sample, however often a key repeats.
+    """
+    texts = docs.select(key, "text").where("text is not null").join(F.broadcast(sample.select(key)), key, "left_semi")
+    return texts.groupBy(key).agg(F.min("text").alias("text")).join(F.broadcast(sample), key)
+
 
 class WordVectors:
     """A vector for each word: those of a model, and those of unseen words, which a worker keeps for the texts to come.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import Scratch, bytes_of, column_of, labelled_sample, map_texts, slices
+from terrafolio.llm.common import Scratch, bytes_of, column_of, labelled_sample, map_texts, sampled_texts, slices
 from terrafolio.llm.shingles import SPACES
 
 IS_WORD = np.array([c not in SPACES for c in range(256)])
@@ -71,7 +71,7 @@ def fit(docs: DataFrame, labelled: DataFrame, p: MixingParams = MixingParams())
     """
     labels = labelled.select("doc_id", "domain").na.drop().groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = labelled_sample(labels, "doc_id", "domain", p.docs_per_domain)
-    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    chosen = sampled_texts(docs, sample)
 
     def one(batch):
         rows, _ = describe(bytes_of(batch), p.features)

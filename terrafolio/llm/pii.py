@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import bounded_sample, column_of, map_texts, slices, small_batches, texts_of
+from terrafolio.llm.common import bounded_sample, column_of, map_texts, sampled_texts, slices, small_batches, texts_of
 
 #: Fixed: the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -347,7 +347,7 @@ def fit(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
     """A model from a bounded sample of the texts that hold a mark; the patterns' spans are its labels."""
     marked = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
     ids = bounded_sample(marked.select("doc_id").where("doc_id is not null"), "doc_id", params.sample_docs)
-    rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).join(F.broadcast(ids.distinct()), "doc_id")
+    rows = sampled_texts(marked, ids.distinct())
 
     def cut(batch):
         # only what the field has nodes for: each mark's surroundings travel, not whole texts

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import column_of, labelled_sample, map_texts, texts_of
+from terrafolio.llm.common import column_of, labelled_sample, map_texts, sampled_texts, texts_of
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]+|\n")
 
@@ -69,20 +69,18 @@ def term_counts(text: str) -> dict[str, float]:
     return weights
 
 
-def _row(terms: dict[str, int], idf: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
-    weights = term_counts(text)
-    known = [(terms[x], w) for x, w in weights.items() if x in terms]
-    at = np.array([k for k, _ in known], dtype=np.int64)
-    values = np.array([w for _, w in known]) * idf[at] if known else np.zeros(0)
-    return at, values
-
-
 def _latent(model: QualityModel, texts: list[str]) -> np.ndarray:
+    """Unit vectors of the texts: the known terms of some texts at a time are summed in one step."""
     out = np.zeros((len(texts), model.projection.shape[1]))
-    for i, text in enumerate(texts):
-        at, values = _row(model.terms, model.idf, text)
-        if len(at):
-            out[i] = values @ model.projection[at]
+    known, step = model.terms.get, max(1, model.params.block // 4)
+    for start in range(0, len(texts), step):
+        found = [[(k, w) for x, w in term_counts(t).items() if (k := known(x, -1)) >= 0] for t in texts[start : start + step]]
+        sizes = np.array([len(f) for f in found], dtype=np.int64)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            at = np.fromiter((k for f in found for k, _ in f), dtype=np.int64, count=int(sizes.sum()))
+            weights = np.fromiter((w for f in found for _, w in f), dtype=np.float64, count=len(at)) * model.idf[at]
+            out[start + full] = np.add.reduceat(model.projection[at] * weights[:, None], np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -94,7 +92,7 @@ def fit(docs: DataFrame, labelled: DataFrame, params: QualityParams = QualityPar
     """
     labelled = labelled.select("doc_id", "label").where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     sample = labelled_sample(labelled, "doc_id", "label", params.docs_per_label)
-    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    chosen = sampled_texts(docs, sample)
 
     def count(batch):
         found = [term_counts(t) for t in texts_of(batch)]

@@ -7,21 +7,24 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import WordVectors, bounded_sample, column_of, map_texts, texts_of
+from terrafolio.llm.common import Scratch, WordVectors, bounded_sample, column_of, map_texts, sampled_texts, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]+")
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     #: Documents that the chain is fitted on, by whether the last category marks them, at most: the labelled sample's bound.
     docs_per_label: int = 4000
-    #: A feature is kept if it marks a category in at least so many sampled documents, and with at least this z-score.
+    #: A feature is kept if it is in at least so many of the documents that are fitted on, and marks a category there with at
+    #: least this z-score; ``features`` bounds the model's size.
     min_docs: int = 5
     min_z: float = 5.0
     features: int = 1500
@@ -41,8 +44,17 @@ class ToxicityModel:
     params: ToxicityParams
 
 
-def features_of(word: str, prefixes: tuple[int, ...]) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in prefixes if len(word) > n)]
+def terms_of(text: str) -> dict[str, int]:
+    """A text's distinct words, and, as terms that begin with ``#``, tenths of its tokens that are upper case, marks or repeats."""
+    tokens = TOKEN.findall(text)
+    terms = dict.fromkeys(WORD.findall(text.lower()), 1)
+    n = max(1, len(tokens))
+    looks = {"upper": sum(t.isupper() and len(t) > 1 for t in tokens), "marks": sum(not t[0].isalnum() for t in tokens), "repeats": sum(map(eq, tokens, tokens[1:]))}
+    return terms | {f"#{k}{10 * v // n}": 1 for k, v in looks.items()}
+
+
+def features_of(term: str, prefixes: tuple[int, ...]) -> list[str]:
+    return [term] if term[0] == "#" else [term, *(f"{term[:n]}*" for n in prefixes if len(term) > n)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -64,15 +76,15 @@ class _Rows:
         return np.bincount(self.of, e[self.at], self.width)
 
 
-def _logistic(rows: _Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray, float]:
-    """Ridge logistic regression by Adam over the rows of ``use``, both classes weighing the same."""
+def _logistic(rows: _Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, may: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ridge logistic regression by Adam over the rows of ``use`` and the features of ``may``, both classes weighing the same."""
     width, k = rows.width, extra.shape[1]
     theta, m, v = (np.zeros(width + k + 1) for _ in range(3))
     weight = use / np.where(y > 0, max(1.0, (use * (y > 0)).sum()), max(1.0, (use * (y == 0)).sum()))
     for step in range(1, p.steps + 1):
         z = rows.dot(theta[:width]) + extra @ theta[width : width + k] + theta[-1]
         e = (_sigmoid(z) - y) * weight
-        g = np.concatenate([rows.back(e), extra.T @ e, [e.sum()]])
+        g = np.concatenate([rows.back(e) * may, extra.T @ e, [e.sum()]])
         g[:-1] += p.ridge * theta[:-1]
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
@@ -80,61 +92,86 @@ def _logistic(rows: _Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, p:
     return theta[:width], theta[width : width + k], float(theta[-1])
 
 
+def _chosen(terms: DataFrame, n: int, p: ToxicityParams) -> tuple[list[str], np.ndarray]:
+    """Features that mark a category, and by fold which of them do in the rows outside it; last, which do in all rows.
+
+    ``terms`` has _fold, c0 .. and _terms. Documents are counted by feature, fold and category in one aggregation; what a fold
+    holds is taken from the totals, so that no choice of features has seen the rows that are predicted with it. At most
+    ``features`` a fold reach the driver.
+    """
+    marks = [f"c{j}" for j in range(n)]
+    by_word = terms.select("_fold", *marks, F.explode("_terms").alias("_w")).groupBy("_w", "_fold").agg(F.count("*").alias("_n"), *(F.sum(c).alias(c) for c in marks))
+    shorter = (F.when((F.length("_w") > k) & ~F.startswith("_w", F.lit("#")), F.concat(F.substring("_w", 1, k), F.lit("*"))) for k in p.prefixes)
+    by_feature = by_word.select(F.explode(F.array("_w", *shorter)).alias("_f"), "_fold", "_n", *marks).where("_f is not null")
+    within = lambda x, k: F.sum(F.when(F.col("_fold") == k, F.col(x)).otherwise(0)) if k < p.folds else F.lit(0)
+    counted = by_feature.groupBy("_f").agg(*((F.sum(x) - within(x, k)).alias(f"{x}_{k}") for x in ("_n", *marks) for k in range(p.folds + 1)))
+    sizes = terms.groupBy("_fold").agg(F.count("*").alias("_n"), *(F.sum(c).alias(c) for c in marks)).collect()  # a row a fold
+    scores = []
+    for k in range(p.folds + 1):
+        rows = [r for r in sizes if r["_fold"] != k]
+        total = sum(r["_n"] for r in rows)
+        z = [F.lit(0.0)]
+        for c in marks:
+            share = sum(r[c] for r in rows) / max(1, total)
+            z.append(F.abs(F.col(f"{c}_{k}") - F.col(f"_n_{k}") * share) / F.sqrt(F.col(f"_n_{k}") * F.lit(max(1e-9, share * (1 - share)))))
+        scores.append(F.struct(F.lit(k).alias("k"), F.when(F.col(f"_n_{k}") >= p.min_docs, F.greatest(*z)).otherwise(0.0).alias("z")))
+    ranked = counted.select("_f", F.explode(F.array(*scores)).alias("s")).select("_f", "s.k", "s.z").where(F.col("z") >= p.min_z)
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("z"), "_f"))
+    best = [(r["_f"], r["k"]) for r in ranked.withColumn("r", place).where(F.col("r") <= p.features).collect()]
+    features = sorted({f for f, _ in best})
+    at = {f: i for i, f in enumerate(features)}
+    may = np.zeros((p.folds + 1, max(1, len(features))))
+    for f, k in best:
+        may[k, at[f]] = 1
+    return features, may
+
+
 def fit(docs: DataFrame, labelled: DataFrame, categories: tuple[str, ...], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """A chain over ``categories``, columns of ``labelled`` (doc_id, 0 or 1 in each) in the order of the chain.
 
-    Rows with a null category or text are left out; of a doc_id that repeats, the largest marks count. A category
-    without both classes in the sample gets a constant model.
+    Rows with a null category or text are left out; of a doc_id that repeats, the largest marks and the least text count. A
+    category without both classes in the sample gets a constant model. Categories may have any names.
     """
-    labels = labelled.select("doc_id", *categories).na.drop().groupBy("doc_id").agg(*(F.max(c).cast("int").alias(c) for c in categories))
-    last = categories[-1]
-    sample = bounded_sample(labels.where(F.col(last) == 1), "doc_id", params.docs_per_label).union(bounded_sample(labels.where(F.col(last) == 0), "doc_id", params.docs_per_label))
-    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
-
-    def words(batch):
-        made = {c: column_of(batch, c) for c in categories}
-        return made | {"fold": column_of(batch, "fold"), "key": column_of(batch, "key"), "words": [sorted(set(WORD.findall(t.lower()))) for t in texts_of(batch)]}
-
-    chosen = chosen.withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % params.folds).withColumn("key", F.col("doc_id").cast("string"))
-    distinct = map_texts(chosen, f"{', '.join(f'`{c}` int' for c in categories)}, fold long, key string, words array<string>", words)
-    # documents by feature and category, summed by Spark: only features that mark a category reach the driver
-    exploded = distinct.select(*categories, F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories))
-    marks = exploded.select(F.explode(F.array("w", *(F.when(F.length("w") > n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in params.prefixes))).alias("f"), "n", *categories)
-    marks = marks.where("f is not null").groupBy("f").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in categories)).where(F.col("n") >= params.min_docs)
-    totals = sample.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
-    n_all = max(1, totals["n"])
-    score = F.greatest(*(F.abs(F.col(c) - F.col("n") * (totals[c] or 0) / n_all) / F.sqrt(F.col("n") * F.lit(max(1e-9, (totals[c] or 0) / n_all * (1 - (totals[c] or 0) / n_all)))) for c in categories), F.lit(0.0))
-    best = marks.withColumn("z", score).where(F.col("z") >= params.min_z).orderBy(F.desc("z"), "f").limit(params.features).select("f").collect()
-    features = {f: i for i, f in enumerate(sorted(r["f"] for r in best))}
-    shared = docs.sparkSession.sparkContext.broadcast(features)
+    p, scratch, n = params, Scratch(docs.sparkSession), len(categories)
+    marks = [f"c{j}" for j in range(n)]
+    named = labelled.select(F.col("doc_id"), *(F.col(f"`{c}`").alias(m) for c, m in zip(categories, marks)))
+    labels = named.na.drop().groupBy("doc_id").agg(*(F.max(m).cast("int").alias(m) for m in marks))
+    of = lambda mark: bounded_sample(labels.where(F.col(marks[-1]) == mark), "doc_id", p.docs_per_label)
+    sample = scratch.keep(of(1).union(of(0)))
+
+    def one(batch):
+        made = {m: column_of(batch, m) for m in marks}
+        return made | {"_key": column_of(batch, "doc_id").cast("string"), "_terms": [sorted(terms_of(t)) for t in texts_of(batch)]}
+
+    terms = map_texts(sampled_texts(docs, sample), f"{', '.join(f'{m} int' for m in marks)}, _key string, _terms array<string>", one)
+    terms = scratch.keep(terms.withColumn("_fold", (F.crc32(F.col("_key").cast("binary")) % p.folds).cast("int")))
+    features, may = _chosen(terms, n, p)
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(features)})
 
     def encode(batch):
-        out = []
-        for ws in column_of(batch, "words").to_pylist():
-            known = shared.value
-            out.append([known[f] for w in ws for f in features_of(w, params.prefixes) if f in known])
-        return {c: column_of(batch, c) for c in (*categories, "fold", "key")} | {"at": out}
-
-    rows = map_texts(distinct, f"{', '.join(f'`{c}` int' for c in categories)}, fold long, key string, at array<int>", encode, text="key").collect()
-    rows.sort(key=lambda r: r["key"])
-    matrix = _Rows([np.array(r["at"], dtype=np.int64) for r in rows], max(1, len(features)))
-    fold = np.array([r["fold"] for r in rows])
+        known = shared.value.get
+        out = [[k for w in ws for f in features_of(w, p.prefixes) if (k := known(f, -1)) >= 0] for ws in column_of(batch, "_terms").to_pylist()]
+        return {c: column_of(batch, c) for c in (*marks, "_fold", "_key")} | {"_at": out}
+
+    rows = map_texts(terms, f"{', '.join(f'{m} int' for m in marks)}, _fold int, _key string, _at array<int>", encode, text="_key").collect()
+    scratch.drop(terms, sample)
+    rows.sort(key=lambda r: r["_key"])
+    matrix = _Rows([np.array(r["_at"], dtype=np.int64) for r in rows], max(1, len(features)))
+    fold = np.array([r["_fold"] for r in rows])
     earlier, weights = np.zeros((len(rows), 0)), []
-    for c in categories:
-        y = np.array([r[c] for r in rows], dtype=np.float64)
-        everything = np.ones(len(rows))
+    for j, m in enumerate(marks):
+        y = np.array([r[m] for r in rows], dtype=np.float64)
         if not len(rows) or y.min() == y.max():
-            constant = (np.zeros(matrix.width), np.zeros(earlier.shape[1]), 10.0 if len(rows) and y[0] else -10.0)
-            weights.append(constant)
-            out_of_fold = np.full(len(rows), constant[2])
+            weights.append((np.zeros(matrix.width), np.zeros(j), 10.0 if len(rows) and y[0] else -10.0))
+            out_of_fold = np.full(len(rows), weights[-1][2])
         else:
-            weights.append(_logistic(matrix, earlier, y, everything, params))
+            weights.append(_logistic(matrix, earlier, y, np.ones(len(rows)), may[p.folds], p))
             out_of_fold = np.zeros(len(rows))
-            for k in np.unique(fold) if c != categories[-1] else ():
-                w, u, b = _logistic(matrix, earlier, y, (fold != k) * 1.0, params)
+            for k in np.unique(fold) if j < n - 1 else ():
+                w, u, b = _logistic(matrix, earlier, y, (fold != k) * 1.0, may[k], p)
                 out_of_fold = np.where(fold == k, matrix.dot(w) + earlier @ u + b, out_of_fold)
         earlier = np.column_stack([earlier, np.clip(out_of_fold, -8, 8)])
-    return ToxicityModel(tuple(categories), features, tuple(weights), params)
+    return ToxicityModel(tuple(categories), {f: i for i, f in enumerate(features)}, tuple(weights), p)
 
 
 def scorer(model: ToxicityModel) -> WordVectors:
@@ -169,8 +206,7 @@ def predict(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Da
     names = model.categories
 
     def one(batch, vectors):
-        words = [dict.fromkeys(WORD.findall(t.lower()), 1) for t in texts_of(batch)]
-        found = chain(shared.value, vectors.sums(words))
+        found = chain(shared.value, vectors.sums([terms_of(t) for t in texts_of(batch)]))
         made = {"doc_id": column_of(batch, "doc_id")}
         for k, c in enumerate(names):
             made |= {f"p_{c}": found[:, k], f"is_{c}": found[:, k] >= threshold}
