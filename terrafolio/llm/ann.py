@@ -21,8 +21,9 @@ from terrafolio.llm.common import Scratch, bounded_sample
 @dataclass(frozen=True)
 class AnnParams:
     k: int = 5
-    #: Rows that the lists' centres and the number of probes are fitted on, at most; every row is indexed.
-    sample_rows: int = 8192
+    #: Rows that the lists' centres and the number of probes are fitted on, at most; every row is indexed. There are as many
+    #: lists as rows / ``list_rows``, but ``lists`` at least and sample_rows / 16 at most.
+    sample_rows: int = 65_536
     lists: int = 64
     #: Recall on the sample that the number of probes is chosen for.
     recall: float = 0.97
@@ -52,22 +53,33 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id and the vector as doubles, of rows whose vector is neither null, empty, zero nor partly null or non-finite."""
+    """vec_id and the vector as doubles, of rows whose vector is neither null, empty, zero nor partly null or non-finite.
+
+    Cosines are of vectors of one length, so only those of the commonest length take part, the shortest of equally common
+    ones. Other columns are ignored; an empty table gives no rows.
+    """
     vector = F.transform("embedding", lambda x: x.cast("double")).alias("v")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return embeddings.select("vec_id", vector).where("vec_id is not null and v is not null and size(v) > 0").where(~bad).where(F.exists("v", lambda x: x != 0))
+    sound = embeddings.select("vec_id", vector).where("vec_id is not null and v is not null and size(v) > 0").where(~bad).where(F.exists("v", lambda x: x != 0))
+    common = sound.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).agg(F.min_by("d", F.struct(-F.col("n"), "d"))).first()[0]
+    return sound.where(F.size("v") == (common or 0))
 
 
 def fit(vectors: DataFrame, params: AnnParams = AnnParams()) -> AnnIndex:
-    """Centres, rotation and the number of probes from a bounded sample of ``usable`` rows, chosen by a hash of vec_id."""
-    rows = bounded_sample(vectors, "vec_id", params.sample_rows).select("v").collect()
+    """Centres, rotation and the number of probes from a bounded sample of ``usable`` rows, chosen by a hash of vec_id.
+
+    The sample has 128 rows for each list, ``sample_rows`` at most. Without rows the index has no lists; rows that repeat
+    count once in the number of probes; of fewer distinct vectors than lists, each is a centre.
+    """
+    lists = max(params.lists, min(params.sample_rows // 16, vectors.count() // params.list_rows))
+    rows = bounded_sample(vectors, "vec_id", min(params.sample_rows, 128 * lists)).select("v").collect()
     rng = np.random.default_rng(params.seed)
     if not rows:
         return AnnIndex(np.zeros((0, 0)), np.zeros((0, 0)), 1, params)
     x = unit(np.array([r["v"] for r in rows]))
     dims = x.shape[1]
     rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-    n = min(params.lists, len(np.unique(x, axis=0)))
+    n = min(lists, len(np.unique(x, axis=0)))
     centres = np.unique(x, axis=0)[rng.permutation(len(np.unique(x, axis=0)))[:n]]
     for _ in range(params.kmeans_rounds):
         nearest = (x @ centres.T).argmax(axis=1)
@@ -105,16 +117,16 @@ def _assigned(vectors: DataFrame, index: AnnIndex, probes: int, name: str) -> Da
     return vectors.mapInPandas(assign, f"{name} {kind}, v array<double>, list int")
 
 
-def scan(index: AnnIndex, q: np.ndarray, x: np.ndarray, own: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+def scan(index: AnnIndex, q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
     """For each query, the rows of ``x`` that remain: every one of its ``k`` best is among them, but for the test's errors.
 
-    ``own[i, j]`` marks a query's own row, which takes no part; ``order`` breaks ties.
+    ``own[i, j]`` marks a query's own row, which takes no part.
     """
     p = index.params
     dims = x.shape[1]
     a, b = (q @ index.rotation).astype(np.float64), (x @ index.rotation).astype(np.float64)
     kept: list[list[np.ndarray]] = [[] for _ in q]
-    best = np.full((len(q), p.k), np.inf)
+    best = np.full((len(q), k), np.inf)
     for start in range(0, len(b), 512):
         rows = b[start : start + 512]
         i, j = np.nonzero(~own[:, start : start + 512])
@@ -141,7 +153,7 @@ def scan(index: AnnIndex, q: np.ndarray, x: np.ndarray, own: np.ndarray, order:
             s = slice(cut[one], cut[one + 1])
             kept[one].append(j[s] + start)
             merged = np.concatenate([best[one], partial[s]])
-            best[one] = np.partition(merged, p.k - 1)[: p.k] if len(merged) > p.k else merged
+            best[one] = np.partition(merged, k - 1)[:k] if len(merged) > k else merged
             best[one].sort()
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in kept]
 
@@ -149,8 +161,8 @@ def scan(index: AnnIndex, q: np.ndarray, x: np.ndarray, own: np.ndarray, order:
 def search(vectors: DataFrame, queries: DataFrame, index: AnnIndex) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine in double precision on the original vectors), ``k`` rows a query at most.
 
-    Both are ``usable`` rows. A row with the query's vec_id takes no part; ties go to the smaller vec_id; rows that repeat a
-    vec_id count once. A query that finds fewer than ``k`` in its lists is searched again over four times as many, up to all.
+    Both are ``usable`` rows. A row with the query's vec_id takes no part; ties go to the smaller vec_id. Rows that repeat a
+    vec_id count once, by the nearest of their vectors, as candidates and as queries. A query that finds fewer than ``k`` in its lists is searched again over four times as many, up to all.
     """
     p, spark = index.params, vectors.sparkSession
     scratch = Scratch(spark)
@@ -196,16 +208,18 @@ def _nearest(lists: DataFrame, sizes: dict[int, int], queries: DataFrame, index:
     def meet(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asks):
-            rows = rows.drop_duplicates("vec_id").sort_values("vec_id")
-            asks = asks.drop_duplicates("query_id")
+            # an id may come with several vectors: its nearest counts, so k ids lie within k times as many rows
+            rows = rows.assign(b=[v.tobytes() for v in rows["v"]]).drop_duplicates(["vec_id", "b"]).sort_values(["vec_id", "b"])
+            many = int(rows["vec_id"].value_counts().max())
             ids, x = rows["vec_id"].to_numpy(), unit(np.stack(rows["v"].to_numpy()))
             for start in range(0, len(asks), 256):
                 block = asks.iloc[start : start + 256]
                 of, q = block["query_id"].to_numpy(), unit(np.stack(block["v"].to_numpy()))
-                for n, found in enumerate(scan(index, q, x, of[:, None] == ids[None, :], ids)):
+                for n, found in enumerate(scan(index, q, x, of[:, None] == ids[None, :], p.k * many)):
                     score = np.clip(exact(q[n], x[found]), -1, 1)
-                    for i in np.lexsort((ids[found], -score))[: p.k]:
-                        out.append((of[n], ids[found[i]], score[i]))
+                    order = np.lexsort((ids[found], -score))
+                    once = np.sort(np.unique(ids[found[order]], return_index=True)[1])[: p.k]
+                    out += [(of[n], ids[found[i]], score[i]) for i in order[once]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"query_id {kind}, vec_id {kind}, score double")

@@ -121,6 +121,38 @@ def map_texts(
     return df.mapInArrow(run, parsed)
 
 
+def summed_counters(docs: DataFrame, n: int, count: Callable[[pa.RecordBatch], object], most: int) -> object:
+    """``n`` counters (a multiple of 4096) summed over all rows; ``count`` gives what a slice of ``most`` bytes of text adds.
+
+    Each task adds up its own; slices of them are shuffled and summed, and a fixed number of bytes reaches the driver.
+    """
+    import numpy as np
+
+    width = 1 << 12
+    schema = "slice int, counts binary"
+    rows = lambda ks, counts: pa.RecordBatch.from_arrays([pa.array(list(ks), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], names=["slice", "counts"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, dtype=np.int64)
+        for part in slices(batches, "text", most):
+            total += count(part)
+        if total.any():
+            yield rows(range(n // width), total.reshape(-1, width))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, dtype=np.int64)
+        if sums:
+            yield rows(sums, sums.values())
+
+    total = np.zeros(n, dtype=np.int64)
+    for row in docs.mapInArrow(each, schema).repartition("slice").mapInArrow(add, schema).collect():
+        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.int64)
+    return total
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

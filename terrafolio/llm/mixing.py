@@ -33,9 +33,11 @@ class MixingParams:
     #: Tokens of the mix as a share of all tokens; weights of the domains, equal where none are given.
     token_share: float = 0.5
     weights: dict[str, float] = field(default_factory=dict)
-    #: Fitting ends when every total is within this share of all targets, or after so many rounds.
-    tolerance: float = 1e-3
-    rounds: int = 30
+    #: Fitting ends when every total is within this share of all targets, or, where rates of 0 or more can't reach them,
+    #: when a round lowers the squared error by less than ``stall`` of it. More rounds than ``rounds`` are an error.
+    tolerance: float = 1e-5
+    stall: float = 0.01
+    rounds: int = 200
     batch_bytes: int = 1 << 20
 
 
@@ -146,39 +148,47 @@ def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple
     all_tokens = gram.sum()
     start = float(targets.sum() / all_tokens) if all_tokens else 0.0
     moves: list[np.ndarray] = []
-    reached = np.zeros(k)
-    for _ in range(p.rounds):
+    last = np.inf
+    while True:
         reached = summed(lambda t, q: (rates(q, start, moves) * t) @ q, k)
-        if not all_tokens or np.abs(targets - reached).max() <= p.tolerance * targets.sum():
-            break
-        moves.append(inverse @ (targets - reached))
-    return start, moves, reached
+        error = targets - reached
+        squared = float(error @ inverse @ error)
+        if not all_tokens or np.abs(error).max() <= p.tolerance * targets.sum() or last - squared < p.stall * last:
+            return start, moves, reached
+        if len(moves) == p.rounds:
+            raise RuntimeError(f"rates did not settle in {p.rounds} rounds: {reached} for targets of {targets}")
+        last = squared
+        moves.append(inverse @ error)
 
 
 def mix(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """Every row of ``docs``, with n_tokens, domain (the likeliest), rate (0 or more) and copies.
+    """Every row of ``docs``, with n_tokens, domain (the likeliest), target and reached (expected tokens of that domain in the
+    mix, as asked for and as fitted), rate (0 or more) and copies.
 
     ``copies`` is the rate rounded up or down by the hash of the doc_id, so that its expectation is the rate. Columns of
     ``docs`` that have one of those names are replaced. Empty texts have no tokens and get the rate of their probabilities.
-    Repeated rows count each. Targets of domains are their weights' shares of ``token_share`` of all tokens.
+    Repeated rows count each. Targets of domains are their weights' shares of ``token_share`` of all tokens; where no rates
+    reach them, those of the least squared error are taken, and ``reached`` tells.
     """
     p, k = model.params, len(model.domains)
     scratch = Scratch(docs.sparkSession)
-    members = scratch.keep(memberships(docs, model).select("n_tokens", "p").coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism * 4)))
+    members = scratch.keep(memberships(docs, model).select("n_tokens", "p"))
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     weights = np.array([max(0.0, p.weights.get(d, 0.0 if p.weights else 1.0)) for d in model.domains])
     weights = weights / weights.sum() if weights.sum() else np.full(k, 1 / k)
-    start, moves, _ = fit_rates(members, weights * p.token_share * total, p)
+    targets = weights * p.token_share * total
+    start, moves, reached = fit_rates(members, targets, p)
     scratch.drop(members)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.drop("n_tokens", "domain", "rate", "copies")
-    out = plain.withColumn("n_tokens", F.lit(0).cast("long")).withColumn("domain", F.lit("")).withColumn("rate", F.lit(0.0))
+    plain = docs.drop("n_tokens", "domain", "target", "reached", "rate", "copies")
+    out = plain.withColumns({"n_tokens": F.lit(0).cast("long"), "domain": F.lit(""), "target": F.lit(0.0), "reached": F.lit(0.0), "rate": F.lit(0.0)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", p.batch_bytes):
             rows, words = describe(bytes_of(part), p.features)
             q = _softmax(np.concatenate([rows, np.ones((len(rows), 1))], axis=1) @ shared.value.weights)
-            made = {"n_tokens": pa.array(words, pa.int64()), "domain": pa.array([model.domains[i] for i in q.argmax(axis=1)]), "rate": pa.array(rates(q, start, moves))}
+            of = q.argmax(axis=1)
+            made = {"n_tokens": pa.array(words, pa.int64()), "domain": pa.array([model.domains[i] for i in of]), "target": pa.array(targets[of]), "reached": pa.array(reached[of]), "rate": pa.array(rates(q, start, moves))}
             yield pa.RecordBatch.from_arrays([made.get(f.name, c) if f.name in made else c for f, c in zip(part.schema, part.columns)], schema=part.schema)
 
     mixed = out.mapInArrow(run, out.schema)
@@ -193,6 +203,7 @@ def language_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality.join(docs.select("doc_id", "lang").where("lang is not null"), F.col("_id") == F.col("doc_id")).select("doc_id", names.alias("domain"))
 
 
-def balanced(domains: tuple[str, ...], low: float = 0.05) -> dict[str, float]:
-    """Equal weights of languages, of which texts of low quality make up ``low``."""
+def balanced(domains: tuple[str, ...], low: float = 0.005) -> dict[str, float]:
+    """Equal weights of languages, of which texts of low quality make up ``low``: less than rates above 0 everywhere can give,
+    so that some documents' rates are held at 0."""
     return {d: low if d.endswith(":low") else 1 - low for d in domains}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import Scratch, bytes_of, column_of, map_texts, slices
+from terrafolio.llm.common import Scratch, bytes_of, column_of, map_texts, slices, summed_counters
 from terrafolio.llm.components import components
 from terrafolio.llm.shingles import mix, shingle_sets
 
@@ -38,33 +38,13 @@ class JoinParams:
 
 
 def _frequency(docs: DataFrame, p: JoinParams) -> np.ndarray:
-    """For each hash bucket of shingles, how frequent it is over all documents: twice log2 of its count against the median's.
+    """For each hash bucket of shingles, how frequent it is over all documents: twice log2 of its count against the median's."""
 
-    Each task adds up its counters; slices of them are shuffled and summed, and a fixed number of bytes reaches the driver.
-    """
-    n, width = 1 << p.counter_bits, 1 << 12
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, dtype=np.int64)
-        for part in slices(batches, "text", p.batch_bytes):
-            hashes, _ = shingle_sets(bytes_of(part), p.size)
-            total += np.bincount((hashes >> np.uint64(64 - p.counter_bits)).astype(np.int64), minlength=n)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n // width), pa.int32()), pa.array([row.tobytes() for row in total.astype(np.uint64).reshape(-1, width)], pa.binary())], names=["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(counts, dtype=np.uint64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema)
-    total = np.zeros(n, dtype=np.float64)
-    for row in summed.collect():
-        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint64)
+    def count(part: pa.RecordBatch) -> np.ndarray:
+        hashes, _ = shingle_sets(bytes_of(part), p.size)
+        return np.bincount((hashes >> np.uint64(64 - p.counter_bits)).astype(np.int64), minlength=1 << p.counter_bits)
+
+    total = summed_counters(docs.select("text"), 1 << p.counter_bits, count, p.batch_bytes).astype(np.float64)
     middle = max(1.0, float(np.median(total)))
     return np.clip(np.floor(2 * np.log2(np.maximum(1, total / middle))), 0, 63).astype(np.uint8)
 

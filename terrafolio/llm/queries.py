@@ -46,7 +46,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixing.fit(docs, mixing.language_quality(docs, table(spark, sf_dir, "labels")))
     mixed = mixing.mix(docs.select("doc_id", "text"), replace(model, params=replace(model.params, weights=mixing.balanced(model.domains))))
-    return mixed.select("doc_id", "n_tokens", "domain", "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", "domain", "target", "reached", "rate", "copies")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
