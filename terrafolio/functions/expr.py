@@ -11,9 +11,14 @@ from terrafolio.params import DEFAULT, Params
 ACCENTED = "ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
 PLAIN = "AAAAAEEEEIIIIOOOOOUUUUCN"
 # fixed values: first words of street names and their full forms
-STREET_WORDS = {"R": "RUA", "AV": "AVENIDA", "AL": "ALAMEDA", "PC": "PRACA", "TV": "TRAVESSA", "EST": "ESTRADA"}
+STREET_WORDS = {
+    "R": "RUA", "AV": "AVENIDA", "AL": "ALAMEDA", "PC": "PRACA", "PCA": "PRACA", "ES": "ESTRADA", "EST": "ESTRADA",
+    "TV": "TRAVESSA", "VD": "VIADUTO", "LG": "LARGO", "PQ": "PARQUE", "PRQ": "PARQUE", "ROD": "RODOVIA", "RV": "RODOVIA",
+}
 # fixed values: codes of payment and their names
-PAYMENTS = (("99.", "sfi"), ("1.", "sfh"), ("2.", "mcmv"), ("3.", "consorcio"))
+PAYMENTS = (("1.", "sfh"), ("2.", "mcmv"), ("3.", "consorcio"), ("99.", "sfi"))
+#: What a column must look like to be read as a number: Spark's cast takes more, such as ``1d``.
+NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
@@ -29,23 +34,33 @@ def no_accents(text: Column) -> Column:
     return F.translate(F.upper(text), ACCENTED, PLAIN)
 
 
+def number(text: Column) -> Column:
+    """A number in plain or scientific notation; null for anything else."""
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+
+
+def _bare(text: Column) -> Column:
+    """Accents and marks deleted, white space collapsed."""
+    kept = F.regexp_replace(F.translate(F.upper(text), ACCENTED, PLAIN), r"[^A-Z0-9\p{IsWhite_Space}]", "")
+    return F.trim(F.regexp_replace(kept, r"\p{IsWhite_Space}+", " "))
+
+
 def place_name(text: Column) -> Column:
-    """Upper case, without what is in parentheses or quotes, accents and marks; single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(F.upper(text), r"\([^)]*\)", " "), r'"[^"]*"', " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(bare, ACCENTED, PLAIN), r"[^A-Z0-9 ]", " "), r" +", " "))
+    """Upper case; what is in parentheses or quotes, accents and marks are deleted; single spaces."""
+    return _bare(F.regexp_replace(F.regexp_replace(F.upper(text), r"\([^)]*\)", ""), r'"[^"]*"', ""))
 
 
 def street_name(text: Column) -> Column:
-    """A place name whose first word is written out."""
-    clean = place_name(text)
+    """Upper case without accents and marks, the first word written out. What is in parentheses stays."""
+    clean = _bare(text)
     first = F.substring_index(clean, " ", 1)
     full = F.create_map(*[F.lit(x) for kv in STREET_WORDS.items() for x in kv])[first]
     return F.when(full.isNotNull(), F.concat(full, F.substring(clean, F.length(first) + 1, F.length(clean)))).otherwise(clean)
 
 
 def street_number(text: Column) -> Column:
-    """Without a decimal tail of zeros and leading zeros; a lone zero stays."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"\.0+$", ""), r"^0+(?=\d)", "")
+    """Without a decimal tail of zeros at the very end, then without leading zeros; a lone zero stays."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\.0+$", "")), r"^0+(?=\d)", "")
 
 
 def address_key(street: Column, number: Column) -> Column:
@@ -54,21 +69,21 @@ def address_key(street: Column, number: Column) -> Column:
 
 
 def cadastre_id(text: Column) -> Column:
-    """11 digits, from numbers in any notation; null if there are none."""
-    number = text.try_cast("double")
-    return F.when(number >= 0, F.lpad(number.cast("decimal(20,0)").cast("string"), 11, "0"))
+    """11 digits or more, from positive numbers in any notation, decimals cut off; null for all else."""
+    digits = F.floor(number(text)).cast("string")
+    return F.when(number(text) >= 1, F.when(F.length(digits) < 11, F.lpad(digits, 11, "0")).otherwise(digits))
 
 
 def unit_number(text: Column) -> Column:
-    """Number of a flat in an address complement; null if there is none."""
-    found = F.regexp_extract(F.upper(text), r"\bAP(?:TO|T|ARTAMENTO)?\.?\s*(\d{1,5})", 1)
+    """Number of a flat in an address complement, of four digits at most; null if there is none."""
+    found = F.regexp_extract(text, r"(?i)(?:\bAP|\bAPTO|\bAPT|\bAPARTAMENTO)\.?\s*0*(\d{1,4})\b", 1)
     return F.when(found != "", found.try_cast("int"))
 
 
 def parking_spaces(text: Column) -> Column:
-    """Number of parking spaces in an address complement; one where a space is named without a number."""
-    number = F.regexp_extract(F.upper(text), r"(\d+)\s*(?:VG|VAGA)", 1)
-    return F.when(number != "", number.try_cast("int")).when(F.upper(text).rlike(r"\bVGS?\b|VAGA"), 1)
+    """Number of parking spaces in an address complement, the digit before them; one where a space is named without a number."""
+    found = F.regexp_extract(text, r"(?i)(\d)\s*V\s?G", 1)
+    return F.when(found != "", found.try_cast("int")).when(text.rlike(r"(?i)\bE\s*V\s?G|\bVAGA\b"), 1)
 
 
 def area_band(area: Column, p: Params = DEFAULT) -> Column:
@@ -78,7 +93,8 @@ def area_band(area: Column, p: Params = DEFAULT) -> Column:
 
 
 def payment_category(code: Column) -> Column:
-    out = F.when(code.isNull() | (F.trim(code) == ""), "a_vista")
+    code = F.trim(code)
+    out = F.when(code.isNull() | (code == ""), "a_vista")
     for start, name in PAYMENTS:
         out = out.when(code.startswith(start), name)
     return out.otherwise("outros")
@@ -86,7 +102,7 @@ def payment_category(code: Column) -> Column:
 
 def full_transfer(share: Column) -> Column:
     """A share of 99.99 % or more; unknown shares count as full."""
-    return F.coalesce(share.try_cast("double") >= 99.99, F.lit(True))
+    return F.coalesce(number(share) >= 99.99, F.lit(True))
 
 
 def price_alignment(ratio: Column) -> Column:

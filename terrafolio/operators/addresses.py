@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.functions.stats import quantile
+from terrafolio.functions.stats import majority, quantile
 from terrafolio.operators.period import launches
 from terrafolio.params import DEFAULT, Params
 
 
 def liquidity(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """By address: sales, price spread, area range, and its status: unico, incoerente, lancamento or prospecto."""
+    """By address: its neighbourhood (that of most of its sales, the first by name of equals), sales, price spread, area range,
+    and its status: unico, incoerente, lancamento or prospecto."""
+    places = majority(sales, ["endereco"], "bairro").select("endereco", F.col("winner").alias("bairro"))
     stats = sales.groupBy("endereco").agg(
-        F.min("bairro").alias("bairro"),
         F.count("*").alias("n"),
         F.min("valor").alias("menor"),
         F.max("valor").alias("maior"),
@@ -23,8 +24,8 @@ def liquidity(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.min("area").alias("area_min"),
         F.max("area").alias("area_max"),
     )
-    rows = stats.join(launches(sales, "endereco", p=p), "endereco")
-    odd = (F.col("menor") < p.prospect_min_ratio_floor / 30) | (F.col("maior") / F.col("menor") > p.prospect_max_ratio)
+    rows = stats.join(launches(sales, "endereco", p=p), "endereco").join(places, "endereco", "left")
+    odd = (F.col("menor") < p.prospect_least_value) | (F.col("maior") / F.col("menor") > p.prospect_max_ratio)
     status = F.when(F.col("n") == 1, "unico").when(odd, "incoerente").when(F.col("lancamento"), "lancamento").otherwise("prospecto")
     wide = F.col("area_max") / F.col("area_min") > p.area_max_ratio
     keep = lambda c, when: F.when(when, F.col(c)).alias(c)

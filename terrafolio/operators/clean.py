@@ -19,11 +19,9 @@ def exclusion_reason(kind: Column, is_sale: Column, is_full: Column, value: Colu
     return F.when(kind.isNull(), "sem_tipo").when(~F.coalesce(is_sale, F.lit(False)), "nao_venda").when(~F.coalesce(is_full, F.lit(False)), "parcial").otherwise(dirty_value(value, base, p))
 
 
-def clean_layer(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """``sales`` with ``motivo`` (null if clean) and ``limpa``; the declared base is area times a reference price."""
-    base = F.col("area") * 1500.0
-    reason = exclusion_reason(F.col("tipo"), F.col("natureza") == "F", F.col("desconto") < 0.1, F.col("valor"), base, p)
-    return sales.withColumn("motivo", reason).withColumn("limpa", F.col("motivo").isNull())
+def clean_layer(sales: DataFrame, kind: Column, is_sale: Column, is_full: Column, value: Column, base: Column, p: Params = DEFAULT) -> DataFrame:
+    """``sales`` with ``motivo`` (null if clean) and ``limpa``; ``base`` is the value that the tax was computed on."""
+    return sales.withColumn("motivo", exclusion_reason(kind, is_sale, is_full, value, base, p)).withColumn("limpa", F.col("motivo").isNull())
 
 
 def audit(clean: DataFrame) -> DataFrame:
@@ -42,7 +40,19 @@ def cap_exact_area(rows: DataFrame, order: list[str], p: Params = DEFAULT) -> Da
     return first_rows(keyed, ["bairro", "_a"], order, p.cap_per_area).drop("_a")
 
 
-def sale_class(sales: DataFrame) -> Column:
-    """revenda, planta, parcial or demais: full transfers by nature and payment."""
-    full = F.col("desconto") < 0.1
-    return F.when(~full, "parcial").when((F.col("natureza") == "F") & F.col("pagamento").isin("A", "R"), "revenda").when(F.col("natureza") == "O", "planta").otherwise("demais")
+#: Words of a complement that name a unit.
+UNIT_WORDS = ("AP", "APTO", "APART", "TORRE", "BLOCO", "CASA", "UNIDADE")
+
+
+def names_unit(complement: Column) -> Column:
+    words = F.split(F.upper(F.trim(complement)), "[^A-Z0-9]+")
+    return F.coalesce(F.arrays_overlap(words, F.array(*map(F.lit, UNIT_WORDS))), F.lit(False))
+
+
+def sale_class(is_sale: Column, is_full: Column, usage: Column, complement: Column, financing: Column) -> Column:
+    """revenda, planta, parcial or demais for market sales, null for other deeds: whole transfers of homes are resales; parts of
+    a plot that name a unit, or were financed as homes are, are off-plan sales; other parts of homes are partial."""
+    home = F.coalesce(usage.isin("10", "20"), F.lit(False))
+    off_plan = names_unit(complement) | F.coalesce(financing.rlike(r"^[12]\."), F.lit(False))
+    named = F.when(is_full & home, "revenda").when(is_full, "demais").when(home, "parcial").when(off_plan, "planta").otherwise("demais")
+    return F.when(is_sale, named)

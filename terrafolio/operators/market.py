@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafolio.functions.expr import half_up
-from terrafolio.functions.stats import first_rows, majority
+from terrafolio.functions.stats import majority
+from terrafolio.params import DEFAULT, Params
 
-#: Upper ends of the bands of floors.
-FLOOR_BANDS = (3, 7, 12, 20)
+#: Upper ends of the bands of floors, from 1.
+FLOOR_BANDS = (3, 7, 11, 15, 99)
 
 
 def search_interest(rows: DataFrame) -> DataFrame:
@@ -21,10 +22,11 @@ def search_interest(rows: DataFrame) -> DataFrame:
 
 
 def floor_band(floor: Column) -> Column:
-    out = F.when(floor.isNull(), None)
+    """Number of the band, from 0; null for unknown floors and those out of all bands."""
+    out = F.when(floor < 1, None)
     for k, top in enumerate(FLOOR_BANDS):
         out = out.when(floor <= top, k)
-    return out.otherwise(len(FLOOR_BANDS))
+    return out
 
 
 def floor_effect(sales: DataFrame, least: int = 4, spread: int = 5, rows: int = 200, low: float = 0.9, high: float = 1.1) -> DataFrame:
@@ -36,7 +38,7 @@ def floor_effect(sales: DataFrame, least: int = 4, spread: int = 5, rows: int =
     groups = keyed.groupBy("endereco", "_a").agg(F.count("*").alias("_n"), (F.max("andar") - F.min("andar")).alias("_d"), F.median("m2").alias("_m")).where((F.col("_n") >= least) & (F.col("_d") >= spread))
     ratio = keyed.join(groups, ["endereco", "_a"]).select(floor_band(F.col("andar")).alias("faixa"), (F.col("m2") / F.col("_m")).alias("r"))
     out = ratio.groupBy("faixa").agg(F.count("*").alias("n"), F.median("r").alias("r"))
-    return out.select("faixa", "n", half_up(F.when(F.col("n") >= rows, F.greatest(F.lit(low), F.least(F.lit(high), F.col("r")))).otherwise(1.0), 6).alias("fator"))
+    return out.where("faixa is not null").select("faixa", "n", half_up(F.when(F.col("n") >= rows, F.greatest(F.lit(low), F.least(F.lit(high), F.col("r")))).otherwise(1.0), 6).alias("fator"))
 
 
 def _band(x: Column, share: float) -> Column:
@@ -93,6 +95,18 @@ def find_addresses(addresses: DataFrame, text: str, words: list[str], top: int =
     return addresses.where(hit).orderBy(F.length(text), text, *[c for c in addresses.columns if c != text]).limit(top)
 
 
+def paid_by_year(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """bairro, tipo, ano, n, mediana, de, ate (months with sales), pequena, variacao (% on the year before).
+
+    The change is null unless the year just before has sales too and neither year has a small sample.
+    """
+    by = sales.groupBy("bairro", "tipo", F.year("dia").alias("ano")).agg(F.count("*").alias("n"), F.median("valor").alias("mediana"), F.min(F.month("dia")).alias("de"), F.max(F.month("dia")).alias("ate"))
+    w = Window.partitionBy("bairro", "tipo").orderBy("ano")
+    small = F.col("n") < p.small_sample
+    last = F.when((F.lag("ano").over(w) == F.col("ano") - 1) & ~small & (F.lag("n").over(w) >= p.small_sample), F.lag("mediana").over(w))
+    return by.select("*", small.alias("pequena"), half_up(100 * (F.col("mediana") - last) / last, 1).alias("variacao"))
+
+
 def old_stock(listings: DataFrame, key: str, today: Column, days: int = 365) -> DataFrame:
     """key, com_data, antigos, pct: the share of listings older than a year among those with a known date."""
     age = F.datediff(today, "criado")
@@ -104,9 +118,3 @@ def changed_rules(before: DataFrame, after: DataFrame, key: str, label: str) ->
     """antes, depois, n: how many rows each pair of labels has under two versions of a rule; null where a row is missing."""
     both = before.select(key, F.col(label).alias("antes")).join(after.select(key, F.col(label).alias("depois")), key, "full_outer")
     return both.groupBy("antes", "depois").agg(F.count("*").alias("n"))
-
-
-def adaptive_profile(rows: DataFrame, keys: list[str], top: int = 1) -> DataFrame:
-    """The most frequent type of each group, the first of equals by name."""
-    counts = rows.groupBy(*keys, "tipo").agg(F.count("*").alias("n"))
-    return first_rows(counts, keys, [F.desc("n"), "tipo"], top)

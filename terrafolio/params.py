@@ -8,7 +8,7 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Params:
     # fixed values of the domain
-    value_floor: float = 1_000.0
+    value_floor: float = 10_000.0
     value_ceiling: float = 100_000_000.0
     underdeclared_share: float = 0.60
     area_edges: tuple[float, ...] = (50.0, 80.0, 120.0)
@@ -37,7 +37,7 @@ class Params:
     neighbour_km: float = 3.0
     block_high: float = 80.0
     block_medium: float = 60.0
-    prospect_min_ratio_floor: float = 30_000.0
+    prospect_least_value: float = 30_000.0
     prospect_max_ratio: float = 20.0
     area_max_ratio: float = 4.0
     tolerance_first: float = 0.10

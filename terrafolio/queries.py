@@ -12,7 +12,7 @@ from terrafolio.functions import expr, stats
 from terrafolio.functions.expr import half_up
 from terrafolio.operators import addresses, checks, clean, geo, history, market, period, prices, resolve, scoring, valuation
 from terrafolio.params import DEFAULT
-from terrafolio.plans.views import LISTINGS, SALES, listings, sales, table
+from terrafolio.plans.views import DEAR, LISTINGS, SALES, dear_sales, listings, sales, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,7 @@ ORDER = ", ".join(ARRIVAL)
 CLEAN = f"""{SALES}, clean AS (
   SELECT *, CASE WHEN tipo IS NULL THEN 'sem_tipo' WHEN NOT coalesce(natureza = 'F', false) THEN 'nao_venda'
     WHEN NOT coalesce(desconto < 0.1, false) THEN 'parcial'
-    WHEN valor IS NULL OR valor NOT BETWEEN 1000 AND 100000000 THEN 'irreal'
+    WHEN valor IS NULL OR valor NOT BETWEEN 10000 AND 100000000 THEN 'irreal'
     WHEN area * 1500 > 0 AND valor < 0.6 * (area * 1500) THEN 'subdeclarado' END AS motivo FROM sales)"""
 PERIOD = """, counts AS (SELECT mes AS m, count(*) AS n FROM sales GROUP BY 1),
   ranked AS (SELECT m, n, row_number() OVER (ORDER BY m) - 1 AS k, lag(n, 1) OVER (ORDER BY m) AS a, lag(n, 2) OVER (ORDER BY m) AS b, lag(n, 3) OVER (ORDER BY m) AS c FROM counts),
@@ -42,7 +42,8 @@ def query(name: str, sql: str | None = None):
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return clean.clean_layer(sales(spark, d))
+    s = sales(spark, d)
+    return clean.clean_layer(s, F.col("tipo"), F.col("natureza") == "F", F.col("desconto") < 0.1, F.col("valor"), F.col("area") * 1500.0)
 
 
 @query("clean_layer_audit", f"WITH {CLEAN} SELECT coalesce(motivo, 'limpa') AS motivo, count(*) AS n FROM clean GROUP BY 1")
@@ -55,9 +56,13 @@ def _(spark, d):
     return cleaned(spark, d).where("motivo is not null and motivo <> 'nao_venda'").select("pedido", "linha", "endereco", "valor", "motivo")
 
 
-@query("sale_classes", f"WITH {SALES} SELECT bairro, CASE WHEN NOT desconto < 0.1 THEN 'parcial' WHEN natureza = 'F' AND pagamento IN ('A', 'R') THEN 'revenda' WHEN natureza = 'O' THEN 'planta' ELSE 'demais' END AS classe, count(*) AS n FROM sales GROUP BY 1, 2")
+@query("sale_classes", f"WITH {SALES} SELECT bairro, CASE WHEN natureza <> 'F' THEN NULL WHEN desconto < 0.05 AND linha < 4 THEN 'revenda' WHEN desconto < 0.05 THEN 'demais' WHEN linha < 4 THEN 'parcial' WHEN pagamento = 'R' OR cartorio % 3 = 0 THEN 'planta' ELSE 'demais' END AS classe, count(*) AS n FROM sales GROUP BY 1, 2")
 def _(spark, d):
-    return sales(spark, d).groupBy("bairro", clean.sale_class(sales(spark, d)).alias("classe")).agg(F.count("*").alias("n"))
+    usage = F.when(F.col("linha") == 1, "10").when(F.col("linha") < 4, "20").otherwise("30")
+    complement = F.when(F.col("cartorio") % 3 == 0, F.concat(F.lit("fundos, apto"), F.lit(" "), F.col("cartorio").cast("string"))).when(F.col("cartorio") % 3 == 1, "APARTADO 7")
+    financing = F.when(F.col("pagamento") == "R", "2.x").otherwise("12.x")
+    kind = clean.sale_class(F.col("natureza") == "F", F.col("desconto") < 0.05, usage, complement, financing)
+    return sales(spark, d).groupBy("bairro", kind.alias("classe")).agg(F.count("*").alias("n"))
 
 
 @query("dedup_first_wins", f"WITH {SALES} SELECT pedido, linha, endereco, valor, dia FROM sales QUALIFY row_number() OVER (PARTITION BY pedido, linha ORDER BY {ORDER}) = 1")
@@ -223,24 +228,25 @@ def _(spark, d):
     return period.launches(sales(spark, d), "endereco")
 
 
-ADDRESSES = f"""{LAUNCH}, a AS (SELECT endereco, min(bairro) AS bairro, count(*) AS n, min(valor) AS menor, max(valor) AS maior, median(valor) AS mediana, quantile_cont(valor, 0.25) AS p25, quantile_cont(valor, 0.75) AS p75, min(area) AS area_min, max(area) AS area_max FROM sales GROUP BY 1),
+ADDRESSES = f"""{LAUNCH}, {DEAR}, maioria AS (SELECT endereco, bairro FROM (SELECT endereco, bairro, count(*) AS k FROM sales GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY endereco ORDER BY k DESC, lower(bairro), bairro) = 1),
+  a AS (SELECT endereco, count(*) AS n, min(valor) AS menor, max(valor) AS maior, median(valor) AS mediana, quantile_cont(valor, 0.25) AS p25, quantile_cont(valor, 0.75) AS p75, min(area) AS area_min, max(area) AS area_max FROM dear GROUP BY 1),
   adr AS (SELECT endereco, bairro, n, mediana, CASE WHEN n >= 4 THEN p25 END AS p25, CASE WHEN n >= 4 THEN p75 END AS p75, CASE WHEN NOT area_max / area_min > 4 THEN area_min END AS area_min, CASE WHEN NOT area_max / area_min > 4 THEN area_max END AS area_max,
-    CASE WHEN n = 1 THEN 'unico' WHEN menor < 1000 OR maior / menor > 20 THEN 'incoerente' WHEN lancamento THEN 'lancamento' ELSE 'prospecto' END AS situacao FROM a JOIN launch USING (endereco))"""
+    CASE WHEN n = 1 THEN 'unico' WHEN menor < 30000 OR maior / menor > 20 THEN 'incoerente' WHEN lancamento THEN 'lancamento' ELSE 'prospecto' END AS situacao FROM a JOIN launch USING (endereco) LEFT JOIN maioria USING (endereco))"""
 
 
 @query("address_liquidity", f"{ADDRESSES} SELECT endereco, bairro, n, {R2('mediana', 'p25', 'p75')}, area_min, area_max, situacao FROM adr")
 def _(spark, d):
-    return _rounded(addresses.liquidity(sales(spark, d)), "mediana", "p25", "p75")
+    return _rounded(addresses.liquidity(dear_sales(spark, d)), "mediana", "p25", "p75")
 
 
 @query("prospect_top30", f"{ADDRESSES} SELECT endereco, bairro, n, {R2('mediana')} FROM adr WHERE situacao = 'prospecto' ORDER BY n DESC, lower(bairro), endereco LIMIT 30")
 def _(spark, d):
-    return _rounded(addresses.top_prospects(addresses.liquidity(sales(spark, d))).select("endereco", "bairro", "n", "mediana"), "mediana")
+    return _rounded(addresses.top_prospects(addresses.liquidity(dear_sales(spark, d))).select("endereco", "bairro", "n", "mediana"), "mediana")
 
 
 @query("address_discards", f"{ADDRESSES} SELECT situacao, count(*) AS enderecos, CAST(sum(n) AS BIGINT) AS vendas FROM adr GROUP BY 1")
 def _(spark, d):
-    return addresses.discards(addresses.liquidity(sales(spark, d)))
+    return addresses.discards(addresses.liquidity(dear_sales(spark, d)))
 
 
 BUILDINGS = f"""WITH {SALES}, {LISTINGS}, st AS (SELECT endereco, count(*) AS n, quantile_cont(m2, 0.25) AS p25, median(m2) AS p50, quantile_cont(m2, 0.75) AS p75 FROM sales GROUP BY 1 HAVING count(*) >= 4)"""
@@ -339,27 +345,26 @@ def _(spark, d):
 
 @query(
     "listing_scores",
-    f"""{SEGMENTS}{PERIOD}, w AS (SELECT base - 2 AS e FROM base), sc AS (SELECT bairro, CAST(row_number() OVER (ORDER BY bairro) AS DOUBLE) AS score FROM (SELECT DISTINCT bairro FROM sales)),
-  c AS (SELECT bairro, tipo, count(*) FILTER (mes <= e AND mes > e - 12) AS a, count(*) FILTER (mes <= e AND mes > e - 24) AS b FROM sales, w GROUP BY 1, 2), k AS (SELECT bairro, tipo, CASE WHEN a >= 30 THEN 12 WHEN b >= 30 THEN 24 ELSE 36 END AS months FROM c),
-  bands AS (SELECT bairro, tipo, quantile_cont(valor, 0.25) AS low, quantile_cont(valor, 0.75) AS high FROM sales JOIN k USING (bairro, tipo), w WHERE mes <= e AND mes > e - months GROUP BY 1, 2),
+    f"""{SEGMENTS}{PERIOD}, {ADDRESSES[ADDRESSES.index("l AS ("):]}, w AS (SELECT base - 2 AS e FROM base), sc AS (SELECT bairro, CAST(row_number() OVER (ORDER BY bairro) AS DOUBLE) AS score FROM (SELECT DISTINCT bairro FROM sales)),
+  c AS (SELECT bairro, tipo, count(*) FILTER (mes <= e AND mes > e - 12) AS a, count(*) FILTER (mes <= e AND mes > e - 24) AS b, count(*) FILTER (mes <= e AND mes > e - 36) AS c FROM sales, w GROUP BY 1, 2), k AS (SELECT bairro, tipo, CASE WHEN a >= 30 THEN 12 WHEN b >= 30 THEN 24 ELSE 36 END AS months, c < 30 AS few FROM c),
+  bands AS (SELECT bairro, tipo, quantile_cont(valor, 0.25) AS low, quantile_cont(valor, 0.75) AS high FROM sales JOIN k USING (bairro, tipo), w WHERE NOT few AND mes <= e AND mes > e - months GROUP BY 1, 2),
   j AS (SELECT l.*, score, CASE WHEN NOT pequena AND pago > 0 AND l.area > 0 THEN pedido_valor / l.area / pago END AS r, low, high FROM (SELECT *, CASE WHEN area <= 50 THEN 'ate_50' WHEN area <= 80 THEN '50_80' ELSE '80_120' END AS faixa FROM listings) l JOIN sc USING (bairro) LEFT JOIN seg USING (bairro, tipo, faixa) LEFT JOIN bands USING (bairro, tipo)),
-  q AS (SELECT codigo, bairro, score, CASE WHEN r IS NULL THEN 50 WHEN r > 1 THEN greatest(0, 100 - (r - 1) * 100) WHEN r >= 0.7 THEN 100 ELSE greatest(30, 100 - (0.7 - r) * 200) END AS a,
+  q AS (SELECT codigo, bairro, score, endereco, CASE WHEN r IS NULL THEN 50 WHEN r > 1 THEN greatest(0, 100 - (r - 1) * 100) WHEN r >= 0.7 THEN 100 ELSE greatest(30, 100 - (0.7 - r) * 200) END AS a,
     CASE WHEN low IS NULL THEN NULL WHEN greatest(low - pedido_valor, pedido_valor - high) <= 0 THEN 100 WHEN high - low <= 0 THEN 50 ELSE greatest(0, 100 - 100 * greatest(low - pedido_valor, pedido_valor - high) / (high - low)) END AS b FROM j)
-  SELECT codigo, bairro, floor((0.35 * score + 0.3 * a + CASE WHEN b IS NULL THEN 0 ELSE 0.25 * b END) / (0.35 + 0.3 + CASE WHEN b IS NULL THEN 0 ELSE 0.25 END) * 10 + 0.5) / 10 AS score FROM q""",
+  SELECT codigo, q.bairro, floor((0.35 * score + 0.3 * q.a + CASE WHEN b IS NULL THEN 0 ELSE 0.25 * b END + 0.1 * CASE WHEN adr.n >= 5 THEN 100 WHEN adr.n = 4 THEN 80 WHEN adr.n = 3 THEN 60 WHEN adr.n = 2 THEN 40 ELSE 0 END) / (0.35 + 0.3 + 0.1 + CASE WHEN b IS NULL THEN 0 ELSE 0.25 END) * 10 + 0.5) / 10 AS score FROM q LEFT JOIN adr ON adr.endereco = q.endereco AND adr.situacao = 'prospecto'""",
 )
 def _(spark, d):
     s, offers = sales(spark, d), listings(spark, d).withColumn("faixa", expr.area_band(F.col("area")))
     scores = s.select("bairro").distinct().withColumn("score", F.row_number().over(Window.orderBy("bairro")).cast("double"))  # a row each neighbourhood
-    nobody = addresses.liquidity(s).where("n < 0")
-    return scoring.listing_score(offers, scores, _segments(spark, d), _bands(spark, d), nobody)
+    return scoring.listing_score(offers, scores, _segments(spark, d), _bands(spark, d), addresses.liquidity(dear_sales(spark, d)))
 
 
-# with prospects and the neighbourhoods' own scores, both of which the SQL of listing_scores leaves out
+# with the neighbourhoods' own scores, which the SQL of listing_scores leaves out
 @query("listing_scores_all")
 def _(spark, d):
     s, offers = sales(spark, d), listings(spark, d).withColumn("faixa", expr.area_band(F.col("area")))
     scores = scoring.neighbourhood_score(cleaned(spark, d), F.col("limpa"))
-    return scoring.listing_score(offers, scores, _segments(spark, d), _bands(spark, d), addresses.liquidity(s))
+    return scoring.listing_score(offers, scores, _segments(spark, d), _bands(spark, d), addresses.liquidity(dear_sales(spark, d)))
 
 
 @query("top10_mean_coverage", f"WITH {LISTINGS}, t AS (SELECT nome, pedido_valor FROM listings QUALIFY row_number() OVER (PARTITION BY nome ORDER BY pedido_valor DESC, codigo) <= 10) SELECT nome, count(*) AS n, floor(avg(pedido_valor) * least(1.0, count(*) / 10) * 1000000 + 0.5) / 1000000 AS media FROM t GROUP BY 1")
@@ -432,16 +437,20 @@ def _(spark, d):
     return days.withColumn("anterior", before).withColumn("variacao", half_up(F.col("valor") - F.col("anterior"), 2))
 
 
-@query("place_names", "SELECT page_id, trim(regexp_replace(regexp_replace(translate(upper(regexp_extract(url, '//([^/]+)', 1)), 'ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'AAAAAEEEEIIIIOOOOOUUUUCN'), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS lugar FROM pages")
+@query("place_names", "SELECT page_id, trim(regexp_replace(regexp_replace(translate(upper(regexp_extract(url, '//([^/]+)', 1)), 'ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'AAAAAEEEEIIIIOOOOOUUUUCN'), '[^A-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS lugar FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", expr.place_name(F.regexp_extract("url", "//([^/]+)", 1)).alias("lugar"))
 
 
-@query("paid_by_year", f"WITH {SALES}, y AS (SELECT bairro, tipo, year(dia) AS ano, count(*) AS n, median(valor) AS m, min(month(dia)) AS de, max(month(dia)) AS ate FROM sales GROUP BY 1, 2, 3) SELECT bairro, tipo, CAST(ano AS INTEGER) AS ano, n, floor(m * 1000000 + 0.5) / 1000000 AS mediana, CAST(de AS INTEGER) AS de, CAST(ate AS INTEGER) AS ate, floor(lag(m) OVER (PARTITION BY bairro, tipo ORDER BY ano) * 1000000 + 0.5) / 1000000 AS anterior FROM y")
+@query(
+    "paid_by_year",
+    f"""WITH {SALES}, y AS (SELECT bairro, tipo, year(dia) AS ano, count(*) AS n, median(valor) AS m, min(month(dia)) AS de, max(month(dia)) AS ate FROM sales WHERE area < 30 GROUP BY 1, 2, 3),
+  p AS (SELECT y.*, o.m AS anterior, o.n AS antes FROM y LEFT JOIN y o ON o.bairro = y.bairro AND o.tipo = y.tipo AND o.ano = y.ano - 1)
+  SELECT bairro, tipo, CAST(ano AS INTEGER) AS ano, n, floor(m * 1000000 + 0.5) / 1000000 AS mediana, CAST(de AS INTEGER) AS de, CAST(ate AS INTEGER) AS ate, n < 10 AS pequena,
+    CASE WHEN n >= 10 AND antes >= 10 THEN floor(100 * (m - anterior) / anterior * 10 + 0.5) / 10 END AS variacao FROM p""",
+)
 def _(spark, d):
-    by = sales(spark, d).groupBy("bairro", "tipo", F.year("dia").alias("ano")).agg(F.count("*").alias("n"), F.median("valor").alias("mediana"), F.min(F.month("dia")).alias("de"), F.max(F.month("dia")).alias("ate"))
-    last = F.lag("mediana").over(Window.partitionBy("bairro", "tipo").orderBy("ano"))
-    return _rounded(by.withColumn("anterior", last), "mediana", "anterior")
+    return _rounded(market.paid_by_year(sales(spark, d).where("area < 30")), "mediana")
 
 
 @query("search_interest", "WITH t AS (SELECT DISTINCT event_type AS bairro, user_id AS termo, day(ts) AS mes, user_id % 9 + 1 AS n FROM events), m AS (SELECT bairro, mes, sum(n) AS n FROM t GROUP BY 1, 2) SELECT bairro, floor(avg(n) * 1000000 + 0.5) / 1000000 AS media FROM m GROUP BY 1")
@@ -453,8 +462,8 @@ def _(spark, d):
 @query(
     "floor_effect",
     f"""WITH {SALES}, s AS (SELECT endereco, floor(area / 10) AS a, linha * 3 AS andar, m2 FROM sales), g AS (SELECT endereco, a, median(m2) AS m FROM s GROUP BY 1, 2 HAVING count(*) >= 4 AND max(andar) - min(andar) >= 5),
-  r AS (SELECT CASE WHEN andar <= 3 THEN 0 WHEN andar <= 7 THEN 1 WHEN andar <= 12 THEN 2 WHEN andar <= 20 THEN 3 ELSE 4 END AS faixa, m2 / m AS r FROM s JOIN g USING (endereco, a))
-  SELECT faixa, count(*) AS n, floor(CASE WHEN count(*) >= 200 THEN greatest(0.9, least(1.1, median(r))) ELSE 1 END * 1000000 + 0.5) / 1000000 AS fator FROM r GROUP BY 1""",
+  r AS (SELECT CASE WHEN andar < 1 THEN NULL WHEN andar <= 3 THEN 0 WHEN andar <= 7 THEN 1 WHEN andar <= 11 THEN 2 WHEN andar <= 15 THEN 3 WHEN andar <= 99 THEN 4 END AS faixa, m2 / m AS r FROM s JOIN g USING (endereco, a))
+  SELECT faixa, count(*) AS n, floor(CASE WHEN count(*) >= 200 THEN greatest(0.9, least(1.1, median(r))) ELSE 1 END * 1000000 + 0.5) / 1000000 AS fator FROM r WHERE faixa IS NOT NULL GROUP BY 1""",
 )
 def _(spark, d):
     rows = sales(spark, d).select("endereco", F.floor(F.col("area") / 10).cast("double").alias("area"), (F.col("linha") * 3).alias("andar"), "m2")
@@ -533,7 +542,7 @@ def _(spark, d):
         {
             "linhas": checks.reconciliation(sales(spark, d), clean_rows.where("limpa"), audit),
             "pagamentos": checks.shares_off_100(prices.payment_mix(sales(spark, d)), ["bairro", "tipo"]),
-            "faixas": checks.band_order(addresses.liquidity(sales(spark, d))),
+            "faixas": checks.band_order(addresses.liquidity(dear_sales(spark, d))),
             "historico": checks.history_order(history.history_at_once(days)),
         }
     )

@@ -14,16 +14,42 @@ def one(spark, value, kind, column):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize(("text", "number"), [("AP2201 E 2VGS", 2201), ("BL 3 AP 105 E VG", 105), ("CASA B", None), (None, None)])
+# the rule: four digits at most that end a word, after one of four words and any zeros
+UNITS = [("bloco c apto. 0034", 34), ("AP12345", None), ("AP 77B", None), ("APARTAMENTO 9", 9), ("MAPA 5", None), ("loja", None), (None, None)]
+# the rule: the digit before the letters, even with spaces between; one where a space is only named
+SPACES = [("sala 8, 13 vgs", 3), ("4v g", 4), ("fundos E VG", 1), ("com vaga", 1), ("VAGAS", None), ("", None), (None, None)]
+
+
+@pytest.mark.parametrize(("text", "number"), UNITS)
 def test_unit_number(spark, text, number):
     assert one(spark, text, "string", expr.unit_number) == number
 
 
-@pytest.mark.parametrize(("text", "spaces"), [("AP 62 E 2 VG", 2), ("AP 44 E VG", 1), ("AP 152", None)])
+@pytest.mark.parametrize(("text", "spaces"), SPACES)
 def test_parking(spark, text, spaces):
     assert one(spark, text, "string", expr.parking_spaces) == spaces
 
 
+@pytest.mark.parametrize(("text", "key"), [("0", None), ("123.7", "00000000123"), ("1.5e3", "00000001500"), ("123456789012", "123456789012"), ("-4", None), ("1d", None), ("", None), (None, None)])
+def test_cadastre_id(spark, text, key):
+    assert one(spark, text, "string", expr.cadastre_id) == key
+
+
+@pytest.mark.parametrize(("text", "kind"), [(" 1.SFH", "sfh"), ("99.x", "sfi"), ("  ", "a_vista"), (None, "a_vista"), ("9.x", "outros")])
+def test_payment_category(spark, text, kind):
+    assert one(spark, text, "string", expr.payment_category) == kind
+
+
+@pytest.mark.parametrize(("text", "plain"), [("D'Oeste-Sul", "DOESTESUL"), ("A (b) c", "A C"), ('x "y" z', "X Z")])
+def test_marks_are_deleted(spark, text, plain):
+    assert one(spark, text, "string", expr.place_name) == plain
+
+
+@pytest.mark.parametrize(("text", "street"), [("Rod. Dutra (km 4)", "RODOVIA DUTRA KM 4"), ("PRQ X", "PARQUE X"), ("RUA R", "RUA R")])
+def test_street_name(spark, text, street):
+    assert one(spark, text, "string", expr.street_name) == street
+
+
 @pytest.mark.parametrize(("text", "plain"), [("Vila São José (norte)", "VILA SAO JOSE"), ('Água "x" Branca', "AGUA BRANCA"), ("", ""), (None, None)])
 def test_place_name(spark, text, plain):
     assert one(spark, text, "string", expr.place_name) == plain

@@ -3,7 +3,7 @@
 import pytest
 
 from terrafolio.operators import addresses, market
-from terrafolio.plans.views import listings, sales
+from terrafolio.plans.views import dear_sales, listings, sales
 from terrafolio.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -55,11 +55,10 @@ def test_block_votes_count_all_voters(spark):
 
 
 def test_listing_scores_count_prospects_and_neighbourhoods(spark):
-    s = sales(spark, SF)
     scores = {r["bairro"]: r["score"] for r in QUERIES["neighbourhood_score"](spark, SF).collect()}
     paid = {(r["bairro"], r["tipo"], r["faixa"]): r["pago"] for r in QUERIES["paid_asked_full_outer"](spark, SF).collect() if not r["pequena"]}
-    bands = {(r["bairro"], r["tipo"]): (r["low"], r["high"]) for r in QUERIES["adaptive_window_band"](spark, SF).collect()}
-    sold = {r["endereco"]: r["n"] for r in addresses.liquidity(s).where("situacao = 'prospecto'").collect()}
+    bands = {(r["bairro"], r["tipo"]): (r["low"], r["high"]) for r in QUERIES["adaptive_window_band"](spark, SF).collect() if not r["few"]}
+    sold = {r["endereco"]: r["n"] for r in addresses.liquidity(dear_sales(spark, SF)).where("situacao = 'prospecto'").collect()}
     found = {r["codigo"]: r["score"] for r in QUERIES["listing_scores_all"](spark, SF).collect()}
     offers = [r for r in listings(spark, SF).collect() if r["bairro"] in scores]
     assert found.keys() == {r["codigo"] for r in offers} and any(r["endereco"] in sold for r in offers)
@@ -72,8 +71,7 @@ def test_listing_scores_count_prospects_and_neighbourhoods(spark):
             low, high = bands[r["bairro"], r["tipo"]]
             away = max(low - r["pedido_valor"], r["pedido_valor"] - high)
             parts.append((0.25, 100 if away <= 0 else 50 if high <= low else max(0, 100 - 100 * away / (high - low))))
-        if sold.get(r["endereco"], 0) >= 2:
-            parts.append((0.1, {2: 40, 3: 60, 4: 80}.get(sold[r["endereco"]], 100)))
+        parts.append((0.1, {0: 0, 1: 0, 2: 40, 3: 60, 4: 80}.get(sold.get(r["endereco"], 0), 100)))
         assert found[r["codigo"]] == pytest.approx(sum(w * x for w, x in parts) / sum(w for w, _ in parts), abs=0.051)
 
 
