@@ -44,3 +44,17 @@ def index_bounds(index: DataFrame, low: float = 0.5, high: float = 2.0) -> DataF
 def history_order(state: DataFrame) -> DataFrame:
     """Listings first seen after last seen, or that left before they were last seen."""
     return state.where("visto_primeira > visto_ultima or saida <= visto_ultima")
+
+
+def header_layout(cells: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """sheet, problema: sheets without a header row (``E`` says Bairro), with empty header columns, or with other names than known.
+
+    The header is the first such row of a sheet, wherever it stands.
+    """
+    header = F.min_by("cells", F.when(F.col("cells")["E"] == "Bairro", F.col("row_num"))).alias("h")
+    sheets = cells.groupBy("sheet").agg(header, F.max(F.coalesce(F.col("cells")["E"] == "Bairro", F.lit(False))).alias("has"))
+    cell = lambda c: F.coalesce(F.col("h")[c], F.lit(""))
+    empty = F.exists(F.array(*(cell(c) for c in columns)), lambda x: x == "")
+    found = [F.when(~F.col("has"), "sem cabeçalho"), F.when(F.col("has") & empty, "colunas vazias")]
+    found += [F.when(F.col("has") & (cell(c) != name), f"coluna {c}") for c, name in names.items()]
+    return sheets.select("sheet", F.explode(F.array_compact(F.array(*found))).alias("problema"))

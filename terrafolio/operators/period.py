@@ -58,19 +58,23 @@ def launches(rows: DataFrame, key: str, day: str = "dia", p: Params = DEFAULT) -
     return rows.select(key, (F.datediff(later, day) <= p.launch_days).alias("hit")).groupBy(key).agg(F.coalesce(F.max("hit"), F.lit(False)).alias("lancamento"))
 
 
-def rolling_medians(rows: DataFrame, keys: list[str], x: str, month: str = "mes", p: Params = DEFAULT) -> DataFrame:
-    """keys, i, w, median, n: medians of windows of w months around each month, slid inside the data's first and last month.
+def rolling_medians(rows: DataFrame, keys: list[str], x: str, month: str = "mes", p: Params = DEFAULT, ends: tuple[str, str] | None = None) -> DataFrame:
+    """keys, i, i1, meses, w, median, n: medians of windows of w months around each month, slid inside the first and last month,
+    which are those of the data or the constant columns ``ends``.
 
-    Rows meet months by an equi-join on exploded windows: each row is in as many as the window is long.
+    Rows are counted by keys, month and value first, so that what meets the windows, and is shuffled, is distinct values with
+    their counts; the median weighs them.
     """
     known = rows.where(F.col(x).isNotNull() & F.col(month).isNotNull())
-    span = known.agg(F.min(month).alias("i0"), F.max(month).alias("i1"))
-    months = span.select("i0", "i1", F.explode(F.sequence("i0", "i1")).alias("i"), F.lit(0).alias("z")).drop("z")
+    counted = known.groupBy(*keys, F.col(month).alias("_month"), F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
+    low_end, high_end = (F.min(ends[0]), F.max(ends[1])) if ends else (F.min(month), F.max(month))
+    span = known.agg(low_end.alias("i0"), high_end.alias("i1")).where("i0 is not null")
+    months = span.select("i0", "i1", (F.col("i1") - F.col("i0") + 1).alias("meses"), F.explode(F.sequence("i0", "i1")).alias("i"))
     windows = months.select("*", F.explode(F.array(*map(F.lit, p.index_windows))).alias("w"))
     low = F.greatest(F.col("i0"), F.least(F.col("i") - F.floor(F.col("w") / 2), F.col("i1") - F.col("w") + 1))
     windows = windows.withColumn("lo", low.cast("int")).withColumn("hi", F.least(F.col("i1"), F.col("lo") + F.col("w") - 1).cast("int"))
-    members = windows.select("i", "w", F.explode(F.sequence("lo", "hi")).alias(month))
-    return known.join(F.broadcast(members), month).groupBy(*keys, "i", "w").agg(F.median(x).alias("median"), F.count("*").alias("n"))
+    members = windows.select("i", "i1", "meses", "w", F.explode(F.sequence("lo", "hi")).alias("_month"))  # some rows for each month
+    return counted.join(F.broadcast(members), "_month").groupBy(*keys, "i", "i1", "meses", "w").agg(F.percentile("_x", F.lit(0.5), F.col("_n")).alias("median"), F.sum("_n").alias("n"))
 
 
 def price_index(rows: DataFrame, keys: list[str], x: str, month: str = "mes", p: Params = DEFAULT) -> DataFrame:
@@ -79,15 +83,13 @@ def price_index(rows: DataFrame, keys: list[str], x: str, month: str = "mes", p:
     Groups without such a window get the series over all rows, in windows of ``index_fallback_window`` months.
     """
     rolled = rolling_medians(rows, keys, x, month, p)
-    last = rows.where(F.col(x).isNotNull()).agg(F.max(month)).scalar()
-    months = last - rows.where(F.col(x).isNotNull()).agg(F.min(month)).scalar() + 1
-    good = rolled.groupBy(*keys, "w").agg(F.min("n").alias("least"), F.count("*").alias("k")).where((F.col("least") >= p.index_least_rows) & (F.col("k") == months))
+    good = rolled.groupBy(*keys, "w").agg(F.min("n").alias("least"), F.count("*").alias("k"), F.max("meses").alias("meses")).where((F.col("least") >= p.index_least_rows) & (F.col("k") == F.col("meses")))
     chosen = good.groupBy(*keys).agg(F.min("w").alias("w"))
     own = rolled.join(chosen, [*keys, "w"])
-    end = own.where(F.col("i") == last).select(*keys, F.col("median").alias("final"))
+    end = own.where("i = i1").select(*keys, F.col("median").alias("final"))
     factor = (F.col("final") / F.col("median")).alias("fator")
     wide = rolling_medians(rows, [], x, month, replace(p, index_windows=(p.index_fallback_window,)))
-    wide = wide.crossJoin(F.broadcast(wide.where(F.col("i") == last).select(F.col("median").alias("final")))).select("i", "w", factor)  # a row each month
+    wide = wide.crossJoin(F.broadcast(wide.where("i = i1").select(F.col("median").alias("final")))).select("i", "w", factor)  # a row each month
     same = [F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     rest = rows.where(F.col(x).isNotNull() & F.col(month).isNotNull()).select(*keys).distinct().alias("g").join(chosen.alias("c"), same, "left_anti")
     return own.join(end, keys).select(*keys, "i", "w", factor).union(rest.crossJoin(F.broadcast(wide)).select(*keys, "i", "w", "fator"))

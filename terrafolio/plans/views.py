@@ -70,3 +70,40 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTINGS = """listings AS (
   SELECT p_partkey AS codigo, p_brand AS bairro, p_type AS tipo, p_partkey AS endereco, p_name AS nome,
          CAST(p_size AS DOUBLE) AS area, floor(p_retailprice * p_size * 1.6 * 100 + 0.5) / 100 AS pedido_valor FROM part)"""
+
+
+# --- deals and offers: the same tables at prices, areas and dates of a housing market, in words that both engines read alike
+DEAL_COLUMNS = (
+    "l_orderkey * 10 + l_linenumber AS id, p_brand AS bairro, concat('Z', l_partkey % 5) AS zona, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'apartamento' ELSE 'casa' END AS tipo, "
+    "l_partkey * 3 + l_suppkey % 3 AS endereco, l_quantity * 4 AS area, l_extendedprice * 20 AS valor, floor(l_extendedprice * 5 / l_quantity * 100 + 0.5) / 100 AS m2, CAST(l_shipdate AS DATE) AS dia, "
+    "CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INT) AS mes, CAST(year(l_shipdate) AS INT) AS ano, l_linestatus = 'F' AND l_discount < 0.09 AS revenda, l_linestatus = 'F' AND l_discount < 0.09 AND l_tax < 0.08 AS limpa, l_discount >= 0.09 AS planta, "
+    "CASE l_suppkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '1.SFH' WHEN 2 THEN '2.MCMV' WHEN 3 THEN ' 3.C' WHEN 4 THEN '99.SFI' WHEN 5 THEN '' ELSE 'x' END AS financiamento, l_extendedprice * 20 * l_tax * (l_suppkey % 20) AS financiado, CAST(l_suppkey % 97 * 11 + 5 AS INT) AS unidade"
+)
+OFFER_COLUMNS = (
+    "p_partkey AS codigo, p_brand AS bairro, concat('Z', p_partkey % 5) AS zona, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'apartamento' ELSE 'casa' END AS tipo, p_partkey * 3 + p_partkey % 3 AS endereco, p_name AS nome, "
+    "CAST(p_size * 4 AS DOUBLE) AS area, CASE WHEN p_partkey % 29 = 0 THEN NULL WHEN p_partkey % 31 = 0 THEN 0 ELSE floor(p_retailprice * p_size * (20 + p_partkey % 30)) END AS valor, p_size % 5 AS quartos, p_size % 4 AS vagas, "
+    "CAST(p_partkey % 6 AS INT) AS situacao, CASE WHEN p_partkey % 23 > 0 THEN CAST(p_partkey * 7 % 900 AS INT) END AS idade, -24.3 + p_partkey % 14 * 0.1 AS lat, -47.05 + p_partkey % 10 * 0.1 AS lon"
+)
+DEALS = f"deals AS (SELECT {DEAL_COLUMNS} FROM lineitem JOIN part ON l_partkey = p_partkey)"
+OFFERS = f"offers AS (SELECT {OFFER_COLUMNS} FROM part)"
+
+
+def _projected(frame: DataFrame, columns: str) -> DataFrame:
+    depth, parts, last = 0, [], 0
+    for i, c in enumerate(columns):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append(columns[last:i])
+            last = i + 1
+    return frame.selectExpr(*(p.strip() for p in [*parts, columns[last:]]))
+
+
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deeds with their flags: id, bairro, zona, tipo, endereco, area, valor, m2, dia, mes, ano, revenda, limpa, planta and financing."""
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return _projected(joined, DEAL_COLUMNS)
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings: codigo, bairro, zona, tipo, endereco, nome, area, valor, quartos, vagas, situacao, idade, lat, lon."""
+    return _projected(table(spark, sf_dir, "part"), OFFER_COLUMNS)

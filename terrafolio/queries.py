@@ -269,7 +269,7 @@ def _(spark, d):
   SELECT tipo, i, w, floor(median(m2) * 1000000 + 0.5) / 1000000 AS median, count(*) AS n FROM h JOIN sales ON mes BETWEEN lo AND hi GROUP BY 1, 2, 3""",
 )
 def _(spark, d):
-    return _rounded(period.rolling_medians(sales(spark, d), ["tipo"], "m2"), "median")
+    return _rounded(period.rolling_medians(sales(spark, d), ["tipo"], "m2").drop("i1", "meses"), "median")
 
 
 @query("price_index")
