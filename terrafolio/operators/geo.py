@@ -27,5 +27,5 @@ def nearest_places(places: DataFrame, p: Params = DEFAULT) -> DataFrame:
     spread = spread.select("vizinho", "lat2", "lon2", (F.col("y") + F.col("d.i")).alias("y"), (F.col("x") + F.col("d.j")).alias("x"))
     pairs = located.join(spread, ["y", "x"]).where(F.col("id") != F.col("vizinho"))
     near = pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= p.neighbour_km)
-    ranked = first_rows(near.select("id", "vizinho", "km"), ["id"], ["km", "vizinho"], p.neighbours)
-    return ranked
+    # distances that differ by less than a micrometre are ties, which go to the smaller id
+    return first_rows(near.select("id", "vizinho", "km"), ["id"], [F.floor(F.col("km") * 1e9), "vizinho"], p.neighbours)

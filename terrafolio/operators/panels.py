@@ -39,7 +39,7 @@ def yearly(sales: DataFrame, places: DataFrame, years: list[int]) -> DataFrame:
     """
     clean = F.when(F.col("limpa"), F.col("valor"))
     counts = sales.where(F.col("ano").isin(*years)).groupBy("bairro", "ano").agg(F.count("*").alias("n"), count_if(F.col("revenda")).alias("revendas"), F.count(clean).alias("limpas"), half_up(F.avg(clean), 2).alias("media"), half_up(F.median(clean), 2).alias("mediana"))
-    grid = places.select("bairro", F.explode(F.array(*map(F.lit, years))).cast("int").alias("ano"))
+    grid = places.select("bairro", F.explode(F.array(*(F.lit(y).cast("int") for y in years))).alias("ano"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return grid.join(counts, ["bairro", "ano"], "left").select("bairro", "ano", zero("n"), zero("revendas"), zero("limpas"), "media", "mediana")
 

@@ -82,7 +82,7 @@ DEAL_COLUMNS = (
 OFFER_COLUMNS = (
     "p_partkey AS codigo, p_brand AS bairro, concat('Z', p_partkey % 5) AS zona, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'apartamento' ELSE 'casa' END AS tipo, p_partkey * 3 + p_partkey % 3 AS endereco, p_name AS nome, "
     "CAST(p_size * 4 AS DOUBLE) AS area, CASE WHEN p_partkey % 29 = 0 THEN NULL WHEN p_partkey % 31 = 0 THEN 0 ELSE floor(p_retailprice * p_size * (20 + p_partkey % 30)) END AS valor, p_size % 5 AS quartos, p_size % 4 AS vagas, "
-    "CAST(p_partkey % 6 AS INT) AS situacao, CASE WHEN p_partkey % 23 > 0 THEN CAST(p_partkey * 7 % 900 AS INT) END AS idade, -24.3 + p_partkey % 14 * 0.1 AS lat, -47.05 + p_partkey % 10 * 0.1 AS lon"
+    "CAST(p_partkey % 6 AS INT) AS situacao, CASE WHEN p_partkey % 23 > 0 THEN CAST(p_partkey * 7 % 900 AS INT) END AS idade, -243e-1 + p_partkey % 14 * 1e-1 AS lat, -4705e-2 + p_partkey % 10 * 1e-1 AS lon"
 )
 DEALS = f"deals AS (SELECT {DEAL_COLUMNS} FROM lineitem JOIN part ON l_partkey = p_partkey)"
 OFFERS = f"offers AS (SELECT {OFFER_COLUMNS} FROM part)"
