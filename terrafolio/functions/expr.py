@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,12 +52,20 @@ def place_name(text: Column) -> Column:
     return _bare(F.regexp_replace(F.regexp_replace(F.upper(text), r"\([^)]*\)", ""), r'"[^"]*"', ""))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, in which the value is computed once however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
 def street_name(text: Column) -> Column:
     """Upper case without accents and marks, the first word written out. What is in parentheses stays."""
-    clean = _bare(text)
-    first = F.substring_index(clean, " ", 1)
-    full = F.create_map(*[F.lit(x) for kv in STREET_WORDS.items() for x in kv])[first]
-    return F.when(full.isNotNull(), F.concat(full, F.substring(clean, F.length(first) + 1, F.length(clean)))).otherwise(clean)
+    words = F.create_map(*[F.lit(x) for kv in STREET_WORDS.items() for x in kv])
+
+    def full(clean: Column) -> Column:
+        first = F.substring_index(clean, " ", 1)
+        return F.concat(F.coalesce(words[first], first), F.substring(clean, F.length(first) + 1, F.length(clean)))
+
+    return let(_bare(text), full)
 
 
 def street_number(text: Column) -> Column:
@@ -64,14 +74,14 @@ def street_number(text: Column) -> Column:
 
 
 def address_key(street: Column, number: Column) -> Column:
-    s, n = street_name(street), street_number(number)
-    return F.when((F.length(s) > 0) & (F.length(n) > 0), F.concat_ws("|", s, n))
+    parts = F.struct(street_name(street).alias("s"), street_number(number).alias("n"))
+    return let(parts, lambda x: F.when((F.length(x["s"]) > 0) & (F.length(x["n"]) > 0), F.concat_ws("|", x["s"], x["n"])))
 
 
 def cadastre_id(text: Column) -> Column:
     """11 digits or more, from positive numbers in any notation, decimals cut off; null for all else."""
-    digits = F.floor(number(text)).cast("string")
-    return F.when(number(text) >= 1, F.when(F.length(digits) < 11, F.lpad(digits, 11, "0")).otherwise(digits))
+    digits = let(number(text), lambda x: F.when(x >= 1, F.floor(x).cast("string")))
+    return let(digits, lambda x: F.when(F.length(x) < 11, F.lpad(x, 11, "0")).otherwise(x))
 
 
 def unit_number(text: Column) -> Column:

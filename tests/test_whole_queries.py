@@ -4,7 +4,7 @@ import pytest
 
 from terrafolio.operators import addresses, market
 from terrafolio.plans.views import dear_sales, listings, sales
-from terrafolio.queries import QUERIES
+from terrafolio.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
