@@ -35,9 +35,9 @@ class MixingParams:
     weights: dict[str, float] = field(default_factory=dict)
     #: Fitting ends when every total is within this share of all targets, or, where rates of 0 or more can't reach them,
     #: when a round lowers the squared error by less than ``stall`` of it. More rounds than ``rounds`` are an error.
-    tolerance: float = 1e-5
+    tolerance: float = 1e-4
     stall: float = 0.01
-    rounds: int = 200
+    rounds: int = 100
     batch_bytes: int = 1 << 20
 
 
@@ -111,11 +111,11 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, p array<double>", one)
 
 
-def rates(p: np.ndarray, start: float, moves: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents of probabilities ``p`` after the gradient steps so far, each projected to 0 or more."""
-    r = np.full(len(p), start)
-    for move in moves:
-        r = np.maximum(0, r + p @ move)
+def rates(p: np.ndarray, start: float, moves: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """Rates of documents of probabilities ``p`` after the steps so far, (momentum, gradient) each, projected to 0 or more."""
+    before = r = np.full(len(p), start)
+    for momentum, move in moves:
+        before, r = r, np.maximum(0, r + momentum * (r - before) + p @ move)
     return r
 
 
@@ -123,11 +123,11 @@ def _stack(column: pa.Array, k: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, k)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple[float, list[np.ndarray], np.ndarray]:
+def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple[float, list[tuple[float, np.ndarray]], np.ndarray]:
     """The starting rate, the gradient steps, and the expected tokens by domain that they reach.
 
     Least squares in the metric of the documents' tokens, weighted by the inverse of sum(tokens * p p'), so that a step of
-    length 1 is exact but for the projection.
+    length 1 is exact but for the projection, and with momentum, so that few passes are needed.
     """
     k = len(targets)
     names = [f"s{i}" for i in range(k * k)]
@@ -147,18 +147,24 @@ def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple
     inverse = np.linalg.pinv(gram + 1e-9 * max(1e-9, np.trace(gram)) * np.eye(k))
     all_tokens = gram.sum()
     start = float(targets.sum() / all_tokens) if all_tokens else 0.0
-    moves: list[np.ndarray] = []
-    last = np.inf
+    moves: list[tuple[float, np.ndarray]] = []
+    last, before, theta, momentum = np.inf, None, 1.0, 0.0
     while True:
         reached = summed(lambda t, q: (rates(q, start, moves) * t) @ q, k)
         error = targets - reached
         squared = float(error @ inverse @ error)
-        if not all_tokens or np.abs(error).max() <= p.tolerance * targets.sum() or last - squared < p.stall * last:
+        stalled = last - squared < p.stall * last
+        if not all_tokens or np.abs(error).max() <= p.tolerance * targets.sum() or (stalled and not momentum):
             return start, moves, reached
         if len(moves) == p.rounds:
             raise RuntimeError(f"rates did not settle in {p.rounds} rounds: {reached} for targets of {targets}")
-        last = squared
-        moves.append(inverse @ error)
+        # accelerated, and begun again without momentum where that gains nothing
+        theta = 1.0 if stalled else (1 + np.sqrt(1 + 4 * theta * theta)) / 2
+        momentum = 0.0 if stalled or before is None else (theta - 1) / (theta + 1)
+        # totals are linear in rates, so those of the point that momentum leads to need no pass of their own
+        ahead = reached if before is None else reached + momentum * (reached - before)
+        moves.append((momentum, inverse @ (targets - ahead)))
+        last, before = squared, reached
 
 
 def mix(docs: DataFrame, model: DomainModel) -> DataFrame:
@@ -203,7 +209,7 @@ def language_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality.join(docs.select("doc_id", "lang").where("lang is not null"), F.col("_id") == F.col("doc_id")).select("doc_id", names.alias("domain"))
 
 
-def balanced(domains: tuple[str, ...], low: float = 0.005) -> dict[str, float]:
+def balanced(domains: tuple[str, ...], low: float = 0.006) -> dict[str, float]:
     """Equal weights of languages, of which texts of low quality make up ``low``: less than rates above 0 everywhere can give,
     so that some documents' rates are held at 0."""
     return {d: low if d.endswith(":low") else 1 - low for d in domains}
