@@ -181,10 +181,12 @@ def test_mixing_tells_what_it_reached(spark):
         assert r["reached"] == pytest.approx(r["target"], rel=0.1)
 
 
-def test_rates_that_run_out_of_rounds_are_an_error(spark):
+def test_rates_that_run_out_of_rounds_say_so(spark):
     members = spark.createDataFrame([(100, [0.9, 0.1]), (100, [0.1, 0.9])], "n_tokens long, p array<double>")
-    with pytest.raises(RuntimeError):
-        mixing.fit_rates(members, np.array([300.0, 1.0]), mixing.MixingParams(tolerance=1e-12, stall=0.0, rounds=2))
+    targets = np.array([300.0, 1.0])
+    with pytest.warns(UserWarning, match="2 rounds"):
+        _, _, reached = mixing.fit_rates(members, targets, mixing.MixingParams(tolerance=1e-12, stall=0.0, rounds=2))
+    assert np.abs(reached - targets).max() > 1
 
 
 def test_frequent_anchors_change_no_result(spark, monkeypatch):
