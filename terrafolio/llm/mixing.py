@@ -35,11 +35,11 @@ class MixingParams:
     token_share: float = 0.5
     weights: dict[str, float] = field(default_factory=dict)
     #: Fitting ends when every total is within this share of all targets, or, where rates of 0 or more can't reach them,
-    #: when a round lowers the squared error by less than ``stall`` of it, or after ``rounds``, with a warning. What is
-    #: reached is returned with the rates.
-    tolerance: float = 1e-4
+    #: when a pair of steps lowers the squared error by less than ``stall`` of it. ``rounds`` guards against more steps than
+    #: any fit should take, with a warning. What is reached is returned with the rates.
+    tolerance: float = 1e-5
     stall: float = 0.01
-    rounds: int = 30
+    rounds: int = 200
     batch_bytes: int = 1 << 20
 
 
@@ -113,11 +113,15 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, p array<double>", one)
 
 
-def rates(p: np.ndarray, start: float, moves: list[tuple[float, np.ndarray]]) -> np.ndarray:
-    """Rates of documents of probabilities ``p`` after the steps so far, (momentum, gradient) each, projected to 0 or more."""
-    before = r = np.full(len(p), start)
-    for momentum, move in moves:
-        before, r = r, np.maximum(0, r + momentum * (r - before) + p @ move)
+def rates(p: np.ndarray, start: float, moves: list[tuple[bool, np.ndarray]]) -> np.ndarray:
+    """Rates of documents of probabilities ``p`` after the steps so far, (face, direction) each, projected to 0 or more.
+
+    Steps on a face move only the rates above 0.
+    """
+    r = np.full(len(p), start)
+    for face, move in moves:
+        moved = np.maximum(0, r + p @ move)
+        r = np.where(r > 0, moved, r) if face else moved
     return r
 
 
@@ -125,49 +129,60 @@ def _stack(column: pa.Array, k: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, k)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple[float, list[tuple[float, np.ndarray]], np.ndarray]:
-    """The starting rate, the gradient steps, and the expected tokens by domain that they reach.
+def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple[float, list[tuple[bool, np.ndarray]], np.ndarray]:
+    """The starting rate, the steps, and the expected tokens by domain that they reach.
 
-    Least squares in the metric of the documents' tokens, weighted by the inverse of sum(tokens * p p'), so that a step of
-    length 1 is exact but for the projection, and with momentum, so that few passes are needed.
+    Least squares in the metric of the documents' tokens, weighted by the inverse of sum(tokens * p p'), so that a projected
+    gradient step of length 1 never raises the error. Between two such steps there is one on the face of the rates above 0,
+    scaled by the inverse of their own sum(tokens * p p'), which is exact but for the projection; it is taken back, and the
+    next one shortened, where it raises the error. Each step is one pass, of which k + k * k sums reach the driver.
     """
     k = len(targets)
-    names = [f"s{i}" for i in range(k * k)]
+    names = [f"s{i}" for i in range(k + k * k)]
 
-    def summed(function, width: int) -> np.ndarray:
+    def state(moves: list[tuple[bool, np.ndarray]], start: float) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width)
+            total = np.zeros(k + k * k)
             for batch in batches:
                 if batch.num_rows:
-                    total = total + function(np.asarray(batch.column(0), dtype=np.float64), _stack(batch.column(1), k))
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names[:width])
-
-        rows = members.select("n_tokens", "p").mapInArrow(run, ", ".join(f"{x} double" for x in names[:width]))
-        return np.array([x or 0.0 for x in rows.agg(*(F.sum(x).alias(x) for x in names[:width])).first()])
-
-    gram = summed(lambda t, q: ((q * t[:, None]).T @ q).ravel(), k * k).reshape(k, k)
-    inverse = np.linalg.pinv(gram + 1e-9 * max(1e-9, np.trace(gram)) * np.eye(k))
-    all_tokens = gram.sum()
+                    t, q = np.asarray(batch.column(0), dtype=np.float64), _stack(batch.column(1), k)
+                    r = rates(q, start, moves)
+                    free = r > 0
+                    total += np.concatenate([(r * t) @ q, ((q[free] * t[free, None]).T @ q[free]).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+
+        rows = members.select("n_tokens", "p").mapInArrow(run, ", ".join(f"{x} double" for x in names))
+        total = np.array([x or 0.0 for x in rows.agg(*(F.sum(x).alias(x) for x in names)).first()])
+        return total[:k], total[k:].reshape(k, k)
+
+    at_one, gram = state([], 1.0)
+    all_tokens = at_one.sum()
+    ridge = 1e-9 * max(1e-9, np.trace(gram)) * np.eye(k)
+    inverse = np.linalg.pinv(gram + ridge)
+    squared = lambda totals: float((targets - totals) @ inverse @ (targets - totals))
     start = float(targets.sum() / all_tokens) if all_tokens else 0.0
-    moves: list[tuple[float, np.ndarray]] = []
-    last, before, theta, momentum = np.inf, None, 1.0, 0.0
-    while True:
-        reached = summed(lambda t, q: (rates(q, start, moves) * t) @ q, k)
+    moves: list[tuple[bool, np.ndarray]] = []
+    reached, free = at_one * start, gram
+    face, scale, gained = True, 1.0, np.inf
+    for _ in range(p.rounds):
         error = targets - reached
-        squared = float(error @ inverse @ error)
-        stalled = last - squared < p.stall * last
-        if not all_tokens or np.abs(error).max() <= p.tolerance * targets.sum() or (stalled and not momentum):
+        if not all_tokens or np.abs(error).max() <= p.tolerance * targets.sum():
             return start, moves, reached
-        if len(moves) == p.rounds:
-            warnings.warn(f"rates are those of {p.rounds} rounds: {reached} for targets of {targets}", stacklevel=2)
+        move = scale * (np.linalg.pinv(free + ridge) @ error) if face else inverse @ error
+        totals, its_free = state([*moves, (face, move)], start)
+        gain = 1 - squared(totals) / squared(reached)
+        if gain > 0:
+            moves.append((face, move))
+            reached, free = totals, its_free
+        if face:
+            # a step taken back says nothing about how near the end is, unless no length helps
+            gained = gain if gain > 0 else np.inf if scale > 1e-3 else 0.0
+            scale = min(1.0, 2 * scale) if gain > 0 else scale / 4
+        elif gained < p.stall and gain < p.stall:
             return start, moves, reached
-        # accelerated, and begun again without momentum where that gains nothing
-        theta = 1.0 if stalled else (1 + np.sqrt(1 + 4 * theta * theta)) / 2
-        momentum = 0.0 if stalled or before is None else (theta - 1) / (theta + 1)
-        # totals are linear in rates, so those of the point that momentum leads to need no pass of their own
-        ahead = reached if before is None else reached + momentum * (reached - before)
-        moves.append((momentum, inverse @ (targets - ahead)))
-        last, before = squared, reached
+        face = not face
+    warnings.warn(f"rates are those of {p.rounds} rounds: {reached} for targets of {targets}", stacklevel=2)
+    return start, moves, reached
 
 
 def mix(docs: DataFrame, model: DomainModel) -> DataFrame:
@@ -212,7 +227,7 @@ def language_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality.join(docs.select("doc_id", "lang").where("lang is not null"), F.col("_id") == F.col("doc_id")).select("doc_id", names.alias("domain"))
 
 
-def balanced(domains: tuple[str, ...], low: float = 0.01) -> dict[str, float]:
+def balanced(domains: tuple[str, ...], low: float = 0.005) -> dict[str, float]:
     """Equal weights of languages, of which texts of low quality make up ``low``: less than rates above 0 everywhere can give,
     so that some documents' rates are held at 0."""
     return {d: low if d.endswith(":low") else 1 - low for d in domains}

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import warnings
 
 import duckdb
 import numpy as np
@@ -174,6 +175,21 @@ def test_rates_equal_brute_force(spark, targets):
     assert float(error @ inverse @ error) == pytest.approx(brute_rates(t, p, targets, inverse), abs=1e-4)
 
 
+def test_rates_reach_targets_that_hold_most_documents_at_zero(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.5, 0.5, 0.1], 400)
+    t = rng.integers(20, 200, 400).astype(float)
+    wanted = np.where(p[:, 2] < 0.02, rng.uniform(0.2, 1, 400), 0.0)
+    targets = (wanted * t) @ p
+    members = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "n_tokens long, p array<double>")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        start, moves, reached = mixing.fit_rates(members, targets, mixing.MixingParams())
+    rates = mixing.rates(p, start, moves)
+    assert (rates == 0).sum() > 50 and rates.min() >= 0
+    assert reached == pytest.approx((rates * t) @ p) and np.abs(reached - targets).max() <= 1e-5 * targets.sum()
+
+
 def test_mixing_tells_what_it_reached(spark):
     rows = QUERIES["op5_mixing"](spark, "/root/testdata/sf0.01").collect()
     assert min(r["rate"] for r in rows) >= 0
