@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafolio.llm import ann, chat, decontam, langid, mixing, ngram_join, pii, quality, substring, toxicity
-from terrafolio.llm.common import bucket, column_of, map_texts, table
+from terrafolio.llm import ann, audit, chat, decontam, langid, mixing, ngram_join, pii, quality, substring, toxicity, trie, warc
+from terrafolio.llm.common import Scratch, bucket, column_of, map_texts, table
 from terrafolio.llm.oracles import ORACLES
 
 
@@ -101,6 +101,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back, equal payloads stored once."""
+    path = Scratch(spark).root
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.archived_pages(spark, path)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order of them, by language."""
+    return audit.interactions(audit.document_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "ABCDE")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt so that families share their first turns."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), trie.RebuildParams())
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -112,6 +129,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_warc": op11_warc,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
