@@ -98,7 +98,8 @@ def rebuild(turns: DataFrame, sizes: DataFrame, params: RebuildParams = RebuildP
 
 
 def _chain(rows: DataFrame, keys: list[str], value: str, carried: list[str]) -> DataFrame:
-    """``keys``, ``carried``, before and chained: each row's digest over the one before it and ``value``, along each key's rows.
+    """``keys``, ``carried``, before and chained: each row's digest over the one before it and ``value``, along each key's rows; the
+    first is ``value`` itself, so that a block's chain goes on where the one before it ended.
 
     ``rows`` are sorted within partitions so that a key's rows follow each other; ``before`` is null at its first. Rows stream through.
     """
@@ -114,7 +115,7 @@ def _chain(rows: DataFrame, keys: list[str], value: str, carried: list[str]) ->
                 if key != last:
                     last, digest = key, b""
                 befores.append(digest or None)
-                digest = hashlib.sha256(digest + own).digest()
+                digest = hashlib.sha256(digest + own).digest() if digest else own
                 chained.append(digest)
             yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in (*keys, *carried)), pa.array(befores, pa.binary()), pa.array(chained, pa.binary())], names=columns)
 
