@@ -374,10 +374,18 @@ def register(spark: SparkSession) -> None:
         spark.conf.set(PUSHDOWN, "true")
 
 
+def byte_count(size: str) -> int:
+    """Bytes of a size as Spark's settings write it, like 128m or 134217728b."""
+    digits = size.rstrip("bkmgtpBKMGTP")
+    unit = size[len(digits) :].lower().rstrip("b")
+    return int(digits) << (10 * " kmgtp".index(unit or " "))
+
+
 def load(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records of all archives under ``path``: the columns of ``SCHEMA``; without ``payload`` that column is null and nothing of it is read."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("partitionBytes", byte_count(most)).load(path)
 
 
 @dataclass(frozen=True)
