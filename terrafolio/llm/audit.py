@@ -13,7 +13,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,8 +65,8 @@ def document_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # of each text: how many rows there are by part and label, and how many of them have the smallest doc_id there
     rows = rows.withColumn("known", F.col("doc_id").isNotNull())
     groups = rows.groupBy("digest", "known", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n_least"))
-    least = groups.groupBy("digest").agg(F.min("least").alias("first"))
-    groups = groups.join(least, "digest")
+    # a text has few of these groups, by its parts and labels, however many copies there are
+    groups = groups.withColumn("first", F.min("least").over(Window.partitionBy("digest")))
     spared = F.when(~F.col("known"), F.col("n")).when(F.col("least") == F.col("first"), F.col("n_least")).otherwise(0)
     split = F.explode(F.array(F.struct(F.col("mask").alias("mask"), spared.alias("n")), F.struct((F.col("mask") + 16).alias("mask"), (F.col("n") - spared).alias("n"))))
     split = groups.select("part", "good", "toxic", split.alias("s")).select("part", "good", "toxic", "s.mask", "s.n").where("n > 0")
