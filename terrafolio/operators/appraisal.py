@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafolio.functions.expr import half_up, haversine_km, interpolated
-from terrafolio.functions.stats import first_rows, quantile
+from terrafolio.functions.expr import half_up, haversine_km
+from terrafolio.functions.stats import quantile
 from terrafolio.functions.text import floor_and_final, numbering
+from terrafolio.operators import order
 from terrafolio.operators.market import _band, _bands, floor_band
 
 # fixed values: by level the tolerances of area (tight, wide) and the comparables that each needs
@@ -72,23 +73,28 @@ def _at_level(requests: DataFrame, sales: DataFrame, level: str, factors: DataFr
     return picked.select("id", "area", F.when(enough_tight | enough, level).otherwise("predio_poucas").alias("nivel"), (~enough_tight).alias("ampliada"), F.when(enough_tight, F.col("ut")).otherwise(F.col("uw")).alias("ultima"), s.alias("s"))
 
 
-def appraise(requests: DataFrame, sales: DataFrame, factors: DataFrame, levels: tuple[str, ...] = ("predio", "rua", "bairro")) -> DataFrame:
+def appraise(requests: DataFrame, sales: DataFrame, factors: DataFrame) -> DataFrame:
     """id, nivel, ampliada, n, m2, estimativa, minimo, maximo, faixa, razao, confianca, ultima of requests with comparables.
 
     The building at 10 % of the area, then at 20 %, then its one or two sales there; the street at 15 and 25 %; the neighbourhood at
     15 and 30 %: the first with enough comparables.
     """
     left, out = requests, None
-    for level in levels:
+    for level in LEVELS:
         found = _at_level(left, sales, level, factors)
         out = found if out is None else out.union(found)
         left = left.join(found.select("id"), "id", "left_anti")
+    return _finished(out)
+
+
+def _finished(found: DataFrame) -> DataFrame:
+    """Prices, range and confidence from id, area, nivel, ampliada, ultima and s: n, mid, p25, p75, low, high of a square metre."""
     n, ratio = F.col("s.n"), F.when(F.col("s.n") >= 2, F.try_divide(F.col("s.p75"), F.col("s.p25")))
     quartiles = n >= 5
     sure = (F.col("nivel") == "predio") & (n >= 5) & (ratio <= 1.25)
     fair = (F.col("nivel") == "predio") | ((F.col("nivel") == "predio_poucas") & (n >= 2)) | ((F.col("nivel") == "rua") & (n >= 8) & (ratio <= 1.35))
     money = lambda x: half_up(x * F.col("area"), 0)
-    return out.select(
+    return found.select(
         "id", "nivel", "ampliada", n.alias("n"), half_up(F.col("s.mid"), 0).alias("m2"), money(F.col("s.mid")).alias("estimativa"), money(F.when(quartiles, F.col("s.p25")).otherwise(F.col("s.low"))).alias("minimo"), money(F.when(quartiles, F.col("s.p75")).otherwise(F.col("s.high"))).alias("maximo"),
         F.when(quartiles, "p25_p75").otherwise("min_max").alias("faixa"), half_up(ratio, 3).alias("razao"), F.when(sure, "alta").when(F.coalesce(fair, F.lit(False)), "media").otherwise("baixa").alias("confianca"), "ultima",
     )
@@ -98,36 +104,94 @@ def most_similar(requests: DataFrame, sales: DataFrame, factors: DataFrame, leve
     """id, venda, posto: comparables of a level; the same building first, then by area, floor (99 apart if unknown), month, id."""
     pairs = comparables(requests, sales, level, factors)
     apart = F.coalesce(F.abs(F.col("andar") - F.col("_andar")), F.lit(99))
-    order = [F.desc(F.coalesce("mesmo", F.lit(False))), "d", apart, F.desc("mes"), "venda"]
-    return pairs.withColumn("posto", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("posto") <= top).select("id", "venda", "posto")
+    nearest = [F.desc(F.coalesce("mesmo", F.lit(False))), "d", apart, F.desc("mes"), "venda"]
+    return pairs.withColumn("posto", F.row_number().over(Window.partitionBy("id").orderBy(*nearest))).where(F.col("posto") <= top).select("id", "venda", "posto")
 
 
-def left_out(sales: DataFrame, mode: str) -> DataFrame:
-    """Each sale as a request that doesn't see itself (predio), its building (rua), or its building and street (bairro)."""
-    gone = F.lit(None)
-    predio = F.col("predio") if mode == "predio" else gone.cast(sales.schema["predio"].dataType)
-    rua = F.col("rua") if mode != "bairro" else gone.cast(sales.schema["rua"].dataType)
-    own = F.when(F.lit(mode == "predio"), F.col("venda"))
-    building = F.when(F.lit(mode != "predio"), F.col("predio"))
-    return sales.select(F.col("venda").alias("id"), predio.alias("predio"), rua.alias("rua"), "bairro", "area", "andar", own.alias("fora_venda"), building.alias("fora_predio"), F.col("hoje").alias("real"))
+def left_out(sample: DataFrame, sales: DataFrame, factors: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """id, modo, nivel, confianca, estimativa, real: each sale of ``sample`` appraised three times by the others.
 
-
-def calibrate(sample: DataFrame, sales: DataFrame, factors: DataFrame) -> DataFrame:
+    It doesn't see itself (modo predio), its building (rua), or its building and street (bairro), and only the level of that name is
+    asked. ``areas`` (venda, area) are used in place of the sale's own, as where the registered area is estimated. Sales of one place that
+    share an area and what is left out are one request, and requests get their quartiles by rank: see ``order``.
+    """
+    text = lambda c: F.col(c).cast("string")
+    key = lambda level: F.concat(F.lit(f"{level}|"), text(level))
+    rows = with_factor(sales.where("area > 0"), factors).withColumn("y", F.col("hoje") / F.col("area") / F.col("efeito")).where("y is not null")
+    values = rows.select(F.explode(F.array(*(key(level) for level in LEVELS))).alias("key"), F.col("venda").alias("id"), text("predio").alias("grp"), F.col("area").cast("double").alias("x"), "y").where("key is not null")
+    tests = with_factor(sample.where("area > 0"), factors).withColumn("own_x", F.col("area").cast("double"))
+    tests = tests.join(areas.select("venda", F.col("area").cast("double").alias("a")), "venda").where("a > 0") if areas is not None else tests.withColumn("a", F.col("own_x"))
+    modes = F.array(*(F.struct(F.lit(m).alias("modo"), key(m).alias("key"), F.lit(LEVELS[m][0][0]).alias("tight"), F.lit(LEVELS[m][0][1]).alias("wide"), F.lit(LEVELS[m][1]).alias("least")) for m in LEVELS))
+    tests = tests.select("venda", "hoje", "efeito", text("predio").alias("predio"), "own_x", "a", F.explode(modes).alias("m")).where("m.key is not null")
+    building = F.col("m.modo") == "predio"
+    tests = tests.select("venda", "hoje", "efeito", "a", "m.*", F.when(~building, F.col("predio")).alias("grp"), F.when(building, F.col("venda")).alias("own"), F.when(building, F.col("own_x")).alias("own_x"))
+    tests = order.settled(tests.withColumn("ask", F.concat_ws("|", "key", text("a"), F.coalesce("grp", text("own"), F.lit("")))))
+    request = ["ask", "modo", "key", "a", "grp", "own", "own_x", "tight", "wide", "least"]
+    asks = tests.select(*request).dropDuplicates(["ask"])
+    counted = order.counts(values, asks.withColumn("tol", F.explode(F.array("tight", "wide"))))
+    tight = F.col("tol") == F.col("tight")
+    counted = counted.groupBy(*request).agg(F.max(F.when(tight, F.col("n"))).alias("n_tight"), F.max(F.when(~tight, F.col("n"))).alias("n_wide"))
+    near, far = F.col("n_tight") >= F.col("least"), F.col("n_wide") >= F.col("least")
+    picked = counted.where(near | far | ((F.col("modo") == "predio") & (F.col("n_wide") >= 1)))
+    level = F.when(near | far, F.col("modo")).otherwise("predio_poucas")
+    tol, n = F.when(near, F.col("tight")).otherwise(F.col("wide")), F.when(near, F.col("n_tight")).otherwise(F.col("n_wide"))
+    picked = order.settled(picked.select("ask", "key", "a", "grp", "own", "own_x", tol.alias("tol"), n.alias("n"), level.alias("nivel"), (~near).alias("ampliada")))
+    found = order.quantiles(values, picked, (0.25, 0.5, 0.75)).join(picked.select("ask", "n", "nivel", "ampliada"), "ask")
+    q = lambda i: F.col("q")[i] * F.col("efeito")
+    stats = F.struct("n", q(1).alias("mid"), q(0).alias("p25"), q(2).alias("p75"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    both = tests.join(found, "ask").select(F.struct("venda", "modo", "hoje").alias("id"), F.col("a").alias("area"), "nivel", "ampliada", F.lit(None).cast("int").alias("ultima"), stats.alias("s"))
+    return _finished(both).select(F.col("id.venda").alias("id"), F.col("id.modo").alias("modo"), "nivel", "confianca", "estimativa", F.col("id.hoje").alias("real"))
+
+
+def calibrate(tests: DataFrame) -> DataFrame:
     """nivel, confianca (``*`` for all), n, mediano, p75 (errors as shares of what was paid), q (19 percentiles of paid to estimated).
 
-    Each sale of ``sample`` is appraised three times by the others; only results of the level that a time is for count.
+    ``tests`` are those of ``left_out``.
     """
-    out = None
-    for mode, levels in (("predio", ("predio",)), ("rua", ("rua",)), ("bairro", ("bairro",))):
-        asked = left_out(sample, mode)
-        found = appraise(asked.drop("real"), sales, factors, levels).join(asked.select("id", "real"), "id").select("nivel", "confianca", (F.abs(F.col("estimativa") - F.col("real")) / F.col("real")).alias("e"), (F.col("real") / F.col("estimativa")).alias("r"))
-        out = found if out is None else out.union(found)
+    out = tests.select("nivel", "confianca", (F.abs(F.col("estimativa") - F.col("real")) / F.col("real")).alias("e"), (F.col("real") / F.col("estimativa")).alias("r"))
     sets = out.groupingSets([["nivel", "confianca"], ["nivel"]], "nivel", "confianca")
     shares = F.array(*(F.lit(p / 100) for p in PERCENTILES))
     table = sets.agg(F.count("*").alias("n"), half_up(F.median("e"), 4).alias("mediano"), half_up(quantile("e", 0.75), 4).alias("p75"), F.transform(F.percentile("r", shares), lambda x: half_up(x, 4)).alias("q"))
     return table.select("nivel", F.coalesce("confianca", F.lit("*")).alias("confianca"), "n", "mediano", "p75", "q")
 
 
+def _calibrated(rows: DataFrame, calibration: DataFrame) -> DataFrame:
+    """``rows`` with ``q`` and the margin ``m`` of their level and confidence, or of their level where fewer than 100 tests were made."""
+    own = calibration.where("confianca <> '*'").select("nivel", "confianca", F.when(F.col("n") >= LEAST_TESTS, F.struct("p75", "q")).alias("a"))
+    every = calibration.where("confianca = '*'").select("nivel", F.struct("p75", "q").alias("b"))
+    both = rows.join(own, ["nivel", "confianca"], "left").join(every, "nivel", "left").withColumn("t", F.coalesce("a", "b"))
+    return both.withColumns({"q": F.col("t.q"), "m": F.greatest(F.lit(MARGIN_LOW), F.least(F.lit(MARGIN_HIGH), F.coalesce("t.p75", F.lit(MARGIN_UNKNOWN))))})
+
+
+def backtest(tests: DataFrame, calibration: DataFrame) -> DataFrame:
+    """nivel, confianca (``*`` for all), n, erro_mediano, erro_p75, dentro (what was paid lay in the probable range), vies (median of signed
+    errors), all in % with one decimal.
+
+    ``tests`` are those of ``left_out``; ``erro_p75`` is the error at place 3 n / 4 of all in order, from 0.
+    """
+    est, real = F.col("estimativa"), F.col("real")
+    rows = _calibrated(tests, calibration)
+    inside = real.between(half_up(est / (1 + F.col("m")), 0), half_up(est / (1 - F.col("m")), 0))
+    rows = rows.select("nivel", F.explode(F.array("confianca", F.lit("*"))).alias("confianca"), "id", (F.abs(est - real) / real).alias("e"), inside.alias("dentro"), ((est - real) / real).alias("v"))
+    rows = order.settled(order.numbered(rows, ["nivel", "confianca"], [F.col("e")], "at"))
+    table = rows.groupBy("nivel", "confianca").agg(F.count("*").alias("n"), half_up(100 * F.median("e"), 1).alias("erro_mediano"), half_up(100 * F.avg(F.col("dentro").cast("int")), 1).alias("dentro"), half_up(100 * F.median("v"), 1).alias("vies"))
+    third = rows.join(table.select("nivel", "confianca", "n"), ["nivel", "confianca"]).where(F.col("at") == F.floor(F.lit(3) * F.col("n") / 4)).select("nivel", "confianca", half_up(100 * F.col("e"), 1).alias("erro_p75"))
+    return table.join(third, ["nivel", "confianca"]).select("nivel", "confianca", "n", "erro_mediano", "erro_p75", "dentro", "vies")
+
+
+def estimated_areas(sales: DataFrame, pairs: DataFrame, least: int = 200) -> DataFrame:
+    """venda, area: what the registered area would be estimated at from the useful one, had the sale one of the measured ratios.
+
+    The sales, in order of venda, take the ratios of ``pairs`` (r), rounded and in order, in steps of 7919; the area is brought back by the
+    median. With fewer than ``least`` pairs there are no rows.
+    """
+    ratios = order.numbered(pairs.select(half_up(F.col("r"), 3).alias("r")), [], [F.col("r")], "at")
+    totals = pairs.agg(F.count("*").alias("n"), half_up(F.median("r"), 4).alias("mediana")).where(F.col("n") >= least)
+    places = order.numbered(sales.select("venda", "area"), [], [F.col("venda")], "i").join(F.broadcast(totals))  # one row
+    drawn = places.withColumn("at", F.pmod(F.col("i") * 7919, F.col("n")))
+    return drawn.join(ratios, "at").select("venda", (F.col("area") * F.col("mediana") / F.col("r")).alias("area"))
+
+
 def _at(share: int) -> Column:
     return F.col("q")[PERCENTILES.index(share)]
 
@@ -139,10 +203,7 @@ def verdicts(appraised: DataFrame, calibration: DataFrame) -> DataFrame:
     Margins are of the level and confidence, or of the level where fewer than 100 tests were made. ``appraised`` has id, nivel,
     confianca, estimativa and pedido (or null).
     """
-    own = calibration.where("confianca <> '*'").select("nivel", "confianca", F.when(F.col("n") >= LEAST_TESTS, F.struct("p75", "q")).alias("a"))
-    every = calibration.where("confianca = '*'").select("nivel", F.struct("p75", "q").alias("b"))
-    both = appraised.join(own, ["nivel", "confianca"], "left").join(every, "nivel", "left").withColumn("t", F.coalesce("a", "b"))
-    rows = both.withColumns({"q": F.col("t.q"), "m": F.greatest(F.lit(MARGIN_LOW), F.least(F.lit(MARGIN_HIGH), F.coalesce("t.p75", F.lit(MARGIN_UNKNOWN))))})
+    rows = _calibrated(appraised, calibration)
     est = F.col("estimativa")
     price = lambda share: half_up(est * _at(share), 0)
     asked = F.col("pedido")
@@ -160,23 +221,23 @@ def verdicts(appraised: DataFrame, calibration: DataFrame) -> DataFrame:
     return rows.select("id", half_up(F.col("m") * 100, 1).alias("margem"), half_up(est / (1 + F.col("m")), 0).alias("minimo"), half_up(est / (1 - F.col("m")), 0).alias("maximo"), F.when(F.col("q").isNotNull(), F.array(*(price(s) for s in LADDER))).alias("escada"), price(GREEN).alias("teto_verde"), price(YELLOW).alias("teto_amarelo"), verdict.alias("veredito"), reached.alias("chegaram"))
 
 
-def share_at(calibration: DataFrame, share: Column) -> DataFrame:
-    """nivel, confianca, razao: the ratio of paid to estimated at any percentile, linear between those that are kept."""
-    return calibration.select("nivel", "confianca", interpolated([float(p) for p in PERCENTILES], F.col("q"), share).alias("razao"))
-
-
 def unit_areas(sales: DataFrame) -> DataFrame:
     """predio, final, moda: the commonest rounded area of a building's flats of one position, the smallest of equals."""
     counts = sales.where("final is not null and area is not null").groupBy("predio", "final", F.round("area").cast("int").alias("a")).agg(F.count("*").alias("k"))
     return counts.groupBy("predio", "final").agg(F.min_by("a", F.struct(-F.col("k"), "a")).alias("moda"))
 
 
-def area_ratio(listings: DataFrame, sales: DataFrame, least: int = 200, low: float = 0.8, high: float = 3.5) -> DataFrame:
-    """n, predios, mediana, q10, q25, q75, q90 of registered to useful area, where a listing and sales share building and position.
+def area_pairs(listings: DataFrame, sales: DataFrame, low: float = 0.8, high: float = 3.5) -> DataFrame:
+    """predio, r: registered to useful area, where a listing and sales share building and position; out of bounds are errors of the data.
 
-    ``listings`` has predio, final, area (useful). Ratios out of bounds are errors of the data; too few pairs give nulls.
+    ``listings`` has predio, final, area (useful).
     """
-    pairs = listings.where("area > 0").select("predio", "final", F.col("area").alias("util")).join(unit_areas(sales), ["predio", "final"]).withColumn("r", F.col("moda") / F.col("util")).where(F.col("r").between(low, high))
+    pairs = listings.where("area > 0").select("predio", "final", F.col("area").alias("util")).join(unit_areas(sales), ["predio", "final"])
+    return pairs.select("predio", (F.col("moda") / F.col("util")).alias("r")).where(F.col("r").between(low, high))
+
+
+def area_ratio(pairs: DataFrame, least: int = 200) -> DataFrame:
+    """n, predios, mediana, q10, q25, q75, q90 of ``area_pairs``; too few pairs give nulls."""
     enough = F.count("*") >= least
     out = [F.when(enough, half_up(F.median("r"), 4)).alias("mediana"), *(F.when(enough, half_up(quantile("r", p / 100), 3)).alias(f"q{p}") for p in (10, 25, 75, 90))]
     return pairs.agg(F.count("*").alias("n"), F.countDistinct("predio").alias("predios"), *out)
@@ -196,8 +257,3 @@ def registered_area(requests: DataFrame, sales: DataFrame, ratio: Column) -> Dat
     for name, value in ways:
         origin = origin.when(value.isNotNull(), name)
     return rows.select("id", half_up(F.coalesce(*(v for _, v in ways)), 2).alias("area"), origin.alias("origem"))
-
-
-def one_display(sales: DataFrame, key: list[str], name: str) -> DataFrame:
-    """The first spelling of each address by name."""
-    return first_rows(sales.where(F.col(name).isNotNull()).select(*key, name), key, [name])

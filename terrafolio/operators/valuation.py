@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafolio.functions.expr import half_up
 from terrafolio.functions.stats import quantile
+from terrafolio.operators import order
 from terrafolio.params import DEFAULT, Params
 
 
@@ -31,9 +32,34 @@ def estimate(requests: DataFrame, sales: DataFrame, least: dict[str, int] | None
     first = stats(building).where(F.col("n") >= least["predio"])
     rest = requests.join(first.select("pedido_id"), "pedido_id", "left_anti")
     second = stats(_matched(rest, sales, "local", "bairro", p.tolerance_first)).where(F.col("n") >= least["bairro"])
+    return _finished(first.union(second), p)
+
+
+def _finished(found: DataFrame, p: Params) -> DataFrame:
     sure = (F.col("nivel") == "predio") & (F.col("n") >= 5) & (F.col("p75") / F.col("p25") <= p.homogeneous_ratio)
     confidence = F.when(sure, "alta").when(F.col("nivel") == "predio", "media").otherwise("baixa")
-    return first.union(second).select("pedido_id", "nivel", "n", half_up(F.col("m2"), 2).alias("m2"), half_up(F.col("m2") * F.col("area"), 0).alias("estimativa"), confidence.alias("confianca"))
+    return found.select("pedido_id", "nivel", "n", half_up(F.col("m2"), 2).alias("m2"), half_up(F.col("m2") * F.col("area"), 0).alias("estimativa"), confidence.alias("confianca"))
+
+
+def leave_one_out(sales: DataFrame, least: dict[str, int] | None = None, p: Params = DEFAULT) -> DataFrame:
+    """What ``estimate`` says of each sale if it isn't compared with itself; the sale is its pedido_id.
+
+    Every sale is a request here, so quartiles come by rank (see ``order``): a place never meets all of itself.
+    """
+    least = least or {"predio": 3, "bairro": 8}
+    rows = sales.where("area > 0").select("venda", F.col("area").cast("double").alias("area"), F.col("m2").alias("y"), F.concat_ws("|", F.lit("predio"), "endereco").alias("k_predio"), F.concat_ws("|", F.lit("bairro"), "bairro", "tipo").alias("k_bairro"))
+    levels = {"predio": p.tolerance_wide, "bairro": p.tolerance_first}
+    nothing, out, left = F.lit(None).cast("string").alias("grp"), None, rows
+    for level, tolerance in levels.items():
+        values = rows.where("y is not null").select(F.col(f"k_{level}").alias("key"), F.col("venda").alias("id"), nothing, F.col("area").alias("x"), "y")
+        own = F.when(F.col("y").isNotNull(), F.col("venda"))
+        asks = left.select(F.col("venda").alias("ask"), F.col(f"k_{level}").alias("key"), F.col("area").alias("a"), F.lit(tolerance).alias("tol"), nothing, own.alias("own"), F.col("area").alias("own_x"))
+        asks = order.settled(order.counts(values, asks).where(F.col("n") >= least[level]))
+        found = order.quantiles(values, asks, (0.25, 0.5, 0.75)).join(asks, "ask")
+        found = found.select(F.col("ask").alias("pedido_id"), F.lit(level).alias("nivel"), F.col("a").alias("area"), "n", F.col("q")[1].alias("m2"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
+        out = found if out is None else out.union(found)
+        left = left.join(asks.select(F.col("ask").alias("venda")), "venda", "left_anti")
+    return _finished(out, p)
 
 
 def calibration(estimates: DataFrame, real: DataFrame) -> DataFrame:

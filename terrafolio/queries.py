@@ -380,7 +380,7 @@ def _requests(spark, d):
 @query("loo_calibration")
 def _(spark, d):
     s, asked = _requests(spark, d)
-    return valuation.calibration(valuation.estimate(asked, s), asked.select("pedido_id", "valor"))
+    return valuation.calibration(valuation.leave_one_out(s), asked.select("pedido_id", "valor"))
 
 
 @query(

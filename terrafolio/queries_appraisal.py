@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafolio.functions.expr import half_up
-from terrafolio.operators import appraisal
+from terrafolio.operators import appraisal, order
 from terrafolio.operators.appraisal import LADDER, LEVELS, PERCENTILES
 from terrafolio.plans.views import table
 from terrafolio.queries import query
@@ -104,24 +104,56 @@ def _(spark, d):
     return appraisal.most_similar(requests(spark, d), sold(spark, d), factors(spark), "predio")
 
 
-SAMPLE = "venda % 7 = 0"
-LEFT_OUT = " UNION ALL ".join(
-    f"SELECT venda AS id, '{m}' AS modo, {p} AS predio, {u} AS rua, bairro, area, andar, {a} AS fora_venda, {b} AS fora_predio, hoje AS real FROM sold WHERE {{sample}}"
-    for m, p, u, a, b in (("predio", "predio", "rua", "venda", "NULL"), ("rua", "NULL", "rua", "NULL", "predio"), ("bairro", "NULL", "NULL", "NULL", "predio"))
-)
-CALIBRATION = f"""WITH {SOLD}, {appraise_sql(LEFT_OUT.replace('{sample}', 'true'), modes=True)}, er AS (SELECT est.nivel, confianca, abs(estimativa - hoje) / hoje AS e, hoje / estimativa AS r FROM est JOIN sold ON venda = id),
+UNITS = f"md AS (SELECT predio, final, CAST(round(area) AS INTEGER) AS moda FROM sold WHERE final IS NOT NULL GROUP BY predio, final, CAST(round(area) AS INTEGER) QUALIFY row_number() OVER (PARTITION BY predio, final ORDER BY count(*) DESC, CAST(round(area) AS INTEGER)) = 1)"
+LISTED = "SELECT p_partkey AS id, p_partkey % 400 AS predio, CAST(p_size % 30 AS INT) AS final, CAST(p_size * 3 AS DOUBLE) AS util, CASE WHEN p_partkey % 7 = 0 THEN 77e0 END AS manual, CASE WHEN p_partkey % 3 = 0 THEN 60e0 END AS planta FROM part"
+PAIRS = f"{UNITS}, pr AS (SELECT predio, moda / util AS r FROM ({LISTED}) JOIN md USING (predio, final) WHERE moda / util BETWEEN 0.8 AND 3.5)"
+ESTIMATED = f"""{PAIRS}, rz AS (SELECT {r('r', 3)} AS z, row_number() OVER (ORDER BY r) - 1 AS k FROM pr), tt AS (SELECT count(*) AS n, {r('median(r)', 4)} AS mediana FROM pr), oi AS (SELECT *, row_number() OVER (ORDER BY venda) - 1 AS i FROM sold),
+  tested AS (SELECT oi.* EXCLUDE (i) REPLACE (area * mediana / z AS area) FROM oi JOIN tt ON true JOIN rz ON k = i * 7919 % n)"""
+
+
+def calibration_sql(before: str, tested: str) -> str:
+    """CTEs that end in ``er`` (tests) and ``ca`` (their calibration) of the sales of ``tested``."""
+    asked = " UNION ALL ".join(
+        f"SELECT venda AS id, '{m}' AS modo, {p} AS predio, {u} AS rua, bairro, area, andar, {a} AS fora_venda, {b} AS fora_predio, hoje AS real FROM {tested}"
+        for m, p, u, a, b in (("predio", "predio", "rua", "venda", "NULL"), ("rua", "NULL", "rua", "NULL", "predio"), ("bairro", "NULL", "NULL", "NULL", "predio"))
+    )
+    return f"""WITH {SOLD}{before}, {appraise_sql(asked, modes=True)}, er AS (SELECT est.nivel, confianca, estimativa, hoje AS real, abs(estimativa - hoje) / hoje AS e, hoje / estimativa AS r FROM est JOIN sold ON venda = id),
   ca AS (SELECT nivel, coalesce(confianca, '*') AS confianca, count(*) AS n, {r('median(e)', 4)} AS mediano, {r('quantile_cont(e, 0.75)', 4)} AS p75, [{", ".join(r(f'quantile_cont(r, {p / 100})', 4) for p in PERCENTILES)}] AS q FROM er GROUP BY GROUPING SETS ((nivel, confianca), (nivel)))"""
 
 
-def _calibration(spark, d):
+CALIBRATED = f"SELECT nivel, confianca, n, mediano, p75, {', '.join(f'q[{i + 1}] AS q{p}' for i, p in enumerate(PERCENTILES))} FROM ca"
+
+
+def _tests(spark, d, estimated: bool = False):
+    """All sales left out in turn, and their calibration."""
     rows = sold(spark, d)
-    return appraisal.calibrate(rows, rows, factors(spark))
+    areas = appraisal.estimated_areas(rows, appraisal.area_pairs(_listed(spark, d).withColumnRenamed("util", "area"), rows)) if estimated else None
+    return appraisal.left_out(rows, rows, factors(spark), areas)
+
+
+def _percentiles(calibration):
+    return calibration.select("nivel", "confianca", "n", "mediano", "p75", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate(PERCENTILES)))
+
+
+@query("appraisal_calibration", f"{calibration_sql('', 'sold')} {CALIBRATED}")
+def _(spark, d):
+    return _percentiles(appraisal.calibrate(_tests(spark, d)))
 
 
-@query("appraisal_calibration", f"{CALIBRATION} SELECT nivel, confianca, n, mediano, p75, {', '.join(f'q[{i + 1}] AS q{p}' for i, p in enumerate(PERCENTILES))} FROM ca")
+@query("appraisal_calibration_estimated", f"{calibration_sql(', ' + ESTIMATED, 'tested')} {CALIBRATED}")
 def _(spark, d):
-    found = _calibration(spark, d)
-    return found.select("nivel", "confianca", "n", "mediano", "p75", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate(PERCENTILES)))
+    return _percentiles(appraisal.calibrate(_tests(spark, d, estimated=True)))
+
+
+@query(
+    "appraisal_backtest",
+    f"""{calibration_sql('', 'sold')}, mg AS (SELECT er.*, greatest(0.03, least(0.6, coalesce(o.p75, a.p75, 0.35)))::DOUBLE AS m FROM er LEFT JOIN ca o ON o.nivel = er.nivel AND o.confianca = er.confianca AND o.n >= 100 LEFT JOIN ca a ON a.nivel = er.nivel AND a.confianca = '*'),
+  fx AS (SELECT nivel, unnest([confianca, '*']) AS confianca, e, (estimativa - real) / real AS v, real BETWEEN {r('estimativa / (1 + m)', 0)} AND {r('estimativa / (1 - m)', 0)} AS dentro FROM mg)
+  SELECT nivel, confianca, count(*) AS n, {r('100 * median(e)', 1)} AS erro_mediano, {r('100 * list_sort(list(e))[3 * count(*) // 4 + 1]', 1)} AS erro_p75, {r('100 * avg(CAST(dentro AS INT))', 1)} AS dentro, {r('100 * median(v)', 1)} AS vies FROM fx GROUP BY 1, 2""",
+)
+def _(spark, d):
+    tests = order.settled(_tests(spark, d))
+    return appraisal.backtest(tests, appraisal.calibrate(tests))
 
 
 # a given calibration, so that the verdicts are of their own
@@ -152,10 +184,6 @@ def _(spark, d):
     return appraisal.verdicts(rows, _given(spark)).select("*", *(F.col("escada")[i].alias(f"escada_{p}") for i, p in enumerate(LADDER))).drop("escada")
 
 
-UNITS = f"md AS (SELECT predio, final, CAST(round(area) AS INTEGER) AS moda FROM sold WHERE final IS NOT NULL GROUP BY predio, final, CAST(round(area) AS INTEGER) QUALIFY row_number() OVER (PARTITION BY predio, final ORDER BY count(*) DESC, CAST(round(area) AS INTEGER)) = 1)"
-LISTED = "SELECT p_partkey AS id, p_partkey % 400 AS predio, CAST(p_size % 30 AS INT) AS final, CAST(p_size * 3 AS DOUBLE) AS util, CASE WHEN p_partkey % 7 = 0 THEN 77e0 END AS manual, CASE WHEN p_partkey % 3 = 0 THEN 60e0 END AS planta FROM part"
-
-
 @query("unit_areas", f"WITH {SOLD}, {UNITS} SELECT * FROM md")
 def _(spark, d):
     return appraisal.unit_areas(sold(spark, d))
@@ -165,9 +193,9 @@ def _listed(spark, d):
     return table(spark, d, "part").selectExpr(*_columns(LISTED[len("SELECT ") : LISTED.index(" FROM part")]))
 
 
-@query("useful_area_ratio", f"WITH {SOLD}, {UNITS}, x AS (SELECT predio, moda / util AS r FROM ({LISTED}) JOIN md USING (predio, final) WHERE moda / util BETWEEN 0.8 AND 3.5) SELECT count(*) AS n, count(DISTINCT predio) AS predios, CASE WHEN count(*) >= 200 THEN {r('median(r)', 4)} END AS mediana, {', '.join(f'CASE WHEN count(*) >= 200 THEN {r(f'quantile_cont(r, {p / 100})', 3)} END AS q{p}' for p in (10, 25, 75, 90))} FROM x")
+@query("useful_area_ratio", f"WITH {SOLD}, {PAIRS} SELECT count(*) AS n, count(DISTINCT predio) AS predios, CASE WHEN count(*) >= 200 THEN {r('median(r)', 4)} END AS mediana, {', '.join(f'CASE WHEN count(*) >= 200 THEN {r(f'quantile_cont(r, {p / 100})', 3)} END AS q{p}' for p in (10, 25, 75, 90))} FROM pr")
 def _(spark, d):
-    return appraisal.area_ratio(_listed(spark, d).withColumnRenamed("util", "area"), sold(spark, d))
+    return appraisal.area_ratio(appraisal.area_pairs(_listed(spark, d).withColumnRenamed("util", "area"), sold(spark, d)))
 
 
 @query("registered_areas", f"WITH {SOLD}, {UNITS}, pl AS (SELECT predio, min(area) AS a, max(area) AS b, median(area) AS meio FROM sold GROUP BY 1), w AS (SELECT l.id, manual, moda, CASE WHEN b <= 1.03 * a THEN meio END AS unica, planta, CASE WHEN l.id % 5 > 0 THEN util END * 1.66 AS estimada FROM ({LISTED}) l LEFT JOIN md USING (predio, final) LEFT JOIN pl USING (predio)) SELECT id, {r('coalesce(manual, moda, unica, planta, estimada)', 2)} AS area, CASE WHEN manual IS NOT NULL THEN 'manual' WHEN moda IS NOT NULL THEN 'final' WHEN unica IS NOT NULL THEN 'unica' WHEN planta IS NOT NULL THEN 'planta' WHEN estimada IS NOT NULL THEN 'util_estimada' END AS origem FROM w")
