@@ -92,6 +92,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
             yield batch.slice(start)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_texts(
     df: DataFrame,
     schema: str,
@@ -182,14 +190,22 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(_chance(key) < share).orderBy(_chance(key), key).limit(most)
 
 
-def labelled_sample(labelled: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
+def shared_out(most: int, each: int, among: int) -> int:
+    """``each``, or less where ``among`` of it would be more than ``most``; 1 at least. More than ``most`` to share it among is an error."""
+    if among > most:
+        raise ValueError(f"{among} labels are more than the {most} rows that a model is fitted on")
+    return min(each, max(1, most // max(1, among)))
+
+
+def labelled_sample(labelled: DataFrame, key: str, label: str, per_label: int, most: int = 200_000) -> DataFrame:
     """(key, label) of ``per_label`` rows of each label at most, chosen by a hash of the key.
 
-    The bound on what a classifier is fitted on. Every label counts, so the sample has ``per_label`` rows a label at most and
-    may be broadcast.
+    The bound on what a classifier is fitted on: ``most`` rows in all. Every label counts, so labels get fewer rows each where there are
+    many, and more labels than ``most`` raise an error. So the sample, and what is kept for each label, may be broadcast.
     """
     rows = labelled.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, label)
     labels = rows.groupBy(label).agg(F.count("*").alias("_of"))
+    per_label = shared_out(most, per_label, labels.count())
     share = (per_label + 6 * per_label**0.5 + 20) / F.col("_of")
     order = Window.partitionBy(label).orderBy(_chance(key), key)
     thinned = rows.join(F.broadcast(labels), label).where(_chance(key) < share)

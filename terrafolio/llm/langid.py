@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import WordVectors, column_of, labelled_sample, map_texts, slices, small_batches, texts_of
+from terrafolio.llm.common import WordVectors, column_of, labelled_sample, map_texts, shared_out, slices, small_batches, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: What a text without letters is predicted as.
@@ -28,6 +28,9 @@ class LangIdParams:
     docs_per_language: int = 4000
     #: Most frequent words of each language that the model keeps.
     words_per_language: int = 30_000
+    #: Documents and words of all languages together, at most: with many languages, each gets fewer.
+    most_docs: int = 200_000
+    most_words: int = 2_000_000
     min_count: int = 2
     longest_ngram: int = 4
     #: log10 frequency of what a language hasn't been seen with.
@@ -61,7 +64,7 @@ def fit(docs: DataFrame, params: LangIdParams = LangIdParams()) -> LangIdModel:
     most frequent words of each language reach the driver.
     """
     docs = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = labelled_sample(docs.select("doc_id", "lang"), "doc_id", "lang", params.docs_per_language)
+    sample = labelled_sample(docs.select("doc_id", "lang"), "doc_id", "lang", params.docs_per_language, params.most_docs)
 
     def count(batch):
         found: dict[tuple[str, str], int] = Counter()
@@ -73,8 +76,9 @@ def fit(docs: DataFrame, params: LangIdParams = LangIdParams()) -> LangIdModel:
 
     chosen = docs.join(F.broadcast(sample), ["doc_id", "lang"])
     words = map_texts(chosen, "lang string, word string, n long", count).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words_each = shared_out(params.most_words, params.words_per_language, sample.select("lang").distinct().count())
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = words.where(F.col("n") >= params.min_count).withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.words_per_language)
+    kept = words.where(F.col("n") >= params.min_count).withColumn("r", F.row_number().over(order)).where(F.col("r") <= words_each)
     by_language: dict[str, Counter] = {}
     for row in kept.select("lang", "word", "n").collect():
         by_language.setdefault(row["lang"], Counter())[row["word"]] = row["n"]
@@ -151,7 +155,11 @@ def identify(docs: DataFrame, model: LangIdModel) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: LangIdModel, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is determined with a score of ``least_score`` or more."""
+    """The rows of ``docs``, all columns as they are, whose language is determined with a score of ``least_score`` or more.
+
+    Null and empty texts, and those without a letter, go, as do all under a model without languages; a tie of languages has half of the
+    posterior at most. Repeated rows stay or go together, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
