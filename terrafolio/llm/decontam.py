@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.llm.common import Scratch, bytes_of, column_of, map_texts, slices, small_batches
+from terrafolio.llm.common import Scratch, bytes_of, column_of, free, map_texts, slices, small_batches
 
 #: A-Z becomes a-z; what isn't 0-9, a-z or beyond ASCII becomes a space.
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -199,8 +199,12 @@ def _found(batch: pa.RecordBatch, tests: Tests, params: DecontamParams) -> Itera
 ROW = ("_u", "_v")
 
 
+def _row_hashes() -> tuple[Column, Column]:
+    return F.xxhash64(F.col("doc_id").cast("string"), "text"), F.xxhash64(F.lit(1), "text", F.col("doc_id").cast("string"))
+
+
 def _with_row(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({ROW[0]: F.xxhash64(F.col("doc_id").cast("string"), "text"), ROW[1]: F.xxhash64(F.lit(1), "text", F.col("doc_id").cast("string"))})
+    return docs.withColumns(dict(zip(ROW, _row_hashes())))
 
 
 def _hits_by_block(docs: DataFrame, items: DataFrame, n: int, params: DecontamParams) -> DataFrame:
@@ -299,13 +303,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: DecontamParams
     """The rows of ``docs``, all columns as they are, that hold no match of a window's length with any item.
 
     Rows with null or empty texts stay; repeated rows stay or go together; without items every row stays, and an empty table
-    stays empty. Columns named ``_u`` or ``_v`` are kept with one block of items, and can't be with several.
+    stays empty.
     """
     items = _items(benchmark)
     n = _n_blocks(items, params)
     if n > 1:
         hits = _hits_by_block(docs, items, n, params).select(*ROW)
-        return _with_row(docs).join(hits, list(ROW), "left_anti").select(*docs.columns)
+        names = [free(docs, name) for name in ROW]
+        keyed = docs.withColumns(dict(zip(names, _row_hashes())))
+        return keyed.join(hits.toDF(*names), names, "left_anti").select(*docs.columns)
     block = _block(items, 0, 1, params)
 
     def keep(batches):
