@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from terrafolio.llm.common import Scratch, bytes_of, column_of, labelled_sample, map_texts, sampled_texts, slices
 from terrafolio.llm.shingles import SPACES
 
+#: Sums that travel as one row.
+SLICE = 4096
 IS_WORD = np.array([c not in SPACES for c in range(256)])
 
 
@@ -27,6 +29,8 @@ IS_WORD = np.array([c not in SPACES for c in range(256)])
 class MixingParams:
     #: Labelled documents of each domain that the classifier is fitted on, at most: the bound of the labelled sample.
     docs_per_domain: int = 600
+    #: Of all domains together, at most: with many domains, each gets fewer.
+    most_docs: int = 20_000
     #: Buckets of the hashed byte pairs that the classifier reads.
     features: int = 1024
     steps: int = 200
@@ -34,9 +38,9 @@ class MixingParams:
     #: Tokens of the mix as a share of all tokens; weights of the domains, equal where none are given.
     token_share: float = 0.5
     weights: dict[str, float] = field(default_factory=dict)
-    #: Fitting ends when every total is within this share of all targets, or, where rates of 0 or more can't reach them,
-    #: when a pair of steps lowers the squared error by less than ``stall`` of it. ``rounds`` guards against more steps than
-    #: any fit should take, with a warning. What is reached is returned with the rates.
+    #: Fitting ends when every total is within this share of its own target (a target of 0: of all targets), or, where rates of
+    #: 0 or more can't reach them, when a pair of steps lowers the squared error by less than ``stall`` of it. ``rounds`` guards
+    #: against more steps than any fit should take, with a warning. What is reached is returned with the rates.
     tolerance: float = 1e-5
     stall: float = 0.01
     rounds: int = 200
@@ -71,10 +75,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labelled: DataFrame, p: MixingParams = MixingParams()) -> DomainModel:
     """A softmax regression from ``docs`` (doc_id, text) and ``labelled`` (doc_id, domain); nulls in either are left out.
 
-    Fitted on a bounded sample of each domain. Without labelled texts there is one domain, ``all``.
+    Fitted on a bounded sample of each domain. Of several domains of one doc_id the first by name counts, of repeated rows of one the
+    least text; empty texts count. Without labelled texts there is one domain, ``all``.
     """
     labels = labelled.select("doc_id", "domain").na.drop().groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    sample = labelled_sample(labels, "doc_id", "domain", p.docs_per_domain)
+    sample = labelled_sample(labels, "doc_id", "domain", p.docs_per_domain, p.most_docs)
     chosen = sampled_texts(docs, sample)
 
     def one(batch):
@@ -135,10 +140,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple
     Least squares in the metric of the documents' tokens, weighted by the inverse of sum(tokens * p p'), so that a projected
     gradient step of length 1 never raises the error. Between two such steps there is one on the face of the rates above 0,
     scaled by the inverse of their own sum(tokens * p p'), which is exact but for the projection; it is taken back, and the
-    next one shortened, where it raises the error. Each step is one pass, of which k + k * k sums reach the driver.
+    next one shortened, where it raises the error. Each step is one pass, of which k + k * k sums reach the driver, added up in
+    slices by tasks.
     """
     k = len(targets)
-    names = [f"s{i}" for i in range(k + k * k)]
 
     def state(moves: list[tuple[bool, np.ndarray]], start: float) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,15 +154,27 @@ def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple
                     r = rates(q, start, moves)
                     free = r > 0
                     total += np.concatenate([(r * t) @ q, ((q[free] * t[free, None]).T @ q[free]).ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+            parts = [total[i : i + SLICE].tobytes() for i in range(0, len(total), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "sums"])
 
-        rows = members.select("n_tokens", "p").mapInArrow(run, ", ".join(f"{x} double" for x in names))
-        total = np.array([x or 0.0 for x in rows.agg(*(F.sum(x).alias(x) for x in names)).first()])
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    sums[i] = sums.get(i, 0) + np.frombuffer(part)
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "sums"])
+
+        schema = "slice int, sums binary"
+        total = np.zeros(k + k * k)
+        for row in members.select("n_tokens", "p").mapInArrow(run, schema).repartition("slice").mapInArrow(add, schema).collect():
+            total[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["sums"])
         return total[:k], total[k:].reshape(k, k)
 
     at_one, gram = state([], 1.0)
     all_tokens = at_one.sum()
-    ridge = 1e-9 * max(1e-9, np.trace(gram)) * np.eye(k)
+    # by each domain's own sum, so that small domains weigh as much as large ones
+    ridge = np.diag(np.maximum(1e-12 * np.diag(gram), 1e-18))
     inverse = np.linalg.pinv(gram + ridge)
     squared = lambda totals: float((targets - totals) @ inverse @ (targets - totals))
     start = float(targets.sum() / all_tokens) if all_tokens else 0.0
@@ -166,7 +183,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple
     face, scale, gained = True, 1.0, np.inf
     for _ in range(p.rounds):
         error = targets - reached
-        if not all_tokens or np.abs(error).max() <= p.tolerance * targets.sum():
+        if not all_tokens or (np.abs(error) <= p.tolerance * np.where(targets > 0, targets, targets.sum())).all():
             return start, moves, reached
         move = scale * (np.linalg.pinv(free + ridge) @ error) if face else inverse @ error
         totals, its_free = state([*moves, (face, move)], start)
