@@ -10,6 +10,7 @@ confident tokens outside the base spans are added.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -279,8 +280,9 @@ def _along(links: list[tuple[np.ndarray, np.ndarray]], inside: np.ndarray, poten
     return np.concatenate(new)
 
 
-def marginals(model: PiiModel, field: Field) -> np.ndarray:
-    """Label probabilities of each node by loopy message passing until each document settles; base labels are observed.
+def marginals(model: PiiModel, field: Field) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of each node by loopy message passing until each document settles; base labels are observed. And by document
+    whether its messages settled.
 
     Neighbours form paths, and so do the occurrences of a key. A round solves all paths of neighbours exactly, given the
     messages along keys, and then those of keys, given the messages of neighbours. A fixed point is one of plain loopy
@@ -293,6 +295,7 @@ def marginals(model: PiiModel, field: Field) -> np.ndarray:
     doc = np.array(field.doc, dtype=np.int64)
     kinds = [(field.chain, model.chain), (field.skip, model.skip)]
     belief = unary.copy()
+    calm = np.ones(int(doc.max(initial=-1)) + 1, dtype=bool)
     pairs = [k for k, _ in kinds]
     messages = [np.zeros((2 * len(k), N_LABELS)) for k in pairs]
     stale = True
@@ -314,22 +317,27 @@ def marginals(model: PiiModel, field: Field) -> np.ndarray:
         settled = change <= p.tolerance
         stale = turn == p.most_rounds - 1 or any(settled[doc[k[:, 0]]].any() for k in pairs)
         if stale:
+            if turn == p.most_rounds - 1:
+                for k in pairs:
+                    calm[doc[k[:, 0]][~settled[doc[k[:, 0]]]]] = False
             for at, k in enumerate(pairs):
                 over = settled[doc[k[:, 0]]] | (turn == p.most_rounds - 1)
                 both = np.tile(over, 2)
                 np.add.at(belief, targets[at][both], messages[at][both])
                 pairs[at], messages[at] = k[~over], messages[at][~both]
     z = np.exp(belief - belief.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    return z / z.sum(axis=1, keepdims=True), calm
 
 
-def added_spans(model: PiiModel, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """By text, confident tokens that no base span touches, without the marks around them."""
+def added_spans(model: PiiModel, texts: list[str], base: list[list[tuple[int, int, int]]]) -> tuple[list[list[tuple[int, int, int]]], list[bool]]:
+    """By text, confident tokens that no base span touches, without the marks around them; and whether its messages settled."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     field = Field(texts, base)
     if not field.n:
-        return out
-    p = marginals(model, field)
+        return out, [True] * len(texts)
+    p, calm = marginals(model, field)
+    if not calm.all():
+        warnings.warn(f"{(~calm).sum()} documents keep the messages of round {model.params.most_rounds}, which hadn't settled", stacklevel=2)
     best = p[:, :NONE].argmax(axis=1)
     for i in np.flatnonzero((p[np.arange(field.n), best] >= model.params.confidence) & (field.label == NONE)):
         text = texts[field.doc[i]]
@@ -340,11 +348,15 @@ def added_spans(model: PiiModel, texts: list[str], base: list[list[tuple[int, in
             b -= 1
         if any("0" <= c <= "9" or c == "@" for c in text[a:b]):
             out[field.doc[i]].append((int(best[i]), a, b))
-    return out
+    return out, [*calm.tolist(), *[True] * (len(texts) - len(calm))]
 
 
 def fit(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
-    """A model from a bounded sample of the texts that hold a mark; the patterns' spans are its labels."""
+    """A model from a bounded sample of the texts that hold a mark; the patterns' spans are its labels.
+
+    ``docs`` has doc_id and text; null ids and texts take no part, nor do texts without a digit or ``@``; of repeated ids the least
+    text counts, and other columns are ignored. Without such texts nothing is added to the patterns' spans.
+    """
     marked = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
     ids = bounded_sample(marked.select("doc_id").where("doc_id is not null"), "doc_id", params.sample_docs)
     rows = sampled_texts(marked, ids.distinct())
@@ -371,10 +383,11 @@ def fit(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
 
 
 def find(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """doc_id, base and spans (arrays of kind, start, end in code points) of every row, in one pass without a shuffle.
+    """doc_id, base and spans (arrays of kind, start, end in code points), settled of every row, in one pass without a shuffle.
 
     ``base`` has the patterns' matches, ``spans`` those and the added ones, both by kind, then start. Null and empty texts have
-    none. Repeated rows give repeated results; other columns are ignored.
+    none. Repeated rows give repeated results; other columns are ignored. ``settled`` is false where the messages of a document
+    didn't settle in ``most_rounds``, so that its added spans are those of the last round.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -383,11 +396,11 @@ def find(docs: DataFrame, model: PiiModel) -> DataFrame:
     def one(batch):
         texts = texts_of(batch)
         base = [base_spans(t) for t in texts]
-        added = added_spans(shared.value, texts, base)
+        added, settled = added_spans(shared.value, texts, base)
         as_rows = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
-        return {"doc_id": column_of(batch, "doc_id"), "base": [as_rows(b) for b in base], "spans": [as_rows(sorted(b + a)) for b, a in zip(base, added)]}
+        return {"doc_id": column_of(batch, "doc_id"), "base": [as_rows(b) for b in base], "spans": [as_rows(sorted(b + a)) for b, a in zip(base, added)], "settled": settled}
 
-    return map_texts(docs.select("doc_id", "text"), f"doc_id {kind}, base {span}, spans {span}", one)
+    return map_texts(docs.select("doc_id", "text"), f"doc_id {kind}, base {span}, spans {span}, settled boolean", one)
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -408,7 +421,8 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
     """``docs`` with personal data replaced in ``text``, and ``n_chars``, where there is such a column, counted anew.
 
-    Null texts stay null. All other columns and all rows stay as they are.
+    Null texts stay null. All other columns and all rows stay as they are. Documents whose messages don't settle are redacted by those of
+    the last round, with a warning in the worker's log; ``find`` tells which.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -419,7 +433,7 @@ def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
             raw = part.column(at).to_pylist()
             texts = [t or "" for t in raw]
             base = [base_spans(t) for t in texts]
-            added = added_spans(shared.value, texts, base)
+            added, _ = added_spans(shared.value, texts, base)
             new = [None if r is None else replaced(t, b + a) if b or a else t for r, t, b, a in zip(raw, texts, base, added)]
             columns = part.columns
             columns[at] = pa.array(new, part.schema.field(at).type)

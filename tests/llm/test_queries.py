@@ -219,9 +219,9 @@ def test_skip_links_add_recall(spark):
     texts = [f"call +1 (988) {i}-{i * 37 % 9000 + 1000} now. much later, again {i}-{i * 37 % 9000 + 1000} please" for i in range(200, 260)]
     model = pii.fit(common.table(spark, SF, "documents"))
     base = [pii.base_spans(t) for t in texts]
-    with_links = sum(len(a) for a in pii.added_spans(model, texts, base))
+    with_links = sum(len(a) for a in pii.added_spans(model, texts, base)[0])
     alone = pii.PiiModel(model.unary, model.chain, np.zeros_like(model.skip), model.params)
-    without = sum(len(a) for a in pii.added_spans(alone, texts, base))
+    without = sum(len(a) for a in pii.added_spans(alone, texts, base)[0])
     assert with_links >= 50 and without == 0
 
 
