@@ -6,12 +6,14 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafolio.sources import xlsx
+
 CELLS = "file string, sheet string, row_num long, cells map<string,string>"
 CARD = (
     "address struct<area: string, street: string, number: string, complement: string, zipcode: string, geo: struct<coordinates: array<double>>>, "
@@ -19,48 +21,22 @@ CARD = (
 )
 
 
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def _sheet_rows(book: zipfile.ZipFile, path: str, shared: list[str]) -> Iterator[tuple[int, dict[str, str]]]:
-    with book.open(path) as stream:
-        for _, row in ElementTree.iterparse(stream):
-            if _local(row.tag) != "row":
-                continue
-            cells = {}
-            for cell in row:
-                texts = [t.text or "" for t in cell.iter() if _local(t.tag) in ("v", "t")]
-                if texts:
-                    text = "".join(texts)
-                    cells[re.sub(r"\d", "", cell.get("r", ""))] = shared[int(text)] if cell.get("t") == "s" else text
-            yield int(row.get("r", "0")), cells
-            row.clear()
-
-
 def spreadsheets(spark: SparkSession, path: str, sheets: str = ".*") -> DataFrame:
     """file, sheet, row_num, cells (column letter -> text) of the .xlsx files at ``path``; absent cells are absent, not empty.
 
-    Files are read by Spark (``binaryFile``), one row a file, and parsed in tasks row by row; sheets by a pattern of their names.
+    Files are read by Spark (``binaryFile``) from any store that it knows, one row a file, and parsed in tasks row by row; sheets by a
+    pattern of their names. ``xlsx.sheets`` reads a sheet a task instead, and doesn't hold whole files.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    shared = []
-                    if "xl/sharedStrings.xml" in book.namelist():
-                        root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-                        shared = ["".join(t.text or "" for t in item.iter() if _local(t.tag) == "t") for item in root]
-                    links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-                    found = [x for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
-                    for sheet in found:
-                        if not re.fullmatch(sheets, sheet.get("name", "")):
-                            continue
-                        target = next(links[v] for k, v in sheet.attrib.items() if _local(k) == "id").lstrip("/")
-                        rows = [(name, sheet.get("name"), n, cells) for n, cells in _sheet_rows(book, target if target.startswith("xl/") else f"xl/{target}", shared)]
-                        for start in range(0, len(rows), 10_000):
-                            yield pd.DataFrame(rows[start : start + 10_000], columns=["file", "sheet", "row_num", "cells"])
+                    shared = xlsx.shared_strings(book)
+                    for sheet, path in xlsx.sheets_of(book):
+                        rows = ((name, sheet, n, cells) for n, cells in xlsx.sheet_rows(book, path, shared)) if re.fullmatch(sheets, sheet) else iter(())
+                        while piece := list(islice(rows, xlsx.ROWS_PER_BATCH)):
+                            yield pd.DataFrame(piece, columns=["file", "sheet", "row_num", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, CELLS)
 
