@@ -167,7 +167,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray, p: MixingParams) -> tuple
 
         schema = "slice int, sums binary"
         total = np.zeros(k + k * k)
-        for row in members.select("n_tokens", "p").mapInArrow(run, schema).repartition("slice").mapInArrow(add, schema).collect():
+        made = members.select("n_tokens", "p").mapInArrow(run, schema)
+        # one slice streams through one task; slices of many domains are dealt out
+        dealt = made.repartition(1) if len(total) <= SLICE else made.repartition("slice")
+        for row in dealt.mapInArrow(add, schema).collect():
             total[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["sums"])
         return total[:k], total[k:].reshape(k, k)
 
