@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafolio.operators import history
+
 
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """check, n: how many rows each check's query finds; the checks pass if all are 0."""
@@ -58,3 +60,8 @@ def header_layout(cells: DataFrame, names: dict[str, str], columns: list[str]) -
     found = [F.when(~F.col("has"), "sem cabeçalho"), F.when(F.col("has") & empty, "colunas vazias")]
     found += [F.when(F.col("has") & (cell(c) != name), f"coluna {c}") for c, name in names.items()]
     return sheets.select("sheet", F.explode(F.array_compact(F.array(*found))).alias("problema"))
+
+
+def not_settled(listings: DataFrame) -> DataFrame:
+    """Codes that removing re-advertised units once more would take out of listings that are said to be free of them."""
+    return listings.select("codigo").join(history.merge_readvertised(listings).select("codigo"), "codigo", "left_anti")

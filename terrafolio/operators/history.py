@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafolio.operators.order import free
 from terrafolio.params import DEFAULT, Params
 
 STATE = "codigo long, preco_inicial double, preco_atual double, mudancas int, visto_primeira timestamp, visto_ultima timestamp, saida timestamp, voltas int"
@@ -57,35 +60,73 @@ def history_at_once(events: DataFrame) -> DataFrame:
     return left.select("codigo", "preco_inicial", "preco_atual", "mudancas", "visto_primeira", "visto_ultima", "saida", "voltas")
 
 
+def _one_pass(units: list[tuple], share: float) -> list[tuple]:
+    """Units (code, price, made, oldest) after each opener, in order, has taken those still free within ``share`` of its price.
+
+    Prices are sorted once and free ones linked, so that each unit is taken once however many lie close; units without a price, or of
+    price 0, stay alone. The newest of a cluster stays, the first of equals, with the oldest date of all; unknown dates are older than any.
+    """
+    by_price = sorted((i for i, u in enumerate(units) if u[1]), key=lambda i: (units[i][1], i))
+    prices = [units[i][1] for i in by_price]
+    place = {i: k for k, i in enumerate(by_price)}
+    following = list(range(len(prices) + 1))  # the first free place from here on
+
+    def next_free(k: int) -> int:
+        end = k
+        while following[end] != end:
+            end = following[end]
+        while following[k] != end:
+            following[k], k = end, following[k]
+        return end
+
+    kept, taken = [], [False] * len(units)
+    for i, unit in enumerate(units):
+        if taken[i]:
+            continue
+        cluster = [i]
+        if i in place:
+            opener = unit[1]
+            k = next_free(bisect_left(prices, opener * (1 - share) * (1 - 1e-9)))
+            while k < len(prices) and (prices[k] <= opener or prices[k] - opener <= share * opener):
+                if opener - prices[k] <= share * opener:
+                    taken[by_price[k]] = True
+                    following[k] = k + 1
+                    if by_price[k] != i:
+                        cluster.append(by_price[k])
+                k = next_free(k + 1)
+        cluster.sort()
+        newest = max((units[j] for j in cluster), key=lambda u: (u[2] is not None, u[2] if u[2] is not None else 0))
+        kept.append((*newest[:3], min((units[j][3] for j in cluster if units[j][3] is not None), default=None)))
+    return kept
+
+
 def merge_readvertised(listings: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """codigo, mais_antigo of what stays: in each building and exact area, units within a few percent of a cluster's opener
     are one, the newest stays with the oldest date of all; repeated until nothing merges. Rows without a building stay.
 
-    ``listings`` has endereco, area, ordem (of arrival), codigo, preco, criado. Order decides here, so groups are looped over in
-    pandas: of one building and area, and of prices without a gap that no cluster can cross, so that only they meet in a task.
+    ``listings`` has endereco, area, ordem (of arrival), codigo, preco, criado. A null area is an area of its own; units without a
+    price, or of price 0, merge with nothing; an unknown date is older than any, and of several the first to arrive stays.
+    Order decides here, so groups are looped over in pandas: of one building and area, and of prices without a gap that no cluster
+    can cross, so that only they meet in a task, in time that grows with their number times its logarithm.
     """
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ordem")
-        units = [(code, price, made, made) for code, price, made in zip(rows["codigo"], rows["preco"], rows["criado"])]
+        known = lambda x: None if pd.isna(x) else x
+        units = [(code, known(price), known(made), known(made)) for code, price, made in zip(rows["codigo"], rows["preco"], rows["criado"])]
         while True:
-            left, kept = units, []
-            while left:
-                opener = left[0][1]
-                near = [u for u in left if abs(u[1] - opener) <= p.merge_price_share * opener]
-                left = [u for u in left if abs(u[1] - opener) > p.merge_price_share * opener]
-                newest = max(near, key=lambda u: u[2])
-                kept.append((*newest[:3], min(u[3] for u in near)))
+            kept = _one_pass(units, p.merge_price_share)
             done, units = len(kept) == len(units), kept
             if done:
                 break
         return pd.DataFrame({"codigo": [u[0] for u in units], "mais_antigo": [u[3] for u in units]})
 
     out = listings.select(F.col("codigo"), F.col("criado").alias("mais_antigo")).schema
+    gap, island = free(listings, "_gap"), free(listings, "_island")
     by = Window.partitionBy("endereco", "area").orderBy("preco")
     # a hair more than the widest step from an opener to a unit below it; those above are nearer
     apart = F.col("preco") * (1 - p.merge_price_share) * (1 - 1e-9) > F.lag("preco").over(by)
-    gaps = listings.where("endereco is not null").withColumn("_gap", F.when(apart, 1).otherwise(0))
-    islands = gaps.withColumn("_island", F.sum("_gap").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
-    keyed = islands.groupBy("endereco", "area", "_island").applyInPandas(settle, out)
+    gaps = listings.where("endereco is not null").withColumn(gap, F.when(apart, 1).otherwise(0))
+    islands = gaps.withColumn(island, F.sum(gap).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop(gap)
+    keyed = islands.groupBy("endereco", "area", island).applyInPandas(settle, out)
     return keyed.union(listings.where("endereco is null").select("codigo", F.col("criado").alias("mais_antigo")))
