@@ -41,6 +41,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def also(name: str, known: str) -> None:
+    """A second name of a query, with its SQL."""
+    QUERIES[name], ORACLES[name] = QUERIES[known], ORACLES[known]
+
+
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
     s = sales(spark, d)
     return clean.clean_layer(s, F.col("tipo"), F.col("natureza") == "F", F.col("desconto") < 0.1, F.col("valor"), F.col("area") * 1500.0)
@@ -214,9 +219,9 @@ def _(spark, d):
     return prices.representative(_segments(spark, d)).select("bairro", "tipo", "faixa", "recentes", "gap")
 
 
-@query("gap_alerts_top12", f"{SEGMENTS} SELECT bairro, tipo, faixa, gap, anuncios FROM seg WHERE abs(gap) >= 10 AND NOT pequena AND anuncios >= 3 ORDER BY abs(gap) DESC, bairro, tipo, faixa LIMIT 12")
+@query("gap_alerts_top12", f"{SEGMENTS} SELECT bairro, tipo, faixa, gap, anuncios FROM seg WHERE abs(gap) >= 20 AND NOT pequena AND anuncios >= 3 ORDER BY abs(gap) DESC, bairro, tipo, faixa LIMIT 12")
 def _(spark, d):
-    return prices.gap_alerts(_segments(spark, d), least_gap=10.0).select("bairro", "tipo", "faixa", "gap", "anuncios")
+    return prices.gap_alerts(_segments(spark, d)).select("bairro", "tipo", "faixa", "gap", "anuncios")
 
 
 LAUNCH = f"""WITH {SALES}, l AS (SELECT endereco, date_diff('day', dia, lead(dia, 4) OVER (PARTITION BY endereco ORDER BY dia)) <= 182 AS hit FROM sales),
@@ -277,23 +282,22 @@ def _(spark, d):
     return period.price_index(sales(spark, d), ["tipo"], "m2").withColumn("fator", half_up(F.col("fator"), 6))
 
 
-def _resolution(spark, d, whole: bool = False):
-    """Rows, resolved rows and block votes; by ``whole`` every named row votes at every level, else those that the SQL has."""
+def _resolution(spark, d):
+    """Rows, resolved rows and block votes; every named row votes at every level."""
     people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = people.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("nome"), F.floor(F.col("c_custkey") / 3).alias("endereco"), (F.col("c_nationkey") * 10 + F.col("c_custkey") % 7).alias("quadra"), (F.col("c_custkey") % 40).alias("cep"), F.col("n_name").alias("praca"))
+    rows = people.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("nome"), F.floor(F.col("c_custkey") / 3).alias("endereco"), (F.col("c_nationkey") * 10 + F.col("c_custkey") % 7).alias("quadra"), (F.col("c_custkey") % 700).alias("cep"), F.col("n_name").alias("praca"))
     named = rows.where("nome in ('BUILDING', 'MACHINERY')")
     names = named.select("nome", F.concat(F.lit("B_"), "nome").alias("destino")).distinct()
     voters = named.withColumn("destino", F.concat(F.lit("B_"), "nome"))
-    of = lambda some: voters if whole else voters.where(some)
-    blocks = resolve.block_votes(of("id % 2 = 0"), "quadra", "destino")
-    return rows, resolve.cascade(rows, names, stats.majority(of("id % 4 = 1"), ["endereco"], "destino"), blocks, stats.majority(of("cep < 20"), ["cep"], "destino")), blocks
+    blocks = resolve.block_votes(voters, "quadra", "destino")
+    return rows, resolve.cascade(rows, names, stats.majority(voters, ["endereco"], "destino"), blocks, stats.majority(voters, ["cep"], "destino")), blocks
 
 
-VOTES = """WITH rows AS (SELECT c_custkey AS id, c_mktsegment AS nome, c_custkey // 3 AS endereco, c_nationkey * 10 + c_custkey % 7 AS quadra, c_custkey % 40 AS cep FROM customer JOIN nation ON c_nationkey = n_nationkey),
+VOTES = """WITH rows AS (SELECT c_custkey AS id, c_mktsegment AS nome, c_custkey // 3 AS endereco, c_nationkey * 10 + c_custkey % 7 AS quadra, c_custkey % 700 AS cep FROM customer JOIN nation ON c_nationkey = n_nationkey),
   v AS (SELECT *, 'B_' || nome AS destino FROM rows WHERE nome IN ('BUILDING', 'MACHINERY')),
-  va AS (SELECT endereco, destino AS a FROM (SELECT endereco, destino, count(*) AS n FROM v WHERE id % 4 = 1 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY endereco ORDER BY n DESC, destino) = 1),
-  vb AS (SELECT quadra, destino AS winner, 100 * n / sum(n) OVER (PARTITION BY quadra) AS confianca, CAST(sum(n) OVER (PARTITION BY quadra) AS BIGINT) AS n FROM (SELECT quadra, destino, count(*) AS n FROM v WHERE id % 2 = 0 GROUP BY 1, 2) t QUALIFY row_number() OVER (PARTITION BY quadra ORDER BY t.n DESC, destino) = 1),
-  vc AS (SELECT cep, destino AS p FROM (SELECT cep, destino, count(*) AS n FROM v WHERE cep < 20 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cep ORDER BY n DESC, destino) = 1),
+  va AS (SELECT endereco, destino AS a FROM (SELECT endereco, destino, count(*) AS n FROM v GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY endereco ORDER BY n DESC, destino) = 1),
+  vb AS (SELECT quadra, destino AS winner, 100 * n / sum(n) OVER (PARTITION BY quadra) AS confianca, CAST(sum(n) OVER (PARTITION BY quadra) AS BIGINT) AS n FROM (SELECT quadra, destino, count(*) AS n FROM v GROUP BY 1, 2) t QUALIFY row_number() OVER (PARTITION BY quadra ORDER BY t.n DESC, destino) = 1),
+  vc AS (SELECT cep, destino AS p FROM (SELECT cep, destino, count(*) AS n FROM v GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cep ORDER BY n DESC, destino) = 1),
   r AS (SELECT id, CASE WHEN nome IN ('BUILDING', 'MACHINERY') THEN 'B_' || nome END AS own, a, winner AS b, confianca AS c, p FROM rows LEFT JOIN va USING (endereco) LEFT JOIN vb USING (quadra) LEFT JOIN vc USING (cep)),
   res AS (SELECT id, coalesce(own, a, CASE WHEN c >= 80 THEN b END, p, CASE WHEN c >= 60 THEN b END) AS destino, CASE WHEN own IS NOT NULL THEN 'campo_original' WHEN a IS NOT NULL THEN 'voto_endereco' WHEN c >= 80 THEN 'quadra_alta' WHEN p IS NOT NULL THEN 'cep' WHEN c >= 60 THEN 'quadra_media' ELSE 'incerto' END AS metodo FROM r)"""
 
@@ -313,20 +317,8 @@ def _(spark, d):
     return resolve.closing_balance(_resolution(spark, d)[1])
 
 
-# without SQL, the same over all voters
-@query("block_vote_confidence_all")
-def _(spark, d):
-    return _rounded(_resolution(spark, d, whole=True)[2], "confianca")
-
-
-@query("resolution_cascade_all")
-def _(spark, d):
-    return _resolution(spark, d, whole=True)[1].select("id", "destino", "metodo")
-
-
-@query("closing_balance_all")
-def _(spark, d):
-    return resolve.closing_balance(_resolution(spark, d, whole=True)[1])
+for _name in ("block_vote_confidence", "resolution_cascade", "closing_balance"):
+    also(f"{_name}_all", _name)
 
 
 @query(
@@ -444,13 +436,13 @@ def _(spark, d):
 
 @query(
     "paid_by_year",
-    f"""WITH {SALES}, y AS (SELECT bairro, tipo, year(dia) AS ano, count(*) AS n, median(valor) AS m, min(month(dia)) AS de, max(month(dia)) AS ate FROM sales WHERE area < 30 GROUP BY 1, 2, 3),
+    f"""WITH {SALES}, y AS (SELECT bairro, tipo, year(dia) AS ano, count(*) AS n, median(valor) AS m, min(month(dia)) AS de, max(month(dia)) AS ate FROM sales GROUP BY 1, 2, 3),
   p AS (SELECT y.*, o.m AS anterior, o.n AS antes FROM y LEFT JOIN y o ON o.bairro = y.bairro AND o.tipo = y.tipo AND o.ano = y.ano - 1)
   SELECT bairro, tipo, CAST(ano AS INTEGER) AS ano, n, floor(m * 1000000 + 0.5) / 1000000 AS mediana, CAST(de AS INTEGER) AS de, CAST(ate AS INTEGER) AS ate, n < 10 AS pequena,
     CASE WHEN n >= 10 AND antes >= 10 THEN floor(100 * (m - anterior) / anterior * 10 + 0.5) / 10 END AS variacao FROM p""",
 )
 def _(spark, d):
-    return _rounded(market.paid_by_year(sales(spark, d).where("area < 30")), "mediana")
+    return _rounded(market.paid_by_year(sales(spark, d)), "mediana")
 
 
 @query("search_interest", "WITH t AS (SELECT DISTINCT event_type AS bairro, user_id AS termo, day(ts) AS mes, user_id % 9 + 1 AS n FROM events), m AS (SELECT bairro, mes, sum(n) AS n FROM t GROUP BY 1, 2) SELECT bairro, floor(avg(n) * 1000000 + 0.5) / 1000000 AS media FROM m GROUP BY 1")
@@ -472,23 +464,18 @@ def _(spark, d):
 
 @query(
     "similar_listings",
-    f"""WITH {LISTINGS}, r AS (SELECT codigo AS pedido_id, endereco AS e, bairro AS b, area AS a, pedido_valor AS v FROM listings WHERE codigo % 10 = 0),
+    f"""WITH {LISTINGS}, r AS (SELECT codigo AS pedido_id, endereco AS e, bairro AS b, area AS a, pedido_valor AS v FROM listings),
   u AS (SELECT pedido_id, codigo, true AS mesmo_predio, abs(pedido_valor - v) AS gap FROM r JOIN listings ON e = endereco UNION ALL
     SELECT pedido_id, codigo, false, abs(pedido_valor - v) FROM r JOIN listings ON b = bairro AND e <> endereco AND abs(area - a) <= 0.1 * a AND abs(pedido_valor - v) <= 0.1 * v)
   SELECT pedido_id, codigo, mesmo_predio, CAST(row_number() OVER (PARTITION BY pedido_id ORDER BY mesmo_predio DESC, gap, codigo) AS INTEGER) AS posto FROM u QUALIFY posto <= 8""",
 )
 def _(spark, d):
     offers = listings(spark, d)
-    asked = offers.where("codigo % 10 = 0").select(F.col("codigo").alias("pedido_id"), "endereco", "bairro", "area", F.col("pedido_valor").alias("valor"))
+    asked = offers.select(F.col("codigo").alias("pedido_id"), "endereco", "bairro", "area", F.col("pedido_valor").alias("valor"))
     return market.similar_listings(asked, offers)
 
 
-# every listing as a request; the SQL of similar_listings asks for one in ten
-@query("similar_listings_all")
-def _(spark, d):
-    offers = listings(spark, d)
-    asked = offers.select(F.col("codigo").alias("pedido_id"), "endereco", "bairro", "area", F.col("pedido_valor").alias("valor"))
-    return market.similar_listings(asked, offers)
+also("similar_listings_all", "similar_listings")
 
 
 @query("ranking_moves", f"WITH {SALES}, n AS (SELECT bairro, row_number() OVER (ORDER BY count(*) FILTER (year(dia) = 2000) DESC, bairro) AS posto, row_number() OVER (ORDER BY count(*) FILTER (year(dia) = 1999) DESC, bairro) AS anterior FROM sales GROUP BY 1) SELECT bairro, posto, anterior, anterior - posto AS subiu FROM n")

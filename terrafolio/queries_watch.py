@@ -67,9 +67,9 @@ def _(spark, d):
     return resolve.portfolio(rows, offers(spark, d).where("bairro <> 'Brand#9'"))
 
 
-@query("prefix_majority", f"WITH {DEEDS}, v AS (SELECT split_part(addr_key, '|', 1) AS rua, coalesce(bairro, '') AS v, count(*) AS k, min(row_num) AS f FROM deeds WHERE addr_key IS NOT NULL AND chave_ok GROUP BY 1, 2), t AS (SELECT *, CAST(sum(k) OVER (PARTITION BY rua) AS BIGINT) AS n FROM v QUALIFY row_number() OVER (PARTITION BY rua ORDER BY k DESC, f) = 1) SELECT rua, n, CASE WHEN n >= 3 AND v <> '' AND k >= 0.6 * n THEN v END AS destino FROM t".replace("chave_ok", "row_num % 10 < 3"))
+@query("prefix_majority", f"WITH {DEEDS}, v AS (SELECT split_part(addr_key, '|', 1) AS rua, coalesce(bairro, '') AS v, count(*) AS k, min(row_num) AS f FROM deeds WHERE addr_key IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, CAST(sum(k) OVER (PARTITION BY rua) AS BIGINT) AS n FROM v QUALIFY row_number() OVER (PARTITION BY rua ORDER BY k DESC, f) = 1) SELECT rua, n, CASE WHEN n >= 3 AND v <> '' AND k >= 0.6 * n THEN v END AS destino FROM t")
 def _(spark, d):
-    rows = deeds(spark, d).where("addr_key is not null and row_num % 10 < 3").withColumn("rua", F.substring_index("addr_key", "|", 1))
+    rows = deeds(spark, d).where("addr_key is not null").withColumn("rua", F.substring_index("addr_key", "|", 1))
     return resolve.prefix_majority(rows, "rua", "bairro", ["row_num"])
 
 
