@@ -109,3 +109,15 @@ def test_estimate_levels(spark):
     asked = spark.createDataFrame([(1, "p", "b", "t", 100.0, None), (2, "zz", "b", "t", 100.0, None), (3, "zz", "c", "t", 100.0, None)], "pedido_id long, endereco string, bairro string, tipo string, area double, venda long")
     found = {r["pedido_id"]: (r["nivel"], r["n"], r["estimativa"], r["confianca"]) for r in valuation.estimate(asked, sales).collect()}
     assert found == {1: ("predio", 5, 1_020_000.0, "alta"), 2: ("bairro", 13, 800_000.0, "baixa")}
+
+
+def test_usages_amounts_and_place_names_by_their_rules(spark):
+    from terrafolio.functions import text
+    from terrafolio.operators import sheet
+
+    usages = {"10": True, "25.0": True, "20.000": True, "20.5": False, "20.": False, "020": False, "30": False, "": False, "20.0.0": False, "2e1": False}
+    amounts = {"1200": True, "1200.50": True, "0": False, "0.00": False, "-5": False, "1,200": False, "1e3": False, ".5": False, "5.": False, "": False, "1.2.3": False}
+    names = {"Moema": True, "": False, "  \t ": False, "123": False, " 123 ": False, "12 34": True, "Casa 2": False, "casa": False, "Casa-2": False, "CASARÃO": True, "Vila Ed": True, "ED. SOL": False, "LTÁ": True, "AP_1": True, None: False}
+    for known, rule in ((usages, sheet.is_residential), (amounts, sheet.is_amount), (names, text.looks_like_place)):
+        rows = spark.createDataFrame([(k,) for k in known], "x string")
+        assert {r["x"]: r["ok"] for r in rows.select("x", rule(F.col("x")).alias("ok")).collect()} == known
