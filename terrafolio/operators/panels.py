@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafolio.functions.expr import area_band, band_adherence, half_up, payment_category, price_alignment, weighted
-from terrafolio.functions.stats import adaptive_window, first_rows, majority, quantile, trim_iqr
+from terrafolio.functions.stats import adaptive_window, majority, quantile, trim_iqr
 from terrafolio.operators.geo import nearest_places
 from terrafolio.operators.market import stock_demand
+from terrafolio.operators.order import free, numbered
 from terrafolio.operators.period import rolling_medians
 from terrafolio.operators.scoring import prospect_bonus
 from terrafolio.operators.sheet import in_city
@@ -22,12 +23,7 @@ BANK = ("sfh", "mcmv", "sfi")
 HOMES = ("apartamento", "casa")
 
 
-def either(a: Column, b: Column) -> Column:
-    """Both, unknown as false."""
-    return F.coalesce(a, F.lit(False)) & F.coalesce(b, F.lit(False))
-
-
-def count_if(flag: Column) -> Column:
+def either(a(flag: Column) -> Column:
     return F.sum(F.when(flag, 1).otherwise(0))
 
 
@@ -361,10 +357,6 @@ def majority_kind(sales: DataFrame) -> DataFrame:
 
 def every_nth(rows: DataFrame, order: list, tests: int) -> DataFrame:
     """About ``tests`` rows, evenly spaced in a total order."""
-    k = F.row_number().over(Window.orderBy(*order)) - 1  # one task: meant for tables of samples
+    at = free(rows, "_at")
     step = F.greatest(F.lit(1), F.floor(rows.agg(F.count("*")).scalar() / tests))
-    return rows.withColumn("_k", k).where(F.pmod("_k", step) == 0).drop("_k")
-
-
-def best_of(rows: DataFrame, keys: list[str], order: list, top: int) -> DataFrame:
-    return first_rows(rows, keys, order, top)
+    return numbered(rows, [], order, at).where(F.pmod(at, step) == 0).drop(at)

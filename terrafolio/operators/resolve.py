@@ -60,7 +60,7 @@ def translated(rows: DataFrame, dictionary: DataFrame, split: DataFrame) -> Data
     key = F.upper(F.trim("nome"))
     words = dictionary.select(F.upper(F.trim("nome")).alias("_k"), F.col("destino").alias("_to"), F.col("status").alias("_status"))
     parts = split.select(F.col("prefixo").alias("_p"), F.col("destino").alias("_part"))
-    both = rows.withColumns({"_k": key, "_p": F.substring("cep", 1, 5)}).join(F.broadcast(words), "_k", "left").join(F.broadcast(parts), "_p", "left")  # dictionaries
+    both = rows.withColumns({"_k": key, "_p": F.substring("cep", 1, 5)}).join(words, "_k", "left").join(parts, "_p", "left")
     several = F.coalesce(F.col("_k").isin(*SPLIT_NAMES), F.lit(False))
     outside = F.coalesce("_part", F.lit("FORA")) == "FORA"
     to = F.when(several, F.when(~outside, F.col("_part"))).otherwise(F.col("_to"))
@@ -80,7 +80,7 @@ def resolve_places(rows: DataFrame, voters: DataFrame, blocks: DataFrame, target
 
     vote = lambda some, key: majority(some.where(F.col("proprio").isNotNull() & F.col(key).isNotNull()), [key], "proprio", order)
     known = targets.select(F.col("destino").alias("winner"))
-    votes = lambda key, name: vote(voters, key).join(F.broadcast(known), "winner", "left_semi").select(key, F.col("winner").alias(name))
+    votes = lambda key, name: vote(voters, key).join(known, "winner", "left_semi").select(key, F.col("winner").alias(name))
     block = vote(blocks, "quadra").select("quadra", F.col("winner").alias("_block"), (F.floor(1000 * F.col("votes") / F.col("n") + 0.5) / 10).alias("_sure"))
     named = blocks.where(looks_like_place(F.col("nome")) & F.col("quadra").isNotNull()).select("quadra").distinct().withColumn("_any", F.lit(True))
     both = rows.join(votes("endereco", "_address"), "endereco", "left").join(block, "quadra", "left").join(votes("cep", "_post"), "cep", "left").join(named, "quadra", "left")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
 from terrafolio.functions import expr
 from terrafolio.functions.expr import half_up
 from terrafolio.operators import addresses, panels, period, prices, scoring
-
+from terrafolio.operators.order import settled
 from terrafolio.plans.views import DEALS, OFFERS, deals, offers, table
 from terrafolio.queries import PERIOD, query
 
@@ -100,14 +98,14 @@ FACTORS = f"""WITH {DEALS}{END}, k AS (SELECT zona, tipo, mes, m2, e AS i1 FROM
   hoje AS (SELECT deals.*, CASE WHEN mes >= e THEN 1 ELSE coalesce(fator, 1) END AS fator FROM deals CROSS JOIN fim LEFT JOIN factors f ON f.zona = deals.zona AND f.tipo = deals.tipo AND f.i = greatest({START}, least(e, mes)))"""
 
 
-def _factors(spark, d):
-    rows = deals(spark, d)
+def _factors(spark, d, rows=None):
+    rows = rows or deals(spark, d)
     end = end_of(rows)
     return rows, panels.time_factors(rows, F.lit(START), end), end
 
 
-def _today(spark, d):
-    rows, factors, end = _factors(spark, d)
+def _today(spark, d, rows=None):
+    rows, factors, end = _factors(spark, d, rows)
     return panels.corrected(rows, factors, F.lit(START), end)
 
 
@@ -186,8 +184,8 @@ ADDRESSES = f"""lk AS (SELECT endereco, date_diff('day', dia, lead(dia, 4) OVER
   adr AS (SELECT endereco, bairro, nome, tipo, n, mediana, CASE WHEN n = 1 THEN 'unico' WHEN menor < 30000 OR maior / menor > 20 THEN 'incoerente' WHEN lancamento THEN 'lancamento' ELSE 'prospecto' END AS situacao FROM ax JOIN la USING (endereco) LEFT JOIN tp USING (endereco) LEFT JOIN nomes USING (endereco))"""
 
 
-def _addresses(spark, d):
-    clean = deals(spark, d).where("limpa")
+def _addresses(spark, d, rows=None):
+    clean = (rows or deals(spark, d)).where("limpa")
     found = addresses.liquidity(clean).select("endereco", "bairro", "n", "mediana", "situacao")
     return found.join(panels.majority_kind(clean), "endereco", "left").join(_names(spark, d), "endereco", "left")
 
@@ -210,14 +208,16 @@ PLACES = f"""vz AS (SELECT bairro, count(*) FILTER (revenda AND mes <= e AND mes
   sl AS (SELECT bairro, razao, total, revendas < 100 AS pequena, razao <= baixo AND revendas > 0 AS oportunidade, total >= alto AS saturacao, revendas >= 100 AND confiavel AND no_perfil <= 60 AND total <= pouco AS escassez, revendas >= 100 AND confiavel AND no_perfil <= 60 AND NOT total <= pouco AND estoque > 0 AS fora_do_perfil FROM rz, cu)"""
 
 
-def _bands(spark, d):
-    rows = deals(spark, d).where("limpa and tipo is not null")
+def _bands(spark, d, rows=None):
+    every = rows or deals(spark, d)
+    rows = every.where("limpa and tipo is not null")
     stock = offers(spark, d).withColumnRenamed("valor", "pedido_valor")
-    return prices.adaptive_band(rows, stock, ["bairro", "tipo"], end_of(deals(spark, d)))
+    return prices.adaptive_band(rows, stock, ["bairro", "tipo"], end_of(every))
 
 
-def _places(spark, d):
-    rows, stock, bands = deals(spark, d), offers(spark, d), _bands(spark, d)
+def _places(spark, d, rows=None):
+    rows = rows or deals(spark, d)
+    stock, bands = offers(spark, d), _bands(spark, d, rows)
     timed = rows.withColumn("e", end_of(rows))
     volume = timed.groupBy("bairro").agg(panels.count_if(F.col("revenda") & (F.col("mes") <= F.col("e")) & (F.col("mes") > F.col("e") - 12)).alias("revendas"), F.count("*").alias("volume"))
     reliable = bands.groupBy("bairro").agg(F.max(~F.col("few")).alias("confiavel"), F.sum("stock").alias("no_perfil"), F.sum(F.when(~F.col("few"), F.col("stock")).otherwise(0)).alias("nota"))
@@ -255,18 +255,18 @@ PRIORITIES = f"""{SCORES}, hj365 AS (SELECT max(dia) AS h FROM deals), seg AS (S
 ALL = f"WITH {DEALS}{END}, {OFFERS}, {PLACES}, {ADDRESSES}, {PRIORITIES}"
 
 
-def _scores(spark, d):
-    rows = deals(spark, d)
+def _scores(spark, d, rows=None):
+    rows = rows or deals(spark, d)
     return scoring.neighbourhood_score(rows.withColumn("tipo", F.lit("x")), F.col("limpa"))
 
 
-def _priorities(spark, d):
-    rows = deals(spark, d)
+def _priorities(spark, d, rows=None):
+    rows = rows or deals(spark, d)
     banded = rows.where("limpa").withColumn("faixa", expr.area_band(F.col("area"))).withColumn("hoje", rows.agg(F.max("dia")).scalar())
     segments = banded.groupBy("bairro", "tipo", "faixa").agg(F.median("m2").alias("pago"), (panels.count_if(F.datediff("hoje", "dia").between(0, 365)) < 10).alias("pequena"))
-    prospects = _addresses(spark, d).where("situacao = 'prospecto'").select("endereco", "n")
+    prospects = _addresses(spark, d, rows).where("situacao = 'prospecto'").select("endereco", "n")
     units = rows.groupBy("endereco").agg(F.countDistinct("unidade").alias("unidades"))
-    return panels.priorities(offers(spark, d), _scores(spark, d), segments, _bands(spark, d), prospects, units)
+    return panels.priorities(offers(spark, d), _scores(spark, d, rows), segments, _bands(spark, d, rows), prospects, units)
 
 
 @query("priority_listings", f"{ALL} SELECT * FROM pri")
@@ -289,9 +289,9 @@ FOUND = f"""{FACTORS}, {HOUSES}, {BUILDINGS}, {OFFERS}, sg AS (SELECT zona, tipo
   achados AS (SELECT codigo, bairro, nome, tipo, comparacao, {r('ref', 2)} AS referencia, {r('(1 - de / ref) * 100', 1)} AS desconto, 1 - de / ref >= 0.2 AS achado, 1 - de / ref >= 0.3 AS atencao, {r('(1 - de / br) * 100', 1)} AS desconto_bruto FROM ac WHERE ref IS NOT NULL)"""
 
 
-def _findings(spark, d):
-    today = _today(spark, d)
-    raw = deals(spark, d).where("limpa").withColumn("faixa", expr.area_band(F.col("area"))).groupBy("zona", "tipo", "faixa").agg(F.median("m2").alias("bruta"), F.count("*").alias("k")).where("k >= 10")
+def _findings(spark, d, today=None):
+    today = today or _today(spark, d)
+    raw = today.where("limpa").withColumn("faixa", expr.area_band(F.col("area"))).groupBy("zona", "tipo", "faixa").agg(F.median("m2").alias("bruta"), F.count("*").alias("k")).where("k >= 10")
     return panels.findings(offers(spark, d).where("valor > 0"), panels.building_prices(today), raw, panels.house_reference(today))
 
 
@@ -307,9 +307,10 @@ def _(spark, d):
 
 @query("findings_summary", f"{FOUND} SELECT tipo, count(*) AS elegiveis, count(*) FILTER (achado) AS achados, count(*) FILTER (desconto_bruto >= 20) AS achados_bruto, {r('100 * count(*) FILTER (desconto < 0) / count(*)', 1)} AS pct_acima, (SELECT count(DISTINCT o.endereco) FROM offers o JOIN predios p USING (endereco) WHERE p.razao <= 1.25 AND o.tipo = 'apartamento') AS predios_com_anuncio FROM achados GROUP BY 1")
 def _(spark, d):
-    homogeneous = panels.building_prices(_today(spark, d)).where("homogeneo").select("endereco")
+    today = settled(_today(spark, d))  # for both the buildings and the findings
+    homogeneous = panels.building_prices(today).where("homogeneo").select("endereco")
     with_offer = offers(spark, d).where("tipo = 'apartamento'").join(homogeneous, "endereco").agg(F.countDistinct("endereco")).scalar()
-    found = _findings(spark, d).groupBy("tipo").agg(F.count("*").alias("elegiveis"), panels.count_if(F.col("achado")).alias("achados"), panels.count_if(F.col("desconto_bruto") >= 20).alias("achados_bruto"), half_up(100 * panels.count_if(F.col("desconto") < 0) / F.count("*"), 1).alias("pct_acima"))
+    found = _findings(spark, d, today).groupBy("tipo").agg(F.count("*").alias("elegiveis"), panels.count_if(F.col("achado")).alias("achados"), panels.count_if(F.col("desconto_bruto") >= 20).alias("achados_bruto"), half_up(100 * panels.count_if(F.col("desconto") < 0) / F.count("*"), 1).alias("pct_acima"))
     return found.withColumn("predios_com_anuncio", with_offer)
 
 
@@ -323,15 +324,17 @@ def _(spark, d):
   SELECT bairro, pequena, {r('f1')} AS f1, {r('f2')} AS f2, {r('f4')} AS f4, {r('f5')} AS f5, {r('f6')} AS f6, {r('(0.25 * f1 + coalesce(0.25 * f2, 0) + 0.15 * f4 + 0.25 * f5 + 0.1 * f6) / (0.75 + CASE WHEN f2 IS NULL THEN 0 ELSE 0.25 END)', 1)} AS prontidao FROM j4""",
 )
 def _(spark, d):
-    priority = _priorities(spark, d)
+    rows = settled(deals(spark, d))  # what all factors start from
+    priority = _priorities(spark, d, rows)
     order = [F.desc("score"), F.lower("nome"), "codigo"]
     best = scoring.top_mean(priority, "bairro", "score", order).select("bairro", F.col("media").alias("media10"))
-    prospects = _addresses(spark, d).where("situacao = 'prospecto'").groupBy("bairro").agg(F.count("*").alias("captacao"))
-    houses = _findings(spark, d).where("tipo = 'casa'").groupBy("bairro").agg(F.count("*").alias("eleg"), panels.count_if(F.col("achado")).alias("achados"))
-    places = _places(spark, d).select("bairro", (F.col("revendas") < 100).alias("pequena"), F.col("nota").alias("no_perfil")).join(_scores(spark, d).select("bairro", "score"), "bairro")
+    prospects = _addresses(spark, d, rows).where("situacao = 'prospecto'").groupBy("bairro").agg(F.count("*").alias("captacao"))
+    houses = _findings(spark, d, settled(_today(spark, d, rows))).where("tipo = 'casa'").groupBy("bairro").agg(F.count("*").alias("eleg"), panels.count_if(F.col("achado")).alias("achados"))
+    places = _places(spark, d, rows).select("bairro", (F.col("revendas") < 100).alias("pequena"), F.col("nota").alias("no_perfil")).join(_scores(spark, d, rows).select("bairro", "score"), "bairro")
     for extra in (prospects, best, houses):
         places = places.join(extra, "bairro", "left")
-    return panels.readiness(places.withColumn("captacao", F.coalesce("captacao", F.lit(0))))
+    # the ends that factors are scaled by come from the same few rows
+    return panels.readiness(settled(places.withColumn("captacao", F.coalesce("captacao", F.lit(0)))))
 
 
 GROUPS = f"""WITH {DEALS}{END}, {OFFERS}, {PLACES}, {ADDRESSES}, ku AS (SELECT bairro, count(*) FILTER (situacao = 'prospecto') AS k FROM adr WHERE mediana >= 800000 AND situacao IN ('prospecto', 'unico') GROUP BY 1), hj AS (SELECT endereco, count(*) AS n_hoje FROM offers WHERE situacao NOT IN (3, 4) GROUP BY 1),

@@ -121,3 +121,46 @@ def test_usages_amounts_and_place_names_by_their_rules(spark):
     for known, rule in ((usages, sheet.is_residential), (amounts, sheet.is_amount), (names, text.looks_like_place)):
         rows = spark.createDataFrame([(k,) for k in known], "x string")
         assert {r["x"]: r["ok"] for r in rows.select("x", rule(F.col("x")).alias("ok")).collect()} == known
+
+
+def test_address_search_equals_the_plain_rule(spark):
+    import random
+    import re
+
+    from terrafolio.operators import search
+    from terrafolio.operators.order import settled
+
+    rng = random.Random(6)
+    words = ["CD", "DE", "ITU", "AV", "AVIAÇÃO", "S", "JOAQUIM", "STA", "RITA", "R", "DR", "ALVES", "PE", "PEDRO"]
+    buildings = [(i, " ".join(rng.choices(words, k=3)), str(rng.randrange(1, 9))) for i in range(120)]
+    streets = sorted({(t, i % 3) for i, t, _ in buildings})
+    streets = [(k, t, t.title(), p) for k, (t, p) in enumerate(streets)]
+    requests = [" ".join(rng.choices(["conde", "de", "itu", "avenida", "aviacao", "são", "santa", "rit", "rua", "doutor", "padre", "pe", "zzz", "a", "e"], k=rng.randrange(0, 4)) + rng.choice([[], [], [f"0{rng.randrange(1, 12)}"]])) for _ in range(80)] + [None, "", "12", "de da"]
+    b = spark.createDataFrame([(i, t, n, f"{t}, {n}") for i, t, n in buildings], "id long, texto string, numero string, rotulo string")
+    s = spark.createDataFrame(streets, "id long, texto string, nome string, lugar long")
+    asked = spark.createDataFrame(list(enumerate(requests)), "req long, pedido string")
+    found = search.suggestions(asked, b, s, settled(search.posted(b)), settled(search.posted(s))).collect()
+
+    plain = lambda t: re.sub("[^A-Z0-9]+", " ", t.upper().translate(str.maketrans("ÃÇÕÁÉÍ", "ACOAEI"))).strip()
+    want = set()
+    for req, text in enumerate(requests):
+        tokens = plain(text or "").split()
+        numbers = [t for t in tokens if t.isdigit()]
+        names = [t for t in tokens if not t.isdigit() and t not in search.NO_WORTH]
+        if not names:
+            continue
+        number = str(int(numbers[-1])) if numbers else None
+        fits = lambda t: all(n in t or set(search.ABBREVIATIONS.get(n, ())) & set(t.split()) for n in names)  # noqa: B023, E731
+        hits = [(i, f"{t}, {n}") for i, t, n in buildings if fits(plain(t)) and number in (None, n)][:8]
+        if number is None:
+            hits.sort(key=lambda h: (h[1], h[0]))
+        want |= {(req, k, "predio", *h) for k, h in enumerate(hits, 1)}
+        if number and not hits:
+            roads, seen = [], set()
+            for k, t, name, p in [x for x in streets if fits(plain(x[1]))][:12]:
+                if (name, p) not in seen:
+                    seen.add((name, p))
+                    roads.append((k, f"{name}, {number}"))
+            want |= {(req, k, "rua", *h) for k, h in enumerate(roads[:8], 1)}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert {t for _, _, t, _, _ in want} == {"predio", "rua"}
