@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrafolio.functions import expr
 from terrafolio.functions.expr import half_up
-from terrafolio.operators import addresses, panels, period, prices, scoring
+from terrafolio.operators import addresses, panels, period, prices, ranges, scoring
 from terrafolio.operators.order import settled
 from terrafolio.plans.views import DEALS, OFFERS, deals, offers, table
 from terrafolio.queries import PERIOD, query
@@ -378,6 +378,25 @@ def _(spark, d):
     return _scores(spark, d).select("bairro", "score").where("bairro in ('Brand#1', 'Brand#2', 'Brand#9')")
 
 
+RANGES = (("toda", None, None), ("media", 500_000.0, 1_500_000.0), ("alta", 1_500_000.0, None))
+RANGED = f"""faixas AS (SELECT faixa, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM (VALUES {", ".join(f"('{n}', {'NULL' if a is None else a}, {'NULL' if b is None else b})" for n, a, b in RANGES)}) t(faixa, lo, hi)),
+  tr AS (SELECT faixa, bairro, count(*) AS n, median(valor) AS mediana, count(*) FILTER (limpa AND mes <= e AND mes > e - 12) AS v, count(*) FILTER (limpa AND mes <= e - 12 AND mes > e - 24) AS w FROM deals, fim, faixas WHERE valor IS NULL OR (valor >= coalesce(lo, valor) AND valor <= coalesce(hi, valor)) GROUP BY 1, 2),
+  tf AS (SELECT *, CASE WHEN v >= 50 AND w >= 50 THEN greatest(-1, least(1, (v - w) / w)) END AS t FROM tr), ms AS (SELECT faixa, avg(v) AS vm, stddev_pop(v) AS vs, avg(t) AS tm, stddev_pop(t) AS ts, count(v) AS vn, count(t) AS tn FROM tf GROUP BY 1),
+  zs AS (SELECT tf.*, ((CASE WHEN vn < 2 THEN 0 ELSE (v - vm) / CASE WHEN vs > 0 THEN vs ELSE 1 END END) + (CASE WHEN t IS NULL THEN -2 WHEN tn < 2 THEN 0 ELSE (t - tm) / CASE WHEN ts > 0 THEN ts ELSE 1 END END)) / 2 AS z FROM tf JOIN ms USING (faixa)),
+  nt AS (SELECT *, floor(100 * (z - min(z) OVER (PARTITION BY faixa)) / (CASE WHEN max(z) OVER (PARTITION BY faixa) > min(z) OVER (PARTITION BY faixa) THEN max(z) OVER (PARTITION BY faixa) - min(z) OVER (PARTITION BY faixa) ELSE 1 END) * 10 + 0.5) / 10 AS score FROM zs)"""
+
+
+@query("scores_in_price_ranges", f"WITH {DEALS}{END}, {RANGED} SELECT faixa, bairro, n, {r('mediana', 2)} AS mediana, v AS vendas_12m, score FROM nt WHERE bairro <> 'Brand#9'")
+def _(spark, d):
+    rows = deals(spark, d)
+    timed = rows.withColumn("e", end_of(rows))
+    back = lambda lo, hi: F.col("limpa") & (F.col("mes") <= F.col("e") - lo) & (F.col("mes") > F.col("e") - hi)
+    flags = {"vendas_12m": back(0, 12), "vendas_anterior": back(12, 24)}
+    # one scan of the sales; each range is answered from the counts
+    facts = ranges.in_ranges(settled(ranges.price_counts(timed, ["bairro"], "valor", flags)), RANGES, ["bairro"], list(flags))
+    return ranges.scores_in_ranges(facts, [f"Brand#{k}" for k in range(1, 26) if k != 9])
+
+
 @query("dear_listings", f"WITH {OFFERS} SELECT codigo, {r('valor / area', 2)} AS m2 FROM offers WHERE valor / area > 10000")
 def _(spark, d):
     return offers(spark, d).where("valor / area > 10000").select("codigo", half_up(F.col("valor") / F.col("area"), 2).alias("m2"))
