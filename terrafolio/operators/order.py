@@ -171,7 +171,7 @@ def quantiles(values: DataFrame, asks: DataFrame, shares: Sequence[float]) -> Da
     while largest is not None and FAN**levels <= largest:
         levels += 1
     sizes = ranked.groupBy("key").agg(F.count("*").alias("size"))
-    own = ranked.select("key", F.col("id").alias("own"), F.col("at").alias("own_at"))
+    own = ranked.groupBy("key", F.col("id").alias("own")).agg(F.min("at").alias("own_at"))  # one of rows that repeat an id
     places = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.array(F.floor(F.lit(s) * (F.col("n") - 1)), F.ceil(F.lit(s) * (F.col("n") - 1))) for s in shares)))))
     asked = asks.where("n > 0")
     with_own = asked.where("own is not null").join(own, ["key", "own"], "left").withColumn("own_at", F.when(_near("own_x"), F.col("own_at")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafolio.functions.expr import half_up
-from terrafolio.operators import appraisal, order
+from terrafolio.operators import appraisal, market, order
 from terrafolio.operators.appraisal import LADDER, LEVELS, PERCENTILES
-from terrafolio.plans.views import table
+from terrafolio.plans.views import OFFERS, offers, table
 from terrafolio.queries import query
+from terrafolio.queries_panels import FACTORS as FACTORS_SQL
+from terrafolio.queries_panels import _today as today_sales
 
 r = lambda x, n=6: f"floor({x} * {10**n} + 0.5) / {10**n}"
 SOLD_COLUMNS = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS venda, l_partkey % 400 AS predio, l_partkey % 80 AS rua, l_partkey % 16 AS bairro, l_quantity * 4 AS area, l_extendedprice * 20 * (1 + l_tax) AS hoje, CAST(l_suppkey % 97 * 11 + 5 AS INT) AS unidade, CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INT) AS mes"
@@ -111,16 +113,20 @@ ESTIMATED = f"""{PAIRS}, rz AS (SELECT {r('r', 3)} AS z, row_number() OVER (ORDE
   tested AS (SELECT oi.* EXCLUDE (i) REPLACE (area * mediana / z AS area) FROM oi JOIN tt ON true JOIN rz ON k = i * 7919 % n)"""
 
 
-def calibration_sql(before: str, tested: str) -> str:
+def calibration_ctes(tested: str) -> str:
     """CTEs that end in ``er`` (tests) and ``ca`` (their calibration) of the sales of ``tested``."""
     asked = " UNION ALL ".join(
         f"SELECT venda AS id, '{m}' AS modo, {p} AS predio, {u} AS rua, bairro, area, andar, {a} AS fora_venda, {b} AS fora_predio, hoje AS real FROM {tested}"
         for m, p, u, a, b in (("predio", "predio", "rua", "venda", "NULL"), ("rua", "NULL", "rua", "NULL", "predio"), ("bairro", "NULL", "NULL", "NULL", "predio"))
     )
-    return f"""WITH {SOLD}{before}, {appraise_sql(asked, modes=True)}, er AS (SELECT est.nivel, confianca, estimativa, hoje AS real, abs(estimativa - hoje) / hoje AS e, hoje / estimativa AS r FROM est JOIN sold ON venda = id),
+    return f"""{appraise_sql(asked, modes=True)}, er AS (SELECT est.nivel, confianca, estimativa, hoje AS real, abs(estimativa - hoje) / hoje AS e, hoje / estimativa AS r FROM est JOIN sold ON venda = id),
   ca AS (SELECT nivel, coalesce(confianca, '*') AS confianca, count(*) AS n, {r('median(e)', 4)} AS mediano, {r('quantile_cont(e, 0.75)', 4)} AS p75, [{", ".join(r(f'quantile_cont(r, {p / 100})', 4) for p in PERCENTILES)}] AS q FROM er GROUP BY GROUPING SETS ((nivel, confianca), (nivel)))"""
 
 
+def calibration_sql(before: str, tested: str) -> str:
+    return f"WITH {SOLD}{before}, {calibration_ctes(tested)}"
+
+
 CALIBRATED = f"SELECT nivel, confianca, n, mediano, p75, {', '.join(f'q[{i + 1}] AS q{p}' for i, p in enumerate(PERCENTILES))} FROM ca"
 
 
@@ -156,6 +162,42 @@ def _(spark, d):
     return appraisal.backtest(tests, appraisal.calibrate(tests))
 
 
+# --- the whole chain: clean sales, their own time factors, the floors' own effect, calibration, and verdicts on what is asked
+UNIT = "concat(bairro, '|', endereco % 4) AS predio, concat(bairro, '|', endereco % 2) AS rua, bairro"
+NUMBERED = SOLD[SOLD.index("cv AS (") : SOLD.index("sold AS (")]
+EFFECT = f"""fe AS (SELECT predio, round(area) AS a, andar, hoje / area AS m2 FROM sold0 WHERE andar IS NOT NULL), fg AS (SELECT predio, a, median(m2) AS m FROM fe GROUP BY 1, 2 HAVING count(*) >= 4 AND max(andar) - min(andar) >= 5),
+  efeito AS (SELECT faixa, {r('CASE WHEN count(*) >= 200 THEN greatest(0.9, least(1.1, median(x))) ELSE 1 END')} AS f FROM (SELECT {FLOOR} AS faixa, m2 / m AS x FROM fe JOIN fg USING (predio, a)) WHERE faixa IS NOT NULL GROUP BY 1)"""
+CHAIN = f"{FACTORS_SQL}, {OFFERS}, crua AS (SELECT id * 1000000 + endereco AS venda, {UNIT}, area, valor * fator AS hoje, unidade, mes FROM hoje WHERE limpa AND tipo = 'apartamento' AND area > 0), {NUMBERED}{EFFECT}, sold AS (SELECT sold0.*, coalesce(f, 1) AS ef FROM sold0 LEFT JOIN efeito ON faixa = {FLOOR})"
+CHAINED_REQUESTS = f"SELECT codigo AS id, {UNIT}, area, CAST(NULL AS INTEGER) AS andar, CAST(NULL AS BIGINT) AS fora_venda, CAST(NULL AS VARCHAR) AS fora_predio FROM offers WHERE tipo = 'apartamento' AND area > 0"
+
+
+def _share_sql(share: int) -> str:
+    return f"q[{PERCENTILES.index(share) + 1}]"
+
+
+CHAINED = f"""{CHAIN}, cal AS (WITH {calibration_ctes('sold')} SELECT * FROM ca), ap AS (WITH {appraise_sql(CHAINED_REQUESTS)} SELECT * FROM est),
+  t AS (SELECT ap.*, coalesce(o.p75, e.p75, 0.35) AS p75, coalesce(o.q, e.q) AS q, CASE WHEN valor > 0 THEN valor END AS pedido FROM ap JOIN offers ON codigo = ap.id LEFT JOIN cal o ON o.nivel = ap.nivel AND o.confianca = ap.confianca AND o.n >= 100 LEFT JOIN cal e ON e.nivel = ap.nivel AND e.confianca = '*'),
+  m AS (SELECT *, greatest(0.03, least(0.6, p75))::DOUBLE AS m FROM t)
+  SELECT id, nivel, confianca, n, estimativa, {r('m * 100', 1)} AS margem, {r('estimativa / (1 + m)', 0)} AS minimo, {r('estimativa / (1 - m)', 0)} AS maximo, {r(f'estimativa * {_share_sql(70)}', 0)} AS teto_verde,
+    CASE WHEN q IS NULL OR pedido IS NULL THEN NULL WHEN pedido <= {r(f'estimativa * {_share_sql(25)}', 0)} THEN 'abaixo' WHEN pedido <= {r(f'estimativa * {_share_sql(70)}', 0)} THEN 'dentro' WHEN pedido <= {r(f'estimativa * {_share_sql(85)}', 0)} THEN 'alto' ELSE 'fora' END AS veredito FROM m"""
+
+
+@query("appraisal_chain", CHAINED)
+def _(spark, d):
+    unit = ["concat(bairro, '|', endereco % 4) AS predio", "concat(bairro, '|', endereco % 2) AS rua", "bairro"]
+    today = today_sales(spark, d).where("limpa and tipo = 'apartamento' and area > 0")
+    rows = appraisal.with_floors(today.selectExpr("id * 1000000 + endereco AS venda", *unit, "area", "valor * fator AS hoje", "unidade", "mes"), ["predio"])
+    rows = order.settled(rows)
+    effect = market.floor_effect(rows.select(F.col("predio").alias("endereco"), "area", "andar", (F.col("hoje") / F.col("area")).alias("m2"))).select("faixa", "fator")
+    effect = order.settled(effect)
+    calibration = order.settled(appraisal.calibrate(appraisal.left_out(rows, rows, effect)))
+    asked = offers(spark, d).where("tipo = 'apartamento' and area > 0")
+    requests = asked.selectExpr("codigo AS id", *unit, "area", "CAST(NULL AS INT) AS andar", "CAST(NULL AS BIGINT) AS fora_venda", "CAST(NULL AS STRING) AS fora_predio")
+    found = order.settled(appraisal.appraise(requests, rows, effect))
+    priced = found.join(asked.select(F.col("codigo").alias("id"), F.when(F.col("valor") > 0, F.col("valor")).alias("pedido")), "id")
+    return found.select("id", "nivel", "confianca", "n", "estimativa").join(appraisal.verdicts(priced, calibration).select("id", "margem", "minimo", "maximo", "teto_verde", "veredito"), "id")
+
+
 # a given calibration, so that the verdicts are of their own
 GIVEN = [("predio", "alta", 500, 0.08, 0.02), ("predio", "media", 40, 0.10, 0.20), ("predio", "*", 900, 0.12, 0.22), ("rua", "*", 300, 0.2, 0.7), ("bairro", "*", 300, 0.2, 0.3)]
 SPREAD = [0.5 + p / 100 for p in PERCENTILES]
