@@ -68,6 +68,42 @@ def similar_listings(requests: DataFrame, listings: DataFrame, area: float = 0.1
     return same.union(near).withColumn("posto", rank).where(F.col("posto") <= top).select("pedido_id", "codigo", "mesmo_predio", "posto")
 
 
+def comparable_listings(requests: DataFrame, listings: DataFrame, area: float = 0.25, price: float = 0.30, top: int = 8) -> DataFrame:
+    """pedido_id, codigo, mesmo_predio, posto: what is advertised like a request: in its building, or in its neighbourhood with its rooms.
+
+    ``requests`` has pedido_id, predio, bairro, quartos, util, estimativa, ``listings`` codigo, predio, bairro, quartos, area, valor. Of other
+    buildings, rooms that both know must be equal, and the area must lie within ``area`` of the useful one where that is known, else the price
+    within ``price`` of the estimate where there is one. The building comes first, then the nearest in price, then by code. Areas
+    and prices are joined by bands; requests with neither see the first codes of their neighbourhood and rooms only, which
+    are all that can be shown.
+    """
+    r = requests.select("pedido_id", *(F.col(c).alias(f"r_{c}") for c in ("predio", "bairro", "quartos", "util", "estimativa")))
+    gap = F.when(F.col("r_estimativa") > 0, F.abs(F.col("valor") - F.col("r_estimativa"))).otherwise(0.0).alias("gap")
+    same = r.join(listings, F.col("r_predio") == F.col("predio")).select("pedido_id", "codigo", F.lit(True).alias("mesmo_predio"), gap)
+    elsewhere = F.coalesce(F.col("r_predio") != F.col("predio"), F.lit(True))
+    rooms = F.coalesce(F.col("r_quartos") == F.col("quartos"), F.lit(True))
+    sized, priced = F.col("r_util") > 0, F.col("r_estimativa") > 0
+
+    def banded(asked: DataFrame, mine: str, theirs: str, share: float) -> DataFrame:
+        left = asked.withColumn("r_band", F.explode(_bands(F.col(mine), share)))
+        right = listings.where(F.col(theirs) > 0).withColumn("band", _band(F.col(theirs), share))
+        near = F.abs(F.col(theirs) - F.col(mine)) / F.col(mine) <= share
+        return left.join(right, (F.col("r_bairro") == F.col("bairro")) & (F.col("r_band") == F.col("band"))).where(near & elsewhere & rooms).select("pedido_id", "codigo", F.lit(False).alias("mesmo_predio"), gap)
+
+    by_area = banded(r.where(sized), "r_util", "area", area)
+    by_price = banded(r.where(~F.coalesce(sized, F.lit(False)) & priced), "r_estimativa", "valor", price)
+    # a building of ``top`` listings fills its requests' places; a smaller one can hold some of the first codes, which they don't count here
+    first = lambda keys, n: listings.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("codigo"))).where(F.col("k") <= n)
+    open_ = r.where(~F.coalesce(sized, F.lit(False)) & ~F.coalesce(priced, F.lit(False)))
+    own = listings.groupBy(F.col("predio").alias("r_predio")).agg(F.count("*").alias("own"))
+    open_ = open_.join(own, "r_predio", "left").withColumn("need", top + F.coalesce("own", F.lit(0))).where(F.col("need") < 2 * top)
+    few = first(["bairro", "quartos"], 2 * top)
+    any_rooms = open_.join(few, F.col("r_bairro") == F.col("bairro")).where((F.col("k") <= F.col("need")) & elsewhere & rooms).select("pedido_id", "codigo", F.lit(False).alias("mesmo_predio"), gap)
+    rank = F.row_number().over(Window.partitionBy("pedido_id").orderBy(F.desc("mesmo_predio"), "gap", "codigo"))
+    every = same.union(by_area).union(by_price).union(any_rooms)
+    return every.withColumn("posto", rank).where(F.col("posto") <= top).select("pedido_id", "codigo", "mesmo_predio", "posto")
+
+
 def ranking_moves(now: DataFrame, before: DataFrame, key: str, score: str) -> DataFrame:
     """key, posto, anterior, subiu: places in two rankings and how far each rose. One row a neighbourhood."""
     place = lambda rows, name: rows.select(key, F.row_number().over(Window.orderBy(F.desc(score), key)).alias(name))

@@ -36,6 +36,11 @@ def paid_and_asked(sales: DataFrame, listings: DataFrame, today: Column, p: Para
     return both.select(*keys, "pago", "p25", "p75", F.coalesce("recentes", F.lit(0)).alias("recentes"), "pedido", F.coalesce("anuncios", F.lit(0)).alias("anuncios"), gap.alias("gap"), (F.coalesce("recentes", F.lit(0)) < p.small_sample).alias("pequena"))
 
 
+def suspended(segments: DataFrame, kinds: tuple[str, ...] = ("apartamento",)) -> DataFrame:
+    """Segments whose gap is unknown where built and useful areas of a kind of home can't be compared."""
+    return segments.withColumn("gap", F.when(~F.coalesce(F.col("tipo").isin(*kinds), F.lit(False)), F.col("gap")))
+
+
 def representative(segments: DataFrame) -> DataFrame:
     """Each neighbourhood's segment of most recent sales, the first by type and band of equals."""
     return first_rows(segments, ["bairro"], [F.desc("recentes"), "tipo", "faixa"])

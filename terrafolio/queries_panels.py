@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrafolio.functions import expr
 from terrafolio.functions.expr import half_up
-from terrafolio.operators import addresses, panels, period, prices, ranges, scoring
-from terrafolio.operators.order import settled
-from terrafolio.plans.views import DEALS, OFFERS, deals, offers, table
-from terrafolio.queries import PERIOD, query
+from terrafolio.operators import addresses, market, panels, period, prices, ranges, scoring
+from terrafolio.operators.order import numbered, settled
+from terrafolio.plans.views import DEALS, OFFER_COLUMNS, OFFERS, deals, offers, table
+from terrafolio.queries import ORACLES, PERIOD, QUERIES, query
 
 END = PERIOD.replace("FROM sales", "FROM deals") + ", fim AS (SELECT base - 2 AS e FROM base)"
 r = lambda x, n=6: f"floor({x} * {10**n} + 0.5) / {10**n}"
@@ -300,6 +301,13 @@ def _(spark, d):
     return _findings(spark, d)
 
 
+@query("findings_order", f"{FOUND} SELECT codigo, row_number() OVER (ORDER BY desconto DESC, lower(nome), codigo) AS posto, desconto FROM achados WHERE achado")
+def _(spark, d):
+    found = _findings(spark, d).where("achado")
+    ordered = numbered(found, [], [F.desc("desconto"), F.lower("nome"), F.col("codigo")], "posto")
+    return ordered.select("codigo", (F.col("posto") + 1).alias("posto"), "desconto")
+
+
 @query("findings_by_place", f"{FOUND} SELECT bairro, count(*) FILTER (achado) AS n_achados, count(*) AS elegiveis, {r('100 * count(*) FILTER (achado) / count(*)', 1)} AS pct FROM achados GROUP BY 1 HAVING count(*) FILTER (achado) > 0")
 def _(spark, d):
     return panels.findings_by_place(_findings(spark, d))
@@ -337,6 +345,30 @@ def _(spark, d):
     return panels.readiness(settled(places.withColumn("captacao", F.coalesce("captacao", F.lit(0)))))
 
 
+COMPARED = "SELECT codigo AS pedido_id, endereco AS e, bairro AS b, CASE WHEN codigo % 4 > 0 THEN quartos END AS q, CASE WHEN codigo % 3 > 0 THEN area END AS u, CASE WHEN codigo % 5 > 0 THEN area * 9000 END AS v FROM offers"
+
+
+@query(
+    "comparable_listings",
+    f"""WITH {OFFERS}, r AS ({COMPARED}), u AS (SELECT pedido_id, codigo, true AS mesmo_predio, coalesce(abs(valor - v), 0) AS gap, valor IS NULL AND v IS NOT NULL AS x FROM r JOIN offers ON e = endereco UNION ALL
+    SELECT pedido_id, codigo, false, coalesce(abs(valor - v), 0), valor IS NULL AND v IS NOT NULL FROM r JOIN offers ON b = bairro AND e <> endereco AND coalesce(q = quartos, true) WHERE CASE WHEN u > 0 THEN area > 0 AND abs(area - u) / u <= 0.25 WHEN v > 0 THEN valor > 0 AND abs(valor - v) / v <= 0.3 ELSE true END)
+  SELECT pedido_id, codigo, mesmo_predio, CAST(row_number() OVER (PARTITION BY pedido_id ORDER BY mesmo_predio DESC, CASE WHEN x THEN NULL ELSE gap END NULLS FIRST, codigo) AS INTEGER) AS posto FROM u QUALIFY posto <= 8""",
+)
+def _(spark, d):
+    stock = offers(spark, d)
+    k = F.col("codigo")
+    asked = stock.select(k.alias("pedido_id"), F.col("endereco").alias("predio"), "bairro", F.when(k % 4 > 0, F.col("quartos")).alias("quartos"), F.when(k % 3 > 0, F.col("area")).alias("util"), F.when(k % 5 > 0, F.col("area") * 9000).alias("estimativa"))
+    return market.comparable_listings(asked, stock.withColumnRenamed("endereco", "predio"))
+
+
+@query("shortlist", f"WITH pront AS ({ORACLES['readiness']}), selos AS ({ORACLES['place_seals']}), est AS (SELECT bairro, count(*) AS estoque FROM (SELECT {OFFER_COLUMNS} FROM part) GROUP BY 1) SELECT bairro, prontidao, estoque, fora_do_perfil, pontos.pequena, CAST(row_number() OVER (ORDER BY prontidao DESC, bairro) AS INTEGER) AS posto FROM pront pontos JOIN selos USING (bairro) JOIN est USING (bairro)")
+def _(spark, d):
+    stock = offers(spark, d).groupBy("bairro").agg(F.count("*").alias("estoque"))
+    joined = QUERIES["readiness"](spark, d).join(_seals(spark, d).select("bairro", "fora_do_perfil"), "bairro").join(stock, "bairro")
+    place = F.row_number().over(Window.orderBy(F.desc("prontidao"), "bairro"))  # a row a neighbourhood
+    return joined.select("bairro", "prontidao", "estoque", "fora_do_perfil", "pequena", place.alias("posto"))
+
+
 GROUPS = f"""WITH {DEALS}{END}, {OFFERS}, {PLACES}, {ADDRESSES}, ku AS (SELECT bairro, count(*) FILTER (situacao = 'prospecto') AS k FROM adr WHERE mediana >= 800000 AND situacao IN ('prospecto', 'unico') GROUP BY 1), hj AS (SELECT endereco, count(*) AS n_hoje FROM offers WHERE situacao NOT IN (3, 4) GROUP BY 1),
   gx AS (SELECT adr.*, situacao = 'unico' AS unico, coalesce(n_hoje, 0) > 0 AS tem_hoje, escassez, volume, CASE WHEN escassez THEN 0 WHEN fora_do_perfil THEN 1 ELSE 2 END AS classe FROM adr JOIN ku USING (bairro) JOIN sl USING (bairro) JOIN (SELECT bairro, volume FROM lugares) USING (bairro) LEFT JOIN hj USING (endereco) WHERE mediana >= 800000 AND (situacao = 'prospecto' OR (situacao = 'unico' AND k < 5))),
   pn AS (SELECT bairro, CAST(dense_rank() OVER (ORDER BY classe, volume DESC, lower(bairro)) AS INTEGER) AS grupo, CAST(row_number() OVER (PARTITION BY bairro ORDER BY tem_hoje, n DESC, lower(nome), endereco) AS INTEGER) AS posto, endereco, nome, n, {r('mediana')} AS mediana, unico, tem_hoje, escassez FROM gx)"""
