@@ -86,7 +86,12 @@ def _in_ranges(cells: pa.Table, asked: pa.Table, fan: int) -> tuple[pa.ListArray
     at, sums = at[by], np.concatenate([[0], np.cumsum(cells["n"].to_numpy()[by])])
     children = np.unique(children)
     low, high = _edges(xs, asked["a"].to_numpy(), asked["tol"].to_numpy())
-    ranges, which = np.unique(np.stack([wanted, low, high]), axis=1, return_inverse=True)
+    m = len(xs) + 1
+    if (int(wanted.max(initial=0)) + 1) * m * m < 1 << 62:  # one number tells ranges apart
+        codes, which = np.unique((wanted * m + low) * m + high, return_inverse=True)
+        ranges = np.stack([codes // (m * m), codes // m % m, codes % m])
+    else:
+        ranges, which = np.unique(np.stack([wanted, low, high]), axis=1, return_inverse=True)
     start, end = np.searchsorted(children, ranges[0] * fan), np.searchsorted(children, (ranges[0] + 1) * fan)
     sizes, digits, counted = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, ranges.shape[1], 1 << 14):

@@ -374,7 +374,15 @@ def _requests(spark, d):
     return s, s.select(F.col("venda").alias("pedido_id"), "endereco", "bairro", "tipo", "area", "venda", "valor", "pedido")
 
 
-@query("loo_calibration")
+@query(
+    "loo_calibration",
+    f"""WITH {SALES}, s AS (SELECT row_number() OVER () AS v, * FROM sales), a AS (SELECT q.v, q.area, q.valor, c.m2 FROM s q JOIN s c ON c.endereco = q.endereco AND abs(c.area - q.area) / q.area <= 0.2e0 AND c.v <> q.v WHERE c.m2 IS NOT NULL),
+  x AS (SELECT v, 'predio' AS nivel, any_value(area) AS area, any_value(valor) AS valor, count(*) AS n, median(m2) AS m2, quantile_cont(m2, 0.25) AS p25, quantile_cont(m2, 0.75) AS p75 FROM a GROUP BY 1 HAVING count(*) >= 3),
+  b AS (SELECT q.v, q.area, q.valor, c.m2 FROM (SELECT * FROM s WHERE v NOT IN (SELECT v FROM x)) q JOIN s c ON c.bairro = q.bairro AND c.tipo = q.tipo AND abs(c.area - q.area) / q.area <= 0.1e0 AND c.v <> q.v WHERE c.m2 IS NOT NULL),
+  y AS (SELECT v, 'bairro' AS nivel, any_value(area) AS area, any_value(valor) AS valor, count(*) AS n, median(m2) AS m2, quantile_cont(m2, 0.25) AS p25, quantile_cont(m2, 0.75) AS p75 FROM b GROUP BY 1 HAVING count(*) >= 8),
+  e AS (SELECT nivel, CASE WHEN nivel = 'predio' AND n >= 5 AND p75 / p25 <= 1.25 THEN 'alta' WHEN nivel = 'predio' THEN 'media' ELSE 'baixa' END AS confianca, abs(floor(m2 * area + 0.5) - valor) / valor * 100 AS erro FROM (SELECT * FROM x UNION ALL SELECT * FROM y))
+  SELECT nivel, coalesce(confianca, '*') AS confianca, count(*) AS n, floor(median(erro) * 10000 + 0.5) / 10000 AS erro_mediano, floor(quantile_cont(erro, 0.75) * 10000 + 0.5) / 10000 AS erro_p75 FROM e GROUP BY GROUPING SETS ((nivel, confianca), (nivel))""",
+)
 def _(spark, d):
     s, asked = _requests(spark, d)
     return valuation.calibration(valuation.leave_one_out(s), asked.select("pedido_id", "valor"))

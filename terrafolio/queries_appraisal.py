@@ -109,7 +109,7 @@ def _(spark, d):
 UNITS = f"md AS (SELECT predio, final, CAST(round(area) AS INTEGER) AS moda FROM sold WHERE final IS NOT NULL GROUP BY predio, final, CAST(round(area) AS INTEGER) QUALIFY row_number() OVER (PARTITION BY predio, final ORDER BY count(*) DESC, CAST(round(area) AS INTEGER)) = 1)"
 LISTED = "SELECT p_partkey AS id, p_partkey % 400 AS predio, CAST(p_size % 30 AS INT) AS final, CAST(p_size * 3 AS DOUBLE) AS util, CASE WHEN p_partkey % 7 = 0 THEN 77e0 END AS manual, CASE WHEN p_partkey % 3 = 0 THEN 60e0 END AS planta FROM part"
 PAIRS = f"{UNITS}, pr AS (SELECT predio, moda / util AS r FROM ({LISTED}) JOIN md USING (predio, final) WHERE moda / util BETWEEN 0.8 AND 3.5)"
-ESTIMATED = f"""{PAIRS}, rz AS (SELECT {r('r', 3)} AS z, row_number() OVER (ORDER BY r) - 1 AS k FROM pr), tt AS (SELECT count(*) AS n, {r('median(r)', 4)} AS mediana FROM pr), oi AS (SELECT *, row_number() OVER (ORDER BY venda) - 1 AS i FROM sold),
+ESTIMATED = f"""{PAIRS}, rz AS (SELECT {r('r', 3)} AS z, row_number() OVER (ORDER BY r) - 1 AS k FROM pr), tt AS (SELECT count(*) AS n, {r('median(r)', 4)} AS mediana FROM pr HAVING count(*) >= 200), oi AS (SELECT *, row_number() OVER (ORDER BY venda) - 1 AS i FROM sold),
   tested AS (SELECT oi.* EXCLUDE (i) REPLACE (area * mediana / z AS area) FROM oi JOIN tt ON true JOIN rz ON k = i * 7919 % n)"""
 
 
