@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_chat_format": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     "op9_nearest_neighbours": {"query_id", "rank", "vec_id", "score"},
     "op10_toxicity": {"doc_id", "toxic"},
+    "op11_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    "op12_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
+    "op13_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
 }
 
 
@@ -39,11 +42,11 @@ def test_columns_and_rows(spark, name):
     frame = QUERIES[name](spark, SF)
     assert COLUMNS[name] <= set(frame.columns)
     rows = frame.collect()
-    if name not in ("op8_chat_format", "op9_nearest_neighbours"):
+    if "doc_id" in frame.columns:
         assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in common.table(spark, SF, "documents").select("doc_id").collect())
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "conversations"):
+        for t in ("documents", "benchmark", "conversations", "pages", "labels"):
             con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         result = con.execute(ORACLES[name])
         names = [x[0] for x in result.description]
