@@ -3,7 +3,9 @@
 import random
 
 
-from terrafolio.operators import appraisal, order
+from pyspark.sql import functions as F
+
+from terrafolio.operators import appraisal, market, order
 
 SALES = "venda long, predio long, rua long, bairro long, area double, hoje double, andar int, mes int"
 REQUESTS = "id long, predio long, rua long, bairro long, area double, andar int, fora_venda long, fora_predio long"
@@ -37,3 +39,51 @@ def test_beside_takes_the_nearest_of_each_side(spark):
     points = spark.createDataFrame([("a", 11.0), ("a", 10.0), ("b", -5.0), ("b", 99.0), ("c", 3.0)], "k string, at double")
     got = sorted(tuple(r) for r in order.beside(points, cells, ["k"], "at", "x", 2).select("k", "at", "x").collect())
     assert got == [("a", 10.0, 8.0), ("a", 10.0, 10.0), ("a", 10.0, 12.0), ("a", 10.0, 14.0), ("a", 11.0, 8.0), ("a", 11.0, 10.0), ("a", 11.0, 12.0), ("a", 11.0, 14.0), ("b", -5.0, 0.0), ("b", -5.0, 2.0), ("b", 99.0, 36.0), ("b", 99.0, 38.0)]
+
+
+def joined_rows(spark, frame):
+    """The most rows that any operator of a finished query gave out."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan()
+        most, stack = 0, [plan]
+        while stack:
+            node = stack.pop()
+            metric = node.metrics().get("numOutputRows")
+            most = max(most, metric.get().value() if metric.isDefined() else 0)
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+        return most
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_alike_listings_are_not_paired(spark):
+    # 600 offers of one place, of 2 areas and 3 prices: 360,000 pairs
+    rows = [(i, i, "b", "t", 50.0 + i % 2, 1000.0 + i % 3, 2) for i in range(600)]
+    stock = spark.createDataFrame(rows, "codigo long, endereco long, bairro string, tipo string, area double, pedido_valor double, quartos int")
+    asked = stock.select(F.col("codigo").alias("pedido_id"), "endereco", "bairro", "area", F.col("pedido_valor").alias("valor"))
+    similar = market.similar_listings(asked, stock)
+    assert joined_rows(spark, similar) < 30_000 and similar.count() == 600 * 8
+    asked = stock.select(F.col("codigo").alias("pedido_id"), F.col("endereco").alias("predio"), "bairro", "quartos", F.when(F.col("codigo") % 3 > 0, F.col("area")).alias("util"), F.when(F.col("codigo") % 5 > 0, F.col("pedido_valor")).alias("estimativa"))
+    likely = market.comparable_listings(asked, stock.withColumnRenamed("endereco", "predio").withColumnRenamed("pedido_valor", "valor"))
+    assert joined_rows(spark, likely) < 30_000 and likely.count() == 600 * 8
+
+
+def test_comparable_listings_as_plain_loops(spark):
+    rng = random.Random(5)
+    stock = [(i, rng.choice([1, 2, 3, None]), rng.choice("ab"), rng.choice([1, 2, None]), rng.choice([40.0, 50.0, 55.0, 0.0, None]), rng.choice([100.0, 110.0, 125.0, 0.0, None])) for i in range(160)]
+    asked = [(i, rng.choice([1, 2, 9, None]), rng.choice("abc"), rng.choice([1, 2, None]), rng.choice([45.0, 50.0, None, 0.0]), rng.choice([100.0, 120.0, None, 0.0])) for i in range(80)]
+    frames = spark.createDataFrame(asked, "pedido_id long, predio long, bairro string, quartos int, util double, estimativa double"), spark.createDataFrame(stock, "codigo long, predio long, bairro string, quartos int, area double, valor double")
+    want = set()
+    for i, own, place, rooms, size, value in asked:
+        found = []
+        for code, building, where, has, area, price in stock:
+            gap = (None if price is None else abs(price - value)) if value else 0.0
+            if own is not None and building == own:
+                found.append((False, gap is not None, gap or 0.0, code))
+            elif where == place and (rooms is None or has is None or rooms == has):
+                if (area and abs(area - size) / size <= 0.25) if size else (price and abs(price - value) / value <= 0.3) if value else True:
+                    found.append((True, gap is not None, gap or 0.0, code))
+        want |= {(i, code, not far, k + 1) for k, (far, _, _, code) in enumerate(sorted(found)[:8])}
+    assert {tuple(r) for r in market.comparable_listings(*frames).collect()} == want
