@@ -53,7 +53,7 @@ def leave_one_out(sales: DataFrame, least: dict[str, int] | None = None, p: Para
     for level, tolerance in levels.items():
         values = rows.where("y is not null").select(F.col(f"k_{level}").alias("key"), F.col("venda").alias("id"), nothing, F.col("area").alias("x"), "y")
         own = F.when(F.col("y").isNotNull(), F.col("venda"))
-        asks = left.select(F.col("venda").alias("ask"), F.col(f"k_{level}").alias("key"), F.col("area").alias("a"), F.lit(tolerance).alias("tol"), nothing, own.alias("own"), F.col("area").alias("own_x"))
+        asks = left.select(F.col("venda").alias("ask"), F.col(f"k_{level}").alias("key"), F.col("area").alias("a"), F.lit(tolerance).alias("tol"), nothing, own.alias("own"), F.col("area").alias("own_x"), F.col("y").alias("own_y"))
         asks = order.settled(order.counts(values, asks).where(F.col("n") >= least[level]))
         found = order.quantiles(values, asks, (0.25, 0.5, 0.75)).join(asks, "ask")
         found = found.select(F.col("ask").alias("pedido_id"), F.lit(level).alias("nivel"), F.col("a").alias("area"), "n", F.col("q")[1].alias("m2"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
