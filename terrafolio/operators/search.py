@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafolio.functions.text import search_text
+from terrafolio.operators.order import settled
 
 # fixed values: how the city abbreviates words of streets' names, and words that a request needn't have
 ABBREVIATIONS = {
@@ -80,14 +81,23 @@ def suggestions(requests: DataFrame, buildings: DataFrame, streets: DataFrame, b
     ids; without one the first by id are shown by their label. Where no building has the number, the streets that fit are
     offered with it, each label once a place.
     """
+    # requests with the same words are searched once, and places are then told apart by number
     asked = understood(requests)
-    fits = matches(asked, buildings, building_postings).where("_numero is null or numero = _numero")
-    first = fits.withColumn("k", F.row_number().over(Window.partitionBy("req").orderBy("id"))).where(F.col("k") <= top)
-    by_label = F.row_number().over(Window.partitionBy("req").orderBy(F.when(F.col("_numero").isNull(), F.col("rotulo")), "id"))
-    shown = first.select("req", by_label.alias("posto"), F.lit("predio").alias("tipo"), "id", "rotulo")
-    left = asked.where("numero is not null").join(first.select("req"), "req", "left_anti")
-    roads = matches(left, streets, street_postings).withColumn("k", F.row_number().over(Window.partitionBy("req").orderBy("id"))).where(F.col("k") <= most_streets)
-    named = roads.groupBy("req", F.concat_ws(", ", "nome", "_numero").alias("rotulo"), "lugar").agg(F.min("id").alias("id"))
-    place = F.row_number().over(Window.partitionBy("req").orderBy("id"))
-    offered = named.select("req", place.alias("posto"), F.lit("rua").alias("tipo"), "id", "rotulo").where(F.col("posto") <= top)
-    return shown.union(offered)
+    names = settled(asked.select("nomes").distinct().withColumn("words", F.monotonically_increasing_id()))
+    asked = settled(asked.join(names, "nomes").select("req", "words", "numero"))
+    searched = names.select(F.col("words").alias("req"), "nomes", F.lit(None).cast("string").alias("numero"))
+    kinds = asked.select("words", F.col("numero").alias("_numero")).distinct()
+    fits = matches(searched, buildings, building_postings).drop("_numero").withColumnRenamed("req", "words")
+    numbered = fits.join(kinds.where("_numero is not null").hint("merge"), (fits["words"] == kinds["words"]) & (F.col("numero") == F.col("_numero"))).drop(kinds["words"])
+    fits = fits.join(kinds.where("_numero is null"), "words").select("words", "_numero", "id", "rotulo").unionByName(numbered.select("words", "_numero", "id", "rotulo"))
+    first = settled(fits.withColumn("k", F.row_number().over(Window.partitionBy("words", "_numero").orderBy("id"))).where(F.col("k") <= top))
+    by_label = F.row_number().over(Window.partitionBy("words", "_numero").orderBy(F.when(F.col("_numero").isNull(), F.col("rotulo")), "id"))
+    shown = first.select("words", "_numero", by_label.alias("posto"), F.lit("predio").alias("tipo"), "id", "rotulo")
+    left = settled(kinds.where("_numero is not null").join(first.select("words", "_numero"), ["words", "_numero"], "left_anti"))
+    roads = matches(searched.join(left.select(F.col("words").alias("req")).distinct(), "req"), streets, street_postings).drop("_numero").withColumnRenamed("req", "words")
+    roads = roads.withColumn("k", F.row_number().over(Window.partitionBy("words").orderBy("id"))).where(F.col("k") <= most_streets).join(left, "words")
+    named = roads.groupBy("words", "_numero", F.concat_ws(", ", "nome", "_numero").alias("rotulo"), "lugar").agg(F.min("id").alias("id"))
+    place = F.row_number().over(Window.partitionBy("words", "_numero").orderBy("id"))
+    offered = named.select("words", "_numero", place.alias("posto"), F.lit("rua").alias("tipo"), "id", "rotulo").where(F.col("posto") <= top)
+    every = shown.union(offered).withColumnRenamed("words", "_words")
+    return asked.join(every, (F.col("words") == F.col("_words")) & F.col("numero").eqNullSafe(F.col("_numero"))).select("req", "posto", "tipo", "id", "rotulo")
