@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from terrafolio.operators import appraisal, market, order
+from terrafolio.operators import appraisal, market, order, search
 
 SALES = "venda long, predio long, rua long, bairro long, area double, hoje double, andar int, mes int"
 REQUESTS = "id long, predio long, rua long, bairro long, area double, andar int, fora_venda long, fora_predio long"
@@ -87,3 +87,33 @@ def test_comparable_listings_as_plain_loops(spark):
                     found.append((True, gap is not None, gap or 0.0, code))
         want |= {(i, code, not far, k + 1) for k, (far, _, _, code) in enumerate(sorted(found)[:8])}
     assert {tuple(r) for r in market.comparable_listings(*frames).collect()} == want
+
+
+def test_appraisals_leave_sales_and_buildings_out(spark, monkeypatch):
+    sales, requests = made(3, 200, 60)
+    monkeypatch.setattr(appraisal, "comparables", no_pairs)
+    factors = spark.createDataFrame([(0, 1.0)], "faixa int, fator double")
+    got = {r["id"]: (r["nivel"], r["n"], r["ultima"]) for r in appraisal.appraise(spark.createDataFrame(requests, REQUESTS), spark.createDataFrame(sales, SALES), factors).collect()}
+    want = {}
+    for i, *places, a, _, own, out in requests:
+        for level, ((tight, wide), least) in appraisal.LEVELS.items():
+            at = list(appraisal.LEVELS).index(level)
+            near = [(abs(s[4] - a) / a, s[7]) for s in sales if places[at] is not None and s[1 + at] == places[at] and s[0] != own and (out is None or s[1] != out)]
+            close, all_ = [m for d, m in near if d <= tight], [m for d, m in near if d <= wide]
+            if len(close) >= least or len(all_) >= least or (level == "predio" and all_):
+                used = close if len(close) >= least else all_
+                want[i] = (level if len(used) >= least else "predio_poucas", len(used), max(used))
+                break
+    assert got == want
+
+
+def test_alike_requests_are_searched_once(spark, monkeypatch):
+    searched = []
+    whole = search.matches
+    monkeypatch.setattr(search, "matches", lambda asked, *rest: searched.append(asked) or whole(asked, *rest))
+    places = spark.createDataFrame([(i, f"R AZUL {i % 3}", str(i % 3), f"R AZUL, {i % 3}") for i in range(30)], "id long, texto string, numero string, rotulo string")
+    roads = spark.createDataFrame([(1, "R AZUL", "R AZUL", "b")], "id long, texto string, nome string, lugar string")
+    requests = spark.createDataFrame([(i, f"azul {i % 5}" if i % 2 else "azul") for i in range(40)], "req long, pedido string")
+    found = search.suggestions(requests, places, roads, search.posted(places), search.posted(roads)).collect()
+    assert searched[0].count() == 1
+    assert {(r["req"], r["tipo"]) for r in found} == {(i, "rua" if i % 2 and i % 5 > 2 else "predio") for i in range(40)}
