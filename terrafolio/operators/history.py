@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,26 +103,56 @@ def _one_pass(units: list[tuple], share: float) -> list[tuple]:
     return kept
 
 
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where each run of rows with equal keys begins; nulls are equal, and so is what isn't a number."""
+    new = np.ones(rows.num_rows, dtype=bool)
+    new[1:] = False
+    for key in keys:
+        column = rows[key].combine_chunks()
+        a, b = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+        differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        differs = differs | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+        if pa.types.is_floating(column.type):
+            differs &= ~pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False).to_numpy(zero_copy_only=False)
+        new[1:] |= differs
+    return np.flatnonzero(new)
+
+
+def _settled_groups(rows: pa.Table, starts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the units that stay of each group of ``rows``, and of rows with their oldest date, after passes until nothing merges."""
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    alone = starts[sizes == 1]
+    kept, oldest = alone.tolist(), alone.tolist()
+    made = rows["criado"].combine_chunks()
+    ranks = pc.rank(made, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    ranks[pc.is_null(made).to_numpy(zero_copy_only=False)] = -1
+    _, holder = np.unique(ranks, return_index=True)
+    holder = dict(zip(ranks[holder].tolist(), holder.tolist()))
+    dates = [None if k < 0 else k for k in ranks.tolist()]
+    prices = [None if x is None or x != x else x for x in rows["preco"].cast("float64").to_pylist()]
+    for start, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        units = [(i, prices[i], dates[i], dates[i]) for i in range(start, start + n)]
+        while True:
+            left = _one_pass(units, share)
+            done, units = len(left) == len(units), left
+            if done:
+                break
+        kept += [u[0] for u in units]
+        oldest += [holder[-1 if u[3] is None else u[3]] for u in units]
+    return np.array(kept, dtype=np.int64), np.array(oldest, dtype=np.int64)
+
+
 def merge_readvertised(listings: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """codigo, mais_antigo of what stays: in each building and exact area, units within a few percent of a cluster's opener
     are one, the newest stays with the oldest date of all; repeated until nothing merges. Rows without a building stay.
 
     ``listings`` has endereco, area, ordem (of arrival), codigo, preco, criado. A null area is an area of its own; units without a
     price, or of price 0, merge with nothing; an unknown date is older than any, and of several the first to arrive stays.
-    Order decides here, so groups are looped over in pandas: of one building and area, and of prices without a gap that no cluster
-    can cross, so that only they meet in a task, in time that grows with their number times its logarithm.
+    Order decides here, so groups are looped over in Python: of one building and area, and of prices without a gap that no cluster
+    can cross, so that only they are held at once, in time that grows with their number times its logarithm. Groups are mostly of a few
+    rows, so sorted rows come in batches of many groups; what a batch leaves unfinished goes on with the next.
     """
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordem")
-        known = lambda x: None if pd.isna(x) else x
-        units = [(code, known(price), known(made), known(made)) for code, price, made in zip(rows["codigo"], rows["preco"], rows["criado"])]
-        while True:
-            kept = _one_pass(units, p.merge_price_share)
-            done, units = len(kept) == len(units), kept
-            if done:
-                break
-        return pd.DataFrame({"codigo": [u[0] for u in units], "mais_antigo": [u[3] for u in units]})
+    share = p.merge_price_share
 
     out = listings.select(F.col("codigo"), F.col("criado").alias("mais_antigo")).schema
     gap, island = free(listings, "_gap"), free(listings, "_island")
@@ -128,5 +161,28 @@ def merge_readvertised(listings: DataFrame, p: Params = DEFAULT) -> DataFrame:
     apart = F.col("preco") * (1 - p.merge_price_share) * (1 - 1e-9) > F.lag("preco").over(by)
     gaps = listings.where("endereco is not null").withColumn(gap, F.when(apart, 1).otherwise(0))
     islands = gaps.withColumn(island, F.sum(gap).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop(gap)
-    keyed = islands.groupBy("endereco", "area", island).applyInPandas(settle, out)
-    return keyed.union(listings.where("endereco is null").select("codigo", F.col("criado").alias("mais_antigo")))
+    keys = ["endereco", "area", island]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finished(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            kept, oldest = _settled_groups(rows, starts, share)
+            codes, dates = rows["codigo"].combine_chunks().take(pa.array(kept)), rows["criado"].combine_chunks().take(pa.array(oldest))
+            yield pa.RecordBatch.from_arrays([codes, dates], names=["codigo", "mais_antigo"])
+
+        held: list[pa.RecordBatch] = []  # of one group, the last met
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = _starts(pa.Table.from_batches([*(b.slice(b.num_rows - 1) for b in held[-1:]), batch]), keys) - bool(held)
+            begins = starts[starts >= 0] if held else starts[1:]
+            if len(begins):
+                rows = pa.Table.from_batches([*held, batch.slice(0, int(begins[-1]))])
+                if rows.num_rows:
+                    yield from finished(rows, _starts(rows, keys))
+                held, batch = [], batch.slice(int(begins[-1]))
+            held.append(batch)
+        if held:
+            yield from finished(pa.Table.from_batches(held), np.zeros(1, dtype=np.int64))
+
+    ordered = islands.select(*keys, "ordem", "codigo", "preco", "criado").repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("ordem"))
+    return ordered.mapInArrow(settle, out).union(listings.where("endereco is null").select("codigo", F.col("criado").alias("mais_antigo")))

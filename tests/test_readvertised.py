@@ -83,3 +83,16 @@ def test_close_prices_take_no_quadratic_time():
     assert len(history._one_pass(units, 0.03)) == 1
     spread = [(k, 100.0 * 1.04**(k % 300) + k * 1e-9, None, None) for k in range(60_000)]
     assert len(history._one_pass(spread, 0.03)) == 300
+
+
+def test_many_small_groups_need_no_call_each_and_go_on_over_batches(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *"abcdefgh"]), rng.choice([None, 60.0, 80.0]), k, k, rng.choice([None, 100.0, 103.0, round(rng.uniform(50, 500), 1)]), rng.choice([None, datetime.date(2024, 1, 1 + k % 9)])) for k in range(600)]
+    frame = spark.createDataFrame([(*r, "own", "own") for r in rows], SCHEMA)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = history.merge_readvertised(frame)
+        assert sorted(map(tuple, found.collect()), key=str) == plain_loop(rows)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
