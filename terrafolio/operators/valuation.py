@@ -11,11 +11,23 @@ from terrafolio.operators import order
 from terrafolio.params import DEFAULT, Params
 
 
-def _matched(requests: DataFrame, sales: DataFrame, key: str, level: str, tolerance: float) -> DataFrame:
-    """Comparables of each request that share its key and have nearly its area: an equi-join with a range left to check."""
+def _matched(requests: DataFrame, sales: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """Comparables of requests, told apart by key, area and own sale, that have their key and nearly their area: an equi-join with a
+    range left to check."""
     comparable = sales.select(key, F.col("area").alias("area_c"), F.col("m2").alias("m2_c"), F.col("venda").alias("venda_c"))
     close = F.abs(F.col("area_c") - F.col("area")) <= F.col("area") * tolerance
-    return requests.join(comparable, key).where(close & ~F.col("venda_c").eqNullSafe(F.col("venda"))).select("pedido_id", "area", F.lit(level).alias("nivel"), "m2_c")
+    asked = requests.select(key, "area", "venda").distinct()
+    return asked.join(comparable, key).where(close & ~F.col("venda_c").eqNullSafe(F.col("venda"))).select(key, "area", "venda", "m2_c")
+
+
+def _by_rank(requests: DataFrame, sales: DataFrame, key: str, tolerance: float, least: int) -> DataFrame:
+    """pedido_id, area, n, m2, p25, p75 of requests with ``least`` comparables, without pairing the two (see ``order``)."""
+    values = sales.select(F.col(key).alias("key"), F.col("venda").alias("id"), F.lit(None).cast("string").alias("grp"), F.col("area").cast("double").alias("x"), F.col("m2").cast("double").alias("y"))
+    own = sales.join(requests.where("venda is not null").select("venda", key).distinct(), ["venda", key], "left_semi").groupBy("venda", key).agg(F.min("area").cast("double").alias("own_x"), F.min("m2").cast("double").alias("own_y"))
+    asks = requests.join(own, ["venda", key], "left").select(F.col("pedido_id").alias("ask"), F.col(key).alias("key"), F.col("area").cast("double").alias("a"), F.lit(-tolerance).alias("tol"), F.lit(None).cast("string").alias("grp"), F.when(F.col("own_x").isNotNull(), F.col("venda")).alias("own"), "own_x", "own_y")
+    asks = order.settled(order.counts(values, asks).where(F.col("n") >= least))
+    found = order.quantiles(values, asks, (0.25, 0.5, 0.75)).join(asks, "ask")
+    return found.select(F.col("ask").alias("pedido_id"), F.col("a").alias("area"), "n", F.col("q")[1].alias("m2"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
 
 
 def estimate(requests: DataFrame, sales: DataFrame, least: dict[str, int] | None = None, p: Params = DEFAULT) -> DataFrame:
@@ -23,16 +35,18 @@ def estimate(requests: DataFrame, sales: DataFrame, least: dict[str, int] | None
 
     Levels are tried from the building to the neighbourhood's type. ``requests`` has pedido_id, endereco, bairro, tipo, area
     and venda (its own sale, which isn't compared, or null); ``sales`` has venda, endereco, bairro, tipo, area, m2.
+    Alike requests of a building are compared once; in a neighbourhood, quartiles come by rank, so no request meets all sales of its type.
     """
     least = least or {"predio": 3, "bairro": 8}
-    sales = sales.where("area > 0 and m2 is not null").withColumn("local", F.concat_ws("|", "bairro", "tipo"))
-    requests = requests.where("area > 0").withColumn("local", F.concat_ws("|", "bairro", "tipo"))
-    building = _matched(requests, sales, "endereco", "predio", p.tolerance_wide)
-    stats = lambda rows: rows.groupBy("pedido_id", "nivel").agg(F.max("area").alias("area"), F.count("*").alias("n"), F.median("m2_c").alias("m2"), quantile("m2_c", 0.25).alias("p25"), quantile("m2_c", 0.75).alias("p75"))
-    first = stats(building).where(F.col("n") >= least["predio"])
+    local = F.concat_ws("|", "bairro", "tipo")
+    sales, requests = (rows.where("area > 0").withColumn("local", local) for rows in (sales.where("m2 is not null"), requests))
+    alike = ["endereco", "area", "venda"]
+    of_building = _matched(requests, sales, "endereco", p.tolerance_wide).groupBy(*alike).agg(F.count("*").alias("n"), F.median("m2_c").alias("m2"), quantile("m2_c", 0.25).alias("p25"), quantile("m2_c", 0.75).alias("p75")).where(F.col("n") >= least["predio"])
+    first = order.settled(order.matched(requests.select("pedido_id", *alike), of_building, alike).select("pedido_id", "area", "n", "m2", "p25", "p75"))
     rest = requests.join(first.select("pedido_id"), "pedido_id", "left_anti")
-    second = stats(_matched(rest, sales, "local", "bairro", p.tolerance_first)).where(F.col("n") >= least["bairro"])
-    return _finished(first.union(second), p)
+    second = _by_rank(rest, sales, "local", p.tolerance_first, least["bairro"])
+    level = lambda rows, name: rows.select("pedido_id", F.lit(name).alias("nivel"), "area", "n", "m2", "p25", "p75")
+    return _finished(level(first, "predio").union(level(second, "bairro")), p)
 
 
 def _finished(found: DataFrame, p: Params) -> DataFrame:

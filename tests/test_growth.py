@@ -1,11 +1,12 @@
 """Queries whose work must not grow with requests times rows: the same rows as plain loops, without pairing the two."""
 
 import random
+import statistics
 
 
 from pyspark.sql import functions as F
 
-from terrafolio.operators import appraisal, market, order, search
+from terrafolio.operators import appraisal, market, order, search, valuation
 
 SALES = "venda long, predio long, rua long, bairro long, area double, hoje double, andar int, mes int"
 REQUESTS = "id long, predio long, rua long, bairro long, area double, andar int, fora_venda long, fora_predio long"
@@ -117,3 +118,24 @@ def test_alike_requests_are_searched_once(spark, monkeypatch):
     found = search.suggestions(requests, places, roads, search.posted(places), search.posted(roads)).collect()
     assert searched[0].count() == 1
     assert {(r["req"], r["tipo"]) for r in found} == {(i, "rua" if i % 2 and i % 5 > 2 else "predio") for i in range(40)}
+
+
+def test_estimates_of_neighbourhoods_pair_no_request_with_its_sales(spark, monkeypatch):
+    paired = []
+    whole = valuation._matched
+    monkeypatch.setattr(valuation, "_matched", lambda asked, sales, key, *rest: paired.append(key) or whole(asked, sales, key, *rest))
+    rng = random.Random(9)
+    sizes = [10.0, 11.0, 12.0, 27.0, 30.0, 33.0, 40.0, 44.0]
+    sales = [(i, rng.choice([1, 2, None]) if i % 9 == 0 else 100 + i, "a", rng.choice("xy"), rng.choice(sizes), rng.choice([None, *(float(k) for k in range(50, 70))])) for i in range(400)]
+    asked = [(i, rng.choice([1, 2, 7, None]), "a", rng.choice("xyz"), rng.choice(sizes), rng.choice([None, rng.randrange(400)])) for i in range(100)]
+    frames = spark.createDataFrame(asked, "pedido_id long, endereco long, bairro string, tipo string, area double, venda long"), spark.createDataFrame(sales, "venda long, endereco long, bairro string, tipo string, area double, m2 double")
+    got = {r["pedido_id"]: (r["nivel"], r["n"], r["m2"]) for r in valuation.estimate(*frames).collect()}
+    want = {}
+    for i, place, _, kind, a, own in asked:
+        near = lambda share: [s for s in sales if s[5] is not None and s[0] != own and abs(s[4] - a) <= a * share]  # noqa: B023, E731
+        for level, found, least in (("predio", [s[5] for s in near(0.2) if place is not None and s[1] == place], 3), ("bairro", [s[5] for s in near(0.1) if s[3] == kind], 8)):
+            if len(found) >= least:
+                want[i] = (level, len(found), statistics.median(found))
+                break
+    assert got == want and {v[0] for v in want.values()} == {"predio", "bairro"}
+    assert paired == ["endereco"]
