@@ -36,11 +36,19 @@ CELLS_SQL = f"""raw AS (SELECT {BASE}, date_diff('day', DATE '1899-12-30', CAST(
   cells AS (SELECT {SHEET_NAME} AS sheet, k * 10 + n AS row_num, {", ".join(f'{sql} AS {letter}' for letter, sql in CELLS.items())} FROM raw)"""
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(*BASE.split(", "), "datediff(l_shipdate, date'1899-12-30') AS s")
+
+
+def spread(spark: SparkSession, sf_dir: str, letters: str = "".join(CELLS)) -> DataFrame:
+    """sheet, row_num, and the cells of some letters as columns; a map would be made whole for every row, whatever is read of it."""
+    return _raw(spark, sf_dir).select(F.expr(SHEET_NAME).alias("sheet"), (F.col("k") * 10 + F.col("n")).alias("row_num"), *(F.expr(CELLS[x]).cast("string").alias(x) for x in letters))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sheet, row_num, cells (column letter -> text)."""
-    raw = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(*BASE.split(", "), "datediff(l_shipdate, date'1899-12-30') AS s")
     pairs: list[Column] = [x for letter, sql in CELLS.items() for x in (F.lit(letter), F.expr(sql).cast("string"))]
-    return raw.select(F.expr(SHEET_NAME).alias("sheet"), (F.col("k") * 10 + F.col("n")).alias("row_num"), F.create_map(*pairs).alias("cells"))
+    return _raw(spark, sf_dir).select(F.expr(SHEET_NAME).alias("sheet"), (F.col("k") * 10 + F.col("n")).alias("row_num"), F.create_map(*pairs).alias("cells"))
 
 
 def places(spark: SparkSession) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrafolio.functions import expr, text
 from terrafolio.functions.expr import ACCENTED, PAYMENTS, PLAIN, STREET_WORDS
 from terrafolio.operators import checks, sheet
-from terrafolio.plans.cells import CELLS_SQL, PLACES, cells, places
+from terrafolio.plans.cells import CELLS_SQL, PLACES, cells, places, spread
 from terrafolio.plans.views import table
 from terrafolio.queries import query
 
@@ -67,7 +67,7 @@ CLASSIFIED = f"""{DEEDS}, classified AS (SELECT *, {KIND_SQL} AS tipo,
 
 
 def deeds(spark, d, residential_only=False):
-    return sheet.deeds(cells(spark, d), places(spark), residential_only)
+    return sheet.deeds(spread(spark, d), places(spark), residential_only)
 
 
 @query("sheet_deeds", f"WITH {DEEDS} SELECT * EXCLUDE (residencial) FROM deeds WHERE residencial")
@@ -158,8 +158,7 @@ UNIT_SQL = "TRY_CAST(nullif(regexp_extract(D, '(?i)(?:\\bAP|\\bAPTO|\\bAPT|\\bAP
   SELECT predio, row_num, n, vagas, convencao, CASE WHEN n >= 10 AND n // por BETWEEN 1 AND 60 THEN n // por END AS andar, CASE WHEN n >= 10 AND n // por BETWEEN 1 AND 60 THEN n % por END AS final FROM a""",
 )
 def _(spark, d):
-    c = F.col("cells")
-    units = cells(spark, d).select(c["B"].alias("predio"), "row_num", expr.unit_number(c["D"]).alias("n"), expr.parking_spaces(c["D"]).alias("vagas"))
+    units = spread(spark, d, "BD").select(F.col("B").alias("predio"), "row_num", expr.unit_number(F.col("D")).alias("n"), expr.parking_spaces(F.col("D")).alias("vagas"))
     kinds = units.groupBy("predio").agg(text.numbering(F.col("n")).alias("convencao"))
     return units.join(kinds, "predio").withColumn("x", text.floor_and_final(F.col("n"), F.col("convencao"))).select("predio", "row_num", "n", "vagas", "convencao", "x.andar", "x.final")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from terrafolio.functions import text
 from terrafolio.functions.expr import address_key, half_up, street_number
 from terrafolio.operators import panels, resolve, watch
-from terrafolio.plans.cells import CELLS_SQL, cells
+from terrafolio.operators.order import settled
+from terrafolio.plans.cells import CELLS_SQL, spread
 from terrafolio.plans.views import DEALS, OFFERS, deals, offers, table
 from terrafolio.queries import query
 from terrafolio.queries_sheet import DEEDS, NUMBER_OF_STREET, deeds, street_sql
@@ -32,17 +33,17 @@ RESOLVED = f"""{PLACED}, {VOTE('endereco', 've')}, {VOTE('cep', 'vc')}, vb AS (S
 
 
 def _translated(spark, d):
-    c, k = F.col("cells"), F.floor(F.col("row_num") / 10)
-    rows = cells(spark, d).select(
-        "row_num", F.when(k % 29 == 0, "Santo Amaro").otherwise(c["E"]).alias("nome"), F.when(k % 31 == 0, resolve.NO_NUMBER).otherwise(street_number(c["C"])).alias("numero"), address_key(c["B"], c["C"]).alias("endereco"),
-        text.postcode(c["G"]).alias("cep"), F.substring(text.block_key(F.concat(F.lit("00"), c["A"], F.lit("-4"))), 1, 4).alias("quadra"),
+    c, k = F.col, F.floor(F.col("row_num") / 10)
+    rows = spread(spark, d, "ABCEG").select(
+        "row_num", F.when(k % 29 == 0, "Santo Amaro").otherwise(c("E")).alias("nome"), F.when(k % 31 == 0, resolve.NO_NUMBER).otherwise(street_number(c("C"))).alias("numero"), address_key(c("B"), c("C")).alias("endereco"),
+        text.postcode(c("G")).alias("cep"), F.substring(text.block_key(F.concat(F.lit("00"), c("A"), F.lit("-4"))), 1, 4).alias("quadra"),
     )
     words = spark.createDataFrame(list(WORDS), "nome string, destino string, status string")
     return resolve.translated(rows, words, spark.createDataFrame(list(SPLIT), "prefixo string, destino string"))
 
 
 def _resolved(spark, d):
-    rows = _translated(spark, d)
+    rows = settled(_translated(spark, d))  # they vote three times, and are resolved
     return resolve.resolve_places(rows, rows, rows, spark.createDataFrame([(t,) for t in TARGETS], "destino string"), ["row_num"])
 
 

@@ -6,6 +6,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from terrafolio import catalog
 from terrafolio.operators import appraisal, market, order, search, valuation
 
 SALES = "venda long, predio long, rua long, bairro long, area double, hoje double, andar int, mes int"
@@ -139,3 +140,12 @@ def test_estimates_of_neighbourhoods_pair_no_request_with_its_sales(spark, monke
                 break
     assert got == want and {v[0] for v in want.values()} == {"predio", "bairro"}
     assert paired == ["endereco"]
+
+
+def test_sheet_queries_make_only_the_cells_that_they_read(spark):
+    for name in ("translated_names", "unit_floors", "prefix_majority", "sheet_dedup"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "map(A" not in plan and "99.SFI" not in plan, name  # letter O, which none of them reads
+    # five branches vote and are resolved: translated once
+    plan = catalog.QUERIES["universe_resolution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan
