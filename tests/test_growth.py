@@ -7,7 +7,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from terrafolio import catalog
-from terrafolio.operators import appraisal, market, order, search, valuation
+from terrafolio.operators import appraisal, market, order, period, search, valuation
 
 SALES = "venda long, predio long, rua long, bairro long, area double, hoje double, andar int, mes int"
 REQUESTS = "id long, predio long, rua long, bairro long, area double, andar int, fora_venda long, fora_predio long"
@@ -149,3 +149,23 @@ def test_sheet_queries_make_only_the_cells_that_they_read(spark):
     # five branches vote and are resolved: translated once
     plan = catalog.QUERIES["universe_resolution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_shipdate" not in plan
+
+
+def test_rolling_medians_meet_only_the_middle_of_each_window(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", None]), rng.choice([1, 2, 4, 9]), rng.choice([5.0, rng.uniform(0, 1e4), rng.uniform(0, 1e4)])) for _ in range(900)]
+    frame = spark.createDataFrame(rows, "k string, mes int, y double")
+    met = []
+    whole = period.matched
+    monkeypatch.setattr(period, "matched", lambda left, right, keys: met.append(whole(left, right, keys)) or met[-1])
+    got = {(r["k"], r["i"], r["w"]): (r["median"], r["n"]) for r in period.rolling_medians(frame, ["k"], "y").collect()}
+    want = {}
+    for k in ("a", None):
+        for i in range(1, 10):
+            for w in (3, 6, 12):
+                lo = max(1, min(i - w // 2, 9 - w + 1))
+                found = [y for key, m, y in rows if key == k and lo <= m <= min(9, lo + w - 1)]
+                if found:
+                    want[k, i, w] = (statistics.median(found), len(found))
+    assert got == want
+    assert met[-1].count() < 900 * 21 / 8
