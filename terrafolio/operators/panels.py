@@ -11,8 +11,8 @@ from terrafolio.functions.expr import area_band, band_adherence, half_up, paymen
 from terrafolio.functions.stats import adaptive_window, majority, quantile, trim_iqr
 from terrafolio.operators.geo import nearest_places
 from terrafolio.operators.market import stock_demand
-from terrafolio.operators.order import free, numbered
-from terrafolio.operators.period import rolling_medians
+from terrafolio.operators.order import free, kept, matched, numbered
+from terrafolio.operators.period import group_quantiles, rolling_medians
 from terrafolio.operators.scoring import prospect_bonus
 from terrafolio.operators.sheet import in_city
 from terrafolio.params import DEFAULT, Params
@@ -129,11 +129,16 @@ def time_factors(sales: DataFrame, start: Column, end: Column, p: Params = DEFAU
     rolled = rolling_medians(known, ["zona", "tipo"], "m2", "mes", p, ends=("i0", "i1"))
     sound = rolled.groupBy("zona", "tipo", "w").agg(F.min("n").alias("minimo"), F.count("*").alias("k"), (F.max("i") - F.min("i") + 1).alias("span"), F.max("meses").alias("meses")).where((F.col("minimo") >= p.index_least_rows) & (F.col("k") == F.col("meses")))
     chosen = sound.groupBy("zona", "tipo").agg(F.min_by(F.struct("w", "minimo"), "w").alias("c")).select("zona", "tipo", F.col("c.w").alias("w"), F.col("c.minimo").alias("minimo"))
+    chosen = kept(chosen)
     own = rolled.join(chosen, ["zona", "tipo", "w"])
-    city = rolling_medians(known, ["tipo"], "m2", "mes", replace(p, index_windows=(p.index_fallback_window,)), ends=("i0", "i1"))
     last = lambda rows, keys: rows.withColumn("fator", F.max(F.when(F.col("i") == F.col("i1"), F.col("median"))).over(Window.partitionBy(*keys)) / F.col("median"))
-    rest = known.select("zona", "tipo").distinct().join(chosen, ["zona", "tipo"], "left_anti").join(last(city, ["tipo"]), "tipo")
-    return last(own, ["zona", "tipo"]).select("zona", "tipo", "i", F.col("w").alias("janela"), "minimo", "fator").union(rest.select("zona", "tipo", "i", F.lit(None).cast("int"), F.lit(None).cast("long"), "fator"))
+    found = last(own, ["zona", "tipo"]).select("zona", "tipo", "i", F.col("w").alias("janela"), "minimo", "fator")
+    rest = kept(rolled.select("zona", "tipo").distinct().join(chosen, ["zona", "tipo"], "left_anti"))
+    if not rest.isEmpty():  # the city's index, of the types that need it
+        needed = known.join(rest.select("tipo").distinct(), "tipo", "left_semi")
+        city = rolling_medians(needed, ["tipo"], "m2", "mes", replace(p, index_windows=(p.index_fallback_window,)), ends=("i0", "i1"))
+        found = found.union(rest.join(last(city, ["tipo"]), "tipo").select("zona", "tipo", "i", F.lit(None).cast("int"), F.lit(None).cast("long"), "fator"))
+    return kept(found)
 
 
 def corrected(sales: DataFrame, factors: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -150,14 +155,26 @@ def house_reference(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
     ``sales`` are ``corrected``.
     """
     rows = sales.where("limpa and tipo = 'casa' and m2 > 0").withColumn("faixa", area_band(F.col("area"), p)).where("faixa is not null")
-    return rows.groupBy("zona", "faixa").agg(half_up(F.median(F.col("m2") * F.col("fator")), 2).alias("referencia"), half_up(F.median("m2"), 2).alias("bruta"), F.count("*").alias("n"))
+    now, then = (group_quantiles(rows.withColumn("hoje", F.col("m2") * f), ["zona", "faixa"], "hoje", [0.5]) for f in (F.col("fator"), F.lit(1.0)))
+    median = lambda name: half_up(F.element_at(name, 1), 2)
+    return matched(now.select("zona", "faixa", F.col("q").alias("agora")), then, ["zona", "faixa"]).select("zona", "faixa", median("agora").alias("referencia"), median("q").alias("bruta"), "n")
+
+
+def raw_segments(sales: DataFrame, least: int = 10, p: Params = DEFAULT) -> DataFrame:
+    """zona, tipo, faixa, bruta: median per m2, as it was, of the segments with enough clean sales."""
+    keys = ["zona", "tipo", "faixa"]
+    rows = sales.where("limpa").withColumn("faixa", area_band(F.col("area"), p))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    return matched(group_quantiles(rows, keys, "m2", [0.5]), sizes, keys).select(*keys, F.element_at("q", 1).alias("bruta"))
 
 
 def building_prices(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """endereco, n, mediana, razao, homogeneo, mediana_bruta, homogeneo_bruto of buildings with enough clean sales of flats."""
     rows = sales.where("limpa and tipo = 'apartamento'").withColumn("hoje", F.col("valor") * F.col("fator"))
-    ratio = lambda x: quantile(x, 0.75) / quantile(x, 0.25)
-    stats = rows.groupBy("endereco").agg(F.count("*").alias("n"), F.median("hoje").alias("mediana"), ratio("hoje").alias("razao"), F.median("valor").alias("mediana_bruta"), ratio("valor").alias("r"))
+    quarters = lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    stats = rows.select("endereco", "hoje", "valor").repartition("endereco").groupBy("endereco").agg(F.count("*").alias("n"), quarters("hoje").alias("_h"), quarters("valor").alias("_v"))
+    ratio = lambda q: F.element_at(q, 3) / F.element_at(q, 1)
+    stats = stats.select("endereco", "n", F.element_at("_h", 2).alias("mediana"), ratio("_h").alias("razao"), F.element_at("_v", 2).alias("mediana_bruta"), ratio("_v").alias("r"))
     return stats.where(F.col("n") >= p.building_least_sales).select("endereco", "n", "mediana", "razao", (F.col("razao") <= p.homogeneous_ratio).alias("homogeneo"), "mediana_bruta", (F.col("r") <= p.homogeneous_ratio).alias("homogeneo_bruto"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrafolio.functions import expr
 from terrafolio.functions.expr import half_up
 from terrafolio.operators import addresses, market, panels, period, prices, ranges, scoring
-from terrafolio.operators.order import numbered, settled
+from terrafolio.operators.order import kept, numbered, settled
 from terrafolio.plans.views import DEALS, OFFER_COLUMNS, OFFERS, deals, offers, table
 from terrafolio.queries import ORACLES, PERIOD, QUERIES, query
 
@@ -99,9 +99,13 @@ FACTORS = f"""WITH {DEALS}{END}, k AS (SELECT zona, tipo, mes, m2, e AS i1 FROM
   hoje AS (SELECT deals.*, CASE WHEN mes >= e THEN 1 ELSE coalesce(fator, 1) END AS fator FROM deals CROSS JOIN fim LEFT JOIN factors f ON f.zona = deals.zona AND f.tipo = deals.tipo AND f.i = greatest({START}, least(e, mes)))"""
 
 
+#: What the correction of prices, and what is made of it, read of a deal.
+PRICED = ["zona", "tipo", "endereco", "area", "valor", "m2", "mes", "ano", "limpa"]
+
+
 def _factors(spark, d, rows=None):
-    rows = rows or deals(spark, d)
-    end = end_of(rows)
+    rows = rows or kept(deals(spark, d).select(*PRICED))  # joined once
+    end = kept(period.base_month(rows)).select("window_end").scalar()
     return rows, panels.time_factors(rows, F.lit(START), end), end
 
 
@@ -292,8 +296,7 @@ FOUND = f"""{FACTORS}, {HOUSES}, {BUILDINGS}, {OFFERS}, sg AS (SELECT zona, tipo
 
 def _findings(spark, d, today=None):
     today = today or _today(spark, d)
-    raw = today.where("limpa").withColumn("faixa", expr.area_band(F.col("area"))).groupBy("zona", "tipo", "faixa").agg(F.median("m2").alias("bruta"), F.count("*").alias("k")).where("k >= 10")
-    return panels.findings(offers(spark, d).where("valor > 0"), panels.building_prices(today), raw, panels.house_reference(today))
+    return panels.findings(offers(spark, d).where("valor > 0"), panels.building_prices(today), kept(panels.raw_segments(today)), kept(panels.house_reference(today)))
 
 
 @query("value_findings", f"{FOUND} SELECT * FROM achados")
@@ -315,7 +318,7 @@ def _(spark, d):
 
 @query("findings_summary", f"{FOUND} SELECT tipo, count(*) AS elegiveis, count(*) FILTER (achado) AS achados, count(*) FILTER (desconto_bruto >= 20) AS achados_bruto, {r('100 * count(*) FILTER (desconto < 0) / count(*)', 1)} AS pct_acima, (SELECT count(DISTINCT o.endereco) FROM offers o JOIN predios p USING (endereco) WHERE p.razao <= 1.25 AND o.tipo = 'apartamento') AS predios_com_anuncio FROM achados GROUP BY 1")
 def _(spark, d):
-    today = settled(_today(spark, d))  # for both the buildings and the findings
+    today = _today(spark, d)
     homogeneous = panels.building_prices(today).where("homogeneo").select("endereco")
     with_offer = offers(spark, d).where("tipo = 'apartamento'").join(homogeneous, "endereco").agg(F.countDistinct("endereco")).scalar()
     found = _findings(spark, d, today).groupBy("tipo").agg(F.count("*").alias("elegiveis"), panels.count_if(F.col("achado")).alias("achados"), panels.count_if(F.col("desconto_bruto") >= 20).alias("achados_bruto"), half_up(100 * panels.count_if(F.col("desconto") < 0) / F.count("*"), 1).alias("pct_acima"))

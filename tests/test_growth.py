@@ -7,7 +7,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from terrafolio import catalog
-from terrafolio.operators import appraisal, market, order, period, search, valuation
+from terrafolio.operators import appraisal, market, order, panels, period, search, valuation
 
 SALES = "venda long, predio long, rua long, bairro long, area double, hoje double, andar int, mes int"
 REQUESTS = "id long, predio long, rua long, bairro long, area double, andar int, fora_venda long, fora_predio long"
@@ -169,3 +169,44 @@ def test_rolling_medians_meet_only_the_middle_of_each_window(spark, monkeypatch)
                     want[k, i, w] = (statistics.median(found), len(found))
     assert got == want
     assert met[-1].count() < 900 * 21 / 8
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantiles_of_large_groups_as_plain_loops(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([7.0, 7.0, None, rng.uniform(0, 1e4), rng.uniform(0, 1e4)])) for _ in range(700)] + [("c", 5.0)]
+    got = {r["k"]: (r["n"], r["q"]) for r in period.group_quantiles(spark.createDataFrame(rows, "k string, y double"), ["k"], "y", [0.25, 0.5]).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, (n, q) in got.items():
+        ys = sorted(y for key, y in rows if key == k and y is not None)
+        assert n == len(ys) and (len(ys) == 1 or all(abs(a - b) < 1e-9 for a, b in zip(q, statistics.quantiles(ys, n=4, method="inclusive"))))
+
+
+def test_a_city_index_is_made_only_for_places_without_their_own(spark, monkeypatch):
+    made = []
+    whole = panels.rolling_medians
+    monkeypatch.setattr(panels, "rolling_medians", lambda rows, keys, *rest, **more: made.append(keys) or whole(rows, keys, *rest, **more))
+    sales = [("Z0", "casa", True, m, 100.0 + m) for m in range(12) for _ in range(200)]
+    frame = lambda more: spark.createDataFrame(sales + more, "zona string, tipo string, limpa boolean, mes int, m2 double")
+    own = panels.time_factors(frame([]), F.lit(0), F.lit(11)).collect()
+    assert made == [["zona", "tipo"]] and {r["janela"] for r in own} == {3} and len(own) == 12
+    both = panels.time_factors(frame([("Z1", "casa", True, 3, 90.0)]), F.lit(0), F.lit(11)).collect()
+    assert made[1:] == [["zona", "tipo"], ["tipo"]] and {(r["zona"], r["janela"]) for r in both} == {("Z0", 3), ("Z1", None)} and len(both) == 24
+
+
+def test_building_prices_count_values_of_a_building_once(spark):
+    found = plan(catalog.QUERIES["building_prices"](spark, "/root/testdata/sf0.001"))
+    assert found.count("percentile(") == 2 and "l_partkey" not in found
+
+
+def test_house_reference_gathers_no_group(spark):
+    found = plan(catalog.QUERIES["house_reference"](spark, "/root/testdata/sf0.001"))
+    assert "percentile(" not in found and "median(" not in found and "l_partkey" not in found
+
+
+def test_findings_join_the_sales_once(spark):
+    for name in ("value_findings", "findings_order", "findings_by_place", "findings_summary"):
+        assert "l_partkey" not in plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
