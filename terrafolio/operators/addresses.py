@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafolio.functions.stats import majority, quantile
+from terrafolio.functions.stats import majority
 from terrafolio.operators.period import launches
 from terrafolio.params import DEFAULT, Params
 
@@ -18,9 +18,7 @@ def liquidity(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.count("*").alias("n"),
         F.min("valor").alias("menor"),
         F.max("valor").alias("maior"),
-        F.median("valor").alias("mediana"),
-        quantile("valor", 0.25).alias("p25"),
-        quantile("valor", 0.75).alias("p75"),
+        F.percentile("valor", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
         F.min("area").alias("area_min"),
         F.max("area").alias("area_max"),
     )
@@ -29,6 +27,7 @@ def liquidity(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
     status = F.when(F.col("n") == 1, "unico").when(odd, "incoerente").when(F.col("lancamento"), "lancamento").otherwise("prospecto")
     wide = F.col("area_max") / F.col("area_min") > p.area_max_ratio
     keep = lambda c, when: F.when(when, F.col(c)).alias(c)
+    rows = rows.withColumns({c: F.element_at("_q", k) for k, c in enumerate(("p25", "mediana", "p75"), 1)})
     return rows.select("endereco", "bairro", "n", "mediana", keep("p25", F.col("n") >= 4), keep("p75", F.col("n") >= 4), keep("area_min", ~wide), keep("area_max", ~wide), status.alias("situacao"))
 
 

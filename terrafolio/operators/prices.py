@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from terrafolio.functions.expr import area_band, half_up
 from terrafolio.functions.stats import adaptive_window, first_rows, quantile, shares_of_100, trim_iqr
+from terrafolio.operators.order import kept
+from terrafolio.operators.period import group_quantiles
 from terrafolio.params import DEFAULT, Params
 
 
 def adaptive_band(sales: DataFrame, listings: DataFrame, keys: list[str], end: Column, p: Params = DEFAULT) -> DataFrame:
     """keys, months, few, n, low, high, stock: the middle half of prices in the adaptive window, and the listings inside it."""
     sales, end = sales.withColumn("_end", end), F.col("_end")
-    windows = adaptive_window(sales, keys, "mes", end, p)
-    inside = sales.join(windows, keys).where((F.col("mes") <= end) & (F.col("mes") > end - F.col("months")))
-    bands = inside.groupBy(*keys).agg(F.first("months").alias("months"), F.first("few").alias("few"), F.count("*").alias("n"), quantile("valor", 0.25).alias("low"), quantile("valor", 0.75).alias("high"))
+    windows = kept(adaptive_window(sales, keys, "mes", end, p))
+    inside = kept(sales.join(windows, keys).where((F.col("mes") <= end) & (F.col("mes") > end - F.col("months"))).select(*keys, "months", "few", "valor"))
+    sizes = inside.groupBy(*keys).agg(F.first("months").alias("months"), F.first("few").alias("few"), F.count("*").alias("n"))
+    middle = group_quantiles(inside, keys, "valor", [0.25, 0.75]).select(*keys, F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"))
+    bands = kept(sizes.join(middle, keys, "left"))
     stock = listings.join(bands.select(*keys, "low", "high"), keys).where(F.col("pedido_valor").between(F.col("low"), F.col("high"))).groupBy(*keys).agg(F.count("*").alias("stock"))
     return bands.join(stock, keys, "left").withColumn("stock", F.coalesce("stock", F.lit(0)))
 

@@ -6,7 +6,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from terrafolio import catalog
+from terrafolio import catalog, queries_panels
 from terrafolio.operators import appraisal, market, order, panels, period, search, valuation
 
 SALES = "venda long, predio long, rua long, bairro long, area double, hoje double, andar int, mes int"
@@ -210,3 +210,13 @@ def test_house_reference_gathers_no_group(spark):
 def test_findings_join_the_sales_once(spark):
     for name in ("value_findings", "findings_order", "findings_by_place", "findings_summary"):
         assert "l_partkey" not in plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_readiness_and_shortlist_join_the_sales_once(spark, monkeypatch):
+    joined = []
+    whole = queries_panels.deals
+    monkeypatch.setattr(queries_panels, "deals", lambda *given: joined.append(given) or whole(*given))
+    for name in ("readiness", "shortlist"):
+        joined.clear()
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(joined) == 1, name
