@@ -13,6 +13,7 @@ from terrafolio.params import DEFAULT, Params
 def liquidity(sales: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """By address: its neighbourhood (that of most of its sales, the first by name of equals), sales, price spread, area range,
     and its status: unico, incoerente, lancamento or prospecto."""
+    sales = sales.select("endereco", "bairro", "valor", "area", "dia").repartition("endereco")  # few sales each: nothing to gain from counting before they meet
     places = majority(sales, ["endereco"], "bairro").select("endereco", F.col("winner").alias("bairro"))
     stats = sales.groupBy("endereco").agg(
         F.count("*").alias("n"),

@@ -369,7 +369,7 @@ def displays(sales: DataFrame, listings: DataFrame) -> DataFrame:
 
 def majority_kind(sales: DataFrame) -> DataFrame:
     """endereco, tipo: the commonest kind of home of an address, the first by name of equals; unknown kinds don't vote."""
-    return majority(sales.where("tipo is not null"), ["endereco"], "tipo").select("endereco", F.col("winner").alias("tipo"))
+    return majority(sales.where("tipo is not null").select("endereco", "tipo").repartition("endereco"), ["endereco"], "tipo").select("endereco", F.col("winner").alias("tipo"))
 
 
 def every_nth(rows: DataFrame, order: list, tests: int) -> DataFrame:

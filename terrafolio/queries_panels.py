@@ -273,7 +273,7 @@ def _priorities(spark, d, rows=None, found=None, scores=None, bands=None):
     paid = period.group_quantiles(banded, segment, "m2", [0.5]).select(*segment, F.element_at("q", 1).alias("pago"))
     segments = kept(recent.join(paid, segment))
     prospects = (found or _addresses(spark, d, rows)).where("situacao = 'prospecto'").select("endereco", "n")
-    units = rows.groupBy("endereco").agg(F.countDistinct("unidade").alias("unidades"))
+    units = rows.select("endereco", "unidade").repartition("endereco").groupBy("endereco").agg(F.countDistinct("unidade").alias("unidades"))
     return panels.priorities(offers(spark, d), scores or _scores(spark, d, rows), segments, bands or _bands(spark, d, rows), prospects, units)
 
 
