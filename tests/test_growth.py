@@ -3,7 +3,7 @@
 import random
 import statistics
 
-
+import pytest
 from pyspark.sql import functions as F
 
 from terrafolio import catalog, queries_panels
@@ -220,3 +220,15 @@ def test_readiness_and_shortlist_join_the_sales_once(spark, monkeypatch):
         joined.clear()
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(joined) == 1, name
+
+
+def test_the_chain_has_all_columns_that_it_reads(spark, monkeypatch):
+    class Reached(Exception):
+        pass
+
+    def reached(*_, **__):
+        raise Reached
+
+    monkeypatch.setattr(appraisal, "left_out", reached)
+    with pytest.raises(Reached):
+        catalog.QUERIES["appraisal_chain"](spark, "/root/testdata/sf0.001")
