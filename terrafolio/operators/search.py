@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafolio.functions.text import search_text
-from terrafolio.operators.order import settled
+from terrafolio.operators.order import kept, settled
 
 # fixed values: how the city abbreviates words of streets' names, and words that a request needn't have
 ABBREVIATIONS = {
@@ -36,6 +36,11 @@ def posted(places: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.array_distinct(F.concat(grams, words))).alias("token"), "id")
 
 
+def texts(places: DataFrame) -> DataFrame:
+    """texto, id: each text of ``places`` once, under its least id. All that an index needs, where many places share a text."""
+    return places.groupBy("texto").agg(F.min("id").alias("id"))
+
+
 def _other_words(word: Column) -> Column:
     table = F.create_map(*(x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*(F.lit(a) for a in v)))))
     return F.coalesce(F.try_element_at(table, word), F.array().cast("array<string>"))
@@ -77,27 +82,33 @@ def matches(asked: DataFrame, places: DataFrame, postings: DataFrame) -> DataFra
 def suggestions(requests: DataFrame, buildings: DataFrame, streets: DataFrame, building_postings: DataFrame, street_postings: DataFrame, top: int = 8, most_streets: int = 12) -> DataFrame:
     """req, posto, tipo (predio or rua), id, rotulo: what is suggested for each request, ``top`` at most.
 
-    ``buildings`` has id, texto, numero, rotulo, ``streets`` id, texto, nome, lugar. With a number only buildings of that number fit, in the order of
-    ids; without one the first by id are shown by their label. Where no building has the number, the streets that fit are
-    offered with it, each label once a place.
+    ``buildings`` has id, texto, numero, rotulo, ``streets`` id, texto, nome, lugar; postings are those of all of them, or of the ``texts`` of
+    buildings. With a number only buildings of that number fit, in the order of ids; without one the first by id are shown by their label.
+    Where no building has the number, the streets that fit are offered with it, each label once a place.
     """
-    # requests with the same words are searched once, and places are then told apart by number
-    asked = understood(requests)
+    # requests with the same words are searched once, and so are places with the same text, which are then told apart by number; rows are
+    # dealt out first, since a small file may hold many
+    asked = understood(requests.repartition("req"))
     names = settled(asked.select("nomes").distinct().withColumn("words", F.monotonically_increasing_id()))
     asked = settled(asked.join(names, "nomes").select("req", "words", "numero"))
     searched = names.select(F.col("words").alias("req"), "nomes", F.lit(None).cast("string").alias("numero"))
-    kinds = asked.select("words", F.col("numero").alias("_numero")).distinct()
-    fits = matches(searched, buildings, building_postings).drop("_numero").withColumnRenamed("req", "words")
-    numbered = fits.join(kinds.where("_numero is not null").hint("merge"), (fits["words"] == kinds["words"]) & (F.col("numero") == F.col("_numero"))).drop(kinds["words"])
-    fits = fits.join(kinds.where("_numero is null"), "words").select("words", "_numero", "id", "rotulo").unionByName(numbered.select("words", "_numero", "id", "rotulo"))
-    first = settled(fits.withColumn("k", F.row_number().over(Window.partitionBy("words", "_numero").orderBy("id"))).where(F.col("k") <= top))
+    kinds = kept(asked.select("words", F.col("numero").alias("_numero")).distinct())
+    # of the places with one text and number only the first by id can be shown
+    least = lambda keys, rows: rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("k") <= top).drop("k")
+    houses = kept(least(["texto", "numero"], buildings.select("texto", "numero", "id", "rotulo")))
+    fits = kept(matches(searched, settled(texts(buildings)), building_postings).select(F.col("req").alias("words"), "texto"))
+    of_number = houses.join(kinds.select(F.col("_numero").alias("numero")).distinct(), "numero", "left_semi")
+    numbered = fits.join(of_number, "texto").withColumnRenamed("numero", "_numero").join(kinds, ["words", "_numero"])
+    fits = fits.join(kinds.where("_numero is null"), "words").join(least(["texto"], houses.drop("numero")), "texto")
+    fits = fits.select("words", "_numero", "id", "rotulo").unionByName(numbered.select("words", "_numero", "id", "rotulo"))
+    first = kept(least(["words", "_numero"], fits))
     by_label = F.row_number().over(Window.partitionBy("words", "_numero").orderBy(F.when(F.col("_numero").isNull(), F.col("rotulo")), "id"))
     shown = first.select("words", "_numero", by_label.alias("posto"), F.lit("predio").alias("tipo"), "id", "rotulo")
-    left = settled(kinds.where("_numero is not null").join(first.select("words", "_numero"), ["words", "_numero"], "left_anti"))
+    left = kept(kinds.where("_numero is not null").join(first.select("words", "_numero"), ["words", "_numero"], "left_anti"))
     roads = matches(searched.join(left.select(F.col("words").alias("req")).distinct(), "req"), streets, street_postings).drop("_numero").withColumnRenamed("req", "words")
     roads = roads.withColumn("k", F.row_number().over(Window.partitionBy("words").orderBy("id"))).where(F.col("k") <= most_streets).join(left, "words")
     named = roads.groupBy("words", "_numero", F.concat_ws(", ", "nome", "_numero").alias("rotulo"), "lugar").agg(F.min("id").alias("id"))
     place = F.row_number().over(Window.partitionBy("words", "_numero").orderBy("id"))
     offered = named.select("words", "_numero", place.alias("posto"), F.lit("rua").alias("tipo"), "id", "rotulo").where(F.col("posto") <= top)
-    every = shown.union(offered).withColumnRenamed("words", "_words")
+    every = kept(shown.union(offered).withColumnRenamed("words", "_words"))
     return asked.join(every, (F.col("words") == F.col("_words")) & F.col("numero").eqNullSafe(F.col("_numero"))).select("req", "posto", "tipo", "id", "rotulo")

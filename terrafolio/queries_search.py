@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from terrafolio.operators import search
-from terrafolio.operators.order import settled
+from terrafolio.operators.order import kept, settled
 from terrafolio.plans.views import table
 from terrafolio.queries import query
 
@@ -25,8 +25,9 @@ SQL = f"""WITH b AS (SELECT p_partkey AS id, {TEXT(f"concat({STREET}, ' ', p_bra
 
 @query("address_suggestions", SQL)
 def _(spark, d):
-    parts = table(spark, d, "part")
+    parts = table(spark, d, "part").repartition("p_partkey")  # a small file, and all texts of it are made
     buildings = parts.selectExpr("p_partkey AS id", *BUILDING_COLUMNS)
     streets = parts.selectExpr("p_partkey", *ROAD_COLUMNS).groupBy("texto", "nome", "lugar").agg({"p_partkey": "min"}).withColumnRenamed("min(p_partkey)", "id")
+    buildings, streets = kept(buildings), kept(streets)
     requests = table(spark, d, "customer").selectExpr("c_custkey AS req", f"{REQUEST} AS pedido")
-    return search.suggestions(requests, buildings, streets, settled(search.posted(buildings)), settled(search.posted(streets)))
+    return search.suggestions(requests, buildings, streets, settled(search.posted(search.texts(buildings))), settled(search.posted(streets)))

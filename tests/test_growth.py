@@ -232,3 +232,33 @@ def test_the_chain_has_all_columns_that_it_reads(spark, monkeypatch):
     monkeypatch.setattr(appraisal, "left_out", reached)
     with pytest.raises(Reached):
         catalog.QUERIES["appraisal_chain"](spark, "/root/testdata/sf0.001")
+
+
+def test_places_that_share_a_text_are_indexed_once(spark, monkeypatch):
+    posted, found = [], []
+    whole, matching = search.posted, search.matches
+    monkeypatch.setattr(search, "posted", lambda places: posted.append(places) or whole(places))
+    monkeypatch.setattr(search, "matches", lambda asked, places, *rest: found.append(matching(asked, places, *rest)) or found[-1])
+    got = catalog.QUERIES["address_suggestions"](spark, "/root/testdata/sf0.001")
+    assert got.count() and all(rows.count() == rows.select("texto").distinct().count() for rows in posted)
+    assert found[0].groupBy("req", "texto").count().where("count > 1").count() == 0
+
+
+def test_suggestions_as_plain_loops_where_texts_repeat(spark):
+    rng = random.Random(17)
+    names = ["R AZUL", "AV AZUL CLARO", "R VERDE"]
+    places = [(i, (n := rng.choice(names)), str(k := rng.randrange(5)), f"{n}, {k}") for i in range(300)]
+    requests = [(i, rng.choice(["azul", "rua azul", "verde", "claro av"]) + rng.choice(["", "", " 1", " 04", " 7"])) for i in range(60)]
+    roads = [(i, n, n, "b") for i, n in enumerate(names)]
+    frames = spark.createDataFrame(places, "id long, texto string, numero string, rotulo string"), spark.createDataFrame(roads, "id long, texto string, nome string, lugar string")
+    got = {(r["req"], r["posto"], r["tipo"], r["id"]) for r in search.suggestions(spark.createDataFrame(requests, "req long, pedido string"), *frames, search.posted(frames[0]), search.posted(frames[1])).collect()}
+    want = set()
+    for req, text in requests:
+        words = [w for w in text.upper().split() if not w.isdigit()]
+        number = next((str(int(w)) for w in text.split() if w.isdigit()), None)
+        holds = lambda t: all(w in t or (w == "RUA" and "R" in t.split()) for w in words)  # noqa: B023, E731
+        fits = [p for p in places if holds(p[1]) and number in (None, p[2])][:8]
+        fits = sorted(fits, key=lambda p: (p[3], p[0])) if number is None else fits
+        want |= {(req, k + 1, "predio", p[0]) for k, p in enumerate(fits)}
+        want |= {(req, k + 1, "rua", i) for k, i in enumerate([i for i, n, *_ in roads if holds(n)][: 0 if fits or number is None else 8])}
+    assert got == want and {k[2] for k in want} == {"predio", "rua"}
