@@ -262,3 +262,20 @@ def test_suggestions_as_plain_loops_where_texts_repeat(spark):
         want |= {(req, k + 1, "predio", p[0]) for k, p in enumerate(fits)}
         want |= {(req, k + 1, "rua", i) for k, i in enumerate([i for i, n, *_ in roads if holds(n)][: 0 if fits or number is None else 8])}
     assert got == want and {k[2] for k in want} == {"predio", "rua"}
+
+
+def test_estimated_areas_with_the_same_sales_in_range_are_one_request(spark, monkeypatch):
+    asked = []
+    whole = appraisal._picked
+    monkeypatch.setattr(appraisal, "_picked", lambda asks, values: asked.append(asks) or whole(asks, values))
+    rng = random.Random(23)
+    sales = [(i, i % 3, 0, 0, rng.choice([40.0, 50.0, 60.0]), rng.uniform(1e5, 9e5), None, 1) for i in range(300)]
+    areas = [(i, s[4] * rng.uniform(0.8, 1.25)) for i, s in enumerate(sales)]
+    tests = appraisal.left_out(frame := spark.createDataFrame(sales, SALES), frame, spark.createDataFrame([(0, 1.0)], "faixa int, fator double"), spark.createDataFrame(areas, "venda long, area double"))
+    assert asked[0].count() < 200 and tests.count() > 600
+    got = {(r["id"], r["modo"]): r["estimativa"] for r in tests.collect()}
+    for i, a in areas[::10]:
+        near = [s for s in sales if s[1] == sales[i][1] and s[0] != i]
+        used = next((u for tol in (0.1, 0.2) if len(u := [s[5] / s[4] for s in near if abs(s[4] - a) / a <= tol]) >= 3), None)
+        if used:
+            assert got[i, "predio"] == pytest.approx(statistics.median(used) * a, abs=0.6)
