@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafolio.functions.expr import half_up
 from terrafolio.functions.stats import quantile
 from terrafolio.operators import order
+from terrafolio.operators.period import part_quantiles
 from terrafolio.params import DEFAULT, Params
 
 
@@ -25,8 +28,8 @@ def _by_rank(requests: DataFrame, sales: DataFrame, key: str, tolerance: float,
     values = sales.select(F.col(key).alias("key"), F.col("venda").alias("id"), F.lit(None).cast("string").alias("grp"), F.col("area").cast("double").alias("x"), F.col("m2").cast("double").alias("y"))
     own = sales.join(requests.where("venda is not null").select("venda", key).distinct(), ["venda", key], "left_semi").groupBy("venda", key).agg(F.min("area").cast("double").alias("own_x"), F.min("m2").cast("double").alias("own_y"))
     asks = requests.join(own, ["venda", key], "left").select(F.col("pedido_id").alias("ask"), F.col(key).alias("key"), F.col("area").cast("double").alias("a"), F.lit(-tolerance).alias("tol"), F.lit(None).cast("string").alias("grp"), F.when(F.col("own_x").isNotNull(), F.col("venda")).alias("own"), "own_x", "own_y")
-    asks = order.settled(order.counts(values, asks).where(F.col("n") >= least))
-    found = order.quantiles(values, asks, (0.25, 0.5, 0.75)).join(asks, "ask")
+    asks = order.kept(order.counts(values, asks).where(F.col("n") >= least))
+    found = order.quantiles(values, asks, (0.25, 0.5, 0.75))
     return found.select(F.col("ask").alias("pedido_id"), F.col("a").alias("area"), "n", F.col("q")[1].alias("m2"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
 
 
@@ -49,36 +52,56 @@ def estimate(requests: DataFrame, sales: DataFrame, least: dict[str, int] | None
     return _finished(level(first, "predio").union(level(second, "bairro")), p)
 
 
-def _finished(found: DataFrame, p: Params) -> DataFrame:
+def _finished(found: DataFrame, p: Params, *also: str) -> DataFrame:
     sure = (F.col("nivel") == "predio") & (F.col("n") >= 5) & (F.col("p75") / F.col("p25") <= p.homogeneous_ratio)
     confidence = F.when(sure, "alta").when(F.col("nivel") == "predio", "media").otherwise("baixa")
-    return found.select("pedido_id", "nivel", "n", half_up(F.col("m2"), 2).alias("m2"), half_up(F.col("m2") * F.col("area"), 0).alias("estimativa"), confidence.alias("confianca"))
+    return found.select("pedido_id", "nivel", "n", half_up(F.col("m2"), 2).alias("m2"), half_up(F.col("m2") * F.col("area"), 0).alias("estimativa"), confidence.alias("confianca"), *also)
 
 
-def leave_one_out(sales: DataFrame, least: dict[str, int] | None = None, p: Params = DEFAULT) -> DataFrame:
-    """What ``estimate`` says of each sale if it isn't compared with itself; the sale is its pedido_id.
+def leave_one_out(sales: DataFrame, least: dict[str, int] | None = None, p: Params = DEFAULT, also: Sequence[str] = ()) -> DataFrame:
+    """What ``estimate`` says of each sale if it isn't compared with itself; the sale is its pedido_id. Columns ``also`` of the sales are kept.
 
-    Every sale is a request here, so quartiles come by rank (see ``order``): a place never meets all of itself.
+    Every sale is a request here. Sales of a building are compared with each other in batches of many buildings; in one of many sales, and
+    in neighbourhoods, quartiles come by rank (see ``order``): a place never meets all of itself.
     """
     least = least or {"predio": 3, "bairro": 8}
-    rows = sales.where("area > 0").select("venda", F.col("area").cast("double").alias("area"), F.col("m2").alias("y"), F.concat_ws("|", F.lit("predio"), "endereco").alias("k_predio"), F.concat_ws("|", F.lit("bairro"), "bairro", "tipo").alias("k_bairro"))
-    levels = {"predio": p.tolerance_wide, "bairro": p.tolerance_first}
-    nothing, out, left = F.lit(None).cast("string").alias("grp"), None, rows
-    for level, tolerance in levels.items():
-        values = rows.where("y is not null").select(F.col(f"k_{level}").alias("key"), F.col("venda").alias("id"), nothing, F.col("area").alias("x"), "y")
-        own = F.when(F.col("y").isNotNull(), F.col("venda"))
-        asks = left.select(F.col("venda").alias("ask"), F.col(f"k_{level}").alias("key"), F.col("area").alias("a"), F.lit(tolerance).alias("tol"), nothing, own.alias("own"), F.col("area").alias("own_x"), F.col("y").alias("own_y"))
-        asks = order.settled(order.counts(values, asks).where(F.col("n") >= least[level]))
-        found = order.quantiles(values, asks, (0.25, 0.5, 0.75)).join(asks, "ask")
-        found = found.select(F.col("ask").alias("pedido_id"), F.lit(level).alias("nivel"), F.col("a").alias("area"), "n", F.col("q")[1].alias("m2"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
-        out = found if out is None else out.union(found)
-        left = left.join(asks.select(F.col("ask").alias("venda")), "venda", "left_anti")
-    return _finished(out, p)
-
-
-def calibration(estimates: DataFrame, real: DataFrame) -> DataFrame:
-    """nivel, confianca, n, erro_mediano, erro_p75 (%): by level and confidence, and by level (confidence ``*``)."""
-    both = estimates.join(real, "pedido_id").withColumn("erro", F.abs(F.col("estimativa") - F.col("valor")) / F.col("valor") * 100)
-    sets = both.groupingSets([["nivel", "confianca"], ["nivel"]], "nivel", "confianca")
-    out = sets.agg(F.count("*").alias("n"), half_up(F.median("erro"), 4).alias("erro_mediano"), half_up(quantile("erro", 0.75), 4).alias("erro_p75"))
-    return out.select("nivel", F.coalesce("confianca", F.lit("*")).alias("confianca"), "n", "erro_mediano", "erro_p75")
+    shares = (0.25, 0.5, 0.75)
+    rows = sales.where("area > 0").select("venda", F.col("area").cast("double").alias("x"), F.col("m2").cast("double").alias("y"), F.col("endereco").alias("key"), F.concat("bairro", F.lit("|"), "tipo").alias("local"), *also)
+    many = order.kept(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > order.FEW).select("key"))
+    first = order.of_the_others(rows.where("key is not null"), p.tolerance_wide, shares)
+    none = {"n": F.lit(0).cast("long"), "q": F.lit(None).cast("array<double>")}
+    first = first.unionByName(rows.where("key is null").withColumns(none))
+    if not many.isEmpty():
+        large = rows.join(many, "key", "left_semi")
+        text = large.withColumn("key", F.col("key").cast("string"))
+        found = _ranked(text, text, p.tolerance_wide, shares).withColumn("key", F.col("key").cast(rows.schema["key"].dataType))
+        first = first.unionByName(found.select(*first.columns))
+    first = order.kept(first)
+    near = F.col("n") >= least["predio"]
+    level = lambda found, name: found.select(F.col("venda").alias("pedido_id"), F.lit(name).alias("nivel"), F.col("x").alias("area"), "n", F.col("q")[1].alias("m2"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), *also)
+    places = first.where("local is not null").drop("n", "q").withColumn("key", F.col("local"))
+    rest = first.where(~near & F.col("local").isNotNull()).drop("n", "q").withColumn("key", F.col("local"))
+    second = _ranked(rest, places, p.tolerance_first, shares).where(F.col("n") >= least["bairro"])
+    return _finished(level(first.where(near), "predio").union(level(second, "bairro")), p, *also)
+
+
+def _ranked(rows: DataFrame, sales: DataFrame, tolerance: float, shares: Sequence[float]) -> DataFrame:
+    """``rows`` (key, x, y, ..), each one of ``sales``, with ``n`` and ``q`` of ``order.of_the_others``, by rank."""
+    values = sales.where("y is not null").select("key", F.lit(None).cast("string").alias("grp"), "x", "y")
+    more = {"grp": F.lit(None).cast("string"), "tol": F.lit(tolerance), "a": F.col("x"), "own": F.when(F.col("y").isNotNull(), F.lit(1)), "own_x": F.col("x"), "own_y": F.col("y")}
+    asks = order.kept(order.counts(values, rows.withColumns(more)))
+    none = asks.where("n = 0").withColumn("q", F.lit(None).cast("array<double>"))
+    return order.quantiles(values, asks, shares).unionByName(none).select(*rows.columns, "n", "q")
+
+
+def calibration(estimates: DataFrame, real: DataFrame | None = None) -> DataFrame:
+    """nivel, confianca, n, erro_mediano, erro_p75 (%): by level and confidence, and by level (confidence ``*``).
+
+    ``real`` has pedido_id and valor, where the estimates don't have valor themselves. No level meets in one task.
+    """
+    both = estimates if real is None else estimates.join(real, "pedido_id")
+    both = order.kept(both.select("nivel", "confianca", (F.abs(F.col("estimativa") - F.col("valor")) / F.col("valor") * 100).alias("erro")))
+    parts = F.explode(F.array("confianca", F.lit("*"))).alias("confianca")
+    counts = both.groupBy("nivel", "confianca").agg(F.count("*").alias("n")).select("nivel", parts, "n").groupBy("nivel", "confianca").agg(F.sum("n").alias("n"))
+    cuts = part_quantiles(both, "nivel", "confianca", "erro", [0.5, 0.75]).drop("n")
+    return counts.join(cuts, ["nivel", "confianca"], "left").select("nivel", "confianca", "n", half_up(F.col("q")[0], 4).alias("erro_mediano"), half_up(F.col("q")[1], 4).alias("erro_p75"))

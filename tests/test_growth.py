@@ -264,6 +264,11 @@ def test_suggestions_as_plain_loops_where_texts_repeat(spark):
     assert got == want and {k[2] for k in want} == {"predio", "rua"}
 
 
+def graded(seed):
+    rng = random.Random(seed)
+    return [(i, "m", rng.choice(["predio", "rua"]), rng.choice(["alta", "media"]), rng.choice([1e5, rng.uniform(8e4, 2e5)]), rng.choice([1e5, rng.uniform(8e4, 2e5)])) for i in range(500)]
+
+
 def test_estimated_areas_with_the_same_sales_in_range_are_one_request(spark, monkeypatch):
     asked = []
     whole = appraisal._picked
@@ -279,3 +284,40 @@ def test_estimated_areas_with_the_same_sales_in_range_are_one_request(spark, mon
         used = next((u for tol in (0.1, 0.2) if len(u := [s[5] / s[4] for s in near if abs(s[4] - a) / a <= tol]) >= 3), None)
         if used:
             assert got[i, "predio"] == pytest.approx(statistics.median(used) * a, abs=0.6)
+
+
+@pytest.mark.parametrize("few, batch", [(512, 10_000), (6, 7)])
+def test_sales_left_out_of_buildings_are_compared_in_batches(spark, monkeypatch, few, batch):
+    monkeypatch.setattr(order, "FEW", few)
+    ranked = []
+    whole = valuation._ranked
+    monkeypatch.setattr(valuation, "_ranked", lambda rows, sales, *rest: ranked.append(rows) or whole(rows, sales, *rest))
+    rng = random.Random(few)
+    sales = [(i, rng.choice([None, *range(40), 7, 7, 7]), rng.choice(["a", None]), "t", rng.choice([10.0, 11.0, 12.0, 30.0]), rng.choice([None, 5.0, *(float(k) for k in range(3, 12))]), i) for i in range(300)]
+    frame = spark.createDataFrame(sales, "venda long, endereco long, bairro string, tipo string, area double, m2 double, valor long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r["pedido_id"]: (r["nivel"], r["n"], r["m2"], r["valor"]) for r in valuation.leave_one_out(frame, also=["valor"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i, place, where, _, a, _, _ in sales:
+        near = lambda tol, at, of: [s[5] for s in sales if of is not None and s[at] == of and s[0] != i and s[5] is not None and abs(s[4] - a) / a <= tol]  # noqa: B023, E731
+        for level, found, least in (("predio", near(0.2, 1, place), 3), ("bairro", near(0.1, 2, where), 8)):
+            if len(found) >= least:
+                want[i] = (level, len(found), pytest.approx(statistics.median(found), abs=0.0051), i)
+                break
+    assert got == want and {v[0] for v in want.values()} == {"predio", "bairro"}
+    # only neighbourhoods and large buildings go by rank
+    assert len(ranked) == (1 if few == 512 else 2)
+
+
+def test_errors_of_sales_left_out_are_gathered_nowhere(spark):
+    tests = graded(24)
+    table = valuation.calibration(spark.createDataFrame([(i, n, c, e, x) for i, _, n, c, e, x in tests], "pedido_id long, nivel string, confianca string, estimativa double, valor double"))
+    assert "percentile(" not in plan(table) and "median(" not in plan(table)
+    got = {(r["nivel"], r["confianca"]): (r["n"], r["erro_mediano"]) for r in table.collect()}
+    assert len(got) == 6
+    for (level, sure), (n, median) in got.items():
+        own = [100 * abs(e - x) / x for _, _, a, c, e, x in tests if a == level and sure in (c, "*")]
+        assert n == len(own) and median == pytest.approx(statistics.median(own), abs=6e-5)
