@@ -269,6 +269,20 @@ def graded(seed):
     return [(i, "m", rng.choice(["predio", "rua"]), rng.choice(["alta", "media"]), rng.choice([1e5, rng.uniform(8e4, 2e5)]), rng.choice([1e5, rng.uniform(8e4, 2e5)])) for i in range(500)]
 
 
+def test_calibration_gathers_no_level(spark):
+    tests = graded(21)
+    table = appraisal.calibrate(spark.createDataFrame(tests, "id long, modo string, nivel string, confianca string, estimativa double, real double"))
+    assert "percentile(" not in plan(table) and "median(" not in plan(table)
+    got = {(r["nivel"], r["confianca"]): r for r in table.collect()}
+    assert len(got) == 6
+    for (level, sure), row in got.items():
+        own = [(abs(e - x) / x, x / e) for _, _, n, c, e, x in tests if n == level and sure in (c, "*")]
+        cut = statistics.quantiles([e for e, _ in own], n=4, method="inclusive")
+        ratios = statistics.quantiles([x for _, x in own], n=100, method="inclusive")
+        assert row["n"] == len(own) and row["mediano"] == pytest.approx(cut[1], abs=6e-5) and row["p75"] == pytest.approx(cut[2], abs=6e-5)
+        assert row["q"] == pytest.approx([ratios[p - 1] for p in appraisal.PERCENTILES], abs=6e-5)
+
+
 def test_estimated_areas_with_the_same_sales_in_range_are_one_request(spark, monkeypatch):
     asked = []
     whole = appraisal._picked
