@@ -283,6 +283,19 @@ def test_calibration_gathers_no_level(spark):
         assert row["q"] == pytest.approx([ratios[p - 1] for p in appraisal.PERCENTILES], abs=6e-5)
 
 
+def test_backtest_numbers_no_tests(spark, monkeypatch):
+    tests = graded(22)
+    frame = spark.createDataFrame(tests, "id long, modo string, nivel string, confianca string, estimativa double, real double")
+    calibration = appraisal.calibrate(frame)
+    monkeypatch.setattr(order, "numbered", no_pairs)
+    got = {(r["nivel"], r["confianca"]): r for r in appraisal.backtest(frame, calibration).collect()}
+    assert len(got) == 6
+    for (level, sure), row in got.items():
+        own = sorted((abs(e - x) / x, (e - x) / x) for _, _, n, c, e, x in tests if n == level and sure in (c, "*"))
+        assert row["n"] == len(own) and row["erro_p75"] == pytest.approx(100 * own[3 * len(own) // 4][0], abs=0.051)
+        assert row["erro_mediano"] == pytest.approx(100 * statistics.median(e for e, _ in own), abs=0.051) and row["vies"] == pytest.approx(100 * statistics.median(v for _, v in own), abs=0.051)
+
+
 def test_estimated_areas_with_the_same_sales_in_range_are_one_request(spark, monkeypatch):
     asked = []
     whole = appraisal._picked
